@@ -161,3 +161,73 @@ def _registry():
             out[name[2:]] = fn
     return out
 REGISTRY = _registry()
+
+
+# --------------------------------------------------------------------- DNS
+
+from ..operators import dns as dnsops  # noqa: E402
+from . import detections  # noqa: E402
+from .oracle import NX_FLOOR, SPIKE_FLOOR, TUNNEL_MIN_NAMES  # noqa: E402
+
+DQ_OUT = ["ord", "ts", "client", "client_name", "qname", "qtype", "reason", "blocked", "status",
+          "upstream", "cached", "elapsed_ms", "registrable_domain", "label_entropy"]
+
+
+def _dq(spark, sf_dir):
+    return tv.dns_query(spark, sf_dir)
+
+
+def q_qname_normalise(spark, sf_dir):
+    from ..functions.normalize import normalise_qname_or_null
+    e = tv.dns_entries(spark, sf_dir)
+    return e.select("ord", F.col("question.name").alias("raw_name"),
+                    normalise_qname_or_null(F.col("question.name")).alias("qname"))
+
+
+def q_registrable_domain(spark, sf_dir):
+    return _dq(spark, sf_dir).select("qname", "registrable_domain").distinct()
+
+
+def q_label_entropy(spark, sf_dir):
+    return render(_dq(spark, sf_dir).select("qname", "label_entropy").distinct())
+
+
+def q_dns_map_entry(spark, sf_dir):
+    return render(_dq(spark, sf_dir).select(*DQ_OUT))
+
+
+def q_dns_rejects(spark, sf_dir):
+    return tv.dns_mapped(spark, sf_dir).filter(~F.col("valid")).select("ord", "reject_reason")
+
+
+def registry(spark, sf_dir):
+    q = _dq(spark, sf_dir)
+    return dnsops.merge_registry(schemas.empty(spark, "dns_domain"), q).drop("_action")
+
+
+def q_rule_newly_seen(spark, sf_dir):
+    return detections.newly_seen(registry(spark, sf_dir), _dq(spark, sf_dir), tv.dns_as_of(spark, sf_dir))
+
+
+def q_rule_dga_entropy(spark, sf_dir):
+    return detections.dga_entropy(_dq(spark, sf_dir))
+
+
+def q_rule_blocked_spike(spark, sf_dir):
+    return detections.blocked_spike(_dq(spark, sf_dir), tv.dns_as_of(spark, sf_dir), floor=SPIKE_FLOOR)
+
+
+def q_rule_nxdomain_burst(spark, sf_dir):
+    return detections.nxdomain_burst(_dq(spark, sf_dir), tv.dns_as_of(spark, sf_dir), floor=NX_FLOOR)
+
+
+def q_rule_known_bad(spark, sf_dir):
+    return detections.known_bad(_dq(spark, sf_dir), tv.known_bad(spark, sf_dir))
+
+
+def q_rule_tunnel_volume(spark, sf_dir):
+    return detections.tunnel_volume(_dq(spark, sf_dir), tv.dns_as_of(spark, sf_dir),
+                                    min_names=TUNNEL_MIN_NAMES)
+
+
+REGISTRY = _registry()
