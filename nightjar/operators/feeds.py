@@ -73,9 +73,9 @@ def hostfile_domains(lines: DataFrame, line_col: str = "value") -> DataFrame:
     ln = F.regexp_replace(F.col(line_col), r"^\s+|\s+$", "")
     fields = F.split(ln, r"\s+")
     dom = normalise_qname(fields.getItem(1))
-    return (lines.select(ln.alias("l"), fields.alias("f"))
+    return (lines.select(ln.alias("l"), fields.alias("f"), dom.alias("domain"))
             .filter((F.col("l") != "") & ~F.col("l").startswith("#") & (F.size("f") >= 2))
-            .select(dom.alias("domain")).filter(F.col("domain") != "").distinct())
+            .select("domain").filter(F.col("domain") != "").distinct())
 
 
 def replace_source(state: DataFrame, domains: DataFrame, source: str, as_of) -> DataFrame:

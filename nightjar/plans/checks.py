@@ -231,3 +231,128 @@ def q_rule_tunnel_volume(spark, sf_dir):
 
 
 REGISTRY = _registry()
+
+
+# ---------------------------------------------------------------- DNS state
+
+def _dns_split(spark, sf_dir, store_before_days: int, batch_from_days: int):
+    """Stored rows older than as_of - a days; batch from as_of - b days (b > a
+    gives an overlap of b - a days), plus a re-pulled copy of the last day."""
+    as_of = tv.dns_as_of(spark, sf_dir)
+    t = F.timestamp_micros(F.lit(as_of))
+    q = _dq(spark, sf_dir)
+    store = q.filter(F.col("ts") < t - F.expr(f"INTERVAL {store_before_days} DAYS"))
+    batch = q.filter(F.col("ts") >= t - F.expr(f"INTERVAL {batch_from_days} DAYS"))
+    again = q.filter(F.col("ts") >= t - F.expr("INTERVAL 1 DAYS")).withColumn(
+        "ord", F.col("ord") + F.lit(10_000_000_000))
+    return store, batch.unionByName(again), as_of
+
+
+def q_dns_dedupe_append(spark, sf_dir):
+    store, batch, _ = _dns_split(spark, sf_dir, 10, 12)
+    fresh, _ = dnsops.append_new(dnsops.with_day(store), batch)
+    return render(fresh.select(*DQ_OUT))
+
+
+def q_domain_registry_merge(spark, sf_dir):
+    store, batch, _ = _dns_split(spark, sf_dir, 3, 5)
+    reg0 = dnsops.merge_registry(schemas.empty(spark, "dns_domain"), store).drop("_action")
+    fresh, _ = dnsops.append_new(store, batch)
+    return render(dnsops.merge_registry(reg0, fresh))
+
+
+def q_retention_prune(spark, sf_dir):
+    as_of = tv.dns_as_of(spark, sf_dir)
+    kept = dnsops.prune(dnsops.with_day(_dq(spark, sf_dir)), as_of, retention_days=14)
+    return render(kept.select(*DQ_OUT))
+
+
+def q_incremental_cursor(spark, sf_dir):
+    as_of = tv.dns_as_of(spark, sf_dir)
+    t = F.timestamp_micros(F.lit(as_of))
+    mapped = tv.dns_mapped(spark, sf_dir)
+    store = mapped.filter("valid").filter(F.col("ts") < t - F.expr("INTERVAL 5 DAYS"))
+    return render(dnsops.past_cursor(mapped, store).select("ord", "ts", "valid"))
+
+
+def q_timeline_rebase(spark, sf_dir):
+    mapped = tv.dns_mapped(spark, sf_dir)
+    return render(dnsops.rebase(mapped, "2026-08-15 12:00:00").select("ord", "ts"))
+
+
+def q_blocklist_replace(spark, sf_dir):
+    """Snapshot of three lists, then list_b re-fetched: only https pages now."""
+    kb = tv.known_bad(spark, sf_dir)
+    st = kb.withColumn("fetched_at", F.lit("2024-05-01 00:00:00").cast("timestamp"))
+    pg = tv.table(spark, sf_dir, "pages").select("page_id", "url")
+    pid = F.col("page_id")
+    site = F.concat_ws(".", F.concat(F.lit("site"), (pid % 40).cast("string")), tv._suffix(pid))
+    lines = pg.filter(F.col("url").contains("#") & F.col("url").startswith("https")).select(
+        F.concat(F.lit("0.0.0.0\t"), F.upper(site), F.lit(".")).alias("value"))
+    header = spark.createDataFrame([("# blocklist",), ("",), ("one-field-only",)], "value string")
+    doms = feeds.hostfile_domains(lines.unionByName(header))
+    return render(feeds.replace_source(st, doms, "list_b", "2024-06-01 00:00:00"))
+
+
+# ------------------------------------------------------------ rule state
+
+def _hit_batch(spark, sf_dir):
+    """Hits of all six detections over the test estate, in rule order."""
+    q = _dq(spark, sf_dir)
+    as_of = tv.dns_as_of(spark, sf_dir)
+    parts = [
+        ("dns_blocked_spike", detections.blocked_spike(q, as_of, floor=SPIKE_FLOOR)),
+        ("dns_dga_entropy", detections.dga_entropy(q)),
+        ("dns_known_bad_domain", detections.known_bad(q, tv.known_bad(spark, sf_dir))),
+        ("dns_newly_seen_domain", detections.newly_seen(registry(spark, sf_dir), q, as_of)),
+        ("dns_nxdomain_burst", detections.nxdomain_burst(q, as_of, floor=NX_FLOOR)),
+        ("dns_tunnel_volume", detections.tunnel_volume(q, as_of, min_names=TUNNEL_MIN_NAMES)),
+    ]
+    out = None
+    for i, (rid, df) in enumerate(parts):
+        d = df.select(F.lit(rid).alias("rule_id"), "entity", "summary", F.lit(i).alias("ord"))
+        out = d if out is None else out.unionByName(d)
+    return out, as_of
+
+
+def q_rule_hit_upsert(spark, sf_dir):
+    """Two runs: day-before clock, then the real clock; hits persist."""
+    from ..operators import hits as hitops
+    batch, as_of = _hit_batch(spark, sf_dir)
+    first = batch.filter(F.col("rule_id").isin("dns_dga_entropy", "dns_known_bad_domain"))
+    s1 = hitops.upsert_hits(schemas.empty(spark, "rule_hit"), first, "2024-01-30 00:00:00")
+    s1 = s1.drop("_action", "reported")
+    s2 = hitops.upsert_hits(s1, batch, F.timestamp_micros(F.lit(as_of)))
+    return render(s2.drop("reported"))
+
+
+def q_triage_apply(spark, sf_dir):
+    """People accept every known-bad hit on a list_a name and mark the rest
+    of that rule false positive later; other hits stay open."""
+    from ..operators import hits as hitops
+    batch, as_of = _hit_batch(spark, sf_dir)
+    st = hitops.upsert_hits(schemas.empty(spark, "rule_hit"), batch, "2024-01-30 00:00:00")
+    st = st.drop("_action", "reported")
+    kb = st.filter(F.col("rule_id") == "dns_known_bad_domain")
+    d1 = kb.select("rule_id", "entity", F.lit("false_positive").alias("status"),
+                   F.lit("bulk").alias("status_note"),
+                   F.lit("2024-01-31 08:00:00").cast("timestamp").alias("decided_at"))
+    d2 = kb.filter(F.col("summary").contains("list_a")).select(
+        "rule_id", "entity", F.lit("accepted").alias("status"),
+        F.concat(F.lit("reviewed "), F.col("entity")).alias("status_note"),
+        F.lit("2024-01-31 09:00:00").cast("timestamp").alias("decided_at"))
+    ghost = spark.createDataFrame([("dns_dga_entropy", "no-such-entity")], "rule_id string, entity string") \
+        .select("*", F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("status_note"),
+                F.lit("2024-01-31 10:00:00").cast("timestamp").alias("decided_at"))
+    out = hitops.apply_decisions(st, d1.unionByName(d2).unionByName(ghost), ["rule_id", "entity"])
+    return render(out)
+
+
+def q_open_hits(spark, sf_dir):
+    from ..operators import hits as hitops
+    batch, as_of = _hit_batch(spark, sf_dir)
+    st = hitops.upsert_hits(schemas.empty(spark, "rule_hit"), batch, F.timestamp_micros(F.lit(as_of)))
+    return render(ranking.open_hits(st.drop("_action", "reported"), 15))
+
+
+REGISTRY = _registry()
