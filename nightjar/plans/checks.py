@@ -356,3 +356,69 @@ def q_open_hits(spark, sf_dir):
 
 
 REGISTRY = _registry()
+
+
+# ------------------------------------------------------------- rule engine
+
+# A user rule in Spark SQL (same logic as the built-in entropy rule, with a
+# lower floor) and a broken one, to show per-rule isolation.
+USER_RULE_SQL = """-- description: long high-entropy names (user SQL rule)
+SELECT registrable_domain AS entity,
+       concat(CAST(count(*) AS STRING), ' names over 3.4 bits/char') AS summary
+FROM dns_query
+WHERE label_entropy >= 3.4 AND length(qname) >= 20 AND ts <= :as_of
+GROUP BY registrable_domain
+"""
+BROKEN_RULE_SQL = """-- description: reads a table that does not exist
+SELECT entity, summary FROM a_table_that_does_not_exist
+"""
+
+
+def q_rule_run_results(spark, sf_dir):
+    """One engine run over the test estate: six built-in rules (test-scale
+    floors), a user SQL rule, a broken rule, and one rule disabled before."""
+    from . import engine
+    from ..operators import hits as hitops
+    p = engine.RuleParams(spike_floor=SPIKE_FLOOR, nx_floor=NX_FLOOR, tunnel_min_names=TUNNEL_MIN_NAMES)
+    rules = engine.builtin_rules(p) + [engine.sql_rule(spark, "user_long_entropy", USER_RULE_SQL),
+                                       engine.sql_rule(spark, "zz_broken", BROKEN_RULE_SQL)]
+    q = _dq(spark, sf_dir)
+    tables = {"dns_query": q, "dns_domain": registry(spark, sf_dir),
+              "known_bad_domain": tv.known_bad(spark, sf_dir)}
+    as_of = F.timestamp_micros(F.lit(tv.dns_as_of(spark, sf_dir)))
+    st = spark.createDataFrame([("dns_tunnel_volume", "old text", True)], "id string, description string, enabled boolean") \
+        .withColumn("added_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    st = hitops.set_enabled(st, "dns_tunnel_volume", False)
+    out = engine.run_rules(spark, rules, tables, st, schemas.empty(spark, "rule_hit"), as_of)
+    return out.results
+
+
+# ----------------------------------------------------------------- quality
+
+def q_quality_keys(spark, sf_dir):
+    """Finding keys repeated within one scan run."""
+    from ..operators import quality
+    return quality.key_violations(tv.finding_rows(spark, sf_dir), ["run_key"] + normalize.FINDING_KEY)
+
+
+def q_quality_enums(spark, sf_dir):
+    """Raw severities outside the known set (missing ones)."""
+    from ..operators import quality
+    raw = tv.finding_raw(spark, sf_dir)
+    return quality.enum_violations(raw, "Severity", ["CRITICAL", "HIGH", "MEDIUM", "LOW", "UNKNOWN"],
+                                   keep=["ord"])
+
+
+def q_quality_nulls(spark, sf_dir):
+    from ..operators import quality
+    return quality.null_counts(_dq(spark, sf_dir), ["client_name", "reason", "status", "upstream",
+                                                   "cached", "elapsed_ms"])
+
+
+def q_quality_refs(spark, sf_dir):
+    """Finding rows whose image has no exposure entry."""
+    from ..operators import quality
+    return quality.ref_violations(tv.finding_rows(spark, sf_dir), tv.exposure_map(spark, sf_dir), ["image"])
+
+
+REGISTRY = _registry()

@@ -33,3 +33,18 @@ def hours(n) -> Column:
 
 def days(n) -> Column:
     return F.make_dt_interval(F.lit(n))
+
+
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def resolve(spark, as_of) -> dt.datetime:
+    """``as_of`` as an aware UTC datetime (a literal usable as a SQL argument).
+
+    A Column is evaluated once on a one-row frame."""
+    if isinstance(as_of, dt.datetime):
+        return as_of if as_of.tzinfo else as_of.replace(tzinfo=dt.timezone.utc)
+    if isinstance(as_of, int):
+        return _EPOCH + dt.timedelta(microseconds=as_of)
+    us = spark.range(1).select(F.unix_micros(as_ts(as_of))).first()[0]
+    return _EPOCH + dt.timedelta(microseconds=us)
