@@ -422,3 +422,101 @@ def q_quality_refs(spark, sf_dir):
 
 
 REGISTRY = _registry()
+
+
+# --------------------------------------------------------------- streaming
+
+def _landing(spark, sf_dir, name: str, files: int = 4, repull: bool = True) -> str:
+    """Entries landed as JSON-lines files in time order (one write per file,
+    so file times follow event times); optionally a last file re-pulling
+    the final day (exact duplicates of stored entries)."""
+    from ..session import scratch_path
+    e = tv.dns_entries(spark, sf_dir)
+    mx = e.agg((F.max("ord") + 1).alias("__m"))
+    e = e.crossJoin(F.broadcast(mx)).withColumn("__b", F.floor(F.col("ord") * files / F.col("__m")))
+    path = scratch_path(spark, f"landing-{name}")
+    cols = [c for c in e.columns if c not in ("ord", "__m", "__b")]
+    for i in range(files):
+        (e.filter(F.col("__b") == i).sortWithinPartitions("ord").select(*cols).coalesce(1)
+         .write.mode("append").json(path))
+    if repull:
+        as_of = tv.dns_as_of(spark, sf_dir)
+        last = e.filter(F.col("ord") >= 0).select(*cols).filter(
+            F.col("time").try_cast("timestamp") >= F.timestamp_micros(F.lit(as_of)) - F.expr("INTERVAL 1 DAYS"))
+        last.coalesce(1).write.mode("append").json(path)
+    return path
+
+
+def _run_stream(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def _stream_store(spark, sf_dir, with_rules: bool = False):
+    from ..functions import dnsname
+    from ..session import scratch_path
+    from ..sources.store import TableStore
+    from ..streaming import dns_stream
+    landing = _landing(spark, sf_dir, "ingest")
+    store = TableStore(spark, scratch_path(spark, "store"))
+    store.write("known_bad_domain", tv.known_bad(spark, sf_dir).withColumn(
+        "fetched_at", F.lit("2024-05-01 00:00:00").cast("timestamp")))
+    as_of = F.timestamp_micros(F.lit(tv.dns_as_of(spark, sf_dir)))
+    runner = None
+    if with_rules:
+        from . import engine
+        p = engine.RuleParams(spike_floor=SPIKE_FLOOR, nx_floor=NX_FLOOR, tunnel_min_names=TUNNEL_MIN_NAMES)
+        runner = dns_stream.rules_runner(engine.builtin_rules(p))
+    src = dns_stream.entry_stream(spark, landing, max_files_per_trigger=2)
+    q = dns_stream.start_ingest(src, store, dnsname.suffix_rules(spark),
+                                scratch_path(spark, "ckpt-ingest"), as_of=as_of, rule_runner=runner)
+    _run_stream(q)
+    return store
+
+
+def q_stream_ingest_registry(spark, sf_dir):
+    """ST-1/ST-4: streamed micro-batches (with a re-pulled overlap) build
+    the same registry as one batch over all rows."""
+    return render(_stream_store(spark, sf_dir).read("dns_domain"))
+
+
+def q_stream_dedupe(spark, sf_dir):
+    """ST-2: natural-key dedupe within a one-day watermark."""
+    from ..functions import dnsname
+    from ..session import scratch_path
+    from ..streaming import dns_stream
+    landing = _landing(spark, sf_dir, "dedupe")
+    src = dns_stream.entry_stream(spark, landing, max_files_per_trigger=1)
+    d = dns_stream.dedupe(dns_stream.mapped_stream(src, dnsname.suffix_rules(spark)), "1 day")
+    out = scratch_path(spark, "dedupe-out")
+    q = (d.select("ts", "client", "qname", "qtype", "registrable_domain").writeStream.format("parquet")
+         .option("checkpointLocation", scratch_path(spark, "ckpt-dedupe")).trigger(availableNow=True)
+         .start(out))
+    _run_stream(q)
+    return render(spark.read.parquet(out))
+
+
+def q_stream_sliding_blocked(spark, sf_dir):
+    """ST-5: blocked queries per client in 24h windows sliding by 1h;
+    append mode emits windows closed by the watermark."""
+    from ..functions import dnsname
+    from ..session import scratch_path
+    from ..streaming import dns_stream
+    landing = _landing(spark, sf_dir, "sliding", repull=False)
+    src = dns_stream.entry_stream(spark, landing, max_files_per_trigger=1)
+    agg = dns_stream.sliding_counts(dns_stream.mapped_stream(src, dnsname.suffix_rules(spark)))
+    out = scratch_path(spark, "sliding-out")
+    q = (agg.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", scratch_path(spark, "ckpt-sliding")).trigger(availableNow=True)
+         .start(out))
+    _run_stream(q)
+    return render(spark.read.parquet(out))
+
+
+def q_stream_rule_hits(spark, sf_dir):
+    """ST-7: the rule engine after every micro-batch; hits accumulate."""
+    return render(_stream_store(spark, sf_dir, with_rules=True).read("rule_hit"))
+
+
+REGISTRY = _registry()
