@@ -90,7 +90,7 @@ def backlog_top(priority: DataFrame, limit: int = 25, epss_threshold: str = "0.1
                            "installed_version").limit(limit)
     flags = F.array_compact(F.array(
         F.when(F.col("in_kev"), F.lit("KEV")),
-        F.when(F.col("epss") >= thr, F.format_string("EPSS %.2f", F.col("epss").cast("double")))))
+        F.when(F.col("epss") >= thr, F.concat(F.lit("EPSS "), F.bround("epss", 2).cast("string")))))
     arrow = F.when(F.col("fixed_version").isNotNull() & (F.col("fixed_version") != ""),
                    F.concat_ws(" -> ", "installed_version", "fixed_version")) \
         .otherwise(F.concat(F.col("installed_version"), F.lit(" (no fix)")))
