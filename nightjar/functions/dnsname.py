@@ -8,6 +8,8 @@ so it is broadcast after a row-count check; the big side never shuffles.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,14 +63,31 @@ def to_entropy_decimal(c: Column) -> Column:
 
 # ---------------------------------------------------------------- suffix rules
 
-def suffix_rules(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
-    """Rule table from list-syntax strings: (rule_key, is_normal, is_wild, is_exc, depth)."""
-    rows = [(r,) for r in (rules if rules is not None else DEFAULT_SUFFIX_RULES)]
-    raw = spark.createDataFrame(rows, "rule string")
-    return _rules_from_lines(raw.select(F.col("rule").alias("line")))
+@dataclass(frozen=True)
+class SuffixRules:
+    """Rule table (rule_key, is_normal, is_wild, is_exc, depth) with its size
+    and deepest rule, known up front so name jobs plan without extra scans."""
+    df: DataFrame
+    count: int
+    max_depth: int
+
+
+def suffix_rules(spark: SparkSession, rules: list[str] | None = None) -> SuffixRules:
+    """Rule table from list-syntax strings (the built-in default when None)."""
+    rules = rules if rules is not None else DEFAULT_SUFFIX_RULES
+    raw = spark.createDataFrame([(r,) for r in rules], "rule string")
+    df = _rules_from_lines(raw.select(F.col("rule").alias("line")))
+    keys = {r.lstrip("!").removeprefix("*.") for r in rules}
+    return SuffixRules(df, len(keys), max((k.count(".") + 1 for k in keys), default=0))
+
+
+def rules_from_table(df: DataFrame) -> SuffixRules:
+    """Wrap a rule table, measuring it with one small aggregate."""
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("d")).first()
+    return SuffixRules(df, st["n"], st["d"] or 0)
 
 
-def load_suffix_rules(spark: SparkSession, path: str, include_private: bool = False) -> DataFrame:
+def load_suffix_rules(spark: SparkSession, path: str, include_private: bool = False) -> SuffixRules:
     """Read a public-suffix list file (standard syntax) with Spark.
 
     Lines are ``//`` comments, blank, or one rule as the first whitespace
@@ -88,7 +107,7 @@ def load_suffix_rules(spark: SparkSession, path: str, include_private: bool = Fa
                          ((F.col("pos") > F.col("b")) &
                           (F.col("e").isNull() | (F.col("pos") < F.col("e")))))
                  .select("line"))
-    return _rules_from_lines(lines.select("line"))
+    return rules_from_table(_rules_from_lines(lines.select("line")).cache())
 
 
 def _rules_from_lines(lines: DataFrame) -> DataFrame:
@@ -109,10 +128,9 @@ def _rules_from_lines(lines: DataFrame) -> DataFrame:
             .withColumn("depth", F.size(F.split("rule_key", r"\."))))
 
 
-def with_name_parts(df: DataFrame, rules: DataFrame, qname: str = "qname",
+def with_name_parts(df: DataFrame, rules: SuffixRules | DataFrame, qname: str = "qname",
                     domain_col: str = "registrable_domain",
-                    entropy_col: str = "label_entropy",
-                    max_depth: int | None = None) -> DataFrame:
+                    entropy_col: str = "label_entropy") -> DataFrame:
     """Add the registrable domain and the max label entropy for ``qname``.
 
     For each suffix depth k up to the deepest rule, the last k labels are
@@ -122,10 +140,11 @@ def with_name_parts(df: DataFrame, rules: DataFrame, qname: str = "qname",
     the name is its own domain and every label counts. A bare suffix is its
     own domain with no labels (entropy 0).
     """
-    n_rules = rules.limit(MAX_BROADCAST_RULES + 1).count()
-    if max_depth is None:
-        max_depth = rules.agg(F.max("depth")).first()[0] or 0
-    small = n_rules <= MAX_BROADCAST_RULES
+    if isinstance(rules, DataFrame):
+        rules = rules_from_table(rules)
+    max_depth = rules.max_depth
+    small = rules.count <= MAX_BROADCAST_RULES
+    rules = rules.df
     labels = F.split(F.col(qname), r"\.")
     cols = df.columns
     out = df.withColumn("__labels", labels).withColumn("__n", F.size("__labels"))

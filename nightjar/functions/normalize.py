@@ -92,7 +92,7 @@ def is_blocked(reason: Column) -> Column:
     return F.coalesce(reason.startswith("Filtered"), F.lit(False))
 
 
-def map_dns_entries(entries: DataFrame, rules: DataFrame,
+def map_dns_entries(entries: DataFrame, rules,
                     keep: list[str] | None = None) -> DataFrame:
     """Query-log entries -> dns_query rows plus ``valid`` / ``reject_reason``.
 

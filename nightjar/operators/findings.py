@@ -20,12 +20,16 @@ FIRST_COLS = ["title", "purl", "target", "pkg_class"]
 LAST_COLS = ["severity", "fixed_version"]
 SOURCE_ID = "trivy"
 
-# Run images above this count are joined with a shuffle, not broadcast.
-MAX_BROADCAST_IMAGES = 1_000_000
+# Join strategy for the small sides (scanned images per run, the
+# next-scan table) is left to Catalyst's size estimate and AQE's runtime
+# statistics: below spark.sql(.adaptive).autoBroadcastJoinThreshold the side
+# is broadcast, above it the join shuffles. No side is broadcast unchecked.
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven under ``max_rows``."""
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only when its row count is proven under ``max_rows``
+    (a LIMIT-ed count, cheap for a stored table); otherwise leave the join
+    to the planner."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
@@ -72,8 +76,7 @@ def upsert_findings(state: DataFrame, rows: DataFrame, run_key: str, as_of,
 def resolve_findings(state: DataFrame, scanned_images: DataFrame, run_key: str, as_of) -> DataFrame:
     """U-3: open rows of images scanned in this run that this run did not
     report get ``resolved_at = as_of``. Adds boolean ``_resolved``."""
-    imgs = _maybe_broadcast(scanned_images.select("image").distinct()
-                            .withColumn("__scanned", F.lit(True)), MAX_BROADCAST_IMAGES)
+    imgs = scanned_images.select("image").distinct().withColumn("__scanned", F.lit(True))
     j = state.join(imgs, "image", "left")
     hit = (F.col("__scanned").isNotNull() & F.col("resolved_at").isNull()
            & ~F.col("last_run").eqNullSafe(F.lit(run_key)))
@@ -125,7 +128,6 @@ def replay_runs(rows: DataFrame, scanned: DataFrame, order: str = "ord") -> Data
     nxt = (scanned.select("run_key", "started_at", "image").distinct()
            .withColumn("resolved_at", F.lead("started_at").over(w))
            .select("image", F.col("run_key").alias("last_run"), "resolved_at"))
-    nxt = _maybe_broadcast(nxt, MAX_BROADCAST_IMAGES)
     j = agg.join(nxt, ["image", "last_run"], "left")
     return j.select(
         *FINDING_KEY,

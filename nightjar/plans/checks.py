@@ -98,7 +98,8 @@ def q_kev_upsert(spark, sf_dir):
 
 def epss_state(spark, sf_dir, only_known: bool = True):
     rows = feeds.epss_rows(tv.epss_feed(spark, sf_dir), "2024-05-31")
-    f = findings_state(spark, sf_dir) if only_known else None
+    # every CVE of any finding, resolved ones too: the CVEs of all finding rows
+    f = tv.finding_rows(spark, sf_dir).select("cve") if only_known else None
     st, _ = feeds.upsert_epss(schemas.empty(spark, "epss_score"), rows, _feed_clock(spark, sf_dir), f)
     return st
 
@@ -177,6 +178,14 @@ def _dq(spark, sf_dir):
     return tv.dns_query(spark, sf_dir)
 
 
+def _dq_shared(spark, sf_dir):
+    """dns_query materialised once (reliable checkpoint in the shared
+    checkpoint folder) for checks that run many rules over it."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    return _dq(spark, sf_dir).checkpoint(eager=True)
+
+
 def q_qname_normalise(spark, sf_dir):
     from ..functions.normalize import normalise_qname_or_null
     e = tv.dns_entries(spark, sf_dir)
@@ -298,13 +307,14 @@ def q_blocklist_replace(spark, sf_dir):
 
 def _hit_batch(spark, sf_dir):
     """Hits of all six detections over the test estate, in rule order."""
-    q = _dq(spark, sf_dir)
+    q = _dq_shared(spark, sf_dir)
     as_of = tv.dns_as_of(spark, sf_dir)
     parts = [
         ("dns_blocked_spike", detections.blocked_spike(q, as_of, floor=SPIKE_FLOOR)),
         ("dns_dga_entropy", detections.dga_entropy(q)),
         ("dns_known_bad_domain", detections.known_bad(q, tv.known_bad(spark, sf_dir))),
-        ("dns_newly_seen_domain", detections.newly_seen(registry(spark, sf_dir), q, as_of)),
+        ("dns_newly_seen_domain", detections.newly_seen(
+            dnsops.merge_registry(schemas.empty(spark, "dns_domain"), q).drop("_action"), q, as_of)),
         ("dns_nxdomain_burst", detections.nxdomain_burst(q, as_of, floor=NX_FLOOR)),
         ("dns_tunnel_volume", detections.tunnel_volume(q, as_of, min_names=TUNNEL_MIN_NAMES)),
     ]
@@ -382,8 +392,9 @@ def q_rule_run_results(spark, sf_dir):
     p = engine.RuleParams(spike_floor=SPIKE_FLOOR, nx_floor=NX_FLOOR, tunnel_min_names=TUNNEL_MIN_NAMES)
     rules = engine.builtin_rules(p) + [engine.sql_rule(spark, "user_long_entropy", USER_RULE_SQL),
                                        engine.sql_rule(spark, "zz_broken", BROKEN_RULE_SQL)]
-    q = _dq(spark, sf_dir)
-    tables = {"dns_query": q, "dns_domain": registry(spark, sf_dir),
+    q = _dq_shared(spark, sf_dir)
+    tables = {"dns_query": q,
+              "dns_domain": dnsops.merge_registry(schemas.empty(spark, "dns_domain"), q).drop("_action"),
               "known_bad_domain": tv.known_bad(spark, sf_dir)}
     as_of = F.timestamp_micros(F.lit(tv.dns_as_of(spark, sf_dir)))
     st = spark.createDataFrame([("dns_tunnel_volume", "old text", True)], "id string, description string, enabled boolean") \

@@ -13,13 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.findings import _maybe_broadcast
 from ..timeutil import as_ts
 
-# Small dimension tables (exposure map, exploited list) above these row
-# counts are left to AQE's runtime join choice instead of a forced broadcast.
-MAX_BROADCAST_EXPOSURE = 1_000_000
-MAX_BROADCAST_KEV = 1_000_000
+# The exposure map, exploited list and score table are joined without
+# hints: Catalyst broadcasts a side whose estimated size is under
+# autoBroadcastJoinThreshold (stored dimension tables are), AQE re-checks
+# with runtime sizes, and larger sides shuffle-join.
 
 
 @dataclass(frozen=True)
@@ -48,9 +47,8 @@ def vuln_priority(findings: DataFrame, exposure: DataFrame, kev: DataFrame,
                   epss: DataFrame, weights: PriorityWeights = DEFAULT_WEIGHTS) -> DataFrame:
     """Q-1: open findings (not resolved, status open) with flags and score."""
     f = findings.filter(F.col("resolved_at").isNull() & (F.col("status") == "open"))
-    e = _maybe_broadcast(exposure.select("image", F.col("exposure").alias("__exp")),
-                         MAX_BROADCAST_EXPOSURE)
-    k = _maybe_broadcast(kev.select("cve", F.lit(True).alias("__kev")), MAX_BROADCAST_KEV)
+    e = exposure.select("image", F.col("exposure").alias("__exp"))
+    k = kev.select("cve", F.lit(True).alias("__kev"))
     s = epss.select("cve", F.col("score").alias("epss"))  # AQE picks the join
     j = f.join(e, "image", "left").join(k, "cve", "left").join(s, "cve", "left")
     exp = F.coalesce(F.col("__exp"), F.lit("unknown"))

@@ -24,7 +24,19 @@ from ..timeutil import max_ts_micros
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A file that yields fewer scan splits than the
+    session's parallelism (one row group per file here) is spread
+    round-robin once, so per-row work runs on every core; on large inputs
+    the scan already has enough splits and this is a no-op."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
 
 
 # ------------------------------------------------------------------------ DNS
@@ -94,12 +106,12 @@ def dns_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dns_mapped(spark: SparkSession, sf_dir: str, rules: DataFrame | None = None) -> DataFrame:
+def dns_mapped(spark: SparkSession, sf_dir: str, rules=None) -> DataFrame:
     rules = rules if rules is not None else dnsname.suffix_rules(spark)
     return normalize.map_dns_entries(dns_entries(spark, sf_dir), rules, keep=["ord"])
 
 
-def dns_query(spark: SparkSession, sf_dir: str, rules: DataFrame | None = None) -> DataFrame:
+def dns_query(spark: SparkSession, sf_dir: str, rules=None) -> DataFrame:
     """Valid mapped rows: the dns_query table of the test estate."""
     return dns_mapped(spark, sf_dir, rules).filter("valid").drop("valid", "reject_reason")
 

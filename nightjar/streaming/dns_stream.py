@@ -44,7 +44,7 @@ def page_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.json(path).select(F.inline("data"))
 
 
-def mapped_stream(stream: DataFrame, rules: DataFrame) -> DataFrame:
+def mapped_stream(stream: DataFrame, rules) -> DataFrame:
     """Entries -> dns_query rows (validity flagged); rule table is static."""
     return normalize.map_dns_entries(stream, rules)
 
@@ -93,7 +93,7 @@ def process_batch(store: TableStore, batch: DataFrame, run_key: str, as_of,
     return True
 
 
-def start_ingest(stream_entries: DataFrame, store: TableStore, rules: DataFrame, checkpoint: str,
+def start_ingest(stream_entries: DataFrame, store: TableStore, rules, checkpoint: str,
                  as_of=None, retention_days: int = dnsops.DEFAULT_RETENTION_DAYS,
                  run_prefix: str = "stream-", rule_runner=None, available_now: bool = True):
     """ST-1: start the ingest stream; returns the StreamingQuery.

@@ -47,7 +47,8 @@ def test_load_suffix_list_file(spark, tmp_path):
     f.write_text("// header\n// ===BEGIN ICANN DOMAINS===\ncom\n\n*.ck\n!www.ck\nco.uk\n"
                  "// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\nblogspot.com\n")
     rules = dnsname.load_suffix_rules(spark, str(f))
-    keys = {r["rule_key"] for r in rules.collect()}
+    keys = {r["rule_key"] for r in rules.df.collect()}
+    assert rules.count == 4 and rules.max_depth == 2
     assert keys == {"com", "ck", "www.ck", "co.uk"}
     df = spark.createDataFrame([("me.blogspot.com",)], "qname string")
     out = dnsname.with_name_parts(df, rules).first()
