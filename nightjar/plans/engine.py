@@ -158,3 +158,11 @@ def run_rules(spark: SparkSession, rules: list[Rule], tables: Tables, rule_state
                        *[F.when(F.col("outcome") == "ok", F.coalesce(F.col(c), F.lit(0)))
                          .cast("long").alias(c) for c in ["hits", "new", "re_reported"]]))
     return RunOutcome(new_rules, new_hits, results, failures)
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """A-10: rules, hits, new hits and failed rules of one run (one row)."""
+    return results.agg(F.count(F.lit(1)).alias("rules"),
+                       F.coalesce(F.sum("hits"), F.lit(0)).cast("long").alias("hits"),
+                       F.coalesce(F.sum("new"), F.lit(0)).cast("long").alias("new"),
+                       F.count_if(F.col("outcome") == "failed").alias("failed"))

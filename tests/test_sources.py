@@ -23,7 +23,7 @@ def _vuln(cve, pkg, inst, fix, sev, title="t"):
     return v
 
 
-def write_run(root):
+def write_run(root, bad_run=True):
     run = root / "20260101-120000"
     run.mkdir(parents=True)
     docs = {
@@ -44,6 +44,8 @@ def write_run(root):
     }
     for name, doc in docs.items():
         (run / name).write_text(json.dumps(doc))
+    if not bad_run:
+        return
     bad = root / "not-a-stamp"
     bad.mkdir()
     (bad / "x.json").write_text(json.dumps({"ArtifactName": "x", "Results": []}))
