@@ -18,7 +18,7 @@ from .upsert import B, S, reduce_batch, upsert
 
 FIRST_COLS = ["title", "purl", "target", "pkg_class"]
 LAST_COLS = ["severity", "fixed_version"]
-SOURCE_ID = "trivy"
+SOURCE_ID = "scanner"
 
 # Join strategy for the small sides (scanned images per run, the
 # next-scan table) is left to Catalyst's size estimate and AQE's runtime

@@ -52,6 +52,9 @@ class RuleParams:
 
 
 def builtin_rules(p: RuleParams | None = None) -> list[Rule]:
+    """The six DNS rules. Rule ids and one-line descriptions
+    are kept equal to the published rule catalogue so hit history carries
+    over by id."""
     p = p or RuleParams()
     return sorted([
         Rule("dns_blocked_spike", "client with an unusual spike in blocked queries",

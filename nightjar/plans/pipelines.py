@@ -24,6 +24,8 @@ from ..sources.store import TableStore
 from ..timeutil import as_ts
 from . import engine, ranking
 
+DNS_SOURCE = "resolver"
+
 
 def ingest_scan_runs(store: TableStore, root: str, as_of=None, single_run: bool = False) -> list[dict]:
     """Ingest every run under ``root`` not yet recorded, oldest first.
@@ -61,7 +63,7 @@ def ingest_dns_file(store: TableStore, path: str, as_of=None, shift_to_now: bool
     ent = dnslog.read_pages(spark, path)
     run_key = ent.select("run_key").first()
     run_key = run_key["run_key"] if run_key else path.rsplit("/", 1)[-1]
-    known = store.read("scan_run").filter((F.col("source_id") == "adguard") & (F.col("run_key") == run_key))
+    known = store.read("scan_run").filter((F.col("source_id") == DNS_SOURCE) & (F.col("run_key") == run_key))
     if known.limit(1).count():
         return {"run_key": run_key, "skipped": True, "reason": "already ingested"}
     clock = as_ts(as_of)
@@ -74,7 +76,7 @@ def ingest_dns_file(store: TableStore, path: str, as_of=None, shift_to_now: bool
     cutoff = spark.range(1).select(clock - dnsops.days(retention_days)).first()[0]
     store.append("dns_query", res.new_rows, run_key, cutoff)
     store.write("dns_domain", res.registry)
-    env = spark.createDataFrame([("adguard", run_key)], "source_id string, run_key string").select(
+    env = spark.createDataFrame([(DNS_SOURCE, run_key)], "source_id string, run_key string").select(
         "source_id", "run_key", clock.alias("started_at"), clock.alias("ingested_at"),
         F.lit(None).cast("int").alias("images_total"), F.lit(None).cast("int").alias("images_scanned"),
         F.lit(None).cast("int").alias("images_skipped"))

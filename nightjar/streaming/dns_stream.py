@@ -24,7 +24,7 @@ from ..operators import dns as dnsops
 from ..sources.store import TableStore
 from ..timeutil import as_ts
 
-SOURCE_ID = "adguard"
+SOURCE_ID = "resolver"
 
 
 def entry_stream(spark: SparkSession, path: str, fmt: str = "json",
