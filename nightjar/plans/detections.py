@@ -112,10 +112,12 @@ def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame) -> DataFrame:
     q = dns_query.select(
         F.explode(F.array_distinct(F.array("registrable_domain", "qname"))).alias("domain"),
         "client", "blocked")
-    g = q.join(lists, "domain").groupBy("domain").agg(
-        F.max("sources").alias("sources"), F.count(F.lit(1)).alias("n"),
-        F.count_distinct("client").alias("clients"),
+    # Counts only in the aggregation (fixed-width buffers, hash aggregate);
+    # the source names are attached afterwards from the same small side.
+    g = (q.join(lists.select("domain"), "domain").groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("client").alias("clients"),
         F.count_if("blocked").alias("nb"), F.count_if(~F.col("blocked")).alias("nnb"))
+        .join(lists, "domain"))
     n, c = F.col("n"), F.col("clients")
     summary = F.concat(
         F.lit("listed by "), _s(F.col("sources")), F.lit(": "), _s(n), F.lit(" quer"),

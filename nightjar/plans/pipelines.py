@@ -27,31 +27,51 @@ from . import engine, ranking
 DNS_SOURCE = "resolver"
 
 
-def ingest_scan_runs(store: TableStore, root: str, as_of=None, single_run: bool = False) -> list[dict]:
-    """Ingest every run under ``root`` not yet recorded, oldest first.
-
-    ``as_of`` None uses each run's own start time as the ingest clock (a
-    backfill then dates findings by their scans); pass a time to stamp all
-    with it. Runs are applied in order because each one resolves against
-    the state the previous left; the run list itself is small."""
+def ingest_scan_runs(store: TableStore, root: str, as_of=None, single_run: bool = False,
+                     per_run: bool = False) -> list[dict]:
+    """Ingest every run under ``root`` not yet recorded.
+
+    By default all new runs are applied in one pass (``findings.apply_runs``:
+    one aggregation and one join however many runs a backfill holds) and one
+    summary row is returned. ``per_run=True`` applies them one by one, oldest
+    first, with the per-run metrics (images, inserted, updated, resolved).
+    ``as_of`` None stamps each run's findings with the run's own start time;
+    a value stamps all of them with it."""
     rows, scanned, runs, rejects = reports.read_runs(store.spark, root, single_run)
     if rejects.limit(1).count():
         bad = [r["run_key"] for r in rejects.limit(20).collect()]
         raise ValueError(f"run directory names are not YYYYmmdd-HHMMSS stamps: {bad}")
-    fresh = findings.new_runs(runs, store.read("scan_run")).orderBy("run_key").collect()
+    fresh_runs = findings.new_runs(runs, store.read("scan_run"))
+    if as_of is not None:
+        clock = as_ts(as_of)
+        rows = rows.withColumn("started_at", clock)
+        scanned = scanned.withColumn("started_at", clock)
+    rows = rows.join(fresh_runs.select("run_key"), "run_key", "left_semi")
+    scanned = scanned.join(fresh_runs.select("run_key"), "run_key", "left_semi")
+    fresh = fresh_runs.orderBy("run_key").collect()      # the run list: one row per run
+    if not fresh:
+        return []
     out = []
-    for run in fresh:
-        key, started = run["run_key"], run["started_at"]
-        clock = as_of if as_of is not None else started
-        cur = rows.filter(F.col("run_key") == key)
-        res = findings.ingest_run(store.read("vuln_finding"), cur,
-                                  scanned.filter(F.col("run_key") == key), key, clock)
-        store.write("vuln_finding", res.state)
-        env = store.spark.createDataFrame([(key, started, run["images"])],
-                                          "run_key string, started_at timestamp, images long")
-        store.write("scan_run", findings.record_runs(store.read("scan_run"), env, clock))
-        m = res.metrics.first().asDict()
-        out.append({"run_key": key, "skipped": False, **m})
+    if not per_run:
+        state = store.read("vuln_finding")
+        new_state = findings.apply_runs(state, rows, scanned)
+        store.write("vuln_finding", new_state)
+        after = store.read("vuln_finding")
+        m = after.agg(F.count(F.lit(1)).alias("findings"),
+                      F.count_if(F.col("resolved_at").isNull()).alias("unresolved")).first()
+        out.append({"runs": len(fresh), "images": scanned.select("image").distinct().count(),
+                    "rows": rows.count(), **m.asDict()})
+    else:
+        for run in fresh:
+            key = run["run_key"]
+            res = findings.ingest_run(store.read("vuln_finding"), rows.filter(F.col("run_key") == key),
+                                      scanned.filter(F.col("run_key") == key), key,
+                                      as_of if as_of is not None else run["started_at"])
+            store.write("vuln_finding", res.state)
+            out.append({"run_key": key, "skipped": False, **res.metrics.first().asDict()})
+    env = fresh_runs.select("run_key", "started_at", "images")
+    store.write("scan_run", findings.record_runs(store.read("scan_run"), env,
+                                                 as_of if as_of is not None else F.current_timestamp()))
     return out
 
 

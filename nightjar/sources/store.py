@@ -32,6 +32,11 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._rows: list | None = None   # manifest rows, read once per store object
+
+    def refresh(self) -> None:
+        """Forget the cached manifest (another writer may have committed)."""
+        self._rows = None
 
     # ---------------------------------------------------------------- manifest
     def _manifest(self) -> DataFrame:
@@ -40,18 +45,25 @@ class TableStore:
         except Exception:  # noqa: BLE001  (no manifest yet)
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
 
+    def _all(self) -> list:
+        # The manifest is tiny (one row per commit); it is read once and then
+        # kept current by this writer's own commits (one writer per store).
+        if self._rows is None:
+            self._rows = [r.asDict() for r in self._manifest().collect()]
+        return self._rows
+
     def _entries(self, table: str) -> list:
-        return (self._manifest().filter(F.col("table") == table)
-                .orderBy("version").collect())
+        return sorted((r for r in self._all() if r["table"] == table), key=lambda r: r["version"])
 
     def version(self, table: str) -> int:
-        v = self._manifest().filter(F.col("table") == table).agg(F.max("version")).first()[0]
-        return int(v) if v is not None else 0
+        vs = [r["version"] for r in self._all() if r["table"] == table]
+        return max(vs) if vs else 0
 
     def _commit(self, table: str, version: int, path: str, run_key=None, cutoff=None):
-        row = [(table, version, path, run_key, cutoff, dt.datetime.now(dt.timezone.utc))]
-        (self.spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1)
+        row = (table, version, path, run_key, cutoff, dt.datetime.now(dt.timezone.utc))
+        (self.spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1)
          .write.mode("append").parquet(f"{self.root}/{MANIFEST}"))
+        self._all().append(dict(zip(["table", "version", "path", "run_key", "cutoff", "committed_at"], row)))
 
     # ------------------------------------------------------------------ read
     def read(self, table: str) -> DataFrame:

@@ -92,3 +92,27 @@ def test_new_runs_and_envelope(spark):
     sr1 = findings.record_runs(sr, runs, T1)
     assert findings.new_runs(runs, sr1).count() == 0
     assert sr1.first()["images_total"] == 3
+
+
+def test_apply_runs_on_existing_state_equals_loop(spark):
+    T4 = dt.datetime(2026, 1, 22, 12)
+    base = rows(spark, [f("r1", T1, 1, "a", "p", "CVE-1"), f("r1", T1, 2, "a", "q", "CVE-2"),
+                        f("r1", T1, 3, "b", "p", "CVE-3"), f("r1", T1, 4, "c", "p", "CVE-4")])
+    s0 = findings.ingest_run(schemas.empty(spark, "vuln_finding"), base, base.select("image"), "r1", T1).state
+    s0 = s0.withColumn("status", F.when(F.col("cve") == "CVE-2", "accepted").otherwise(F.col("status")))
+    later = rows(spark, [
+        f("r2", T2, 1, "a", "p", "CVE-1", "LOW"),                     # a: q/CVE-2 disappears
+        f("r3", T3, 1, "a", "q", "CVE-2", "CRITICAL", "9", "new title"),  # comes back
+        f("r3", T3, 2, "a", "n", "CVE-9"),                             # new key; p/CVE-1 gone
+        f("r4", T4, 1, "b", "z", "CVE-7")])                            # b scanned: CVE-3 resolved
+    scanned = later.select("run_key", "started_at", "image").distinct()
+    st = s0
+    for run, t in [("r2", T2), ("r3", T3), ("r4", T4)]:
+        cur = later.filter(F.col("run_key") == run)
+        st = findings.ingest_run(st, cur, scanned.filter(F.col("run_key") == run), run, t).state
+    one = findings.apply_runs(s0, later, scanned)
+    cols = schemas.VULN_FINDING.fieldNames()
+    assert sorted(map(tuple, st.select(*cols).collect())) == sorted(map(tuple, one.select(*cols).collect()))
+    got = state_map(one)
+    assert got[("a", "q", "CVE-2")]["status"] == "accepted" and got[("a", "q", "CVE-2")]["title"] == "t"
+    assert got[("c", "p", "CVE-4")]["resolved_at"] is None

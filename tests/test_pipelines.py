@@ -13,7 +13,7 @@ def test_scan_to_report_and_dns_rules(spark, tmp_path):
     runs = tmp_path / "runs"
     write_run(runs, bad_run=False)
     store = TableStore(spark, str(tmp_path / "store"))
-    out = pipelines.ingest_scan_runs(store, str(runs))
+    out = pipelines.ingest_scan_runs(store, str(runs), per_run=True)
     assert out[0]["inserted"] == 6 and out[0]["images"] == 4
     assert pipelines.ingest_scan_runs(store, str(runs)) == []          # known run: nothing to do
     (tmp_path / "exp.json").write_text("\n".join(json.dumps(r) for r in [
@@ -38,3 +38,22 @@ def test_scan_to_report_and_dns_rules(spark, tmp_path):
     assert got["dns_newly_seen_domain"] == 3 and got["dns_dga_entropy"] == 1
     t = engine.run_totals(res.results).first()
     assert t["rules"] == 6 and t["failed"] == 0 and t["hits"] == 4
+
+
+def test_backfill_in_one_pass_equals_per_run(spark, tmp_path):
+    runs = tmp_path / "runs"
+    write_run(runs, bad_run=False)
+    second = runs / "20260108-120000"
+    second.mkdir()
+    (second / "web__1.json").write_text(json.dumps({"ArtifactName": "demo-web:1.4.2", "Results": [
+        {"Target": "debian", "Class": "os-pkgs", "Vulnerabilities": [
+            {"VulnerabilityID": "CVE-2024-3094", "PkgName": "xz-utils", "InstalledVersion": "5.6.0",
+             "Severity": "CRITICAL", "FixedVersion": "5.6.3"}]}]}))
+    a = TableStore(spark, str(tmp_path / "a"))
+    b = TableStore(spark, str(tmp_path / "b"))
+    pipelines.ingest_scan_runs(a, str(runs))
+    pipelines.ingest_scan_runs(b, str(runs), per_run=True)
+    ka = sorted(map(tuple, a.read("vuln_finding").collect()))
+    kb = sorted(map(tuple, b.read("vuln_finding").collect()))
+    assert ka == kb
+    assert sum(1 for r in ka if r[-1] is not None) == 2       # web's two other findings resolved
