@@ -28,3 +28,31 @@ def ref_violations(child: DataFrame, parent: DataFrame, child_cols: list[str],
     p = parent.select(*[F.col(pc).alias(cc) for pc, cc in zip(parent_cols, child_cols)]).distinct()
     return (child.join(p, child_cols, "left_anti").groupBy(*child_cols)
             .agg(F.count(F.lit(1)).alias("rows")))
+
+
+def run_all(tables: dict[str, DataFrame]) -> DataFrame:
+    """Key, enum and NOT NULL checks for every state table present, as one
+    small DataFrame (table, check, violations)."""
+    from .. import schemas
+    enums = {("image_exposure", "exposure"): schemas.EXPOSURES,
+             ("vuln_finding", "status"): schemas.FINDING_STATUSES,
+             ("rule_hit", "status"): schemas.HIT_STATUSES}
+    parts = []
+    for name, df in tables.items():
+        keys = schemas.KEYS.get(name)
+        if keys:
+            parts.append(key_violations(df, keys).agg(F.count(F.lit(1)).alias("violations"))
+                         .select(F.lit(name).alias("table"), F.lit("key:" + ",".join(keys)).alias("check"),
+                                 "violations"))
+            nulls = null_counts(df, keys)
+            parts.append(nulls.select(F.lit(name).alias("table"), F.lit("not_null:key").alias("check"),
+                                      sum((F.col(k) for k in keys), F.lit(0)).alias("violations")))
+        for (t, c), allowed in enums.items():
+            if t == name:
+                parts.append(enum_violations(df, c, allowed).agg(F.count(F.lit(1)).alias("violations"))
+                             .select(F.lit(name).alias("table"), F.lit(f"enum:{c}").alias("check"),
+                                     "violations"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -63,6 +63,19 @@ def q_finding_apply_runs(spark, sf_dir):
     return render(findings.apply_runs(state, cur, tv.run_images(cur)))
 
 
+def q_scan_run_envelope(spark, sf_dir):
+    """U-1: runs before the newest are recorded; the incoming list holds
+    every run; only the newest is new and gets an envelope."""
+    rows = tv.finding_rows(spark, sf_dir)
+    runs = (tv.run_images(rows).groupBy("run_key", "started_at")
+            .agg(F.count(F.lit(1)).alias("images")))
+    last = runs.agg(F.max("run_key")).first()[0]
+    known = findings.record_runs(schemas.empty(spark, "scan_run"), runs.filter(F.col("run_key") < last),
+                                 "2024-05-01 00:00:00")
+    fresh = findings.new_runs(runs, known)
+    return render(findings.record_runs(known, fresh, "2024-06-01 00:00:00"))
+
+
 def q_finding_upsert(spark, sf_dir):
     state, cur, run_key, _, _ = _before_after(spark, sf_dir)
     up = findings.upsert_findings(state, cur, run_key, _run_ts(run_key))

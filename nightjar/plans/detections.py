@@ -18,6 +18,12 @@ from ..timeutil import as_ts, days, hours
 MAX_BROADCAST_LISTINGS = 2_000_000
 
 
+def _distinct(c: str, approx: bool) -> Column:
+    """Exact distinct count, or HyperLogLog++ (one small sketch per group,
+    no Expand / second shuffle) when ``approx``."""
+    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+
+
 def _plural(n: Column, one: str, many: str) -> Column:
     return F.when(n == 1, F.lit(one)).otherwise(F.lit(many))
 
@@ -27,7 +33,8 @@ def _s(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def newly_seen(dns_domain: DataFrame, dns_query: DataFrame, as_of, window_hours: int = 24) -> DataFrame:
+def newly_seen(dns_domain: DataFrame, dns_query: DataFrame, as_of, window_hours: int = 24,
+               approx: bool = False) -> DataFrame:
     """R-1: registry domains first seen in the window. Query and blocked
     counts are registry lifetime; distinct clients come from retained rows
     (0 when the rows are already pruned)."""
@@ -36,7 +43,7 @@ def newly_seen(dns_domain: DataFrame, dns_query: DataFrame, as_of, window_hours:
     clients = (dns_query.join(new.select(F.col("domain").alias("registrable_domain")),
                               "registrable_domain", "left_semi")
                .groupBy(F.col("registrable_domain").alias("domain"))
-               .agg(F.count_distinct("client").alias("client_count")))
+               .agg(_distinct("client", approx).alias("client_count")))
     j = new.join(clients, "domain", "left")
     cc = F.coalesce(F.col("client_count"), F.lit(0))
     qc = F.col("query_count")
@@ -48,14 +55,15 @@ def newly_seen(dns_domain: DataFrame, dns_query: DataFrame, as_of, window_hours:
     return j.select(F.col("domain").alias("entity"), summary.alias("summary"))
 
 
-def dga_entropy(dns_query: DataFrame, min_entropy: str = "3.5", min_length: int = 12) -> DataFrame:
+def dga_entropy(dns_query: DataFrame, min_entropy: str = "3.5", min_length: int = 12,
+                approx: bool = False) -> DataFrame:
     """R-2: names at or above the entropy and length floors, per registrable
     domain; blocked rows included; no time window."""
     q = dns_query.filter((F.col("label_entropy") >= F.lit(Decimal(min_entropy)))
                          & (F.length("qname") >= min_length))
     g = q.groupBy("registrable_domain").agg(
         F.max("label_entropy").alias("mx"), F.min("qname").alias("example"),
-        F.count(F.lit(1)).alias("n"), F.count_distinct("client").alias("clients"))
+        F.count(F.lit(1)).alias("n"), _distinct("client", approx).alias("clients"))
     n, c = F.col("n"), F.col("clients")
     summary = F.concat(
         F.lit("max entropy "), _s(F.round("mx", 2)), F.lit(" bits/char, e.g. "), _s(F.col("example")),
@@ -98,7 +106,7 @@ def nxdomain_burst(dns_query: DataFrame, as_of, floor: int = 30, multiple=3) ->
     return _burst(dns_query, pred, as_of, floor, multiple, "NXDOMAIN answers")
 
 
-def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame) -> DataFrame:
+def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame, approx: bool = False) -> DataFrame:
     """R-4: queries whose registrable domain or full name is listed.
 
     The OR-join is rewritten as an equi-join: each query contributes its
@@ -115,7 +123,7 @@ def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame) -> DataFrame:
     # Counts only in the aggregation (fixed-width buffers, hash aggregate);
     # the source names are attached afterwards from the same small side.
     g = (q.join(lists.select("domain"), "domain").groupBy("domain").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("client").alias("clients"),
+        F.count(F.lit(1)).alias("n"), _distinct("client", approx).alias("clients"),
         F.count_if("blocked").alias("nb"), F.count_if(~F.col("blocked")).alias("nnb"))
         .join(lists, "domain"))
     n, c = F.col("n"), F.col("clients")
@@ -127,15 +135,15 @@ def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame) -> DataFrame:
 
 
 def tunnel_volume(dns_query: DataFrame, as_of, min_names: int = 50,
-                  min_avg_entropy: str = "3.0") -> DataFrame:
+                  min_avg_entropy: str = "3.0", approx: bool = False) -> DataFrame:
     """R-6: last day, per registrable domain: many distinct names and a high
     average entropy over query rows (exact decimal comparison)."""
     t = as_ts(as_of)
     q = dns_query.filter(F.col("ts") >= t - hours(24))
     g = q.groupBy("registrable_domain").agg(
-        F.count_distinct("qname").alias("names"), F.sum("label_entropy").alias("se"),
+        _distinct("qname", approx).alias("names"), F.sum("label_entropy").alias("se"),
         F.count(F.lit(1)).alias("n"), F.avg("label_entropy").alias("ae"),
-        F.count_distinct("client").alias("clients"))
+        _distinct("client", approx).alias("clients"))
     fire = (F.col("names") >= min_names) & (F.col("se") >= F.lit(Decimal(min_avg_entropy)) * F.col("n"))
     nm, c = F.col("names"), F.col("clients")
     summary = F.concat(

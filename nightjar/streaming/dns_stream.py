@@ -65,6 +65,20 @@ def sliding_counts(mapped: DataFrame, predicate: str = "blocked", size: str = "2
                     "client", "n"))
 
 
+def sliding_names(mapped: DataFrame, size: str = "24 hours", slide: str = "1 hour",
+                  delay: str = "0 seconds") -> DataFrame:
+    """ST-5 for the tunnel shape on a stream: per registrable domain and
+    sliding window, approximate distinct names and clients (exact distinct
+    counts are not allowed on streams), query rows and the entropy sum."""
+    return (mapped.filter("valid").withWatermark("ts", delay)
+            .groupBy(F.window("ts", size, slide).alias("w"), "registrable_domain")
+            .agg(F.approx_count_distinct("qname").alias("names"),
+                 F.approx_count_distinct("client").alias("clients"),
+                 F.count(F.lit(1)).alias("n"), F.sum("label_entropy").alias("entropy_sum"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "registrable_domain", "names", "clients", "n", "entropy_sum"))
+
+
 def process_batch(store: TableStore, batch: DataFrame, run_key: str, as_of,
                   retention_days: int = dnsops.DEFAULT_RETENTION_DAYS, rule_runner=None) -> bool:
     """One micro-batch of mapped entries into the store. Returns False when
