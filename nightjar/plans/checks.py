@@ -204,11 +204,14 @@ def _dq(spark, sf_dir):
 
 
 def _dq_shared(spark, sf_dir):
-    """dns_query materialised once (reliable checkpoint in the shared
-    checkpoint folder) for checks that run many rules over it."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    return _dq(spark, sf_dir).checkpoint(eager=True)
+    """dns_query written once, in the stored layout (Parquet partitioned by
+    day, in the shared checkpoint folder), for checks that run many rules
+    over it: the rules' time windows then prune day partitions and push
+    ``ts`` filters into the scan, as on the real store."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "dns_query")
+    dnsops.with_day(_dq(spark, sf_dir)).write.partitionBy("day").parquet(path)
+    return spark.read.parquet(path)
 
 
 def q_qname_normalise(spark, sf_dir):

@@ -18,6 +18,15 @@ from ..timeutil import as_ts, days, hours
 MAX_BROADCAST_LISTINGS = 2_000_000
 
 
+def _since(df: DataFrame, start: Column) -> DataFrame:
+    """Rows at or after ``start``; on the stored layout (a ``day`` partition
+    column) whole older days are pruned before the scan."""
+    out = df.filter(F.col("ts") >= start)
+    if "day" in df.columns:
+        out = out.filter(F.col("day") >= F.to_date(start))
+    return out
+
+
 def _distinct(c: str, approx: bool) -> Column:
     """Exact distinct count, or HyperLogLog++ (one small sketch per group,
     no Expand / second shuffle) when ``approx``."""
@@ -79,7 +88,7 @@ def _burst(dns_query: DataFrame, pred: Column, as_of, floor: int, multiple, noun
     t = as_ts(as_of)
     last = F.col("ts") >= t - hours(24)
     prior = (F.col("ts") >= t - days(baseline_days + 1)) & (F.col("ts") < t - hours(24))
-    q = dns_query.filter(pred & (F.col("ts") >= t - days(baseline_days + 1)))
+    q = _since(dns_query, t - days(baseline_days + 1)).filter(pred)
     g = q.groupBy("client").agg(
         F.count_if(last).alias("n"),
         F.max(F.when(last, F.col("client_name"))).alias("name"),
@@ -139,7 +148,7 @@ def tunnel_volume(dns_query: DataFrame, as_of, min_names: int = 50,
     """R-6: last day, per registrable domain: many distinct names and a high
     average entropy over query rows (exact decimal comparison)."""
     t = as_ts(as_of)
-    q = dns_query.filter(F.col("ts") >= t - hours(24))
+    q = _since(dns_query, t - hours(24))
     g = q.groupBy("registrable_domain").agg(
         _distinct("qname", approx).alias("names"), F.sum("label_entropy").alias("se"),
         F.count(F.lit(1)).alias("n"), F.avg("label_entropy").alias("ae"),
