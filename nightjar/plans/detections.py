@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bounds import MAX_NEW_DOMAINS, bounded_broadcast
 from ..timeutil import as_ts, days, hours
 
 # Blocklists with more distinct listed domains than this are joined with a
@@ -49,8 +50,8 @@ def newly_seen(dns_domain: DataFrame, dns_query: DataFrame, as_of, window_hours:
     (0 when the rows are already pruned)."""
     t = as_ts(as_of)
     new = dns_domain.filter(F.col("first_seen") >= t - hours(window_hours))
-    clients = (dns_query.join(new.select(F.col("domain").alias("registrable_domain")),
-                              "registrable_domain", "left_semi")
+    keys = bounded_broadcast(new.select(F.col("domain").alias("registrable_domain")), MAX_NEW_DOMAINS)
+    clients = (dns_query.join(keys, "registrable_domain", "left_semi")
                .groupBy(F.col("registrable_domain").alias("domain"))
                .agg(_distinct("client", approx).alias("client_count")))
     j = new.join(clients, "domain", "left")
@@ -124,8 +125,7 @@ def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame, approx: bool =
     """
     lists = (known_bad_domain.groupBy("domain")
              .agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources")))
-    if lists.limit(MAX_BROADCAST_LISTINGS + 1).count() <= MAX_BROADCAST_LISTINGS:
-        lists = F.broadcast(lists)
+    lists = bounded_broadcast(lists, MAX_BROADCAST_LISTINGS)
     q = dns_query.select(
         F.explode(F.array_distinct(F.array("registrable_domain", "qname"))).alias("domain"),
         "client", "blocked")

@@ -87,7 +87,16 @@ def process_batch(store: TableStore, batch: DataFrame, run_key: str, as_of,
     scan_run = store.read("scan_run")
     if scan_run.filter((F.col("source_id") == SOURCE_ID) & (F.col("run_key") == run_key)).limit(1).count():
         return False
-    mapped = batch.withColumn("ord", F.monotonically_increasing_id())
+    # The micro-batch is read by the range probe, the anti-join and the
+    # append; keep it for the duration of this batch only.
+    mapped = batch.withColumn("ord", F.monotonically_increasing_id()).persist()
+    try:
+        return _apply(store, spark, mapped, scan_run, run_key, as_of, retention_days, rule_runner)
+    finally:
+        mapped.unpersist()
+
+
+def _apply(store, spark, mapped, scan_run, run_key, as_of, retention_days, rule_runner) -> bool:
     res = dnsops.ingest_batch(store.read("dns_query"), store.read("dns_domain"), mapped, run_key,
                               as_of, retention_days)
     t = as_ts(as_of)
