@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import FINDING_KEY
 from ..timeutil import as_ts
 from .bounds import MAX_RUN_IMAGES, MAX_SCANNED_IMAGES, bounded_broadcast
-from .upsert import B, S, reduce_batch, upsert
+from .upsert import B, reduce_batch, upsert
 
 FIRST_COLS = ["title", "purl", "target", "pkg_class"]
 LAST_COLS = ["severity", "fixed_version"]
@@ -132,15 +132,6 @@ def replay_runs(rows: DataFrame, scanned: DataFrame, order: str = "ord") -> Data
         F.lit(None).cast("timestamp").alias("status_changed_at"), "resolved_at")
 
 
-def conform(df: DataFrame, schema) -> DataFrame:
-    """Select / cast ``df`` to a state schema's column order and types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
-def last_run_of(col: str = "run_key") -> Column:
-    return F.max(col)
-
-
 def apply_runs(state: DataFrame, rows: DataFrame, scanned: DataFrame, order: str = "ord") -> DataFrame:
     """Set-based form of ``ingest_run`` applied to every new run in
     run_key order, on top of an existing ``state``, in one pass.

@@ -97,6 +97,3 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str],
                    .otherwise(F.lit("keep")).alias(action_col))
     return j.select(*out)
 
-
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)

@@ -23,7 +23,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators import hits as hitops
 from ..session import scratch_path
-from ..timeutil import as_ts, resolve
+from ..timeutil import resolve
 from . import detections
 
 DESCRIPTION_PREFIX = "-- description:"
