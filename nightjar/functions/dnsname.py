@@ -99,13 +99,11 @@ def load_suffix_rules(spark: SparkSession, path: str, include_private: bool = Fa
              .select(F.col("value").alias("line"),
                      F.monotonically_increasing_id().alias("pos")))
     if not include_private:
-        marks = lines.agg(
-            F.min(F.when(F.col("line").contains("===BEGIN ICANN DOMAINS==="), F.col("pos"))).alias("b"),
-            F.min(F.when(F.col("line").contains("===END ICANN DOMAINS==="), F.col("pos"))).alias("e"))
-        lines = (lines.crossJoin(F.broadcast(marks))
-                 .filter(F.col("b").isNull() |
-                         ((F.col("pos") > F.col("b")) &
-                          (F.col("e").isNull() | (F.col("pos") < F.col("e")))))
+        b = lines.agg(F.min(F.when(F.col("line").contains("===BEGIN ICANN DOMAINS==="),
+                                   F.col("pos")))).scalar()
+        e = lines.agg(F.min(F.when(F.col("line").contains("===END ICANN DOMAINS==="),
+                                   F.col("pos")))).scalar()
+        lines = (lines.filter(b.isNull() | ((F.col("pos") > b) & (e.isNull() | (F.col("pos") < e))))
                  .select("line"))
     return rules_from_table(_rules_from_lines(lines.select("line")).cache())
 

@@ -91,20 +91,16 @@ def pruned_count(store: DataFrame, as_of, retention_days: int = DEFAULT_RETENTIO
 def past_cursor(rows: DataFrame, store: DataFrame) -> DataFrame:
     """S-4: entries newer than the newest stored time; entries without a
     time pass (they are counted as skipped later); an empty store passes all."""
-    cur = store.agg(F.max("ts").alias("__cursor"))
-    j = rows.crossJoin(F.broadcast(cur))
-    keep = F.col("ts").isNull() | F.col("__cursor").isNull() | (F.col("ts") > F.col("__cursor"))
-    return j.filter(keep).drop("__cursor")
+    cursor = store.agg(F.max("ts")).scalar()             # scalar subquery
+    return rows.filter(F.col("ts").isNull() | cursor.isNull() | (F.col("ts") > cursor))
 
 
 def rebase(rows: DataFrame, as_of, ts_col: str = "ts") -> DataFrame:
     """P-11: shift every known time by (as_of - newest time); rows without a
     time stay as they are; no known time at all is a no-op."""
-    mx = rows.agg(F.max(ts_col).alias("__max"))
-    j = rows.crossJoin(F.broadcast(mx))
-    shifted = F.col(ts_col) + (as_ts(as_of) - F.col("__max"))
-    return j.withColumn(ts_col, F.when(F.col(ts_col).isNull(), F.col(ts_col)).otherwise(shifted)) \
-        .drop("__max")
+    newest = rows.agg(F.max(ts_col)).scalar()            # scalar subquery
+    shifted = F.col(ts_col) + (as_ts(as_of) - newest)
+    return rows.withColumn(ts_col, F.when(F.col(ts_col).isNull(), F.col(ts_col)).otherwise(shifted))
 
 
 @dataclass
@@ -130,8 +126,10 @@ def ingest_batch(store: DataFrame, registry: DataFrame, mapped: DataFrame, run_k
     appended = store.unionByName(with_day(fresh_rows) if "day" in store.columns else fresh_rows)
     kept = prune(appended, as_of, retention_days)
     counts = mapped.agg(F.count(F.lit(1)).alias("seen"), F.count_if(~F.col("valid")).alias("skipped_entries"))
-    ins = fresh_rows.agg(F.count(F.lit(1)).alias("inserted"))
-    newd = new_reg.agg(F.count_if(F.col("_action") == "insert").alias("new_domains"))
-    metrics = (counts.crossJoin(ins).crossJoin(newd).crossJoin(pruned_count(appended, as_of, retention_days))
+    ins = fresh_rows.agg(F.count(F.lit(1))).scalar()
+    newd = new_reg.agg(F.count_if(F.col("_action") == "insert")).scalar()
+    pruned = pruned_count(appended, as_of, retention_days).scalar()
+    metrics = (counts.select("seen", "skipped_entries", ins.alias("inserted"), newd.alias("new_domains"),
+                             pruned.alias("pruned"))
                .withColumn("duplicates", F.col("seen") - F.col("skipped_entries") - F.col("inserted")))
     return DnsIngest(kept, new_reg.drop("_action"), fresh_rows, metrics)

@@ -97,8 +97,8 @@ def ingest_run(state: DataFrame, rows: DataFrame, scanned_images: DataFrame,
         F.count_if(F.col("_action") == "insert").alias("inserted"),
         F.sum(F.when(F.col("_action") == "insert", occ - 1).otherwise(occ)).cast("long").alias("updated"),
         F.count_if("_resolved").alias("resolved"))
-    n_img = scanned_images.select("image").distinct().agg(F.count(F.lit(1)).alias("images"))
-    metrics = n_img.crossJoin(metrics)
+    n_img = scanned_images.select("image").distinct().agg(F.count(F.lit(1))).scalar()
+    metrics = metrics.select(n_img.alias("images"), "*")
     return RunResult(res.select(*cols), metrics)
 
 

@@ -471,10 +471,10 @@ def _landing(spark, sf_dir, name: str, files: int = 4, repull: bool = True) -> s
     the final day (exact duplicates of stored entries)."""
     from ..session import scratch_path
     e = tv.dns_entries(spark, sf_dir)
-    mx = e.agg((F.max("ord") + 1).alias("__m"))
-    e = e.crossJoin(F.broadcast(mx)).withColumn("__b", F.floor(F.col("ord") * files / F.col("__m")))
+    mx = e.agg(F.max("ord") + 1).scalar()
+    e = e.withColumn("__b", F.floor(F.col("ord") * files / mx))
     path = scratch_path(spark, f"landing-{name}")
-    cols = [c for c in e.columns if c not in ("ord", "__m", "__b")]
+    cols = [c for c in e.columns if c not in ("ord", "__b")]
     for i in range(files):
         (e.filter(F.col("__b") == i).sortWithinPartitions("ord").select(*cols).coalesce(1)
          .write.mode("append").json(path))

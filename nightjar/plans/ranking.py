@@ -133,7 +133,7 @@ def backlog_ageing(priority: DataFrame, as_of) -> DataFrame:
 def open_hits(hits: DataFrame, limit: int = 15) -> DataFrame:
     """Q-5 / O-3 / A-10: newest open rule hits plus the open total."""
     op = hits.filter(F.col("status") == "open")
-    total = op.agg(F.count(F.lit(1)).alias("open_total"))
-    top = (op.orderBy(F.col("first_seen").desc(), "rule_id", "entity").limit(limit)
-           .select("rule_id", "entity", "summary", "first_seen", "hit_count"))
-    return top.crossJoin(F.broadcast(total))
+    total = op.agg(F.count(F.lit(1))).scalar()
+    return (op.orderBy(F.col("first_seen").desc(), "rule_id", "entity").limit(limit)
+            .select("rule_id", "entity", "summary", "first_seen", "hit_count",
+                    total.alias("open_total")))

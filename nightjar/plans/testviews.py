@@ -71,12 +71,12 @@ def dns_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query-log entries in the nested log shape, one per event.
 
     The event's page is ``page_id = event_id % count(pages)``; the page count
-    is a one-row aggregate (broadcast), the page side is joined on its key.
+    is a scalar subquery, the page side is joined on its key.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     pg = table(spark, sf_dir, "pages").select("page_id", "url")
-    n = pg.agg(F.count(F.lit(1)).alias("n_pages"))
-    ev = ev.crossJoin(F.broadcast(n)).withColumn("page_id", F.col("event_id") % F.col("n_pages"))
+    n_pages = pg.agg(F.count(F.lit(1))).scalar()          # scalar subquery
+    ev = ev.withColumn("page_id", F.col("event_id") % n_pages)
     j = ev.join(pg, "page_id")
     eid = F.col("event_id")
     ts = F.col("ts").cast("timestamp")
