@@ -1,20 +1,20 @@
 """Size-checked broadcasts.
 
-A side is broadcast only when a LIMIT-ed count proves it holds at most
-``max_rows`` rows (the count stops reading at ``max_rows + 1``). Beyond the
-bound nothing is hinted: Catalyst's estimate and AQE's runtime statistics
-choose between a broadcast and a shuffle join.
+A stored dimension table is broadcast only when a LIMIT-ed count proves it
+holds at most ``max_rows`` rows (the count stops reading at ``max_rows +
+1``). Beyond the bound, and for small sides derived from the big input
+(where a count would be a second pass over it), nothing is hinted:
+Catalyst's estimate and AQE's runtime statistics choose between a broadcast
+and a shuffle join.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bounds for the small sides (each row is a key or two).
-MAX_SCANNED_IMAGES = 1_000_000      # images scanned by one set of runs
-MAX_RUN_IMAGES = 5_000_000          # (run, image) pairs of a backfill
-MAX_DIMENSION_ROWS = 2_000_000      # exposure map, exploited list, scores
-MAX_NEW_DOMAINS = 2_000_000         # domains first seen in a rule window
+# Row bound for stored dimension tables (exposure map,
+# exploited list, probability scores; each row is a key and a value or two).
+MAX_DIMENSION_ROWS = 2_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

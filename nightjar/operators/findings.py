@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import FINDING_KEY
 from ..timeutil import as_ts
-from .bounds import MAX_RUN_IMAGES, MAX_SCANNED_IMAGES, bounded_broadcast
 from .upsert import B, reduce_batch, upsert
 
 FIRST_COLS = ["title", "purl", "target", "pkg_class"]
 LAST_COLS = ["severity", "fixed_version"]
 SOURCE_ID = "scanner"
 
-# The small sides (images scanned by the runs, the next-scan table) are
-# broadcast after a LIMIT-ed count proves their size; the findings state is
-# then never shuffled by image, where one image may hold a third of all rows.
+# The small sides here (images scanned by the runs, the next-scan table)
+# are derived from the scan itself, so proving their size up front would
+# cost a second pass over it. They are joined without hints: AQE measures
+# them at run time and broadcasts them under
+# spark.sql.adaptive.autoBroadcastJoinThreshold; a skewed image partition
+# in the other case is split by AQE's skew-join handling.
 
 
 def new_runs(incoming: DataFrame, scan_run: DataFrame, source_id: str = SOURCE_ID) -> DataFrame:
@@ -69,8 +71,7 @@ def upsert_findings(state: DataFrame, rows: DataFrame, run_key: str, as_of,
 def resolve_findings(state: DataFrame, scanned_images: DataFrame, run_key: str, as_of) -> DataFrame:
     """U-3: open rows of images scanned in this run that this run did not
     report get ``resolved_at = as_of``. Adds boolean ``_resolved``."""
-    imgs = bounded_broadcast(scanned_images.select("image").distinct().withColumn("__scanned", F.lit(True)),
-                             MAX_SCANNED_IMAGES)
+    imgs = scanned_images.select("image").distinct().withColumn("__scanned", F.lit(True))
     j = state.join(imgs, "image", "left")
     hit = (F.col("__scanned").isNotNull() & F.col("resolved_at").isNull()
            & ~F.col("last_run").eqNullSafe(F.lit(run_key)))
@@ -122,7 +123,7 @@ def replay_runs(rows: DataFrame, scanned: DataFrame, order: str = "ord") -> Data
     nxt = (scanned.select("run_key", "started_at", "image").distinct()
            .withColumn("resolved_at", F.lead("started_at").over(w))
            .select("image", F.col("run_key").alias("last_run"), "resolved_at"))
-    j = agg.join(bounded_broadcast(nxt, MAX_RUN_IMAGES), ["image", "last_run"], "left")
+    j = agg.join(nxt, ["image", "last_run"], "left")
     return j.select(
         *FINDING_KEY,
         *[F.col(f"__l.{c}").alias(c) for c in LAST_COLS],
@@ -147,8 +148,7 @@ def apply_runs(state: DataFrame, rows: DataFrame, scanned: DataFrame, order: str
     one aggregation and one full outer join instead of one per run.
     """
     new = replay_runs(rows, scanned, order)
-    first_scan = bounded_broadcast(scanned.groupBy("image").agg(F.min("started_at").alias("__first_scan")),
-                                   MAX_SCANNED_IMAGES)
+    first_scan = scanned.groupBy("image").agg(F.min("started_at").alias("__first_scan"))
     s = state.select(*[F.col(c).alias(f"s_{c}") for c in state.columns])
     n = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
     cond = None

@@ -243,7 +243,9 @@ def registry(spark, sf_dir):
 
 
 def q_rule_newly_seen(spark, sf_dir):
-    return detections.newly_seen(registry(spark, sf_dir), _dq(spark, sf_dir), tv.dns_as_of(spark, sf_dir))
+    q = _dq_shared(spark, sf_dir)
+    reg = dnsops.merge_registry(schemas.empty(spark, "dns_domain"), q).drop("_action")
+    return detections.newly_seen(reg, q, tv.dns_as_of(spark, sf_dir))
 
 
 def q_rule_dga_entropy(spark, sf_dir):
@@ -277,17 +279,17 @@ def _dns_split(spark, sf_dir, store_before_days: int, batch_from_days: int):
     gives an overlap of b - a days), plus a re-pulled copy of the last day."""
     as_of = tv.dns_as_of(spark, sf_dir)
     t = F.timestamp_micros(F.lit(as_of))
-    q = _dq(spark, sf_dir)
+    q = _dq_shared(spark, sf_dir)           # the stored layout: day partitions
     store = q.filter(F.col("ts") < t - F.expr(f"INTERVAL {store_before_days} DAYS"))
     batch = q.filter(F.col("ts") >= t - F.expr(f"INTERVAL {batch_from_days} DAYS"))
     again = q.filter(F.col("ts") >= t - F.expr("INTERVAL 1 DAYS")).withColumn(
         "ord", F.col("ord") + F.lit(10_000_000_000))
-    return store, batch.unionByName(again), as_of
+    return store, batch.unionByName(again).drop("day"), as_of
 
 
 def q_dns_dedupe_append(spark, sf_dir):
     store, batch, _ = _dns_split(spark, sf_dir, 10, 12)
-    fresh, _ = dnsops.append_new(dnsops.with_day(store), batch)
+    fresh, _ = dnsops.append_new(store, batch)
     return render(fresh.select(*DQ_OUT))
 
 
@@ -295,7 +297,7 @@ def q_domain_registry_merge(spark, sf_dir):
     store, batch, _ = _dns_split(spark, sf_dir, 3, 5)
     reg0 = dnsops.merge_registry(schemas.empty(spark, "dns_domain"), store).drop("_action")
     fresh, _ = dnsops.append_new(store, batch)
-    return render(dnsops.merge_registry(reg0, fresh))
+    return render(dnsops.merge_registry(reg0, fresh.drop("ord")))
 
 
 def q_retention_prune(spark, sf_dir):

@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bounds import MAX_NEW_DOMAINS, bounded_broadcast
+from ..operators.bounds import bounded_broadcast
 from ..timeutil import as_ts, days, hours
 
 # Blocklists with more distinct listed domains than this are joined with a
@@ -50,7 +50,8 @@ def newly_seen(dns_domain: DataFrame, dns_query: DataFrame, as_of, window_hours:
     (0 when the rows are already pruned)."""
     t = as_ts(as_of)
     new = dns_domain.filter(F.col("first_seen") >= t - hours(window_hours))
-    keys = bounded_broadcast(new.select(F.col("domain").alias("registrable_domain")), MAX_NEW_DOMAINS)
+    # the new-domain list is derived (a filtered registry): AQE sizes it
+    keys = new.select(F.col("domain").alias("registrable_domain"))
     clients = (dns_query.join(keys, "registrable_domain", "left_semi")
                .groupBy(F.col("registrable_domain").alias("domain"))
                .agg(_distinct("client", approx).alias("client_count")))
