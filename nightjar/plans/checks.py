@@ -76,6 +76,29 @@ def q_scan_run_envelope(spark, sf_dir):
     return render(findings.record_runs(known, fresh, "2024-06-01 00:00:00"))
 
 
+def q_finding_triage(spark, sf_dir):
+    """U-14 on findings: people accept every finding of CVEs ending in 7,
+    then mark those on build-only images (exposure map) false positive an
+    hour later (the later decision wins); the backlog then excludes them."""
+    from ..operators import hits as hitops
+    st = findings_state(spark, sf_dir)
+    expo = exposure_state(spark, sf_dir).filter(F.col("exposure") == "build-only").select("image")
+    keys = ["image", "pkg_name", "installed_version", "cve"]
+    d1 = st.filter(F.col("cve").endswith("7")).select(
+        *keys, F.lit("accepted").alias("status"), F.lit("vendor says unreachable").alias("status_note"),
+        F.lit("2024-06-02 09:00:00").cast("timestamp").alias("decided_at"))
+    d2 = st.filter(F.col("cve").endswith("7")).join(expo, "image", "left_semi").select(
+        *keys, F.lit("false_positive").alias("status"), F.lit(None).cast("string").alias("status_note"),
+        F.lit("2024-06-02 10:00:00").cast("timestamp").alias("decided_at"))
+    out = hitops.apply_decisions(st, d1.unionByName(d2), keys)
+    pr = ranking.vuln_priority(out, exposure_state(spark, sf_dir), kev_state(spark, sf_dir),
+                               epss_state(spark, sf_dir))
+    counts = out.groupBy("status").agg(F.count(F.lit(1)).alias("findings"),
+                                       F.count_if(F.col("status_changed_at").isNotNull()).alias("decided"))
+    return render(counts.join(pr.groupBy("status").agg(F.count(F.lit(1)).alias("in_backlog")),
+                              "status", "left"))
+
+
 def q_finding_upsert(spark, sf_dir):
     state, cur, run_key, _, _ = _before_after(spark, sf_dir)
     up = findings.upsert_findings(state, cur, run_key, _run_ts(run_key))
