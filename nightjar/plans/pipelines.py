@@ -141,7 +141,7 @@ def run_rule_engine(store: TableStore, rules: list[engine.Rule] | None = None,
     rules = list(rules or engine.builtin_rules())
     if rules_dir:
         rules += engine.discover(spark, rules_dir)
-    tables = {"dns_query": store.read("dns_query").drop("day"), "dns_domain": store.read("dns_domain"),
+    tables = {"dns_query": store.read("dns_query").drop("batch"), "dns_domain": store.read("dns_domain"),
               "known_bad_domain": store.read("known_bad_domain"),
               "vuln_finding": store.read("vuln_finding")}
     out = engine.run_rules(spark, rules, tables, store.read("rule"), store.read("rule_hit"), as_of)

@@ -7,15 +7,21 @@ unreferenced folder and the previous version stays current. The manifest is
 itself an append-only Parquet table: no file-system API is needed.
 
 ``dns_query`` is append-only: each batch appends its rows under
-``day=/run=`` partitions, and the manifest row records the batch's run key
-and the retention cut-off. Reads keep only committed runs and rows at or
-after the newest cut-off, so pruning never rewrites data; whole day
-partitions before the cut-off can be removed by storage lifecycle rules.
+``day=/batch=`` partitions, where the batch id is unique per attempt, and
+the manifest row records the batch id, its run key and the retention
+cut-off. Reads keep only committed batch ids and rows at or after the
+newest cut-off, so pruning never rewrites data and files of a failed
+attempt are never read; whole day partitions before the cut-off can be
+removed by storage lifecycle rules.
+
+Every snapshot version also gets a folder unique to its attempt, so a
+retry after a crash never collides with a half-written folder.
 """
 from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +31,7 @@ from .. import schemas
 MANIFEST = "_manifest"
 MANIFEST_SCHEMA = ("table string, version long, path string, run_key string, "
                    "cutoff timestamp, committed_at timestamp")
-APPEND_TABLES = {"dns_query": ["day", "run_key"]}
+APPEND_TABLES = {"dns_query": ["day", "batch"]}
 
 
 class TableStore:
@@ -72,11 +78,10 @@ class TableStore:
         if not entries:
             return self.spark.createDataFrame([], schema)
         if table in APPEND_TABLES:
-            runs = [e["run_key"] for e in entries if e["run_key"] is not None]
+            batches = [e["path"] for e in entries]
             cutoffs = [e["cutoff"] for e in entries if e["cutoff"] is not None]
             df = self.spark.read.parquet(f"{self.root}/{table}/data")
-            if runs:
-                df = df.filter(F.col("run_key").isin(runs))
+            df = df.filter(F.col("batch").isin(batches))
             if cutoffs:
                 cut = max(cutoffs)
                 df = df.filter((F.col("day") >= F.lit(cut.date())) & (F.col("ts") >= F.lit(cut)))
@@ -87,24 +92,33 @@ class TableStore:
     def write(self, table: str, df: DataFrame) -> int:
         """Write a full new version of a snapshot table; returns its number."""
         v = self.version(table) + 1
-        path = f"{self.root}/{table}/v{v:08d}"
+        path = f"{self.root}/{table}/v{v:08d}-{uuid.uuid4().hex[:12]}"
         schema = schemas.STATE_SCHEMAS[table]
         (df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
          .write.mode("errorifexists").parquet(path))
         self._commit(table, v, path)
         return v
 
-    def append(self, table: str, rows: DataFrame, run_key: str, cutoff=None) -> int:
+    def read_batch(self, table: str, batch: str) -> DataFrame:
+        """The rows of one committed batch (reads only its partitions)."""
+        schema = schemas.STATE_SCHEMAS[table]
+        df = self.spark.read.parquet(f"{self.root}/{table}/data").filter(F.col("batch") == batch)
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+    def append(self, table: str, rows: DataFrame, run_key: str, cutoff=None) -> str:
         """Append a batch to an append-only table and commit it (with an
-        optional retention cut-off applied to all reads from now on)."""
+        optional retention cut-off applied to all reads from now on).
+        Returns the batch id."""
         v = self.version(table) + 1
         schema = schemas.STATE_SCHEMAS[table]
         out = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name != "run_key"])
-        out = out.withColumn("run_key", F.lit(run_key)).withColumn("day", F.to_date("ts"))
+        batch = f"{run_key}-{uuid.uuid4().hex[:12]}"
+        out = (out.withColumn("run_key", F.lit(run_key)).withColumn("day", F.to_date("ts"))
+               .withColumn("batch", F.lit(batch)))
         (out.write.mode("append").partitionBy(*APPEND_TABLES[table])
          .parquet(f"{self.root}/{table}/data"))
-        self._commit(table, v, f"{self.root}/{table}/data", run_key, cutoff)
-        return v
+        self._commit(table, v, batch, run_key, cutoff)
+        return batch
 
     def path(self, *parts: str) -> str:
         return os.path.join(self.root, *parts)

@@ -101,9 +101,9 @@ def _apply(store, spark, mapped, scan_run, run_key, as_of, retention_days, rule_
                               as_of, retention_days)
     t = as_ts(as_of)
     cutoff = spark.range(1).select(t - dnsops.days(retention_days)).first()[0]
-    store.append("dns_query", res.new_rows, run_key, cutoff)
+    batch_id = store.append("dns_query", res.new_rows, run_key, cutoff)
     # The registry merge reads the rows just committed, not the batch again.
-    written = store.read("dns_query").filter(F.col("run_key") == run_key).drop("day")
+    written = store.read_batch("dns_query", batch_id)
     reg = dnsops.merge_registry(store.read("dns_domain"), written).drop("_action")
     store.write("dns_domain", reg)
     if rule_runner is not None:
@@ -140,7 +140,7 @@ def rules_runner(rules, params_tables=None):
 
     def run(store: TableStore, as_of):
         spark = store.spark
-        tables = {"dns_query": store.read("dns_query").drop("day"),
+        tables = {"dns_query": store.read("dns_query").drop("batch"),
                   "dns_domain": store.read("dns_domain"),
                   "known_bad_domain": store.read("known_bad_domain")}
         if params_tables:

@@ -101,3 +101,19 @@ def test_store_versions(spark, tmp_path):
     rows = dns_rows(spark, [dict(ts=ago(days=40), qname="o.com"), dict(ts=ago(hours=1), qname="n.com")])
     st.append("dns_query", rows, "r1", cutoff=AS_OF - dt.timedelta(days=35))
     assert [r["qname"] for r in st.read("dns_query").collect()] == ["n.com"]
+
+
+def test_store_ignores_uncommitted_attempts(spark, tmp_path):
+    from nightjar.sources.store import TableStore
+    st = TableStore(spark, str(tmp_path / "s"))
+    rows = dns_rows(spark, [dict(ts=ago(hours=1), qname="n.com")])
+    # a failed attempt: files landed, no manifest row
+    (rows.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit("r1-deadbeef"))
+     .write.mode("append").partitionBy("day", "batch").parquet(str(tmp_path / "s" / "dns_query" / "data")))
+    assert st.read("dns_query").count() == 0
+    b = st.append("dns_query", rows, "r1")
+    assert st.read("dns_query").count() == 1 and st.read_batch("dns_query", b).count() == 1
+    d1 = spark.createDataFrame([("a", AS_OF, AS_OF, 1, 0)], schemas.DNS_DOMAIN)
+    st.write("dns_domain", d1)
+    st2 = TableStore(spark, str(tmp_path / "s"))        # a fresh reader sees the same versions
+    assert st2.version("dns_domain") == 1 and st2.read("dns_query").count() == 1
