@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import DNS_KEY
 from ..timeutil import as_ts, days
+from .bounds import bounded_broadcast
 from .upsert import B, S, reduce_batch, upsert
 
+# A deduplicated batch up to this many rows is probed as a broadcast hash
+# table: the stored days stream past it and are never shuffled.
+MAX_BROADCAST_BATCH = 1_000_000
+
 DEFAULT_RETENTION_DAYS = 35
 
 
@@ -50,7 +55,15 @@ def append_new(store: DataFrame, rows: DataFrame, order: str = "ord") -> tuple[D
     if "day" in store.columns:
         near = near.filter(F.col("day").between(F.to_date(lo), F.to_date(hi)))
     near = near.filter(F.col("ts").between(lo, hi))
-    fresh = first.join(near.select(*DNS_KEY), DNS_KEY, "left_anti")
+    keys = first.select(*DNS_KEY)
+    small = bounded_broadcast(keys, MAX_BROADCAST_BATCH)
+    if small is not keys:
+        # stored keys that the batch repeats (at most the batch size), found by
+        # streaming the store through the batch's hash table
+        dup = near.select(*DNS_KEY).join(small, DNS_KEY, "left_semi")
+        fresh = first.join(F.broadcast(dup), DNS_KEY, "left_anti")
+    else:
+        fresh = first.join(near.select(*DNS_KEY), DNS_KEY, "left_anti")
     return fresh, near
 
 
