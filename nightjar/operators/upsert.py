@@ -86,6 +86,8 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str],
     only unmatched batch rows are inserted: no shuffle of the state. Larger
     batches use one full outer join.
     """
+    if state.isEmpty():                       # first load: every batch row is an insert
+        return _inserts(state, batch, keys, insert, action_col)
     if max_broadcast_batch and batch.limit(max_broadcast_batch + 1).count() <= max_broadcast_batch:
         return _upsert_broadcast(state, batch, keys, insert, update, action_col)
     cols = state.columns
@@ -136,11 +138,17 @@ def _upsert_broadcast(state: DataFrame, batch: DataFrame, keys: list[str],
         kept.append(F.when(in_b, F.lit("update")).otherwise(F.lit("keep")).alias(action_col))
     matched = state.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi")
     fresh = batch.join(F.broadcast(matched), keys, "left_anti")
-    fb = fresh.select(*[F.col(c).alias(B_PREFIX + c) for c in batch.columns])
+    return touched.select(*kept).unionByName(_inserts(state, fresh, keys, insert, action_col))
+
+
+def _inserts(state: DataFrame, batch: DataFrame, keys: list[str], insert: Mapping[str, Expr],
+             action_col: str | None) -> DataFrame:
+    """Batch rows as new state rows (``insert`` expressions over ``B(...)``)."""
+    fb = batch.select(*[F.col(c).alias(B_PREFIX + c) for c in batch.columns])
     ins = []
-    for c in cols:
+    for c in state.columns:
         e = B(c) if c in keys else (_ev(insert[c]) if c in insert else F.lit(None))
         ins.append(e.cast(state.schema[c].dataType).alias(c))
     if action_col:
         ins.append(F.lit("insert").alias(action_col))
-    return touched.select(*kept).unionByName(fb.select(*ins))
+    return fb.select(*ins)
