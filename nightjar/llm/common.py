@@ -53,11 +53,12 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-def add_columns(df: DataFrame, given: dict[str, Column], fn, fields: list[T.StructField]) -> DataFrame:
+def add_columns(df: DataFrame, given: dict[str, Column], fn, fields: list[T.StructField],
+                carry: list[str] | None = None) -> DataFrame:
     """Applies ``fn`` batch by batch: it gets one list per entry of ``given`` and returns one
-    list per field. The result has the columns ``row`` (all columns of ``df``, packed, so
-    that no name can clash) and ``fields``."""
-    packed = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"),
+    list per field. The result has the columns ``row`` (all columns of ``df`` or those in
+    ``carry``, packed, so that no name can clash) and ``fields``."""
+    packed = df.select(F.struct(*[df[f"`{c}`"] for c in carry or df.columns]).alias("row"),
                        *[c.alias(f"_in{i}") for i, c in enumerate(given.values())])
     kinds = [arrow_type(f.dataType) for f in fields]
     names, n = ["row", *[f.name for f in fields]], len(given)

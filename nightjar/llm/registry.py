@@ -4,9 +4,9 @@ from __future__ import annotations
 import functools
 
 from ..session import configure
-from . import quality
+from . import bpe, quality
 
-_ALL = [quality.op5_quality_rules]
+_ALL = [quality.op5_quality_rules, bpe.op7_bpe]
 
 
 def pinned(fn):
