@@ -4,9 +4,9 @@ from __future__ import annotations
 import functools
 
 from ..session import configure
-from . import bpe, quality
+from . import bpe, quality, simhash
 
-_ALL = [quality.op5_quality_rules, bpe.op7_bpe]
+_ALL = [quality.op5_quality_rules, bpe.op7_bpe, simhash.op8_simhash]
 
 
 def pinned(fn):
