@@ -4,9 +4,9 @@ from __future__ import annotations
 import functools
 
 from ..session import configure
-from . import bpe, quality, simhash
+from . import bpe, html, quality, simhash
 
-_ALL = [quality.op5_quality_rules, bpe.op7_bpe, simhash.op8_simhash]
+_ALL = [quality.op5_quality_rules, bpe.op7_bpe, simhash.op8_simhash, html.op9_html]
 
 
 def pinned(fn):
