@@ -108,3 +108,40 @@ def chunk_pattern():
     import regex
 
     return regex.compile(r" ?\S++|\s+(?!\S)|\s+")
+
+
+@functools.lru_cache(maxsize=2)
+def library_tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def library_encoder(path: str):
+    """text -> ids (little-endian unsigned 32-bit) by the tokenizers library, chunk by chunk
+    through a cache; a text with strings of special tokens is encoded in one piece."""
+    import numpy as np
+
+    tokenizer, chunks = library_tokenizer(path), chunk_pattern()
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def ids(chunk):
+        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    cache = ChunkCache(ids)
+
+    def encode(text):
+        if any(s in text for s in special):
+            return ids(text)
+        return b"".join(map(cache.__getitem__, chunks.findall(text)))
+
+    return encode
+
+
+def token_counter(path: str):
+    encode = library_encoder(path)
+    return lambda text: len(encode(text)) // 4
