@@ -19,6 +19,7 @@ import heapq
 import json
 import mmap
 import struct
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -33,11 +34,14 @@ from . import common
 #: Words in the automaton: a bound on its size (some MB), not on what is encoded.
 LEXICON = 100_000
 LONGEST = 48            # bytes of a word that may enter it
-FLUSH = 200_000         # distinct words that a counting task holds at a time
+FLUSH = 500_000         # distinct words that a counting task holds at a time
 
 
 # ---------------------------------------------------------------- vocabulary
 
+NONE = 1 << 62
+
+
 class Vocabulary:
     """Byte-level BPE from a tokenizers file: token bytes by id, ranks of merges, specials."""
 
@@ -53,7 +57,10 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in self.id_of.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {(raw[a], raw[b]): i for i, (a, b) in enumerate(pairs)}
+        rank = {(raw[a], raw[b]): i for i, (a, b) in enumerate(pairs)}
+        #: pair of ids -> rank of their merge and id of the merged token, in one number
+        self.merged = {(self.id_of[a], self.id_of[b]): i << 32 | self.id_of[a + b] for (a, b), i in rank.items()}
+        self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.pretoken = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         by_length = sorted(self.special, key=len, reverse=True)
@@ -61,42 +68,48 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank is merged first, leftmost first."""
-        parts = [word[i:i + 1] for i in range(len(word))]
-        if len(parts) > 64:
-            parts = self._merge_long(parts)
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 30) for p in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == 1 << 30:
+        single, get = self.single, self.merged.get
+        ids = [single[b] for b in word]
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        found = [get(p, NONE) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best == NONE:
                 break
-            i = ranks.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.id_of[p] for p in parts]
-
-    def _merge_long(self, parts: list[bytes]) -> list[bytes]:
+            i = found.index(best)
+            ids[i:i + 2] = [best & 0xFFFFFFFF]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), NONE)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges for long words, with a heap of pairs over a linked list."""
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        end, heap = len(parts), []
+        end, heap = len(ids), []
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
 
         def push(i):
             j = after[i]
-            if j < end and (r := self.rank.get((parts[i], parts[j]))) is not None:
-                heapq.heappush(heap, (r, i, parts[i], parts[j]))
+            if j < end and (found := self.merged.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(heap, (found >> 32, i, ids[i], ids[j], found & 0xFFFFFFFF))
 
         for i in range(end):
             push(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, a, b, new = heapq.heappop(heap)
             j = after[i]
-            if parts[i] is None or j >= end or parts[i] != a or parts[j] != b:
+            if j >= end or ids[i] != a or ids[j] != b:
                 continue
-            parts[i], parts[j], after[i] = a + b, None, after[j]
+            ids[i], ids[j], after[i] = new, -1, after[j]
             if after[j] < end:
                 before[after[j]] = i
             if before[i] >= 0:
                 push(before[i])
             push(i)
-        return [p for p in parts if p is not None]
+        return [x for x in ids if x >= 0]
 
 
 def byte_letters() -> dict[int, str]:
@@ -241,10 +254,18 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON) -> str:
-    """Counts words, compiles the most frequent with their ids, and shares the file."""
+    """Counts words, compiles the most frequent (``size`` at most) with their ids, and shares
+    the file."""
     vocab = vocabulary(path)
-    often = (word_counts(docs, text).where(F.octet_length("word") <= LONGEST)
-             .orderBy(F.desc("n"), "word").limit(size).collect())       # at most ``size`` short words
+    counts = common.materialise(word_counts(docs, text).where(F.octet_length("word") <= LONGEST), "words")
+    # the most frequent words by classes of counts: so few classes that the driver can add them up
+    level = F.floor(F.log2("n") * 16)
+    room, least = size, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r.level
+    often = counts.where(level >= least).orderBy("word").collect() if least is not None else []
     entries: dict[bytes, list[int]] = {}
     for row in often:
         for chunk in (" " + row.word, row.word):
@@ -259,15 +280,18 @@ def encoder(path: str, lexicon: Lexicon | None):
     """text -> ids as little-endian unsigned 32-bit integers."""
     vocab, chunks = vocabulary(path), common.chunk_pattern()
 
+    look = lexicon.ids if lexicon else lambda raw: None
+
     def make(chunk):
-        out = []
-        for pre in vocab.pretoken.findall(chunk):
+        pres = [chunk] if chunk.removeprefix(" ").isalpha() else vocab.pretoken.findall(chunk)
+        out = b""
+        for pre in pres:
             raw = pre.encode("utf-8")
-            ids = lexicon.ids(raw) if lexicon else None
-            out.append(ids.tobytes() if ids is not None else np.array(vocab.merge(raw), "<u4").tobytes())
-        return b"".join(out)
+            ids = look(raw)
+            out += array("I", vocab.merge(raw)).tobytes() if ids is None else ids.tobytes()
+        return out
 
-    cache = common.ChunkCache(make)
+    cache = common.ChunkCache(make, 400_000)
     special = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special.items()}
 
     def encode(text):

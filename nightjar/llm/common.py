@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 
 import pyarrow as pa
@@ -101,13 +102,15 @@ class ChunkCache(dict):
         return value
 
 
+#: Unicode White_Space, as the public vocabularies' patterns have it
+_WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 @functools.lru_cache(maxsize=1)
 def chunk_pattern():
-    """Cuts a text where no byte-level pre-token can cross: a word with the space before it,
-    or a run of white space (Unicode White_Space, as the public vocabularies' pattern has it)."""
-    import regex
-
-    return regex.compile(r" ?\S++|\s+(?!\S)|\s+")
+    """Cuts a text where no byte-level pre-token can cross: letters with the space before
+    them up to plain punctuation, what else stands between white space, runs of white space."""
+    return re.compile(rf" ?[^\W\d_]++(?=[.,;:!?{_WHITE}]|\Z)| ?[^{_WHITE}]++|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
 @functools.lru_cache(maxsize=2)
