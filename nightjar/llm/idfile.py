@@ -240,6 +240,10 @@ def encode_blocks(ids: np.ndarray, digits: int = 4) -> list[bytes]:
             for c, p in zip(cuts, coder.close())]
 
 
+def ids_in(block: bytes) -> int:
+    return HEADER.unpack_from(block)[2]
+
+
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """Ids (little-endian unsigned 32-bit) of each block, checked."""
     heads = [HEADER.unpack_from(b) for b in blocks]
@@ -287,7 +291,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
             at, next_start = 0, 0
             for part in range(0, len(ids), LANES * LONGEST):
                 for data in encode_blocks(ids[part:part + LANES * LONGEST], digits):
-                    n = HEADER.unpack_from(data)[2]
+                    n = ids_in(data)
                     mine = []
                     while next_start < len(starts) and starts[next_start][1] < at + n:
                         mine.append({"doc_id": starts[next_start][0], "at": starts[next_start][1] - at})
