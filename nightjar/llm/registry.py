@@ -4,10 +4,10 @@ from __future__ import annotations
 import functools
 
 from ..session import configure
-from . import bpe, chat, decontaminate, html, idfile, pii, quality, simhash, toxicity
+from . import bpe, chat, decontaminate, html, idfile, lm, pii, quality, simhash, toxicity
 
 _ALL = [quality.op5_quality_rules, bpe.op7_bpe, simhash.op8_simhash, html.op9_html, chat.op2_chat, decontaminate.op10_decontaminate,
-        toxicity.op4_toxicity, pii.op3_personal_data, idfile.op1_token_ids]
+        toxicity.op4_toxicity, pii.op3_personal_data, idfile.op1_token_ids, lm.op6_cross_entropy]
 
 
 def pinned(fn):
