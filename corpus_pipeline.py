@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightjar.llm import common, quality
+from nightjar.llm import bpe, common, decontaminate, pii, quality, simhash
 from nightjar.llm.registry import pinned
 
 STAGES = [
     ("quality", pinned(quality.stage_quality)),
+    ("near_duplicates", pinned(simhash.stage_near_duplicates)),
+    ("decontamination", pinned(decontaminate.stage_decontaminate)),
+    ("personal_data", pinned(pii.stage_personal_data)),
+    ("tokens", pinned(bpe.stage_bpe)),
 ]
 
 #: No stage can be written in SQL: the first needs two tokenizers' vocabularies.

@@ -230,9 +230,9 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark item."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumn("_key", key)
-    found = matches(keyed, common.table(spark, sf_dir, "benchmark"), carry=["_key"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.text_of().alias("text"),
+                         F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"))
+    found = matches(packed, common.table(spark, sf_dir, "benchmark"), carry=["key"])
     if found is None:
         return docs
-    return keyed.join(found.select(F.col("row._key").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+    return packed.join(found.select("row.key").distinct(), "key", "left_anti").select("row.*")

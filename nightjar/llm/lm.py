@@ -116,22 +116,24 @@ class Models:
         return out[0], out[1]
 
 
-def with_target(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Adds ``good``: whether a label of the document says so. The labelled ids are broadcast
-    if there are few enough of them, else joined by id."""
-    known = labels.where("quality = 1").select(F.col(doc_id).alias("_id")).distinct().withColumn("good", F.lit(True))
-    if known.limit(BROADCAST + 1).count() <= BROADCAST:
-        known = F.broadcast(known)
-    return docs.join(known, F.col(doc_id) == F.col("_id"), "left").drop("_id")
+def good_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """``(id, good)`` of the documents that a label calls good; broadcast if there are few
+    enough of them, else joined by id."""
+    known = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias("id")).distinct() \
+        .withColumn("good", F.lit(True))
+    return F.broadcast(known) if known.limit(BROADCAST + 1).count() <= BROADCAST else known
 
 
-def score(docs: DataFrame, path: str | None = None, text: str = "text", good: str = "good",
+def score(docs: DataFrame, labels: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text",
           carry: list[str] | None = None) -> DataFrame:
     """``row``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` of each whole
-    text; ``good`` marks the target's documents."""
+    text. The target is the documents whose label's ``quality`` is 1."""
     path = path or common.vocabulary("byte_bpe_50k.json")
     size = vocabulary_size(path)
-    shared = docs.sparkSession.sparkContext.broadcast(Models(count(docs, path, text, good).toArrow(), size))
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row")
+    docs = docs.select(row, common.text_of(text).alias("text"), F.col(doc_id).alias("id")) \
+        .join(good_ids(labels, doc_id), "id", "left")
+    shared = docs.sparkSession.sparkContext.broadcast(Models(count(docs, path).toArrow(), size))
 
     def run(texts, goods):
         encode, models = common.library_encoder(path), shared.value
@@ -144,10 +146,10 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", good: st
 
     fields = [common.field("n_tokens", T.LongType()), *[common.field(n, T.DoubleType()) for n in (
         "target_loss", "background_loss", "score")]]
-    return common.add_columns(docs, {"text": common.text_of(text), "good": F.col(good)}, run, fields, carry)
+    return common.add_columns(docs, {"text": F.col("text"), "good": F.col("good")}, run, fields, ["row"]) \
+        .select("row.row", *[f.name for f in fields])
 
 
 def op6_cross_entropy(spark, sf_dir: str) -> DataFrame:
-    docs = with_target(common.table(spark, sf_dir, "documents").select("doc_id", "text"),
-                       common.table(spark, sf_dir, "labels"))
-    return score(docs, carry=["doc_id"]).select("row.doc_id", "n_tokens", "target_loss", "background_loss", "score")
+    found = score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return found.select("row.doc_id", "n_tokens", "target_loss", "background_loss", "score")
