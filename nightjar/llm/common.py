@@ -135,7 +135,7 @@ def library_encoder(path: str):
     def ids(chunk):
         return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    cache = ChunkCache(ids)
+    cache = ChunkCache(ids, 400_000)
 
     def encode(text):
         if any(s in text for s in special):

@@ -95,6 +95,17 @@ class Models:
                 mine = (model == m) & (kind == k)
                 self.counts[m][k][cell[mine]] = n[mine]
         self.totals = [c[UNIGRAM].sum() for c in self.counts]
+        self.scratch = None             # zeros, one per cell of each kind; made where they are used
+
+    def own(self, kind: int, key: np.ndarray) -> np.ndarray:
+        """How often the document itself has each of its cells."""
+        if self.scratch is None:
+            self.scratch = [np.zeros(len(c), np.int32) for c in self.counts[0]]
+        cells_of = self.scratch[kind]
+        np.add.at(cells_of, key, 1)
+        out = cells_of[key]
+        cells_of[key] = 0
+        return out
 
     def losses(self, ids: np.ndarray, before: np.ndarray, good: bool):
         """Mean loss in bits by (background, target), the document's own counts left out."""
@@ -102,10 +113,7 @@ class Models:
             return None, None
         out, goal = [], self.totals[1]
         keys = (ids, before, cells(before, ids))
-        own = []
-        for key in keys:
-            _, place, n = np.unique(key, return_inverse=True, return_counts=True)
-            own.append(n[place])
+        own = [self.own(kind, key) for kind, key in enumerate(keys)]
         for m in range(2):
             counted = bool(m == 0 or good)
             word, context, pair = (c[key] - o * counted for c, key, o in zip(self.counts[m], keys, own))
