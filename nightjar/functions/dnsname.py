@@ -14,22 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A small built-in public-suffix rule set in the standard list
-# syntax ("*." marks a wildcard rule, "!" an exception rule). Real
-# deployments load the full list with ``load_suffix_rules``.
-DEFAULT_SUFFIX_RULES = [
-    "com", "net", "org", "edu", "gov", "io", "top", "de", "fr",
-    "uk", "co.uk", "org.uk", "ac.uk",
-    "*.ck", "!www.ck",
-]
-
 # Entropy is compared and stored rounded to 14 places as DECIMAL(16,14), so
 # last-bit differences between log2 implementations never flip a threshold.
 ENTROPY_TYPE = T.DecimalType(16, 14)
 
-# A suffix rule list larger than this is not a reference list any more; it is
-# joined with a shuffle instead of a broadcast.
-MAX_BROADCAST_RULES = 200_000
+# The published list has some ten thousand rules; what is longer is no such list.
+MAX_RULES = 200_000
 
 
 def normalise_qname(c: Column) -> Column:
@@ -72,13 +62,27 @@ class SuffixRules:
     max_depth: int
 
 
-def suffix_rules(spark: SparkSession, rules: list[str] | None = None) -> SuffixRules:
-    """Rule table from list-syntax strings (the built-in default when None)."""
-    rules = rules if rules is not None else DEFAULT_SUFFIX_RULES
-    raw = spark.createDataFrame([(r,) for r in rules], "rule string")
-    df = _rules_from_lines(raw.select(F.col("rule").alias("line")))
-    keys = {r.lstrip("!").removeprefix("*.") for r in rules}
-    return SuffixRules(df, len(keys), max((k.count(".") + 1 for k in keys), default=0))
+def _forms(rule: str) -> set[str]:
+    """A rule in Unicode and in ``xn--`` form: names come in either."""
+    mark = rule[:len(rule) - len(rule.lstrip("!*."))]
+    labels = rule[len(mark):].split(".")
+    try:
+        ascii_form = ".".join(x.encode("idna").decode() for x in labels)
+        return {rule, mark + ascii_form, mark + ".".join(x.encode().decode("idna") for x in ascii_form.split("."))}
+    except UnicodeError:
+        return {rule}
+
+
+def suffix_rules(spark: SparkSession, rules: list[str]) -> SuffixRules:
+    """Rule table from list-syntax strings ("*." marks a wildcard rule, "!" an
+    exception). There is no default: without the full list every other suffix
+    would be taken for a registrable domain."""
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"{len(rules)} rules: not a public suffix list")
+    both = sorted({f for r in rules for f in _forms(r.strip().lower())})
+    raw = spark.createDataFrame([(r,) for r in both], "line string")
+    keys = {r.lstrip("!").removeprefix("*.") for r in both}
+    return SuffixRules(_rules_from_lines(raw), len(keys), max((k.count(".") + 1 for k in keys), default=0))
 
 
 def rules_from_table(df: DataFrame) -> SuffixRules:
@@ -93,19 +97,20 @@ def load_suffix_rules(spark: SparkSession, path: str, include_private: bool = Fa
     Lines are ``//`` comments, blank, or one rule as the first whitespace
     token. By default only the ICANN section is used, i.e. the lines between
     the ``===BEGIN ICANN DOMAINS===`` and ``===END ICANN DOMAINS===`` markers;
-    files without markers are read whole.
+    files without markers are read whole. The list is a reference list of
+    bounded size, so its rules come to the driver.
     """
-    lines = (spark.read.text(path)
-             .select(F.col("value").alias("line"),
-                     F.monotonically_increasing_id().alias("pos")))
-    if not include_private:
-        b = lines.agg(F.min(F.when(F.col("line").contains("===BEGIN ICANN DOMAINS==="),
-                                   F.col("pos")))).scalar()
-        e = lines.agg(F.min(F.when(F.col("line").contains("===END ICANN DOMAINS==="),
-                                   F.col("pos")))).scalar()
-        lines = (lines.filter(b.isNull() | ((F.col("pos") > b) & (e.isNull() | (F.col("pos") < e))))
-                 .select("line"))
-    return rules_from_table(_rules_from_lines(lines.select("line")).cache())
+    rules, inside, marked = [], True, False
+    for line in (r.value.strip() for r in spark.read.text(path).limit(MAX_RULES + 1).collect()):
+        if "===BEGIN ICANN DOMAINS===" in line and not include_private:
+            rules, inside, marked = [], True, True
+        elif "===END ICANN DOMAINS===" in line and not include_private:
+            inside = False
+        elif inside and line and not line.startswith("//"):
+            rules.append(line.split()[0])
+    if not rules:
+        raise ValueError(f"{path} holds no suffix rules")
+    return suffix_rules(spark, rules)
 
 
 def _rules_from_lines(lines: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ def with_name_parts(df: DataFrame, rules: SuffixRules | DataFrame, qname: str =
     if isinstance(rules, DataFrame):
         rules = rules_from_table(rules)
     max_depth = rules.max_depth
-    small = rules.count <= MAX_BROADCAST_RULES
+    small = rules.count <= 2 * MAX_RULES        # both forms
     rules = rules.df
     labels = F.split(F.col(qname), r"\.")
     cols = df.columns

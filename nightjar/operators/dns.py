@@ -15,13 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import DNS_KEY
 from ..timeutil import as_ts, days
-from .bounds import bounded_broadcast
 from .upsert import B, S, reduce_batch, upsert
 
-# A deduplicated batch up to this many rows is probed as a broadcast hash
-# table: the stored days stream past it and are never shuffled.
-MAX_BROADCAST_BATCH = 1_000_000
-
 DEFAULT_RETENTION_DAYS = 35
 
 
@@ -39,32 +34,18 @@ def dedupe_batch(rows: DataFrame, order: str = "ord") -> DataFrame:
     return reduce_batch(rows, DNS_KEY, order, first=rest)
 
 
-def append_new(store: DataFrame, rows: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFrame]:
+def append_new(store: DataFrame, rows: DataFrame, order: str = "ord") -> DataFrame:
     """U-5: rows whose natural key is neither stored nor earlier in the batch.
 
-    The stored side is cut to the batch's time range first (with a ``day``
-    column, that prunes partitions), then anti-joined on the key.
-    Returns (new rows, stored rows restricted to the batch range).
+    With a ``day`` column the store is cut to the days that occur in the
+    batch (one wrong clock adds one day, not a range), which prunes its
+    partitions at run time; then it is anti-joined on the key.
     """
     first = dedupe_batch(rows, order)
-    lo_hi = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    if lo_hi["lo"] is None:
-        return first.limit(0), store.limit(0)
-    lo, hi = F.lit(lo_hi["lo"]), F.lit(lo_hi["hi"])
     near = store
     if "day" in store.columns:
-        near = near.filter(F.col("day").between(F.to_date(lo), F.to_date(hi)))
-    near = near.filter(F.col("ts").between(lo, hi))
-    keys = first.select(*DNS_KEY)
-    small = bounded_broadcast(keys, MAX_BROADCAST_BATCH)
-    if small is not keys:
-        # stored keys that the batch repeats (at most the batch size), found by
-        # streaming the store through the batch's hash table
-        dup = near.select(*DNS_KEY).join(small, DNS_KEY, "left_semi")
-        fresh = first.join(F.broadcast(dup), DNS_KEY, "left_anti")
-    else:
-        fresh = first.join(near.select(*DNS_KEY), DNS_KEY, "left_anti")
-    return fresh, near
+        near = near.join(rows.select(F.to_date("ts").alias("day")).distinct(), "day", "left_semi")
+    return first.join(near.select(*DNS_KEY), DNS_KEY, "left_anti")
 
 
 def domain_batch(rows: DataFrame) -> DataFrame:
@@ -87,6 +68,14 @@ def merge_registry(registry: DataFrame, new_rows: DataFrame) -> DataFrame:
     return upsert(registry, batch, ["domain"], ins, upd)
 
 
+def fold_registry(parts: DataFrame) -> DataFrame:
+    """U-6 over stored parts: a domain's rows of all batches folded into one.
+    Least, greatest and sums commute, so batches can be stored as they come."""
+    return parts.groupBy("domain").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("query_count").alias("query_count"), F.sum("blocked_count").alias("blocked_count"))
+
+
 def prune(store: DataFrame, as_of, retention_days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:
     """U-7: keep rows with ts >= as_of - N days (N = 0 keeps only the future)."""
     cutoff = as_ts(as_of) - days(retention_days)
@@ -118,31 +107,32 @@ def rebase(rows: DataFrame, as_of, ts_col: str = "ts") -> DataFrame:
 
 @dataclass
 class DnsIngest:
-    store: DataFrame        # dns_query after append and prune
-    registry: DataFrame     # dns_domain after merge
     new_rows: DataFrame     # rows appended by this batch
+    domains: DataFrame      # the batch's share of the registry
     metrics: DataFrame      # one row: seen, inserted, duplicates, skipped_entries, new_domains, pruned
 
 
 def ingest_batch(store: DataFrame, registry: DataFrame, mapped: DataFrame, run_key: str,
                  as_of, retention_days: int = DEFAULT_RETENTION_DAYS,
-                 order: str = "ord") -> DnsIngest:
+                 order: str = "ord", write=None) -> DnsIngest:
     """U-5, U-6, U-7 for one batch of mapped entries (``valid`` flag set).
 
-    The run-envelope check (U-1, skip a known run key) is the caller's.
+    ``write`` stores the new rows and gives them back (``store.append``), so
+    that registry and metrics read what was stored instead of computing the
+    batch again. The run-envelope check (U-1) is the caller's.
     """
     valid = mapped.filter("valid").drop("valid", "reject_reason").withColumn("run_key", F.lit(run_key))
-    fresh, _ = append_new(store, valid, order)
-    fresh_rows = fresh.select(*[c for c in store.columns if c != "day"]) if "day" in store.columns \
-        else fresh.select(*store.columns)
-    new_reg = merge_registry(registry, fresh_rows)
-    appended = store.unionByName(with_day(fresh_rows) if "day" in store.columns else fresh_rows)
-    kept = prune(appended, as_of, retention_days)
+    fresh = append_new(store, valid, order).select(*[c for c in store.columns if c != "day"])
+    fresh = write(fresh) if write else fresh
+    domains = domain_batch(fresh)
     counts = mapped.agg(F.count(F.lit(1)).alias("seen"), F.count_if(~F.col("valid")).alias("skipped_entries"))
-    ins = fresh_rows.agg(F.count(F.lit(1))).scalar()
-    newd = new_reg.agg(F.count_if(F.col("_action") == "insert")).scalar()
-    pruned = pruned_count(appended, as_of, retention_days).scalar()
+    cutoff = as_ts(as_of) - days(retention_days)
+    ins = fresh.agg(F.count(F.lit(1))).scalar()
+    newd = domains.join(registry.select("domain"), "domain", "left_anti").agg(F.count(F.lit(1))).scalar()
+    old = store.select("ts").unionByName(fresh.select("ts")) if write is None else store.select("ts")
+    pruned = pruned_count(old, as_of, retention_days).scalar()
+    late = fresh.agg(F.count_if(F.col("ts") < cutoff)).scalar() if write else F.lit(0)
     metrics = (counts.select("seen", "skipped_entries", ins.alias("inserted"), newd.alias("new_domains"),
-                             pruned.alias("pruned"))
+                             (pruned + late).alias("pruned"))
                .withColumn("duplicates", F.col("seen") - F.col("skipped_entries") - F.col("inserted")))
-    return DnsIngest(kept, new_reg.drop("_action"), fresh_rows, metrics)
+    return DnsIngest(fresh, domains, metrics)

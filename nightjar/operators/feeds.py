@@ -88,14 +88,17 @@ def replace_source(state: DataFrame, domains: DataFrame, source: str, as_of) ->
 
 
 def exposure_rows(entries: DataFrame) -> DataFrame:
-    """S-8: (image, exposure?, note?) with exposure defaulting to 'unknown'."""
+    """S-8: (image, exposure?, note?) with exposure defaulting to 'unknown';
+    ``ord`` keeps the order of the entries."""
+    order = F.col("ord") if "ord" in entries.columns else F.monotonically_increasing_id()
     return entries.select("image", F.coalesce(F.col("exposure"), F.lit("unknown")).alias("exposure"),
-                          F.col("note"))
+                          F.col("note"), order.alias("ord"))
 
 
 def upsert_exposure(state: DataFrame, entries: DataFrame, as_of) -> DataFrame:
-    """U-11: update exposure, note, updated_at; images dropped from the map stay."""
+    """U-11: update exposure, note, updated_at; images dropped from the map
+    stay; an image listed twice takes its last entry."""
     t = as_ts(as_of)
-    batch = exposure_rows(entries).dropDuplicates(["image"])
+    batch = reduce_batch(exposure_rows(entries), ["image"], "ord", last=["exposure", "note"])
     vals = {"exposure": B("exposure"), "note": B("note"), "updated_at": t}
     return upsert(state, batch, ["image"], vals, vals, action_col=None)

@@ -36,13 +36,17 @@ def new_runs(incoming: DataFrame, scan_run: DataFrame, source_id: str = SOURCE_I
 
 def record_runs(scan_run: DataFrame, runs: DataFrame, as_of, source_id: str = SOURCE_ID) -> DataFrame:
     """Append run envelopes (run_key, started_at, images) insert-if-absent."""
-    fresh = new_runs(runs, scan_run, source_id).select(
+    return scan_run.unionByName(run_envelopes(new_runs(runs, scan_run, source_id), as_of, source_id))
+
+
+def run_envelopes(runs: DataFrame, as_of, source_id: str = SOURCE_ID) -> DataFrame:
+    """Envelope rows of runs (run_key, started_at, images)."""
+    return runs.select(
         F.lit(source_id).alias("source_id"), "run_key", "started_at",
         as_ts(as_of).alias("ingested_at"),
         F.col("images").cast("int").alias("images_total"),
         F.col("images").cast("int").alias("images_scanned"),
         F.lit(None).cast("int").alias("images_skipped"))
-    return scan_run.unionByName(fresh)
 
 
 def reduce_run(rows: DataFrame, order: str = "ord") -> DataFrame:

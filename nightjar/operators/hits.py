@@ -15,9 +15,10 @@ from .upsert import B, S, reduce_batch, upsert
 
 def upsert_rules(state: DataFrame, catalogue: DataFrame, as_of) -> DataFrame:
     """U-12: (id, description) rows; description refreshed, ``enabled`` and
-    ``added_at`` kept; new rules enabled."""
+    ``added_at`` kept; new rules enabled; of an id listed twice the last counts."""
     t = as_ts(as_of)
-    batch = catalogue.select("id", "description").dropDuplicates(["id"])
+    order = F.col("ord") if "ord" in catalogue.columns else F.monotonically_increasing_id()
+    batch = reduce_batch(catalogue.select("id", "description", order.alias("ord")), ["id"], "ord", last=["description"])
     return upsert(state, batch, ["id"], {"description": B("description"), "enabled": F.lit(True),
                                           "added_at": t},
                   {"description": B("description")}, action_col=None)

@@ -16,11 +16,6 @@ from pyspark.sql import functions as F
 S_PREFIX = "s__"
 B_PREFIX = "b__"
 
-# A batch (one row per key) up to this many rows is applied without
-# shuffling the state: the state streams past a broadcast of the batch.
-MAX_BROADCAST_BATCH = 1_000_000
-
-
 def S(c: str) -> Column:
     """State-side column inside ``upsert`` expressions."""
     return F.col(S_PREFIX + c)
@@ -66,8 +61,7 @@ def reduce_batch(batch: DataFrame, keys: list[str], order: str | Column,
 
 def upsert(state: DataFrame, batch: DataFrame, keys: list[str],
            insert: Mapping[str, Expr], update: Mapping[str, Expr],
-           action_col: str | None = "_action",
-           max_broadcast_batch: int | None = MAX_BROADCAST_BATCH) -> DataFrame:
+           action_col: str | None = "_action") -> DataFrame:
     """Full-outer-join upsert.
 
     * ``state`` rows without a batch row are kept unchanged (action 'keep');
@@ -79,17 +73,10 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str],
     The output has exactly the columns of ``state`` (plus ``action_col``).
     ``batch`` must hold at most one row per key (see ``reduce_batch``).
 
-    Plan: when a LIMIT-ed count proves the batch has at most
-    ``max_broadcast_batch`` rows, the state is left-outer-joined to a
-    broadcast of the batch (state rows stay where they are), the matched keys
-    are found by streaming the state through the batch's hash table, and
-    only unmatched batch rows are inserted: no shuffle of the state. Larger
-    batches use one full outer join.
+    Plan: one full outer join, so state and batch are each read once and no
+    job runs while the plan is built. Callers that use the result more than
+    once write it first.
     """
-    if state.isEmpty():                       # first load: every batch row is an insert
-        return _inserts(state, batch, keys, insert, action_col)
-    if max_broadcast_batch and batch.limit(max_broadcast_batch + 1).count() <= max_broadcast_batch:
-        return _upsert_broadcast(state, batch, keys, insert, update, action_col)
     cols = state.columns
     s = state.select(*[F.col(c).alias(S_PREFIX + c) for c in cols]).withColumn("__s", F.lit(True))
     b = batch.select(*[F.col(c).alias(B_PREFIX + c) for c in batch.columns]).withColumn("__b", F.lit(True))
@@ -112,43 +99,3 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str],
         out.append(F.when(~in_s, F.lit("insert")).when(in_b, F.lit("update"))
                    .otherwise(F.lit("keep")).alias(action_col))
     return j.select(*out)
-
-
-
-def _upsert_broadcast(state: DataFrame, batch: DataFrame, keys: list[str],
-                      insert: Mapping[str, Expr], update: Mapping[str, Expr],
-                      action_col: str | None) -> DataFrame:
-    cols = state.columns
-    s = state.select(*[F.col(c).alias(S_PREFIX + c) for c in cols])
-    b = batch.select(*[F.col(c).alias(B_PREFIX + c) for c in batch.columns]).withColumn("__b", F.lit(True))
-    cond = None
-    for k in keys:
-        c = S(k) == B(k)
-        cond = c if cond is None else cond & c
-    touched = s.join(F.broadcast(b), cond, "left")
-    in_b = F.col("__b").isNotNull()
-    kept = []
-    for c in cols:
-        if c in keys:
-            e = S(c)
-        else:
-            e = F.when(in_b, _ev(update[c]) if c in update else S(c)).otherwise(S(c))
-        kept.append(e.cast(state.schema[c].dataType).alias(c))
-    if action_col:
-        kept.append(F.when(in_b, F.lit("update")).otherwise(F.lit("keep")).alias(action_col))
-    matched = state.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi")
-    fresh = batch.join(F.broadcast(matched), keys, "left_anti")
-    return touched.select(*kept).unionByName(_inserts(state, fresh, keys, insert, action_col))
-
-
-def _inserts(state: DataFrame, batch: DataFrame, keys: list[str], insert: Mapping[str, Expr],
-             action_col: str | None) -> DataFrame:
-    """Batch rows as new state rows (``insert`` expressions over ``B(...)``)."""
-    fb = batch.select(*[F.col(c).alias(B_PREFIX + c) for c in batch.columns])
-    ins = []
-    for c in state.columns:
-        e = B(c) if c in keys else (_ev(insert[c]) if c in insert else F.lit(None))
-        ins.append(e.cast(state.schema[c].dataType).alias(c))
-    if action_col:
-        ins.append(F.lit("insert").alias(action_col))
-    return fb.select(*ins)

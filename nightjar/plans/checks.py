@@ -14,11 +14,6 @@ from .render import render
 
 # ------------------------------------------------------------ finding state
 
-def last_run(spark: SparkSession, sf_dir: str) -> str:
-    """Newest run key of the test estate (one tiny aggregate)."""
-    return tv.finding_rows(spark, sf_dir).agg(F.max("run_key")).first()[0]
-
-
 def findings_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tv.finding_rows(spark, sf_dir)
     return findings.replay_runs(rows, tv.run_images(rows))
@@ -216,7 +211,7 @@ REGISTRY = _registry()
 
 from ..operators import dns as dnsops  # noqa: E402
 from . import detections  # noqa: E402
-from .oracle import NX_FLOOR, SPIKE_FLOOR, TUNNEL_MIN_NAMES  # noqa: E402
+from .oracle import NX_FLOOR, SPIKE_FLOOR, STREAM_SLICES, TUNNEL_MIN_NAMES  # noqa: E402
 
 DQ_OUT = ["ord", "ts", "client", "client_name", "qname", "qtype", "reason", "blocked", "status",
           "upstream", "cached", "elapsed_ms", "registrable_domain", "label_entropy"]
@@ -312,14 +307,14 @@ def _dns_split(spark, sf_dir, store_before_days: int, batch_from_days: int):
 
 def q_dns_dedupe_append(spark, sf_dir):
     store, batch, _ = _dns_split(spark, sf_dir, 10, 12)
-    fresh, _ = dnsops.append_new(store, batch)
+    fresh = dnsops.append_new(store, batch)
     return render(fresh.select(*DQ_OUT))
 
 
 def q_domain_registry_merge(spark, sf_dir):
     store, batch, _ = _dns_split(spark, sf_dir, 3, 5)
     reg0 = dnsops.merge_registry(schemas.empty(spark, "dns_domain"), store).drop("_action")
-    fresh, _ = dnsops.append_new(store, batch)
+    fresh = dnsops.append_new(store, batch)
     return render(dnsops.merge_registry(reg0, fresh.drop("ord")))
 
 
@@ -433,7 +428,7 @@ WHERE label_entropy >= 3.4 AND length(qname) >= 20 AND ts <= :as_of
 GROUP BY registrable_domain
 """
 BROKEN_RULE_SQL = """-- description: reads a table that does not exist
-SELECT entity, summary FROM a_table_that_does_not_exist
+SELECT entity, summary FROM missing_view
 """
 
 
@@ -490,25 +485,30 @@ REGISTRY = _registry()
 
 # --------------------------------------------------------------- streaming
 
-def _landing(spark, sf_dir, name: str, files: int = 4, repull: bool = True) -> str:
-    """Entries landed as JSON-lines files in time order (one write per file,
-    so file times follow event times); optionally a last file re-pulling
-    the final day (exact duplicates of stored entries)."""
-    from ..session import scratch_path
+def _slices(spark, sf_dir, files: int = STREAM_SLICES, repull: bool = True):
+    """Entries in time order, cut into slices; optionally a last slice that
+    re-pulls the final day (exact duplicates of stored entries)."""
     e = tv.dns_entries(spark, sf_dir)
     mx = e.agg(F.max("ord") + 1).scalar()
     e = e.withColumn("__b", F.floor(F.col("ord") * files / mx))
-    path = scratch_path(spark, f"landing-{name}")
     cols = [c for c in e.columns if c not in ("ord", "__b")]
     for i in range(files):
-        (e.filter(F.col("__b") == i).sortWithinPartitions("ord").select(*cols).coalesce(1)
-         .write.mode("append").json(path))
+        yield e.filter(F.col("__b") == i).select(*cols)
     if repull:
         as_of = tv.dns_as_of(spark, sf_dir)
-        last = e.filter(F.col("ord") >= 0).select(*cols).filter(
-            F.col("time").try_cast("timestamp") >= F.timestamp_micros(F.lit(as_of)) - F.expr("INTERVAL 1 DAYS"))
-        last.coalesce(1).write.mode("append").json(path)
-    return path
+        yield e.select(*cols).filter(normalize.parse_iso_ts(F.col("time")) >= F.timestamp_micros(F.lit(as_of))
+                                     - F.expr("INTERVAL 1 DAYS"))
+
+
+def _land_and_run(spark, name: str, slices, start) -> None:
+    """Lands each slice (as many files as it has tasks) and runs the stream over it: a
+    slice is one micro-batch. ``start(source)`` starts the query on its checkpoint."""
+    from ..session import scratch_path
+    from ..streaming import dns_stream
+    path = scratch_path(spark, f"landing-{name}")
+    for piece in slices:
+        piece.write.mode("append").json(path)
+        _run_stream(start(dns_stream.entry_stream(spark, path)))
 
 
 def _run_stream(q):
@@ -518,64 +518,76 @@ def _run_stream(q):
 
 
 def _stream_store(spark, sf_dir, with_rules: bool = False):
-    from ..functions import dnsname
+    """Streams all slices into a store. The first attempt at the first batch
+    dies after its tables are written; the stream is started again and does
+    the batch once more, as if new."""
     from ..session import scratch_path
     from ..sources.store import TableStore
     from ..streaming import dns_stream
-    landing = _landing(spark, sf_dir, "ingest")
+    from . import engine
     store = TableStore(spark, scratch_path(spark, "store"))
     store.write("known_bad_domain", tv.known_bad(spark, sf_dir).withColumn(
         "fetched_at", F.lit("2024-05-01 00:00:00").cast("timestamp")))
     as_of = F.timestamp_micros(F.lit(tv.dns_as_of(spark, sf_dir)))
-    runner = None
-    if with_rules:
-        from . import engine
-        p = engine.RuleParams(spike_floor=SPIKE_FLOOR, nx_floor=NX_FLOOR, tunnel_min_names=TUNNEL_MIN_NAMES)
-        runner = dns_stream.rules_runner(engine.builtin_rules(p))
-    src = dns_stream.entry_stream(spark, landing, max_files_per_trigger=2)
-    q = dns_stream.start_ingest(src, store, dnsname.suffix_rules(spark),
-                                scratch_path(spark, "ckpt-ingest"), as_of=as_of, rule_runner=runner)
-    _run_stream(q)
+    p = engine.RuleParams(spike_floor=SPIKE_FLOOR, nx_floor=NX_FLOOR, tunnel_min_names=TUNNEL_MIN_NAMES)
+    rules = dns_stream.rules_runner(engine.builtin_rules(p)) if with_rules else None
+    checkpoint, died = scratch_path(spark, "ckpt-ingest"), []
+
+    def runner(current, clock):
+        if not died:
+            died.append(True)
+            raise RuntimeError("the job dies here once")
+        if rules is not None:
+            rules(current, clock)
+
+    def start(source):
+        go = lambda: dns_stream.start_ingest(source, store, tv.suffix_rules(spark), checkpoint,
+                                             as_of=as_of, rule_runner=runner)
+        if not died:
+            try:
+                _run_stream(go())
+            except Exception:  # noqa: BLE001  (it died, as it should)
+                if not died:
+                    raise
+        return go()
+
+    _land_and_run(spark, "ingest", _slices(spark, sf_dir), start)
     return store
 
 
 def q_stream_ingest_registry(spark, sf_dir):
-    """ST-1/ST-4: streamed micro-batches (with a re-pulled overlap) build
-    the same registry as one batch over all rows."""
+    """ST-1/ST-4: streamed micro-batches (one of them redone, and a re-pulled
+    overlap) build the same registry as one batch over all rows."""
     return render(_stream_store(spark, sf_dir).read("dns_domain"))
 
 
+def _append_stream(spark, sf_dir, name, build, repull=True):
+    """All slices through ``build(mapped)`` into a Parquet sink."""
+    from ..session import scratch_path
+    from ..streaming import dns_stream
+    out, checkpoint = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"ckpt-{name}")
+
+    def start(source):
+        df = build(dns_stream.mapped_stream(source, tv.suffix_rules(spark)))
+        return (df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start(out))
+
+    _land_and_run(spark, name, _slices(spark, sf_dir, repull=repull), start)
+    return spark.read.parquet(out)
+
+
 def q_stream_dedupe(spark, sf_dir):
     """ST-2: natural-key dedupe within a one-day watermark."""
-    from ..functions import dnsname
-    from ..session import scratch_path
     from ..streaming import dns_stream
-    landing = _landing(spark, sf_dir, "dedupe")
-    src = dns_stream.entry_stream(spark, landing, max_files_per_trigger=1)
-    d = dns_stream.dedupe(dns_stream.mapped_stream(src, dnsname.suffix_rules(spark)), "1 day")
-    out = scratch_path(spark, "dedupe-out")
-    q = (d.select("ts", "client", "qname", "qtype", "registrable_domain").writeStream.format("parquet")
-         .option("checkpointLocation", scratch_path(spark, "ckpt-dedupe")).trigger(availableNow=True)
-         .start(out))
-    _run_stream(q)
-    return render(spark.read.parquet(out))
+    return render(_append_stream(spark, sf_dir, "dedupe", lambda m: dns_stream.dedupe(m, "1 day").select(
+        "ts", "client", "qname", "qtype", "registrable_domain")))
 
 
 def q_stream_sliding_blocked(spark, sf_dir):
     """ST-5: blocked queries per client in 24h windows sliding by 1h;
     append mode emits windows closed by the watermark."""
-    from ..functions import dnsname
-    from ..session import scratch_path
     from ..streaming import dns_stream
-    landing = _landing(spark, sf_dir, "sliding", repull=False)
-    src = dns_stream.entry_stream(spark, landing, max_files_per_trigger=1)
-    agg = dns_stream.sliding_counts(dns_stream.mapped_stream(src, dnsname.suffix_rules(spark)))
-    out = scratch_path(spark, "sliding-out")
-    q = (agg.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", scratch_path(spark, "ckpt-sliding")).trigger(availableNow=True)
-         .start(out))
-    _run_stream(q)
-    return render(spark.read.parquet(out))
+    return render(_append_stream(spark, sf_dir, "sliding", dns_stream.sliding_counts, repull=False))
 
 
 def q_stream_rule_hits(spark, sf_dir):

@@ -11,13 +11,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bounds import bounded_broadcast
 from ..timeutil import as_ts, days, hours
 
-# Blocklists with more distinct listed domains than this are joined with a
-# shuffle rather than broadcast.
-MAX_BROADCAST_LISTINGS = 2_000_000
-
 
 def _since(df: DataFrame, start: Column) -> DataFrame:
     """Rows at or after ``start``; on the stored layout (a ``day`` partition
@@ -50,9 +45,10 @@ def newly_seen(dns_domain: DataFrame, dns_query: DataFrame, as_of, window_hours:
     (0 when the rows are already pruned)."""
     t = as_ts(as_of)
     new = dns_domain.filter(F.col("first_seen") >= t - hours(window_hours))
-    # the new-domain list is derived (a filtered registry): AQE sizes it
+    # the new-domain list is derived (a filtered registry): AQE sizes it. A
+    # domain first seen in the window has no older rows.
     keys = new.select(F.col("domain").alias("registrable_domain"))
-    clients = (dns_query.join(keys, "registrable_domain", "left_semi")
+    clients = (_since(dns_query, t - hours(window_hours)).join(keys, "registrable_domain", "left_semi")
                .groupBy(F.col("registrable_domain").alias("domain"))
                .agg(_distinct("client", approx).alias("client_count")))
     j = new.join(clients, "domain", "left")
@@ -91,10 +87,12 @@ def _burst(dns_query: DataFrame, pred: Column, as_of, floor: int, multiple, noun
     last = F.col("ts") >= t - hours(24)
     prior = (F.col("ts") >= t - days(baseline_days + 1)) & (F.col("ts") < t - hours(24))
     q = _since(dns_query, t - days(baseline_days + 1)).filter(pred)
-    g = q.groupBy("client").agg(
-        F.count_if(last).alias("n"),
-        F.max(F.when(last, F.col("client_name"))).alias("name"),
-        F.count_if(prior).alias("p"))
+    # counts by client and device name first (hash aggregate); the last
+    # name by text is then taken over the few names of a client
+    g = q.groupBy("client", "client_name").agg(F.count_if(last).alias("n"), F.count_if(prior).alias("p")) \
+        .groupBy("client").agg(
+            F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("client_name"))).alias("name"),
+            F.sum("p").alias("p"))
     mult = F.lit(Decimal(str(multiple)))
     fire = ((F.col("n") > 0) & (F.col("n") >= floor)
             & (F.col("n") * baseline_days >= mult * F.col("p")))
@@ -126,7 +124,6 @@ def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame, approx: bool =
     """
     lists = (known_bad_domain.groupBy("domain")
              .agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources")))
-    lists = bounded_broadcast(lists, MAX_BROADCAST_LISTINGS)
     q = dns_query.select(
         F.explode(F.array_distinct(F.array("registrable_domain", "qname"))).alias("domain"),
         "client", "blocked")

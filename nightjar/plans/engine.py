@@ -52,9 +52,8 @@ class RuleParams:
 
 
 def builtin_rules(p: RuleParams | None = None) -> list[Rule]:
-    """The six DNS rules. Rule ids and one-line descriptions
-    are kept equal to the published rule catalogue so hit history carries
-    over by id."""
+    """The six DNS rules. The rule ids, so that hit history
+    carries over by id."""
     p = p or RuleParams()
     return sorted([
         Rule("dns_blocked_spike", "client with an unusual spike in blocked queries",
@@ -77,7 +76,7 @@ def sql_rule(spark: SparkSession, rule_id: str, text: str) -> Rule:
     """A rule from Spark SQL text; the first line carries the description."""
     first = text.splitlines()[0].strip() if text else ""
     if not first.startswith(DESCRIPTION_PREFIX):
-        raise ValueError(f"{rule_id}: first line must start with '{DESCRIPTION_PREFIX} ', got {first!r}")
+        raise ValueError(f"rule {rule_id} does not open with a '{DESCRIPTION_PREFIX}' line but with {first!r}")
     desc = first[len(DESCRIPTION_PREFIX):].strip()
 
     def build(tables: Tables, as_of):
@@ -134,7 +133,7 @@ def run_rules(spark: SparkSession, rules: list[Rule], tables: Tables, rule_state
                 raise ValueError(f"expected columns (entity, summary), got {df.columns}")
             path = scratch_path(spark, f"hits-{r.id}")
             (df.select(F.col("entity").cast("string"), F.col("summary").cast("string"))
-             .write.mode("overwrite").parquet(path))
+             .write.parquet(path))
             got = spark.read.parquet(path)
             if got.filter(F.col("entity").isNull()).limit(1).count():
                 raise ValueError("rule returned a NULL entity")
@@ -142,7 +141,7 @@ def run_rules(spark: SparkSession, rules: list[Rule], tables: Tables, rule_state
                                       F.struct(F.lit(i), F.monotonically_increasing_id()).alias("ord")))
             outcome[r.id] = "ok"
         except (AnalysisException, ValueError, Exception) as exc:  # noqa: BLE001
-            failures[r.id] = str(exc).strip().splitlines()[0][:500]
+            failures[r.id] = str(exc)
             outcome[r.id] = "failed"
     if written:
         batch = written[0]

@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dnsname, normalize
+from ..functions import normalize
 from ..operators import dns as dnsops
 from ..operators import feeds as feedops
 from ..operators import findings
 from ..sources import dnslog, feeds, reports
 from ..sources.store import TableStore
+from ..streaming import dns_stream
 from ..timeutil import as_ts
 from . import engine, ranking
 
@@ -37,78 +38,83 @@ def ingest_scan_runs(store: TableStore, root: str, as_of=None, single_run: bool
     first, with the per-run metrics (images, inserted, updated, resolved).
     ``as_of`` None stamps each run's findings with the run's own start time;
     a value stamps all of them with it."""
-    rows, scanned, runs, rejects = reports.read_runs(store.spark, root, single_run)
-    if rejects.limit(1).count():
-        bad = [r["run_key"] for r in rejects.limit(20).collect()]
-        raise ValueError(f"run directory names are not YYYYmmdd-HHMMSS stamps: {bad}")
-    fresh_runs = findings.new_runs(runs, store.read("scan_run"))
-    if as_of is not None:
-        clock = as_ts(as_of)
-        rows = rows.withColumn("started_at", clock)
-        scanned = scanned.withColumn("started_at", clock)
-    rows = rows.join(fresh_runs.select("run_key"), "run_key", "left_semi")
-    scanned = scanned.join(fresh_runs.select("run_key"), "run_key", "left_semi")
-    fresh = fresh_runs.orderBy("run_key").collect()      # the run list: one row per run
-    if not fresh:
+    spark = store.spark
+    known = {r.run_key for r in store.read("scan_run").filter(F.col("source_id") == findings.SOURCE_ID)
+             .select("run_key").collect()}                  # one short key per run
+    found = reports.read_runs(spark, root, single_run, known)
+    if found is None:
         return []
+    rows, scanned, runs = found
+    if as_of is not None:
+        rows, scanned = (df.withColumn("started_at", as_ts(as_of)) for df in (rows, scanned))
+    clock = as_of if as_of is not None else F.current_timestamp()
     out = []
     if not per_run:
-        state = store.read("vuln_finding")
-        new_state = findings.apply_runs(state, rows, scanned)
-        store.write("vuln_finding", new_state)
-        after = store.read("vuln_finding")
-        m = after.agg(F.count(F.lit(1)).alias("findings"),
-                      F.count_if(F.col("resolved_at").isNull()).alias("unresolved")).first()
-        out.append({"runs": len(fresh), "images": scanned.select("image").distinct().count(),
-                    "rows": rows.count(), **m.asDict()})
-    else:
-        for run in fresh:
-            key = run["run_key"]
+        with store.transition():
+            before = store.read("vuln_finding")
+            after = store.write("vuln_finding", findings.apply_runs(before, rows, scanned))
+            store.append("scan_run", findings.run_envelopes(runs, clock))
+        keys = ["image", "pkg_name", "installed_version", "cve"]
+        was = before.select(*keys, F.col("resolved_at").alias("was"), F.lit(True).alias("old"))
+        first = runs.agg(F.min("run_key")).first()[0]
+        m = after.join(was, keys, "left").agg(
+            F.count_if(F.col("old").isNull()).alias("inserted"),
+            F.count_if(F.col("old").isNotNull() & (F.col("last_run") >= first)).alias("updated"),
+            F.count_if(F.col("resolved_at").isNotNull() & F.col("was").isNull()).alias("resolved"),
+            F.count(F.lit(1)).alias("findings")).first()
+        n = runs.agg(F.count(F.lit(1)).alias("runs"), F.sum("images").alias("images")).first()
+        return [{**n.asDict(), **m.asDict()}]
+    for run in runs.orderBy("run_key").collect():            # one row per run
+        key = run["run_key"]
+        with store.transition():                             # findings and envelope together
             res = findings.ingest_run(store.read("vuln_finding"), rows.filter(F.col("run_key") == key),
                                       scanned.filter(F.col("run_key") == key), key,
                                       as_of if as_of is not None else run["started_at"])
+            out.append({"run_key": key, "skipped": False, **res.metrics.first().asDict(), "images": run["images"]})
             store.write("vuln_finding", res.state)
-            out.append({"run_key": key, "skipped": False, **res.metrics.first().asDict()})
-    env = fresh_runs.select("run_key", "started_at", "images")
-    store.write("scan_run", findings.record_runs(store.read("scan_run"), env,
-                                                 as_of if as_of is not None else F.current_timestamp()))
+            store.append("scan_run", findings.run_envelopes(runs.filter(F.col("run_key") == key), clock))
     return out
 
 
-def ingest_dns_file(store: TableStore, path: str, as_of=None, shift_to_now: bool = False,
-                    retention_days: int = dnsops.DEFAULT_RETENTION_DAYS, rules=None) -> dict:
+def ingest_dns_files(store: TableStore, folder: str, rules, **how) -> list[dict]:
+    """Every page file of a folder, by name, each a run of its own."""
+    return [ingest_dns_file(store, f, rules, **how) for f in dnslog.page_files(store.spark, folder)]
+
+
+def ingest_dns_file(store: TableStore, path: str, rules, as_of=None, shift_to_now: bool = False,
+                    retention_days: int = dnsops.DEFAULT_RETENTION_DAYS) -> dict:
     """One query-log page file; the run key is the file name, so the same
-    file twice is skipped (also after a rebase)."""
-    spark = store.spark
-    ent = dnslog.read_pages(spark, path)
-    run_key = ent.select("run_key").first()
-    run_key = run_key["run_key"] if run_key else path.rsplit("/", 1)[-1]
+    file twice is skipped (also after a rebase). ``rules`` are the public
+    suffix rules (``dnsname.load_suffix_rules``). Rows, registry and run
+    envelope are one commit: a job that dies is done again as if new."""
+    run_key = path.rsplit("/", 1)[-1]
+    if dnslog.page_files(store.spark, path) and len(dnslog.page_files(store.spark, path)) > 1:
+        raise ValueError(f"{path} holds several page files: use ingest_dns_files")
     known = store.read("scan_run").filter((F.col("source_id") == DNS_SOURCE) & (F.col("run_key") == run_key))
     if known.limit(1).count():
         return {"run_key": run_key, "skipped": True, "reason": "already ingested"}
     clock = as_ts(as_of)
-    mapped = normalize.map_dns_entries(ent, rules or dnsname.suffix_rules(spark), keep=["ord"])
+    ent = dnslog.read_pages(store.spark, path)
+    mapped = normalize.map_dns_entries(ent, rules, keep=["ord"])
     if shift_to_now:
         mapped = dnsops.rebase(mapped, clock)
-    res = dnsops.ingest_batch(store.read("dns_query"), store.read("dns_domain"), mapped, run_key,
-                              clock, retention_days)
-    metrics = res.metrics.first().asDict()
-    cutoff = spark.range(1).select(clock - dnsops.days(retention_days)).first()[0]
-    store.append("dns_query", res.new_rows, run_key, cutoff)
-    store.write("dns_domain", res.registry)
-    env = spark.createDataFrame([(DNS_SOURCE, run_key)], "source_id string, run_key string").select(
-        "source_id", "run_key", clock.alias("started_at"), clock.alias("ingested_at"),
-        F.lit(None).cast("int").alias("images_total"), F.lit(None).cast("int").alias("images_scanned"),
-        F.lit(None).cast("int").alias("images_skipped"))
-    store.write("scan_run", store.read("scan_run").unionByName(env))
+    with store.transition():
+        mapped = mapped.persist()
+        try:
+            res = dnsops.ingest_batch(store.read("dns_query"), store.read("dns_domain"), mapped, run_key, clock,
+                                      retention_days, write=lambda df: store.append("dns_query", df))
+            metrics = res.metrics.first().asDict()
+            store.append("dns_domain", res.domains)
+        finally:
+            mapped.unpersist()
+        dns_stream.record_dns_run(store, run_key, clock, retention_days)
     return {"run_key": run_key, "skipped": False, **metrics}
 
 
 def load_exposure(store: TableStore, path: str, as_of=None) -> DataFrame:
     """Upsert the exposure map; returns the images still unmapped."""
-    new = feedops.upsert_exposure(store.read("image_exposure"), feeds.read_exposure(store.spark, path),
-                                  as_of)
-    store.write("image_exposure", new)
+    rows = feeds.read_exposure(store.spark, path)       # refuses values outside the enum
+    store.write("image_exposure", feedops.upsert_exposure(store.read("image_exposure"), rows, as_of))
     return ranking.unmapped_images(store.read("vuln_finding"), store.read("image_exposure"))
 
 
@@ -141,12 +147,25 @@ def run_rule_engine(store: TableStore, rules: list[engine.Rule] | None = None,
     rules = list(rules or engine.builtin_rules())
     if rules_dir:
         rules += engine.discover(spark, rules_dir)
-    tables = {"dns_query": store.read("dns_query").drop("batch"), "dns_domain": store.read("dns_domain"),
+    tables = {"dns_query": store.read("dns_query"), "dns_domain": store.read("dns_domain"),
               "known_bad_domain": store.read("known_bad_domain"),
               "vuln_finding": store.read("vuln_finding")}
     out = engine.run_rules(spark, rules, tables, store.read("rule"), store.read("rule_hit"), as_of)
-    store.write("rule", out.rules)
-    store.write("rule_hit", out.hits)
+    with store.transition():
+        store.write("rule", out.rules)
+        store.write("rule_hit", out.hits)
+    return out
+
+
+def enrich(store: TableStore, kev: str, epss: str, blocklists: dict[str, str], as_of=None) -> dict:
+    """All feeds. A blocklist (by source name) that can't be read is reported
+    and leaves that source as it was; the other feeds must load."""
+    out = {"kev": load_kev(store, kev, as_of), "epss": load_epss(store, epss, as_of), "failed": {}}
+    for source, path in blocklists.items():
+        try:
+            out[source] = load_blocklist(store, path, source, as_of)
+        except Exception as exc:  # noqa: BLE001  (one list must not stop the others)
+            out["failed"][source] = str(exc)
     return out
 
 

@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bounds import MAX_DIMENSION_ROWS, bounded_broadcast
 from ..timeutil import as_ts
 
 # The exposure map, exploited list and score table are broadcast after a
@@ -48,9 +47,10 @@ def vuln_priority(findings: DataFrame, exposure: DataFrame, kev: DataFrame,
                   epss: DataFrame, weights: PriorityWeights = DEFAULT_WEIGHTS) -> DataFrame:
     """Q-1: open findings (not resolved, status open) with flags and score."""
     f = findings.filter(F.col("resolved_at").isNull() & (F.col("status") == "open"))
-    e = bounded_broadcast(exposure.select("image", F.col("exposure").alias("__exp")), MAX_DIMENSION_ROWS)
-    k = bounded_broadcast(kev.select("cve", F.lit(True).alias("__kev")), MAX_DIMENSION_ROWS)
-    s = bounded_broadcast(epss.select("cve", F.col("score").alias("epss")), MAX_DIMENSION_ROWS)
+    # no hints: AQE broadcasts a side by its measured size
+    e = exposure.select("image", F.col("exposure").alias("__exp"))
+    k = kev.select("cve", F.lit(True).alias("__kev"))
+    s = epss.select("cve", F.col("score").alias("epss"))
     j = f.join(e, "image", "left").join(k, "cve", "left").join(s, "cve", "left")
     exp = F.coalesce(F.col("__exp"), F.lit("unknown"))
     fixable = F.col("fixed_version").isNotNull() & (F.col("fixed_version") != "")

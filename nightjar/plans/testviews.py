@@ -49,9 +49,20 @@ def _host(url):
     return F.regexp_extract(url, r"^[a-z]+://([^/?#:]+)", 1)
 
 
+#: Public suffix rules of the test estate: plain, two-label, wildcard,
+#: exception and Unicode ones.
+TEST_SUFFIXES = ["com", "net", "org", "edu", "gov", "io", "top", "de", "fr", "uk", "co.uk", "org.uk", "ac.uk",
+                 "com.br", "*.ck", "!www.ck", "\u0440\u0444"]
+
+
+def suffix_rules(spark: SparkSession) -> dnsname.SuffixRules:
+    return dnsname.suffix_rules(spark, TEST_SUFFIXES)
+
+
 def _suffix(i):
-    return (F.when(i % 4 == 0, "com").when(i % 4 == 1, "co.uk")
-            .when(i % 4 == 2, "net").otherwise("org"))
+    """com, co.uk, net, org, com.br, a wildcard suffix, the exception, an IDN."""
+    kinds = ["com", "co.uk", "net", "org", "com.br", "net.ck", "www.ck", "xn--p1ai"]
+    return F.element_at(F.array(*[F.lit(k) for k in kinds]), (i % 8 + 1).cast("int"))
 
 
 def synthetic_qname(event_id, first_label):
@@ -87,6 +98,9 @@ def dns_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(eid % 11 == 5, F.concat(F.lit("  "), name))
             .otherwise(name))
     iso = (F.when(eid % 97 == 0, F.lit("not-a-time"))
+           .when(eid % 97 == 1, F.date_format(ts, "HH:mm:ss"))
+           .when(eid % 97 == 2, F.date_format(ts, "yyyy"))
+           .when(eid % 10 == 4, F.date_format(ts, "yyyyMMdd'T'HHmmss.SSSSSS'Z'"))
            .when(eid % 2 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
            .otherwise(F.concat(F.date_format(ts - F.expr("INTERVAL 4 HOURS"),
                                              "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("-04:00"))))
@@ -111,7 +125,7 @@ def dns_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dns_mapped(spark: SparkSession, sf_dir: str, rules=None) -> DataFrame:
-    rules = rules if rules is not None else dnsname.suffix_rules(spark)
+    rules = rules if rules is not None else suffix_rules(spark)
     return normalize.map_dns_entries(dns_entries(spark, sf_dir), rules, keep=["ord"])
 
 

@@ -1,124 +1,148 @@
-"""Versioned Parquet table store (S-9 and persistence of every transition).
-
-Plain Parquet has no MERGE or DELETE, so a state change writes a new
-immutable version and then appends one row to a manifest. Readers take the
-newest manifest row per table, so a job that dies mid-write leaves only an
-unreferenced folder and the previous version stays current. The manifest is
-itself an append-only Parquet table: no file-system API is needed.
-
-``dns_query`` is append-only: each batch appends its rows under
-``day=/batch=`` partitions, where the batch id is unique per attempt, and
-the manifest row records the batch id, its run key and the retention
-cut-off. Reads keep only committed batch ids and rows at or after the
-newest cut-off, so pruning never rewrites data and files of a failed
-attempt are never read; whole day partitions before the cut-off can be
-removed by storage lifecycle rules.
-
-Every snapshot version also gets a folder unique to its attempt, so a
-retry after a crash never collides with a half-written folder.
+"""State tables as immutable Parquet folders and one manifest (S-9).
+
+A transition writes new folders first and then one manifest file that names
+every folder of every table. The manifest is the commit: all tables of a
+transition appear together or not at all, and what a failed job left behind
+is never read. There is one writer per store.
+
+Snapshot tables have one folder, replaced by each write. The tables in
+``PARTED`` grow by parts: query rows (by day), run envelopes, and the
+registry, whose parts are folded when read. ``MERGE`` parts of a level are
+merged into one of the next, so a table has a few dozen parts however many
+batches it took. Retention deletes the day folders that fell out of it.
 """
 from __future__ import annotations
 
-import datetime as dt
-import os
+import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.dns import fold_registry
+from ..session import drop_path
 
-MANIFEST = "_manifest"
-MANIFEST_SCHEMA = ("table string, version long, path string, run_key string, "
-                   "cutoff timestamp, committed_at timestamp")
-APPEND_TABLES = {"dns_query": ["day", "batch"]}
+MERGE = 16
+PARTED = {"dns_query": "day", "scan_run": None, "dns_domain": None}
+FOLD = {"dns_domain": fold_registry}
 
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self._rows: list | None = None   # manifest rows, read once per store object
-
-    def refresh(self) -> None:
-        """Forget the cached manifest (another writer may have committed)."""
-        self._rows = None
-
-    # ---------------------------------------------------------------- manifest
-    def _manifest(self) -> DataFrame:
+        self.spark, self.root = spark, root.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda name: path(f"{self.root}/_manifest/{name}")
+        self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._state: dict | None = None       # during a transition: what it will commit
+        self._version = 0
+
+    # -------------------------------------------------------------- manifest
+    def _load(self) -> dict:
+        """The newest manifest; an empty store has none. Any other failure to
+        read is an error, never an empty store."""
+        if self._state is not None:
+            return self._state
+        folder = self._path("x").getParent()
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        done = sorted(n for n in names if n.endswith(".json"))
+        self._version = int(done[-1].split(".")[0]) if done else 0
+        if not done:
+            return {}
+        text = self.spark.read.text(f"{self.root}/_manifest/{done[-1]}", wholetext=True).first()[0]
+        return json.loads(text)
+
+    @contextmanager
+    def transition(self) -> Iterator[TableStore]:
+        """Commits all writes inside together, at its end; none if it fails."""
+        if self._state is not None:
+            yield self                        # part of the transition that is open
+            return
+        self._state, before = self._load(), self._version
         try:
-            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{self.root}/{MANIFEST}")
-        except Exception:  # noqa: BLE001  (no manifest yet)
-            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
-
-    def _all(self) -> list:
-        # The manifest is tiny (one row per commit); it is read once and then
-        # kept current by this writer's own commits (one writer per store).
-        if self._rows is None:
-            self._rows = [r.asDict() for r in self._manifest().collect()]
-        return self._rows
-
-    def _entries(self, table: str) -> list:
-        return sorted((r for r in self._all() if r["table"] == table), key=lambda r: r["version"])
-
-    def version(self, table: str) -> int:
-        vs = [r["version"] for r in self._all() if r["table"] == table]
-        return max(vs) if vs else 0
-
-    def _commit(self, table: str, version: int, path: str, run_key=None, cutoff=None):
-        row = (table, version, path, run_key, cutoff, dt.datetime.now(dt.timezone.utc))
-        (self.spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1)
-         .write.mode("append").parquet(f"{self.root}/{MANIFEST}"))
-        self._all().append(dict(zip(["table", "version", "path", "run_key", "cutoff", "committed_at"], row)))
+            yield self
+            name = f"{before + 1:012d}.json"
+            out = self._fs.create(self._path(f"_{name}"), True)
+            out.write(bytearray(json.dumps(self._state).encode()))
+            out.close()
+            if not self._fs.rename(self._path(f"_{name}"), self._path(name)):
+                raise RuntimeError(f"another writer committed version {before + 1} of {self.root}")
+            if before > MERGE:
+                self._fs.delete(self._path(f"{before - MERGE:012d}.json"), False)
+            for path in self._state.pop("expired", []):
+                drop_path(self.spark, path)
+        finally:
+            self._state = None
+
+    def version(self) -> int:
+        self._load()
+        return self._version
+
+    def parts(self, table: str) -> list[dict]:
+        return self._load().get(table, [])
 
     # ------------------------------------------------------------------ read
     def read(self, table: str) -> DataFrame:
+        schema, parts = schemas.STATE_SCHEMAS[table], self.parts(table)
+        paths = [p["path"] for p in parts]
+        if not paths:
+            return self.spark.createDataFrame([], schema).withColumn("day", F.lit(None).cast("date")) \
+                if table == "dns_query" else self.spark.createDataFrame([], schema)
+        return FOLD.get(table, lambda x: x)(self._scan(table, paths))
+
+    def _scan(self, table: str, paths: list[str]) -> DataFrame:
         schema = schemas.STATE_SCHEMAS[table]
-        entries = self._entries(table)
-        if not entries:
-            return self.spark.createDataFrame([], schema)
-        if table in APPEND_TABLES:
-            batches = [e["path"] for e in entries]
-            cutoffs = [e["cutoff"] for e in entries if e["cutoff"] is not None]
-            df = self.spark.read.parquet(f"{self.root}/{table}/data")
-            df = df.filter(F.col("batch").isin(batches))
-            if cutoffs:
-                cut = max(cutoffs)
-                df = df.filter((F.col("day") >= F.lit(cut.date())) & (F.col("ts") >= F.lit(cut)))
-            return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], "day")
-        return self.spark.read.schema(schema).parquet(entries[-1]["path"])
+        reader = self.spark.read.option("basePath", f"{self.root}/{table}")
+        if PARTED.get(table) != "day":
+            return reader.schema(schema).parquet(*paths).select(*schema.names)
+        df = reader.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())])).parquet(*paths)
+        cut = self._load().get("cutoff")
+        if cut:
+            clock = F.lit(cut).cast("timestamp")
+            df = df.filter((F.col("day") >= F.to_date(clock)) & (F.col("ts") >= clock))
+        return df.select(*schema.names, "day")
 
     # ----------------------------------------------------------------- write
-    def write(self, table: str, df: DataFrame) -> int:
-        """Write a full new version of a snapshot table; returns its number."""
-        v = self.version(table) + 1
-        path = f"{self.root}/{table}/v{v:08d}-{uuid.uuid4().hex[:12]}"
-        schema = schemas.STATE_SCHEMAS[table]
-        (df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-         .write.mode("errorifexists").parquet(path))
-        self._commit(table, v, path)
-        return v
-
-    def read_batch(self, table: str, batch: str) -> DataFrame:
-        """The rows of one committed batch (reads only its partitions)."""
-        schema = schemas.STATE_SCHEMAS[table]
-        df = self.spark.read.parquet(f"{self.root}/{table}/data").filter(F.col("batch") == batch)
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-
-    def append(self, table: str, rows: DataFrame, run_key: str, cutoff=None) -> str:
-        """Append a batch to an append-only table and commit it (with an
-        optional retention cut-off applied to all reads from now on).
-        Returns the batch id."""
-        v = self.version(table) + 1
-        schema = schemas.STATE_SCHEMAS[table]
-        out = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name != "run_key"])
-        batch = f"{run_key}-{uuid.uuid4().hex[:12]}"
-        out = (out.withColumn("run_key", F.lit(run_key)).withColumn("day", F.to_date("ts"))
-               .withColumn("batch", F.lit(batch)))
-        (out.write.mode("append").partitionBy(*APPEND_TABLES[table])
-         .parquet(f"{self.root}/{table}/data"))
-        self._commit(table, v, batch, run_key, cutoff)
-        return batch
-
-    def path(self, *parts: str) -> str:
-        return os.path.join(self.root, *parts)
+    def _put(self, table: str, df: DataFrame, level: int) -> dict:
+        schema, by = schemas.STATE_SCHEMAS[table], PARTED.get(table)
+        path = f"{self.root}/{table}/part={uuid.uuid4().hex}"
+        out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        if by:                                # one file a day: parts stay few and readable
+            out = out.withColumn(by, F.to_date("ts")).repartition(by)
+        (out.write.partitionBy(by) if by else out.write).parquet(path)
+        return {"path": path, "level": level}
+
+    def write(self, table: str, df: DataFrame) -> DataFrame:
+        """Replaces a table; gives what was written."""
+        with self.transition() as t:
+            t._state[table] = [t._put(table, df, 0)]
+            return t.read(table)
+
+    def append(self, table: str, df: DataFrame) -> DataFrame:
+        """Adds a part; gives its rows as written (for the registry: unfolded)."""
+        with self.transition() as t:
+            parts = t._state.setdefault(table, [])
+            parts.append(t._put(table, df, 0))
+            written = t._scan(table, [parts[-1]["path"]])
+            level = 0
+            while len(full := [p for p in parts if p["level"] == level]) > MERGE:
+                rows = FOLD.get(table, lambda x: x)(t._scan(table, [p["path"] for p in full]))
+                parts[:] = [p for p in parts if p["level"] != level] + [t._put(table, rows, level + 1)]
+                level += 1
+            return written.drop("day")
+
+    def retain(self, cutoff: str) -> None:
+        """U-7: query rows before ``cutoff`` (a timestamp's text) are gone from
+        now on; day folders before it are deleted after the commit."""
+        with self.transition() as t:
+            t._state["cutoff"] = max(cutoff, t._state.get("cutoff") or "")
+            first = t._state["cutoff"][:10]
+            for p in t._state.get("dns_query", []):
+                status = t._fs.listStatus(t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p["path"]))
+                days = [f.getPath().getName()[4:] for f in status if f.getPath().getName().startswith("day=")]
+                t._state.setdefault("expired", []).extend(f"{p['path']}/day={d}" for d in days if d < first)
+                p["empty"] = not any(d >= first for d in days)
+            t._state["dns_query"] = [p for p in t._state.get("dns_query", []) if not p.pop("empty")]

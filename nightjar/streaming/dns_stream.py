@@ -1,11 +1,11 @@
 """Streaming DNS ingest and detections.
 
 * ST-1/ST-4/ST-6/ST-7  ``start_ingest``: file source -> foreachBatch that
-  appends new rows, merges the domain registry, applies retention, records
-  the run and (optionally) runs the rules; the checkpoint is the progress.
-  ``foreachBatch`` is at-least-once, so a replayed batch id is recognised by
-  its run key and skipped; the natural-key anti-join makes a half-finished
-  batch safe to redo as well.
+  appends new rows, adds to the domain registry, applies retention, records
+  the run and (optionally) runs the rules, all in one commit of the store;
+  the checkpoint is the progress. ``foreachBatch`` is at-least-once: a batch
+  that was committed is recognised by its run key and skipped, one that was
+  not left nothing that is read.
 * ST-2 ``dedupe``: watermark-bounded natural-key dedupe.
 * ST-3 late rows: the watermark delay is a parameter (0 = drop anything at
   or before the newest seen time, as the cursor pull does).
@@ -36,14 +36,6 @@ def entry_stream(spark: SparkSession, path: str, fmt: str = "json",
     return r.load(path)
 
 
-def page_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Query-log page files ``{"data": [...]}`` as a stream of entries."""
-    r = spark.readStream.schema(schemas.DNS_PAGE).option("multiLine", True)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path).select(F.inline("data"))
-
-
 def mapped_stream(stream: DataFrame, rules) -> DataFrame:
     """Entries -> dns_query rows (validity flagged); rule table is static."""
     return normalize.map_dns_entries(stream, rules)
@@ -57,10 +49,12 @@ def dedupe(mapped: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def sliding_counts(mapped: DataFrame, predicate: str = "blocked", size: str = "24 hours",
                    slide: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
-    """ST-5: per client and sliding window, rows matching ``predicate``."""
-    return (mapped.filter("valid").filter(predicate).withWatermark("ts", delay)
+    """ST-5: per client and sliding window, rows matching ``predicate``. All
+    rows move the watermark, so a quiet client's windows close too; that is
+    why the predicate is counted and not filtered before."""
+    return (mapped.filter("valid").withWatermark("ts", delay)
             .groupBy(F.window("ts", size, slide).alias("w"), "client")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.count_if(predicate).alias("n")).filter("n > 0")
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "client", "n"))
 
@@ -81,52 +75,53 @@ def sliding_names(mapped: DataFrame, size: str = "24 hours", slide: str = "1 hou
 
 def process_batch(store: TableStore, batch: DataFrame, run_key: str, as_of,
                   retention_days: int = dnsops.DEFAULT_RETENTION_DAYS, rule_runner=None) -> bool:
-    """One micro-batch of mapped entries into the store. Returns False when
-    the run key is already recorded (replay)."""
-    spark = batch.sparkSession
-    scan_run = store.read("scan_run")
-    if scan_run.filter((F.col("source_id") == SOURCE_ID) & (F.col("run_key") == run_key)).limit(1).count():
-        return False
-    # The micro-batch is read by the range probe, the anti-join and the
-    # append; keep it for the duration of this batch only.
-    mapped = batch.withColumn("ord", F.monotonically_increasing_id()).persist()
-    try:
-        return _apply(store, spark, mapped, scan_run, run_key, as_of, retention_days, rule_runner)
-    finally:
-        mapped.unpersist()
-
-
-def _apply(store, spark, mapped, scan_run, run_key, as_of, retention_days, rule_runner) -> bool:
-    res = dnsops.ingest_batch(store.read("dns_query"), store.read("dns_domain"), mapped, run_key,
-                              as_of, retention_days)
+    """One micro-batch of mapped entries into the store: rows, registry, run
+    envelope, retention and rule hits in one commit. Returns False when the
+    run key is already recorded (replay)."""
+    with store.transition():
+        known = store.read("scan_run").filter((F.col("source_id") == SOURCE_ID) & (F.col("run_key") == run_key))
+        if known.limit(1).count():
+            return False
+        # The duplicate check and the append both read the micro-batch.
+        mapped = batch.withColumn("ord", F.monotonically_increasing_id()).persist()
+        try:
+            res = dnsops.ingest_batch(store.read("dns_query"), store.read("dns_domain"), mapped, run_key, as_of,
+                                      retention_days, write=lambda df: store.append("dns_query", df))
+            store.append("dns_domain", res.domains)
+        finally:
+            mapped.unpersist()
+        record_dns_run(store, run_key, as_of, retention_days)
+        if rule_runner is not None:
+            rule_runner(store, as_of)
+    return True
+
+
+def record_dns_run(store: TableStore, run_key: str, as_of, retention_days: int) -> None:
+    """The run envelope and the retention cut-off of one DNS batch."""
     t = as_ts(as_of)
-    cutoff = spark.range(1).select(t - dnsops.days(retention_days)).first()[0]
-    batch_id = store.append("dns_query", res.new_rows, run_key, cutoff)
-    # The registry merge reads the rows just committed, not the batch again.
-    written = store.read_batch("dns_query", batch_id)
-    reg = dnsops.merge_registry(store.read("dns_domain"), written).drop("_action")
-    store.write("dns_domain", reg)
-    if rule_runner is not None:
-        rule_runner(store, as_of)
-    env = spark.createDataFrame([(SOURCE_ID, run_key)], "source_id string, run_key string").select(
+    one = store.spark.createDataFrame([(SOURCE_ID, run_key)], "source_id string, run_key string")
+    none = F.lit(None).cast("int")
+    store.append("scan_run", one.select(
         "source_id", "run_key", t.alias("started_at"), t.alias("ingested_at"),
-        F.lit(None).cast("int").alias("images_total"), F.lit(None).cast("int").alias("images_scanned"),
-        F.lit(None).cast("int").alias("images_skipped"))
-    store.write("scan_run", scan_run.unionByName(env))
-    return True
+        none.alias("images_total"), none.alias("images_scanned"), none.alias("images_skipped")))
+    store.retain(one.select((t - dnsops.days(retention_days)).cast("string")).first()[0])
 
 
 def start_ingest(stream_entries: DataFrame, store: TableStore, rules, checkpoint: str,
                  as_of=None, retention_days: int = dnsops.DEFAULT_RETENTION_DAYS,
-                 run_prefix: str = "stream-", rule_runner=None, available_now: bool = True):
+                 rule_runner=None, available_now: bool = True):
     """ST-1: start the ingest stream; returns the StreamingQuery.
 
-    ``as_of`` None means the clock is the batch's processing time."""
+    A batch's run key holds the query's id, which its checkpoint keeps: a
+    batch that is run again is known, one of a new checkpoint or of another
+    stream on the store is not. ``as_of`` None means the clock is the batch's
+    processing time."""
     mapped = mapped_stream(stream_entries, rules)
 
     def each(batch: DataFrame, batch_id: int):
         clock = as_of if as_of is not None else F.current_timestamp()
-        process_batch(store, batch, f"{run_prefix}{batch_id:012d}", clock, retention_days, rule_runner)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        process_batch(store, batch, f"stream-{query}-{batch_id:012d}", clock, retention_days, rule_runner)
 
     w = mapped.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -140,7 +135,7 @@ def rules_runner(rules, params_tables=None):
 
     def run(store: TableStore, as_of):
         spark = store.spark
-        tables = {"dns_query": store.read("dns_query").drop("batch"),
+        tables = {"dns_query": store.read("dns_query"),
                   "dns_domain": store.read("dns_domain"),
                   "known_bad_domain": store.read("known_bad_domain")}
         if params_tables:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from nightjar import schemas
 from nightjar.operators import dns
+from nightjar.plans.testviews import suffix_rules
 
 
 def _with_ord(df):
@@ -19,10 +20,10 @@ def test_overlap_does_not_inflate_registry(spark):
     b = _with_ord(dns_rows(spark, [dict(ts=ago(hours=h), qname="x.example") for h in (3, 2, 2)]))
     store = schemas.empty(spark, "dns_query")
     reg = schemas.empty(spark, "dns_domain")
-    new_a, _ = dns.append_new(store, a)
+    new_a = dns.append_new(store, a)
     reg = dns.merge_registry(reg, new_a.drop("ord")).drop("_action")
     store = store.unionByName(new_a.drop("ord"))
-    new_b, _ = dns.append_new(store, b)
+    new_b = dns.append_new(store, b)
     assert new_b.count() == 1                         # ago(2h), once
     reg = dns.merge_registry(reg, new_b.drop("ord")).first()
     assert reg["query_count"] == 4 and reg["first_seen"] == ago(hours=5) and reg["last_seen"] == ago(hours=2)
@@ -51,7 +52,7 @@ def test_cursor_and_rebase(spark):
 
 
 def test_ingest_batch_metrics_and_idempotence(spark):
-    from nightjar.functions import dnsname, normalize
+    from nightjar.functions import normalize
     ent = spark.createDataFrame(
         [(i, t, "10.0.0.1", None, (n, "A"), r, "NOERROR", None, None, "1")
          for i, (t, n, r) in enumerate([("2026-08-15T10:00:00Z", "a.example.com", "NotFilteredNotFound"),
@@ -62,26 +63,27 @@ def test_ingest_batch_metrics_and_idempotence(spark):
         "ord int, time string, client string, client_info struct<name:string>, "
         "question struct<name:string,type:string>, reason string, status string, upstream string, "
         "cached boolean, elapsedMs string")
-    m = normalize.map_dns_entries(ent, dnsname.suffix_rules(spark), keep=["ord"])
+    m = normalize.map_dns_entries(ent, suffix_rules(spark), keep=["ord"])
     res = dns.ingest_batch(schemas.empty(spark, "dns_query"), schemas.empty(spark, "dns_domain"), m,
                            "r1", AS_OF, retention_days=35)
     mt = res.metrics.first()
     assert (mt["seen"], mt["inserted"], mt["duplicates"], mt["skipped_entries"], mt["new_domains"],
             mt["pruned"]) == (5, 3, 1, 1, 3, 1)
-    assert res.store.count() == 2 and res.registry.count() == 3
-    again = dns.ingest_batch(res.store, res.registry, m, "r2", AS_OF, 35)
+    stored = dns.prune(res.new_rows, AS_OF, 35)
+    assert stored.count() == 2 and res.domains.count() == 3
+    again = dns.ingest_batch(stored, res.domains, m, "r2", AS_OF, 35)
     assert again.metrics.first()["inserted"] == 1      # only the pruned old row comes back (T-6)
 
 
 def test_stream_batch_replay_is_noop(spark, tmp_path):
-    from nightjar.functions import dnsname, normalize
+    from nightjar.functions import normalize
     from nightjar.sources.store import TableStore
     from nightjar.streaming import dns_stream
     store = TableStore(spark, str(tmp_path / "store"))
     ent = spark.createDataFrame(
         [("2026-08-15T10:00:00Z", "10.0.0.1", None, ("a.example.com", "A"), "NotFilteredNotFound",
           "NOERROR", None, None, "1")], schemas.DNS_ENTRY)
-    batch = normalize.map_dns_entries(ent, dnsname.suffix_rules(spark))
+    batch = normalize.map_dns_entries(ent, suffix_rules(spark))
     assert dns_stream.process_batch(store, batch, "stream-0", AS_OF) is True
     assert dns_stream.process_batch(store, batch, "stream-0", AS_OF) is False
     assert dns_stream.process_batch(store, batch, "stream-1", AS_OF) is True
@@ -90,30 +92,132 @@ def test_stream_batch_replay_is_noop(spark, tmp_path):
     assert store.read("scan_run").count() == 2
 
 
-def test_store_versions(spark, tmp_path):
+def _store(spark, tmp_path):
     from nightjar.sources.store import TableStore
-    st = TableStore(spark, str(tmp_path / "s"))
-    assert st.read("dns_domain").count() == 0
-    d1 = spark.createDataFrame([("a", AS_OF, AS_OF, 1, 0)], schemas.DNS_DOMAIN)
-    st.write("dns_domain", d1)
-    st.write("dns_domain", d1.union(spark.createDataFrame([("b", AS_OF, AS_OF, 1, 0)], schemas.DNS_DOMAIN)))
-    assert st.version("dns_domain") == 2 and st.read("dns_domain").count() == 2
-    rows = dns_rows(spark, [dict(ts=ago(days=40), qname="o.com"), dict(ts=ago(hours=1), qname="n.com")])
-    st.append("dns_query", rows, "r1", cutoff=AS_OF - dt.timedelta(days=35))
+    return TableStore(spark, str(tmp_path / "s"))
+
+
+def _domains(spark, *names):
+    return spark.createDataFrame([(n, AS_OF, AS_OF, 1, 0) for n in names], schemas.DNS_DOMAIN)
+
+
+def test_store_replaces_appends_and_folds(spark, tmp_path):
+    st = _store(spark, tmp_path)
+    assert st.read("kev").count() == 0 and st.version() == 0
+    st.append("dns_domain", _domains(spark, "a"))
+    st.append("dns_domain", _domains(spark, "a", "b"))
+    assert {r["domain"]: r["query_count"] for r in st.read("dns_domain").collect()} == {"a": 2, "b": 1}
+    rules = spark.createDataFrame([("x", "d", True, AS_OF)], schemas.RULE)
+    st.write("rule", rules)
+    st.write("rule", rules.limit(0))
+    assert st.read("rule").count() == 0 and st.version() == 4
+
+
+def test_a_failed_transition_leaves_nothing(spark, tmp_path):
+    st = _store(spark, tmp_path)
+    st.append("dns_domain", _domains(spark, "a"))
+    try:
+        with st.transition():
+            st.append("dns_domain", _domains(spark, "b"))
+            st.append("dns_query", dns_rows(spark, [dict(ts=ago(hours=1), qname="n.com")]))
+            assert st.read("dns_domain").count() == 2
+            raise RuntimeError("dies")
+    except RuntimeError:
+        pass
+    for reader in (st, _store(spark, tmp_path)):
+        assert reader.read("dns_domain").count() == 1 and reader.read("dns_query").count() == 0
+        assert reader.version() == 1
+
+
+def test_an_unreadable_manifest_is_an_error(spark, tmp_path):
+    st = _store(spark, tmp_path)
+    st.append("dns_domain", _domains(spark, "a"))
+    (tmp_path / "s" / "_manifest" / "000000000002.json").write_text('{"dns_domain": [')
+    try:
+        st.read("dns_domain")
+        raise AssertionError("taken for an empty store")
+    except ValueError:
+        pass
+
+
+def test_retention_deletes_days(spark, tmp_path):
+    st = _store(spark, tmp_path)
+    st.append("dns_query", dns_rows(spark, [dict(ts=ago(days=40), qname="o.com"), dict(ts=ago(hours=1), qname="n.com")]))
+    st.append("dns_query", dns_rows(spark, [dict(ts=ago(days=41), qname="p.com")]))
+    st.retain(str(AS_OF - dt.timedelta(days=35)))
     assert [r["qname"] for r in st.read("dns_query").collect()] == ["n.com"]
-
-
-def test_store_ignores_uncommitted_attempts(spark, tmp_path):
+    days = [d.name for d in (tmp_path / "s" / "dns_query").glob("part=*/day=*")]
+    assert days == [f"day={AS_OF:%Y-%m-%d}"] and len(st.parts("dns_query")) == 1
+
+
+def test_many_small_commits_stay_flat(spark, tmp_path):
+    from nightjar.sources import store as module
+    st = _store(spark, tmp_path)
+    sizes = []
+    for i in range(2 * module.MERGE + 4):
+        st.append("dns_domain", _domains(spark, f"d{i % 3}"))
+        sizes.append(len(st.parts("dns_domain")))
+    assert max(sizes) <= module.MERGE + 2
+    assert sum(r["query_count"] for r in st.read("dns_domain").collect()) == len(sizes)
+    assert len(list((tmp_path / "s" / "_manifest").glob("0*.json"))) <= module.MERGE + 2
+
+
+def test_every_crash_point_of_a_batch_is_harmless(spark, tmp_path, monkeypatch):
+    """The job dies after each of its writes in turn and is run again: the
+    tables are those of an undisturbed run, hit counts included."""
+    from nightjar.functions import normalize
+    from nightjar.plans import engine
     from nightjar.sources.store import TableStore
-    st = TableStore(spark, str(tmp_path / "s"))
-    rows = dns_rows(spark, [dict(ts=ago(hours=1), qname="n.com")])
-    # a failed attempt: files landed, no manifest row
-    (rows.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit("r1-deadbeef"))
-     .write.mode("append").partitionBy("day", "batch").parquet(str(tmp_path / "s" / "dns_query" / "data")))
-    assert st.read("dns_query").count() == 0
-    b = st.append("dns_query", rows, "r1")
-    assert st.read("dns_query").count() == 1 and st.read_batch("dns_query", b).count() == 1
-    d1 = spark.createDataFrame([("a", AS_OF, AS_OF, 1, 0)], schemas.DNS_DOMAIN)
-    st.write("dns_domain", d1)
-    st2 = TableStore(spark, str(tmp_path / "s"))        # a fresh reader sees the same versions
-    assert st2.version("dns_domain") == 1 and st2.read("dns_query").count() == 1
+    from nightjar.streaming import dns_stream
+    names = ["q7w2e9r4t1y8.top", "a.example.com", "b.example.co.uk"]
+    ent = spark.createDataFrame(
+        [(f"2026-08-15T1{i}:00:00Z", "10.0.0.1", None, (n, "A"), "NotFilteredNotFound", "NOERROR", None, None, "1")
+         for i, n in enumerate(names * 2)], schemas.DNS_ENTRY)
+    batch = normalize.map_dns_entries(ent, suffix_rules(spark))
+    rules = dns_stream.rules_runner(engine.builtin_rules())
+
+    def tables(st):
+        return {t: sorted(map(str, st.read(t).drop("day").collect())) for t in
+                ("dns_query", "dns_domain", "scan_run", "rule", "rule_hit")}
+
+    calm = TableStore(spark, str(tmp_path / "calm"))
+    dns_stream.process_batch(calm, batch, "k", AS_OF, rule_runner=rules)
+    want, put = tables(calm), TableStore._put
+    assert want["rule_hit"]
+    for dies_at in range(1, 6):
+        st, count = TableStore(spark, str(tmp_path / f"s{dies_at}")), [0]
+
+        def failing(self, *a):
+            count[0] += 1
+            out = put(self, *a)
+            if count[0] == dies_at:
+                raise RuntimeError("dies")
+            return out
+
+        monkeypatch.setattr(TableStore, "_put", failing)
+        try:
+            dns_stream.process_batch(st, batch, "k", AS_OF, rule_runner=rules)
+            raise AssertionError("it should have died")
+        except RuntimeError:
+            pass
+        monkeypatch.setattr(TableStore, "_put", put)
+        assert dns_stream.process_batch(st, batch, "k", AS_OF, rule_runner=rules)
+        assert not dns_stream.process_batch(st, batch, "k", AS_OF, rule_runner=rules)
+        assert tables(st) == want
+
+
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    import json
+
+    from nightjar.streaming import dns_stream
+    st = _store(spark, tmp_path)
+    for n in (1, 2):                                    # two streams, each with a checkpoint of its own
+        land = tmp_path / f"land{n}"
+        land.mkdir()
+        (land / "f.json").write_text(json.dumps({"time": f"2026-08-15T1{n}:00:00Z", "client": "c", "question": {
+            "name": f"n{n}.example.com", "type": "A"}}) + "\n")
+        q = dns_stream.start_ingest(dns_stream.entry_stream(spark, str(land)), st, suffix_rules(spark),
+                                    str(tmp_path / f"ckpt{n}"), as_of=F.lit(AS_OF))
+        q.awaitTermination()
+    assert sorted(r["qname"] for r in st.read("dns_query").collect()) == ["n1.example.com", "n2.example.com"]
+    assert st.read("dns_domain").first()["query_count"] == 2

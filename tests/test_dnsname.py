@@ -1,17 +1,18 @@
 from pyspark.sql import functions as F
 
 from nightjar.functions import dnsname
+from nightjar.plans.testviews import suffix_rules
 
 
 def _parts(spark, names):
     df = spark.createDataFrame([(n,) for n in names], "qname string")
-    out = dnsname.with_name_parts(df, dnsname.suffix_rules(spark)).collect()
+    out = dnsname.with_name_parts(df, suffix_rules(spark)).collect()
     return {r["qname"]: (r["registrable_domain"], float(r["label_entropy"])) for r in out}
 
 
 def test_registrable_domain_rules(spark):
     p = _parts(spark, ["a.b.example.co.uk", "co.uk", "router.lan", "localhost", "192.168.1.1",
-                       "x.y.foo.ck", "a.www.ck", "xk9qz3vd7hw2.top", "www.google.com"])
+                       "x.y.foo.ck", "a.www.ck", "q7w2e9r4t1y8.top", "www.google.com"])
     assert p["a.b.example.co.uk"][0] == "example.co.uk"
     assert p["co.uk"] == ("co.uk", 0.0)
     assert p["router.lan"][0] == "router.lan"
@@ -20,7 +21,7 @@ def test_registrable_domain_rules(spark):
     assert p["x.y.foo.ck"][0] == "y.foo.ck"
     assert p["a.www.ck"][0] == "www.ck"
     assert p["www.google.com"][0] == "google.com"
-    assert abs(p["xk9qz3vd7hw2.top"][1] - 3.584962500721156) < 1e-13
+    assert abs(p["q7w2e9r4t1y8.top"][1] - 3.584962500721156) < 1e-13
 
 
 def test_unknown_suffix_counts_all_labels(spark):
@@ -30,10 +31,10 @@ def test_unknown_suffix_counts_all_labels(spark):
 
 
 def test_entropy_values(spark):
-    df = spark.createDataFrame([("",), ("aaaa",), ("abcd",), ("xk9qz3vd7hw2",)], "s string")
+    df = spark.createDataFrame([("",), ("aaaa",), ("abcd",), ("q7w2e9r4t1y8",)], "s string")
     got = {r["s"]: r["e"] for r in df.select("s", dnsname.shannon_entropy(F.col("s")).alias("e")).collect()}
     assert got[""] == 0.0 and got["aaaa"] == 0.0 and got["abcd"] == 2.0
-    assert abs(got["xk9qz3vd7hw2"] - 3.584962500721156) < 1e-12
+    assert abs(got["q7w2e9r4t1y8"] - 3.584962500721156) < 1e-12
 
 
 def test_normalise_qname(spark):
@@ -53,3 +54,30 @@ def test_load_suffix_list_file(spark, tmp_path):
     df = spark.createDataFrame([("me.blogspot.com",)], "qname string")
     out = dnsname.with_name_parts(df, rules).first()
     assert out["registrable_domain"] == "blogspot.com"
+
+
+def test_two_label_and_idn_suffixes(spark):
+    p = _parts(spark, ["cdn.site.com.br", "a.b.\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444", "x.y.shop.xn--p1ai", "xn--p1ai"])
+    assert p["cdn.site.com.br"][0] == "site.com.br"
+    assert p["a.b.\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444"][0] == "\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444"
+    assert p["x.y.shop.xn--p1ai"][0] == "shop.xn--p1ai" and p["xn--p1ai"] == ("xn--p1ai", 0.0)
+
+
+def test_there_is_no_default_list(spark, tmp_path):
+    import pytest
+    with pytest.raises(TypeError):
+        dnsname.suffix_rules(spark)
+    empty = tmp_path / "none.dat"
+    empty.write_text("// nothing\n")
+    with pytest.raises(ValueError):
+        dnsname.load_suffix_rules(spark, str(empty))
+
+
+def test_iso_times(spark):
+    from nightjar.functions.normalize import parse_iso_ts
+    cases = {"2026-08-15T07:00:55.123456789Z": "2026-08-15 07:00:55.123456", "20260815T070055Z": "2026-08-15 07:00:55",
+             "07:00:55": None, "2026": None, "2026-08": None, "2026-08-15": "2026-08-15 00:00:00", "now": None,
+             "2026-08-15T07:00:55+0530": "2026-08-15 01:30:55", "2026-13-01": None, "2026-08-15T07:00-04": "2026-08-15 11:00:00"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["p"] for r in df.select("t", parse_iso_ts(F.col("t")).cast("string").alias("p")).collect()}
+    assert got == cases

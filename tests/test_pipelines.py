@@ -3,9 +3,12 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from test_sources import write_run
 
 from nightjar.plans import engine, pipelines
+from nightjar.plans.testviews import suffix_rules
 from nightjar.sources.store import TableStore
 
 
@@ -17,22 +20,25 @@ def test_scan_to_report_and_dns_rules(spark, tmp_path):
     assert out[0]["inserted"] == 6 and out[0]["images"] == 4
     assert pipelines.ingest_scan_runs(store, str(runs)) == []          # known run: nothing to do
     (tmp_path / "exp.json").write_text("\n".join(json.dumps(r) for r in [
-        {"image": "demo-web:1.4.2", "exposure": "tailnet"}, {"image": "demo-worker:2.0.0", "exposure": "internal"}]))
+        {"image": "gate:7", "exposure": "tailnet"}, {"image": "mill:3", "exposure": "internal"}]))
     unmapped = [r["image"] for r in pipelines.load_exposure(store, str(tmp_path / "exp.json"),
                                                             "2026-01-02 00:00:00").collect()]
-    assert unmapped == ["demo-builder:latest"]
+    assert unmapped == ["forge:0"]
     rep = pipelines.report(store)
     assert rep["headline"].first()["fixable"] == 5
     assert rep["backlog"].first()["priority"] == 1160
 
-    page = {"data": [{"time": f"2026-08-15T07:{m:02d}:00Z", "client": "10.0.0.9",
-                      "question": {"name": n, "type": "A"}, "reason": "NotFilteredNotFound"}
-                     for m, n in enumerate(["a.example.com", "b.example.org", "xk9qz3vd7hw2.top"])]}
-    f = tmp_path / "querylog.json"
-    f.write_text(json.dumps(page))
-    r1 = pipelines.ingest_dns_file(store, str(f), as_of="2030-01-01 00:00:00", shift_to_now=True)
-    assert r1["inserted"] == 3 and r1["new_domains"] == 3
-    assert pipelines.ingest_dns_file(store, str(f), as_of="2030-01-01 00:00:00")["skipped"] is True
+    rules = suffix_rules(spark)
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    for n, names in enumerate((["a.example.com", "b.example.org"], ["q7w2e9r4t1y8.top"])):
+        page = {"data": [{"time": f"2026-08-15T0{7 + n}:{m:02d}:00Z", "client": "10.0.0.9",
+                          "question": {"name": name, "type": "A"}, "reason": "NotFilteredNotFound"}
+                         for m, name in enumerate(names)]}
+        (pages / f"log{n}.json").write_text(json.dumps(page))
+    r1 = pipelines.ingest_dns_files(store, str(pages), rules, as_of="2030-01-01 00:00:00", shift_to_now=True)
+    assert [(r["run_key"], r["inserted"], r["new_domains"]) for r in r1] == [("log0.json", 2, 2), ("log1.json", 1, 1)]
+    assert all(r["skipped"] for r in pipelines.ingest_dns_files(store, str(pages), rules, as_of="2030-01-01 00:00:00"))
     res = pipelines.run_rule_engine(store, as_of="2030-01-01 00:00:00")
     got = {r["rule_id"]: r["hits"] for r in res.results.collect()}
     assert got["dns_newly_seen_domain"] == 3 and got["dns_dga_entropy"] == 1
@@ -40,20 +46,36 @@ def test_scan_to_report_and_dns_rules(spark, tmp_path):
     assert t["rules"] == 6 and t["failed"] == 0 and t["hits"] == 4
 
 
+def test_enrich_isolates_blocklists_only(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    write_run(tmp_path / "runs", bad_run=False)
+    pipelines.ingest_scan_runs(store, str(tmp_path / "runs"))
+    (tmp_path / "kev.json").write_text('{"vulnerabilities": [{"cveID": "CVE-2031-0001", "dateAdded": "2025-01-01"}]}')
+    (tmp_path / "epss.csv").write_text("cve,epss,percentile\nCVE-2031-0002,0.3,0.9\nCVE-9,0.1,0.1\n")
+    (tmp_path / "hosts").write_text("0.0.0.0 bad.example\n")
+    out = pipelines.enrich(store, str(tmp_path / "kev.json"), str(tmp_path / "epss.csv"),
+                           {"one": str(tmp_path / "hosts"), "two": str(tmp_path / "nowhere")}, "2026-01-01 00:00:00")
+    assert (out["kev"], out["epss"], out["one"]) == (1, 1, 1) and list(out["failed"]) == ["two"]
+    with pytest.raises(Exception):
+        pipelines.enrich(store, str(tmp_path / "nothing.json"), str(tmp_path / "epss.csv"), {})
+
+
 def test_backfill_in_one_pass_equals_per_run(spark, tmp_path):
     runs = tmp_path / "runs"
     write_run(runs, bad_run=False)
-    second = runs / "20260108-120000"
+    second = runs / "20251110-041500"
     second.mkdir()
-    (second / "web__1.json").write_text(json.dumps({"ArtifactName": "demo-web:1.4.2", "Results": [
-        {"Target": "debian", "Class": "os-pkgs", "Vulnerabilities": [
-            {"VulnerabilityID": "CVE-2024-3094", "PkgName": "xz-utils", "InstalledVersion": "5.6.0",
-             "Severity": "CRITICAL", "FixedVersion": "5.6.3"}]}]}))
+    (second / "gate.json").write_text(json.dumps({"ArtifactName": "gate:7", "Results": [
+        {"Target": "base", "Class": "os-pkgs", "Vulnerabilities": [
+            {"VulnerabilityID": "CVE-2031-0001", "PkgName": "alpha", "InstalledVersion": "1.1",
+             "Severity": "CRITICAL", "FixedVersion": "1.3"}]}]}))
     a = TableStore(spark, str(tmp_path / "a"))
     b = TableStore(spark, str(tmp_path / "b"))
-    pipelines.ingest_scan_runs(a, str(runs))
-    pipelines.ingest_scan_runs(b, str(runs), per_run=True)
+    one = pipelines.ingest_scan_runs(a, str(runs))[0]
+    assert (one["runs"], one["images"], one["inserted"], one["findings"]) == (2, 5, 6, 6)
+    per = pipelines.ingest_scan_runs(b, str(runs), per_run=True)
+    assert [(r["inserted"], r["updated"], r["resolved"]) for r in per] == [(6, 0, 0), (0, 1, 2)]
     ka = sorted(map(tuple, a.read("vuln_finding").collect()))
     kb = sorted(map(tuple, b.read("vuln_finding").collect()))
     assert ka == kb
-    assert sum(1 for r in ka if r[-1] is not None) == 2       # web's two other findings resolved
+    assert sum(1 for r in ka if r[-1] is not None) == 2       # gate's two other findings resolved

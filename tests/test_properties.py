@@ -32,14 +32,14 @@ def _df(spark, rows):
 def test_split_batches_equal_one_batch(spark, rows, cut):
     """Registry after two batches (with overlap) == registry after one."""
     a, b = rows[:cut], rows[max(0, cut - 3):]
-    one_new, _ = dns.append_new(schemas.empty(spark, "dns_query"),
+    one_new = dns.append_new(schemas.empty(spark, "dns_query"),
                                 _df(spark, rows).withColumn("ord", F.monotonically_increasing_id()))
     r_one = dns.merge_registry(schemas.empty(spark, "dns_domain"), one_new.drop("ord")).drop("_action")
     store, reg = schemas.empty(spark, "dns_query"), schemas.empty(spark, "dns_domain")
     for part in (a, b):
         if not part:
             continue
-        new, _ = dns.append_new(store, _df(spark, part).withColumn("ord", F.monotonically_increasing_id()))
+        new = dns.append_new(store, _df(spark, part).withColumn("ord", F.monotonically_increasing_id()))
         new = new.drop("ord")
         reg = dns.merge_registry(reg, new).drop("_action")
         store = store.unionByName(new)

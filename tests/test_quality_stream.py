@@ -40,7 +40,7 @@ def test_approx_tunnel_close_to_exact(spark):
 
 
 def test_streaming_windows(spark, tmp_path):
-    from nightjar.functions import dnsname
+    from nightjar.plans.testviews import suffix_rules
     from nightjar.streaming import dns_stream
     land = tmp_path / "land"
     land.mkdir()
@@ -49,7 +49,7 @@ def test_streaming_windows(spark, tmp_path):
                "question": {"name": f"x{i}.tun.example.com", "type": "A"}, "reason": "FilteredBlackList"}
         (land / f"f{i}.json").write_text(json.dumps(ent) + "\n")
     src = dns_stream.entry_stream(spark, str(land), max_files_per_trigger=1)
-    mapped = dns_stream.mapped_stream(src, dnsname.suffix_rules(spark))
+    mapped = dns_stream.mapped_stream(src, suffix_rules(spark))
     out = tmp_path / "out"
     q = (dns_stream.sliding_names(mapped, "2 hours", "1 hour").writeStream.format("parquet")
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(out)))

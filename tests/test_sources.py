@@ -4,13 +4,16 @@ from __future__ import annotations
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from nightjar import schemas
 from nightjar.operators import feeds as feedops
 from nightjar.operators import findings
-from nightjar.plans import ranking
+from nightjar.plans import pipelines, ranking
+from nightjar.plans.testviews import suffix_rules
 from nightjar.sources import dnslog, feeds, reports
+from nightjar.sources.store import TableStore
 
 T = "2026-01-01 12:00:00"
 
@@ -23,62 +26,107 @@ def _vuln(cve, pkg, inst, fix, sev, title="t"):
     return v
 
 
+STAMP = "20251103-041500"
+
+
 def write_run(root, bad_run=True):
-    run = root / "20260101-120000"
+    run = root / STAMP
     run.mkdir(parents=True)
     docs = {
-        "web__1.json": {"ArtifactName": "demo-web:1.4.2", "Results": [
-            {"Target": "debian", "Class": "os-pkgs", "Vulnerabilities": [
-                _vuln("CVE-2024-3094", "xz-utils", "5.6.0", "5.6.2", "CRITICAL"),
-                _vuln("CVE-2025-11001", "libfoo", "3.4.0", "3.4.2", "HIGH"),
-                _vuln("CVE-2025-11002", "libbar", "1.0", "  ", "HIGH")]},
-            {"Target": "node", "Class": "lang-pkgs", "Vulnerabilities": None}]},
-        "worker__2.json": {"ArtifactName": "demo-worker:2.0.0", "Results": [
-            {"Target": "debian", "Class": "os-pkgs", "Vulnerabilities": [
-                _vuln("CVE-2025-11001", "libfoo", "3.4.0", "3.4.2", "HIGH"),
-                _vuln("CVE-2025-22011", "openssl", "8.11.0", "8.11.1", "MEDIUM")]}]},
-        "builder__latest.json": {"ArtifactName": "demo-builder:latest", "Results": [
-            {"Target": "alpine", "Class": "os-pkgs", "Vulnerabilities": [
-                _vuln("CVE-2025-33330", "git", "2.43", "2.44", "CRITICAL")]}]},
-        "empty__1.json": {"ArtifactName": "", "Results": None},
+        "gate.json": {"ArtifactName": "gate:7", "Results": [
+            {"Target": "base", "Class": "os-pkgs", "Vulnerabilities": [
+                _vuln("CVE-2031-0001", "alpha", "1.1", "1.2", "CRITICAL"),
+                _vuln("CVE-2031-0002", "beta", "4.0", "4.1", "HIGH"),
+                _vuln("CVE-2031-0003", "gamma", "9", "  ", "HIGH")]},
+            {"Target": "app", "Class": "lang-pkgs", "Vulnerabilities": None}]},
+        "mill.json": {"ArtifactName": "mill:3", "Results": [
+            {"Target": "base", "Class": "os-pkgs", "Vulnerabilities": [
+                _vuln("CVE-2031-0002", "beta", "4.0", "4.1", "HIGH"),
+                _vuln("CVE-2031-0004", "delta", "2.5", "2.6", "MEDIUM")]}]},
+        "forge.json": {"ArtifactName": "forge:0", "Results": [
+            {"Target": "base", "Class": "os-pkgs", "Vulnerabilities": [
+                _vuln("CVE-2031-0005", "epsilon", "0.3", "0.4", "CRITICAL")]}]},
+        "bare.json": {"ArtifactName": "", "Results": None},
     }
     for name, doc in docs.items():
         (run / name).write_text(json.dumps(doc))
     if not bad_run:
         return
-    bad = root / "not-a-stamp"
+    bad = root / "latest"
     bad.mkdir()
     (bad / "x.json").write_text(json.dumps({"ArtifactName": "x", "Results": []}))
 
 
 def test_report_runs_to_ranked_backlog(spark, tmp_path):
-    write_run(tmp_path)
-    rows, scanned, runs, rejects = reports.read_runs(spark, str(tmp_path))
-    assert [r["run_key"] for r in rejects.collect()] == ["not-a-stamp"]
+    write_run(tmp_path, bad_run=False)
+    rows, scanned, runs = reports.read_runs(spark, str(tmp_path))
     assert runs.first()["images"] == 4
-    assert {r["image"] for r in scanned.collect()} == {"demo-web:1.4.2", "demo-worker:2.0.0",
-                                                        "demo-builder:latest", "empty__1"}
-    res = findings.ingest_run(schemas.empty(spark, "vuln_finding"), rows, scanned,
-                              "20260101-120000", T)
+    assert {r["image"] for r in scanned.collect()} == {"gate:7", "mill:3", "forge:0", "bare"}
+    res = findings.ingest_run(schemas.empty(spark, "vuln_finding"), rows, scanned, STAMP, T)
     exposure = spark.createDataFrame(
-        [("demo-web:1.4.2", "tailnet", None), ("demo-worker:2.0.0", "internal", None),
-         ("demo-builder:latest", "build-only", "ci")], "image string, exposure string, note string")
+        [("gate:7", "public", None), ("gate:7", "tailnet", None), ("mill:3", "internal", None),
+         ("forge:0", "build-only", "ci")], "image string, exposure string, note string").coalesce(1)
     expo = feedops.upsert_exposure(schemas.empty(spark, "image_exposure"), exposure, T)
     pr = ranking.vuln_priority(res.state, expo, schemas.empty(spark, "kev"), schemas.empty(spark, "epss_score"))
-    got = sorted(((r["image"], r["cve"], r["priority"]) for r in pr.collect()), key=lambda x: (-x[2], x[1], x[0]))
-    assert got == [("demo-web:1.4.2", "CVE-2024-3094", 1160), ("demo-web:1.4.2", "CVE-2025-11001", 1140),
-                   ("demo-worker:2.0.0", "CVE-2025-11001", 1080), ("demo-worker:2.0.0", "CVE-2025-22011", 1060),
-                   ("demo-builder:latest", "CVE-2025-33330", 1040), ("demo-web:1.4.2", "CVE-2025-11002", 140)]
+    got = sorted(((r["image"], r["cve"][-1], r["priority"]) for r in pr.collect()), key=lambda x: (-x[2], x[1], x[0]))
+    assert got == [("gate:7", "1", 1160), ("gate:7", "2", 1140), ("mill:3", "2", 1080), ("mill:3", "4", 1060),
+                   ("forge:0", "5", 1040), ("gate:7", "3", 140)]
     h = ranking.headline(pr).first()
     assert (h["fixable"], h["unfixable"], h["in_kev"], h["epss_hot"]) == (5, 1, 0, 0)
     top = ranking.backlog_top(pr, 25).collect()
-    assert top[-1]["version_change"] == "1.0 (no fix)" and top[0]["version_change"] == "5.6.0 -> 5.6.2"
+    assert top[-1]["version_change"] == "9 (no fix)" and top[0]["version_change"] == "1.1 -> 1.2"
+
+
+def test_known_runs_are_not_read(spark, tmp_path):
+    write_run(tmp_path, bad_run=False)
+    (tmp_path / STAMP / "gate.json").write_text("{ not json")
+    assert reports.read_runs(spark, str(tmp_path), known={STAMP}) is None
+
+
+def test_unreadable_runs_are_refused(spark, tmp_path):
+    write_run(tmp_path / "a")
+    with pytest.raises(ValueError, match="latest"):
+        reports.read_runs(spark, str(tmp_path / "a"))
+    (tmp_path / "b" / STAMP).mkdir(parents=True)
+    with pytest.raises(ValueError, match="without any report"):
+        reports.read_runs(spark, str(tmp_path / "b"))
+    for n, text in enumerate(('{"ArtifactName": "gate:7", "Results": [{"Target": "ba', "")):
+        write_run(tmp_path / f"c{n}", bad_run=False)
+        (tmp_path / f"c{n}" / STAMP / "gate.json").write_text(text)
+        store = TableStore(spark, str(tmp_path / f"store{n}"))
+        with pytest.raises(Exception):
+            pipelines.ingest_scan_runs(store, str(tmp_path / f"c{n}"))
+        assert store.read("scan_run").count() == 0 and store.read("vuln_finding").count() == 0
+
+
+def test_truncated_pages_and_feeds_are_refused(spark, tmp_path):
+    page, store = tmp_path / "page.json", TableStore(spark, str(tmp_path / "store"))
+    for text in ('{"data": [{"time": "2026-08-15T07:00:00Z", "cli', '{"oldest": ""}'):
+        page.write_text(text)
+        with pytest.raises(Exception):
+            pipelines.ingest_dns_file(store, str(page), suffix_rules(spark), as_of=T)
+        assert store.read("scan_run").count() == 0
+    page.write_text('{"data": [{"time": "2025-12-31T07:00:00Z", "client": "c", "question": {"name": "a.example.com"}}]}')
+    assert pipelines.ingest_dns_file(store, str(page), suffix_rules(spark), as_of=T)["inserted"] == 1
+    for text in ('{"vulnerabilities": [{"cveID": "CVE-1"', "{}"):
+        (tmp_path / "kev.json").write_text(text)
+        with pytest.raises(Exception):
+            feeds.read_kev(spark, str(tmp_path / "kev.json")).collect()
+    (tmp_path / "epss.csv").write_text("percentile,cve,epss\n0.9,CVE-1,0.2\n")
+    row = feeds.read_epss(spark, str(tmp_path / "epss.csv")).first()
+    assert (row["cve"], float(row["score"]), float(row["percentile"])) == ("CVE-1", 0.2, 0.9)
+    (tmp_path / "epss.csv").write_text("cve,percentile\nCVE-1,0.2\n")
+    with pytest.raises(ValueError, match="epss"):
+        feeds.read_epss(spark, str(tmp_path / "epss.csv"))
+    (tmp_path / "exp.csv").write_text("note,image,exposure\n,web,publik\n")
+    with pytest.raises(ValueError, match="publik"):
+        feeds.read_exposure(spark, str(tmp_path / "exp.csv"))
 
 
 def test_dns_page_file(spark, tmp_path):
     page = {"data": [
         {"time": "2026-08-15T07:00:55.123456-04:00", "client": "10.0.0.5", "client_info": {"name": "phone"},
-         "question": {"name": "XK9QZ3VD7HW2.top.", "type": "A"}, "reason": "NotFilteredNotFound",
+         "question": {"name": "Q7W2E9R4T1Y8.top.", "type": "A"}, "reason": "NotFilteredNotFound",
          "status": "NOERROR", "upstream": "9.9.9.9:53", "cached": False, "elapsedMs": "12.5"},
         {"time": "bad", "client": "10.0.0.5", "question": {"name": "a.com", "type": "A"}},
         {"time": "2026-08-15T07:01:00Z", "client": "10.0.0.6", "question": {"name": "."},
@@ -87,11 +135,11 @@ def test_dns_page_file(spark, tmp_path):
          "reason": "FilteredBlackList", "client_info": {"name": ""}}], "oldest": ""}
     f = tmp_path / "querylog.json"
     f.write_text(json.dumps(page))
-    from nightjar.functions import dnsname, normalize
+    from nightjar.functions import normalize
     ent = dnslog.read_pages(spark, str(f))
-    m = normalize.map_dns_entries(ent, dnsname.suffix_rules(spark), keep=["run_key", "ord"])
+    m = normalize.map_dns_entries(ent, suffix_rules(spark), keep=["run_key", "ord"])
     rows = {r["ord"]["pos"]: r for r in m.collect()}
-    assert rows[0]["valid"] and rows[0]["qname"] == "xk9qz3vd7hw2.top" and rows[0]["client_name"] == "phone"
+    assert rows[0]["valid"] and rows[0]["qname"] == "q7w2e9r4t1y8.top" and rows[0]["client_name"] == "phone"
     assert str(rows[0]["ts"]) == "2026-08-15 11:00:55.123456" and float(rows[0]["elapsed_ms"]) == 12.5
     assert rows[1]["reject_reason"] == "bad_time" and rows[2]["reject_reason"] == "no_name"
     assert rows[3]["blocked"] and rows[3]["client"] == "" and rows[3]["client_name"] is None
