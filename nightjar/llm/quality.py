@@ -31,6 +31,7 @@ SYMBOLS = b"#*$%&|<>"
 BANDED = {"piece_chars": 0.05, "byte_chars": 0.05, "fallback_share": 0.02, "entropy": 0.05}
 SPREAD = 5.0      # a band reaches this many interquartile ranges beyond the quartiles
 MIN_ROWS = 30
+GROUPS = 20_000         # groups (200 bytes each) whose bands may be broadcast
 
 FIELDS = [common.field(n, T.LongType()) for n in
           ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + \
@@ -127,7 +128,11 @@ def bands(measured: DataFrame, group: str = "row.lang", spread: float = SPREAD,
 
 def judge(measured: DataFrame, edges: DataFrame, group: str = "row.lang") -> DataFrame:
     """Adds ``base_failed`` and ``kept``. A group has a band as soon as one of its rows passes
-    the base rules, so every row that can be kept finds one."""
+    the base rules, so every row that can be kept finds one. The bands of few groups are
+    broadcast, so that a language with most of the rows stays where it is; else joined."""
+    edges = common.materialise(edges, "bands")
+    if edges.limit(GROUPS + 1).count() <= GROUPS:
+        edges = F.broadcast(edges)
     inside = F.lit(True)
     for m in BANDED:
         inside = inside & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
