@@ -1,99 +1,118 @@
-"""Rule-run semantics: hit persistence, human status, isolation, gate."""
+"""Rule runs: what a hit keeps between runs, what people decide, what fails alone."""
 from __future__ import annotations
 
-from conftest import AS_OF, ago
+import pytest
+from conftest import AS_OF, ago, dns_rows
 
 from nightjar import schemas
 from nightjar.operators import hits as hitops
 from nightjar.plans import engine
 
-PROBE = """-- description: engine probe, always one fixed row
-SELECT 'probe-entity' AS entity, 'probe summary' AS summary
+BUSY = """-- description: clients with at least two queries before the clock
+SELECT client AS entity, concat(CAST(count(*) AS STRING), ' queries') AS summary
+FROM dns_query WHERE ts <= :as_of GROUP BY client HAVING count(*) >= 2
 """
-BROKEN = """-- description: deliberately broken
-SELECT entity, summary FROM a_table_that_does_not_exist
-"""
-NULL_ENTITY = """-- description: returns a NULL entity
-SELECT CAST(NULL AS STRING) AS entity, 'x' AS summary
-"""
-WRONG_SHAPE = """-- description: wrong columns
-SELECT 'a' AS entity, 'b' AS summary, 1 AS extra
+LONG = """-- description: names of twenty characters or more
+SELECT DISTINCT qname AS entity, CAST(length(qname) AS STRING) AS summary FROM dns_query WHERE length(qname) >= 20
 """
+#: Each breaks another part of the contract.
+FAULTY = {
+    "no_such_view": "SELECT entity, summary FROM nowhere_view",
+    "fails_on_a_row": "SELECT client AS entity, CAST(1 / (length(client) - length(client)) AS STRING) AS summary FROM dns_query",
+    "no_entity": "SELECT client_name AS entity, qname AS summary FROM dns_query",
+    "one_column": "SELECT client AS entity FROM dns_query",
+    "other_names": "SELECT client AS who, qname AS what FROM dns_query",
+}
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    rows = [dict(ts=ago(hours=h), client=f"10.1.0.{c}", qname=n) for h, c, n in
+            [(30, 1, "a.example.com"), (20, 1, "b.example.com"), (10, 1, "c.example.com"), (10, 2, "a.example.com"),
+             (2, 2, "quite-a-long-name.example.com"), (1, 3, "a.example.com")]]
+    return {"dns_query": dns_rows(spark, rows)}
+
+
+def run(spark, log, texts, state=None, as_of=AS_OF):
+    rules = [engine.sql_rule(spark, k, t) for k, t in texts.items()]
+    before = state or (schemas.empty(spark, "rule"), schemas.empty(spark, "rule_hit"))
+    return engine.run_rules(spark, rules, log, *before, as_of)
+
+
+def outcome(out):
+    return {r["rule_id"]: (r["outcome"], r["hits"], r["new"], r["re_reported"]) for r in out.results.collect()}
+
+
+def test_hits_accumulate_over_runs(spark, log):
+    texts = {"busy": BUSY, "long": LONG}
+    early = run(spark, log, texts, as_of=ago(hours=5))
+    assert outcome(early) == {"busy": ("ok", 1, 1, 0), "long": ("ok", 1, 1, 0)}
+    late = run(spark, log, texts, (early.rules, early.hits))
+    assert outcome(late) == {"busy": ("ok", 2, 1, 1), "long": ("ok", 1, 0, 1)}
+    hits = {(r["rule_id"], r["entity"]): r for r in late.hits.collect()}
+    assert set(hits) == {("busy", "10.1.0.1"), ("busy", "10.1.0.2"), ("long", "quite-a-long-name.example.com")}
+    old, new = hits["busy", "10.1.0.1"], hits["busy", "10.1.0.2"]
+    assert (old["hit_count"], old["first_seen"], old["last_seen"]) == (2, ago(hours=5), AS_OF)
+    assert (new["hit_count"], new["first_seen"], new["summary"]) == (1, AS_OF, "2 queries")
+
+
+def test_decisions_are_never_overwritten(spark, log):
+    first = run(spark, log, {"busy": BUSY})
+    said = spark.createDataFrame(
+        [("busy", "10.1.0.1", "false_positive", "backup host", ago(hours=3)), ("busy", "10.1.0.1", "accepted", "later", ago(hours=2)),
+         ("busy", "10.9.9.9", "accepted", "unknown", ago(hours=1))],
+        "rule_id string, entity string, status string, status_note string, decided_at timestamp")
+    decided = hitops.apply_decisions(first.hits, said, ["rule_id", "entity"])
+    again = run(spark, log, {"busy": BUSY}, (first.rules, decided))
+    got = {r["entity"]: (r["status"], r["status_note"], r["hit_count"]) for r in again.hits.collect()}
+    assert got == {"10.1.0.1": ("accepted", "later", 2), "10.1.0.2": ("open", None, 2)}
+
+
+def test_each_fault_stays_with_its_rule(spark, log):
+    texts = {k: f"-- description: {k}\n{v}" for k, v in FAULTY.items()}
+    out = run(spark, log, {"busy": BUSY, **texts, "long": LONG})
+    assert {k for k, v in outcome(out).items() if v[0] == "failed"} == set(FAULTY) == set(out.failures)
+    assert outcome(out)["busy"][:2] == ("ok", 2) and outcome(out)["long"][:2] == ("ok", 1)
+    assert "nowhere_view" in out.failures["no_such_view"] and out.any_failed
+    assert {r["rule_id"] for r in out.hits.collect()} == {"busy", "long"}
+    t = engine.run_totals(out.results).first()
+    assert (t["rules"], t["hits"], t["new"], t["failed"]) == (7, 3, 3, 5)
+
+
+def test_a_rule_that_is_off_does_not_run(spark, log):
+    first = run(spark, log, {"busy": BUSY, "long": LONG})
+    off = hitops.set_enabled(first.rules, "long", False)
+    second = run(spark, log, {"busy": BUSY, "long": LONG}, (off, first.hits))
+    assert outcome(second)["long"] == ("skipped", None, None, None)
+    assert {(r["rule_id"], r["hit_count"]) for r in second.hits.collect()} == {("busy", 2), ("long", 1)}
+    assert {r["id"]: r["enabled"] for r in second.rules.collect()} == {"busy": True, "long": False}
+
+
+def test_an_entity_reported_twice_counts_twice(spark):
+    batch = spark.createDataFrame([("r", "x", "earlier", 1), ("r", "x", "later", 2), ("r", "y", "only", 3)],
+                                  "rule_id string, entity string, summary string, ord int")
+    got = {r["entity"]: (r["hit_count"], r["summary"]) for r in
+           hitops.upsert_hits(schemas.empty(spark, "rule_hit"), batch, AS_OF).collect()}
+    assert got == {"x": (2, "later"), "y": (1, "only")}
+
+
+def test_rules_come_from_files_with_a_description(spark, tmp_path):
+    (tmp_path / "zeta.sql").write_text(LONG)
+    (tmp_path / "beta.sql").write_text(BUSY)
+    (tmp_path / "notes.txt").write_text("no rule")
+    found = engine.discover(spark, str(tmp_path))
+    assert [(r.id, r.description[:7]) for r in found] == [("beta", "clients"), ("zeta", "names o")]
+    (tmp_path / "eta.sql").write_text("SELECT 1 AS entity, 2 AS summary")
+    with pytest.raises(ValueError, match="eta"):
+        engine.discover(spark, str(tmp_path))
 
 
-def _run(spark, rules, rule_state, hit_state, as_of):
-    return engine.run_rules(spark, rules, {}, rule_state, hit_state, as_of)
-
-
-def test_first_and_second_run(spark):
-    rules = [engine.sql_rule(spark, "probe", PROBE)]
-    r1 = _run(spark, rules, schemas.empty(spark, "rule"), schemas.empty(spark, "rule_hit"), ago(days=1))
-    res = {r["rule_id"]: r.asDict() for r in r1.results.collect()}
-    assert res["probe"]["hits"] == 1 and res["probe"]["new"] == 1 and res["probe"]["re_reported"] == 0
-    h = r1.hits.first()
-    assert h["hit_count"] == 1 and h["first_seen"] == h["last_seen"]
-    r2 = _run(spark, rules, r1.rules, r1.hits, AS_OF)
-    res = {r["rule_id"]: r.asDict() for r in r2.results.collect()}
-    assert res["probe"]["new"] == 0 and res["probe"]["re_reported"] == 1
-    h2 = r2.hits.first()
-    assert h2["hit_count"] == 2 and h2["first_seen"] == h["first_seen"] and h2["last_seen"] > h["last_seen"]
-
-
-def test_accepted_status_survives(spark):
-    rules = [engine.sql_rule(spark, "probe", PROBE)]
-    r1 = _run(spark, rules, schemas.empty(spark, "rule"), schemas.empty(spark, "rule_hit"), ago(days=1))
-    dec = spark.createDataFrame([("probe", "probe-entity", "accepted", "known app", ago(hours=5))],
-                                "rule_id string, entity string, status string, status_note string, "
-                                "decided_at timestamp")
-    triaged = hitops.apply_decisions(r1.hits, dec, ["rule_id", "entity"])
-    r2 = _run(spark, rules, r1.rules, triaged, AS_OF)
-    h = r2.hits.first()
-    assert h["status"] == "accepted" and h["status_note"] == "known app" and h["hit_count"] == 2
-
-
-def test_broken_rules_fail_alone(spark):
-    rules = [engine.sql_rule(spark, "probe", PROBE), engine.sql_rule(spark, "broken", BROKEN),
-             engine.sql_rule(spark, "nullish", NULL_ENTITY), engine.sql_rule(spark, "shape", WRONG_SHAPE)]
-    out = _run(spark, rules, schemas.empty(spark, "rule"), schemas.empty(spark, "rule_hit"), AS_OF)
-    res = {r["rule_id"]: r["outcome"] for r in out.results.collect()}
-    assert res == {"probe": "ok", "broken": "failed", "nullish": "failed", "shape": "failed"}
-    assert out.any_failed and set(out.failures) == {"broken", "nullish", "shape"}
-    assert out.hits.count() == 1
-
-
-def test_disabled_rule_skipped(spark):
-    rules = [engine.sql_rule(spark, "probe", PROBE)]
-    r1 = _run(spark, rules, schemas.empty(spark, "rule"), schemas.empty(spark, "rule_hit"), ago(days=1))
-    off = hitops.set_enabled(r1.rules, "probe", False)
-    r2 = _run(spark, rules, off, r1.hits, AS_OF)
-    assert r2.results.first()["outcome"] == "skipped"
-    assert r2.hits.first()["hit_count"] == 1
-    assert r2.rules.first()["enabled"] is False
-
-
-def test_same_entity_twice_bumps_twice(spark):
-    hits = spark.createDataFrame([("r", "e", "first", 1), ("r", "e", "second", 2)],
-                                 "rule_id string, entity string, summary string, ord int")
-    up = hitops.upsert_hits(schemas.empty(spark, "rule_hit"), hits, AS_OF).first()
-    assert up["hit_count"] == 2 and up["summary"] == "second"
-
-
-def test_discover_requires_header(spark, tmp_path):
-    (tmp_path / "b_rule.sql").write_text(PROBE)
-    (tmp_path / "a_rule.sql").write_text(PROBE)
-    assert [r.id for r in engine.discover(spark, str(tmp_path))] == ["a_rule", "b_rule"]
-    (tmp_path / "c_bad.sql").write_text("SELECT 1")
-    try:
-        engine.discover(spark, str(tmp_path))
-        raise AssertionError("missing header accepted")
-    except ValueError:
-        pass
-
-
-def test_rule_registry_refresh_keeps_enabled(spark):
-    cat = spark.createDataFrame([("a", "one"), ("b", "two")], "id string, description string")
-    s1 = hitops.set_enabled(hitops.upsert_rules(schemas.empty(spark, "rule"), cat, ago(days=2)), "a", False)
-    cat2 = spark.createDataFrame([("a", "ONE"), ("c", "three")], "id string, description string")
-    s2 = {r["id"]: r for r in hitops.upsert_rules(s1, cat2, AS_OF).collect()}
-    assert s2["a"]["description"] == "ONE" and s2["a"]["enabled"] is False
-    assert s2["b"]["description"] == "two" and s2["c"]["enabled"] is True
+def test_the_registry_keeps_what_people_set(spark):
+    def catalogue(*rows):
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, id string, description string")
+
+    one = hitops.upsert_rules(schemas.empty(spark, "rule"), catalogue(("p", "old text"), ("q", "q")), ago(days=3))
+    one = hitops.set_enabled(one, "p", False)
+    two = hitops.upsert_rules(one, catalogue(("p", "draft"), ("p", "new text"), ("s", "s")), AS_OF)
+    got = {r["id"]: (r["description"], r["enabled"], r["added_at"]) for r in two.collect()}
+    assert got == {"p": ("new text", False, ago(days=3)), "q": ("q", True, ago(days=3)), "s": ("s", True, AS_OF)}
