@@ -118,7 +118,7 @@ def _feed_clock(spark, sf_dir):
     return F.lit("2024-06-01 00:00:00").cast("timestamp")
 
 
-def kev_state(spark, sf_dir, first_load_max_size: int | None = None):
+def kev_state(spark, sf_dir):
     feed = tv.kev_feed(spark, sf_dir)
     rows = feeds.kev_rows(feed)
     return feeds.upsert_kev(schemas.empty(spark, "kev"), rows, _feed_clock(spark, sf_dir))
@@ -157,12 +157,25 @@ def exposure_state(spark, sf_dir):
 
 
 def q_exposure_upsert(spark, sf_dir):
-    """Map loaded, then re-loaded with every tailnet image moved to internal."""
-    m = tv.exposure_map(spark, sf_dir)
-    s1 = feeds.upsert_exposure(schemas.empty(spark, "image_exposure"), m, "2024-05-01 00:00:00")
-    m2 = m.withColumn("exposure", F.when(F.col("exposure") == "tailnet", "internal")
-                      .otherwise(F.col("exposure"))).withColumn("note", F.lit(None).cast("string"))
-    return render(feeds.upsert_exposure(s1, m2, "2024-06-01 00:00:00"))
+    """Map of two thirds of the images, then one of another two thirds with
+    every tailnet image moved to internal: kept, updated and new images. Each
+    image is listed twice in the second, the last entry counts."""
+    m = tv.exposure_map(spark, sf_dir).withColumn("n", F.substring("image", 5, 20).cast("long"))
+    s1 = feeds.upsert_exposure(schemas.empty(spark, "image_exposure"), m.filter("n % 3 < 2"), "2024-05-01 00:00:00")
+    m2 = m.filter("n % 3 > 0").withColumn(
+        "exposure", F.when(F.col("exposure") == "tailnet", "internal").otherwise(F.col("exposure")))
+    twice = m2.select("image", F.lit("unknown").alias("exposure"), F.lit("first entry").alias("note"), F.lit(1).alias("ord")) \
+        .unionByName(m2.select("image", "exposure", F.lit(None).cast("string").alias("note"), F.lit(2).alias("ord")))
+    return render(feeds.upsert_exposure(s1, twice, "2024-06-01 00:00:00"))
+
+
+def q_epss_update(spark, sf_dir):
+    """A second model run updates every value of the CVEs that it scores."""
+    rows = tv.epss_feed(spark, sf_dir)
+    s1, _ = feeds.upsert_epss(schemas.empty(spark, "epss_score"), feeds.epss_rows(rows, "2024-05-01"), "2024-05-02 00:00:00")
+    second = rows.filter("ord % 3 = 0").withColumn("epss", F.lit("0.500000"))
+    s2, _ = feeds.upsert_epss(s1, feeds.epss_rows(second, "2024-06-01"), "2024-06-02 00:00:00")
+    return render(s2)
 
 
 # ----------------------------------------------------------------- ranking
@@ -319,8 +332,15 @@ def q_domain_registry_merge(spark, sf_dir):
 
 
 def q_retention_prune(spark, sf_dir):
-    as_of = tv.dns_as_of(spark, sf_dir)
-    kept = dnsops.prune(dnsops.with_day(_dq(spark, sf_dir)), as_of, retention_days=14)
+    """All rows stored, then pruned for good: what the store still holds."""
+    from ..session import scratch_path
+    from ..sources.store import TableStore
+    clock = F.timestamp_micros(F.lit(tv.dns_as_of(spark, sf_dir))) - dnsops.days(14)
+    store = TableStore(spark, scratch_path(spark, "retention"))
+    q = _dq(spark, sf_dir)
+    store.append("dns_query", q.withColumn("run_key", F.col("ord").cast("string")))
+    store.retain(spark.range(1).select(clock.cast("string")).first()[0])
+    kept = store.read("dns_query").withColumn("ord", F.col("run_key").cast("long"))
     return render(kept.select(*DQ_OUT))
 
 
@@ -407,12 +427,35 @@ def q_triage_apply(spark, sf_dir):
 
 
 def q_open_hits(spark, sf_dir):
+    """Hits of two rules are older than those of the others."""
     from ..operators import hits as hitops
     batch, as_of = _hit_batch(spark, sf_dir)
-    st = hitops.upsert_hits(schemas.empty(spark, "rule_hit"), batch, F.timestamp_micros(F.lit(as_of)))
+    first = batch.filter(F.col("rule_id").isin("dns_dga_entropy", "dns_known_bad_domain"))
+    s1 = hitops.upsert_hits(schemas.empty(spark, "rule_hit"), first, "2024-01-30 00:00:00").drop("_action", "reported")
+    st = hitops.upsert_hits(s1, batch, F.timestamp_micros(F.lit(as_of)))
     return render(ranking.open_hits(st.drop("_action", "reported"), 15))
 
 
+def q_rule_registry_upsert(spark, sf_dir):
+    """A catalogue of the even parts, some of them switched off, refreshed by
+    one of other parts with new texts."""
+    from ..operators import hits as hitops
+    p = tv.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    rule = F.concat(F.lit("rule-"), F.col("p_partkey").cast("string")).alias("id")
+    one = p.filter("p_partkey % 2 = 0").select(rule, F.col("p_type").alias("description"), F.col("p_partkey").alias("ord"))
+    st = hitops.upsert_rules(schemas.empty(spark, "rule"), one, "2024-05-01 00:00:00")
+    off = F.substring("id", 6, 20).cast("long") % 4 == 0
+    st = st.withColumn("enabled", F.when(off, F.lit(False)).otherwise(F.col("enabled")))
+    two = p.filter("p_partkey % 3 < 2").select(rule, F.col("p_brand").alias("description"), F.col("p_partkey").alias("ord"))
+    return render(hitops.upsert_rules(st, two, "2024-06-01 00:00:00"))
+
+
+def q_rule_totals(spark, sf_dir):
+    """A-10: one run's totals."""
+    from . import engine
+    return engine.run_totals(q_rule_run_results(spark, sf_dir))
+
+
 REGISTRY = _registry()
 
 
@@ -461,23 +504,25 @@ def q_quality_keys(spark, sf_dir):
 
 
 def q_quality_enums(spark, sf_dir):
-    """Raw severities outside the known set (missing ones)."""
+    """I-2: exposure entries outside the enum (every seventh nation's are misspelt)."""
     from ..operators import quality
-    raw = tv.finding_raw(spark, sf_dir)
-    return quality.enum_violations(raw, "Severity", ["CRITICAL", "HIGH", "MEDIUM", "LOW", "UNKNOWN"],
-                                   keep=["ord"])
+    entries = tv.exposure_map(spark, sf_dir).withColumn("exposure", F.when(
+        F.substring("note", 8, 5).cast("int") % 7 == 3, F.concat(F.col("exposure"), F.lit("x"))).otherwise(F.col("exposure")))
+    return quality.enum_violations(entries, "exposure", schemas.EXPOSURES, keep=["image"])
 
 
 def q_quality_nulls(spark, sf_dir):
+    """I-3: missing values in the columns that may not be null, over all mapped entries."""
     from ..operators import quality
-    return quality.null_counts(_dq(spark, sf_dir), ["client_name", "reason", "status", "upstream",
-                                                   "cached", "elapsed_ms"])
+    return quality.null_counts(tv.dns_mapped(spark, sf_dir), ["ts", "client", "qname", "qtype", "blocked"])
 
 
 def q_quality_refs(spark, sf_dir):
-    """Finding rows whose image has no exposure entry."""
+    """I-4: findings whose first run has no envelope (the runs of even years)."""
     from ..operators import quality
-    return quality.ref_violations(tv.finding_rows(spark, sf_dir), tv.exposure_map(spark, sf_dir), ["image"])
+    rows = tv.finding_rows(spark, sf_dir)
+    runs = tv.run_images(rows).filter(F.substring("run_key", 1, 4).cast("int") % 2 == 1)
+    return quality.ref_violations(findings_state(spark, sf_dir), runs, ["first_run"], ["run_key"])
 
 
 REGISTRY = _registry()
@@ -595,4 +640,61 @@ def q_stream_rule_hits(spark, sf_dir):
     return render(_stream_store(spark, sf_dir, with_rules=True).read("rule_hit"))
 
 
+def q_stream_late_rows(spark, sf_dir):
+    """ST-3: the later half of the log arrives first. The rows of the earlier
+    half are behind the watermark when they come: their windows are closed."""
+    from ..session import scratch_path
+    from ..streaming import dns_stream
+    early, late = _slices(spark, sf_dir, files=2, repull=False)
+    out, checkpoint = scratch_path(spark, "late-out"), scratch_path(spark, "ckpt-late")
+
+    def start(source):
+        df = dns_stream.sliding_counts(dns_stream.mapped_stream(source, tv.suffix_rules(spark)))
+        return (df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start(out))
+
+    _land_and_run(spark, "late", [late, early], start)
+    return render(spark.read.parquet(out))
+
+
+# ------------------------------------------------------------------- files
+
+def q_page_files(spark, sf_dir):
+    """S-3: the log written as page files of up to 500 entries and read back."""
+    from ..session import scratch_path
+    from ..sources import dnslog
+    e = tv.dns_entries(spark, sf_dir)
+    cols = [c for c in e.columns if c != "ord"]
+    pages = e.groupBy(F.floor(F.col("ord") / 500).alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct("ord", F.struct(*cols).alias("e")))).alias("es"))
+    path = scratch_path(spark, "pages")
+    (pages.select("page", F.to_json(F.struct(F.col("es.e").alias("data"), F.lit("").alias("oldest"))).alias("value"))
+     .write.partitionBy("page").text(path))
+    back = dnslog.read_pages(spark, f"{path}/*/*")
+    mapped = normalize.map_dns_entries(back, tv.suffix_rules(spark)).filter("valid")
+    return render(mapped.select(*[c for c in DQ_OUT if c != "ord"]))
+
+
+def q_kev_file(spark, sf_dir):
+    """S-5: the exploited list written as its JSON document and read back."""
+    from ..session import scratch_path
+    from ..sources import feeds as feed_files
+    path = scratch_path(spark, "kev")
+    feed = tv.kev_feed(spark, sf_dir)
+    doc = feed.select(F.struct("ord", *[c for c in feed.columns if c != "ord"]).alias("v")) \
+        .agg(F.sort_array(F.collect_list("v")).alias("vulnerabilities"))        # the feed is one document
+    doc.select(F.to_json(F.struct("vulnerabilities")).alias("value")).write.text(path)
+    return render(feed_files.read_kev(spark, path).drop("ord"))
+
+
+def q_epss_file(spark, sf_dir):
+    """S-6: scores written as CSV with the columns in another order and read by their names."""
+    from ..session import scratch_path
+    from ..sources import feeds as feed_files
+    path = scratch_path(spark, "epss")
+    tv.epss_feed(spark, sf_dir).select("percentile", "cve", F.lit("x").alias("other"), "epss") \
+        .write.option("header", True).csv(path)
+    return render(feed_files.read_epss(spark, path).select("cve", "score", "percentile"))
+
+
 REGISTRY = _registry()
