@@ -85,13 +85,20 @@ class Encoder(Coder):
     def shift(self, lanes, low):
         self.out[self.base[lanes] + self.at[lanes]] = low >> WORD
 
-    def code(self, lanes, edges, symbol):
-        """Codes ``symbol`` given the lower ``edges`` of all symbols' parts."""
-        row, n = self.number[:len(edges)], edges.shape[1]
-        start = edges[row, symbol]
-        end = np.where(symbol == n - 1, ONE, edges[row, np.minimum(symbol + 1, n - 1)])
+    def outcome(self, lanes, first, second, given):
+        """Codes one of three outcomes; ``first`` and ``second`` part them."""
+        middle, last = given == 1, given == 2
+        start = np.where(last, second, np.where(middle, first, 0))
+        end = np.where(last, ONE, np.where(middle, second, first))
         self.narrow(lanes, self.range[lanes] >> np.uint64(BITS), start, end)
-        return symbol
+        return given
+
+    def digit(self, lanes, edges, given):
+        """Codes a digit; ``edges`` are the lower edges of all sixteen, lane after lane."""
+        at = self.number[:len(given)] * 16 + given
+        end = np.where(given == 15, ONE, edges.take(np.minimum(at + 1, len(edges) - 1)))
+        self.narrow(lanes, self.range[lanes] >> np.uint64(BITS), edges.take(at), end)
+        return given
 
     def close(self) -> list[bytes]:
         for word in (self.low >> WORD, self.low & LOW_WORD):
@@ -114,15 +121,29 @@ class Decoder(Coder):
         at = self.base[lanes] + np.minimum(self.at[lanes] + 2, self.width - 1)
         self.value[lanes] = self.value[lanes] << WORD | self.data[at]
 
-    def code(self, lanes, edges, _):
-        """The symbol whose part holds the lane's value."""
+    def spot(self, lanes, unit):
+        """Where in its range, in parts of ``ONE``, each lane's value lies."""
+        return np.minimum((self.value[lanes] - self.low[lanes]) // unit, np.uint64(ONE - 1)).astype(np.int32)
+
+    def outcome(self, lanes, first, second, _):
+        unit = self.range[lanes] >> np.uint64(BITS)
+        spot = self.spot(lanes, unit)
+        middle, last = spot >= first, spot >= second
+        self.narrow(lanes, unit, np.where(last, second, np.where(middle, first, 0)),
+                    np.where(last, ONE, np.where(middle, second, first)))
+        return middle.astype(np.int64) + last
+
+    def digit(self, lanes, edges, _):
         unit = self.range[lanes] >> np.uint64(BITS)
-        spot = np.minimum((self.value[lanes] - self.low[lanes]) // unit, np.uint64(ONE - 1)).astype(edges.dtype)
-        symbol = np.count_nonzero(edges <= spot[:, None], axis=1) - 1
-        row, n = self.number[:len(edges)], edges.shape[1]
-        end = np.where(symbol == n - 1, ONE, edges[row, np.minimum(symbol + 1, n - 1)])
-        self.narrow(lanes, unit, edges[row, symbol], end)
-        return symbol
+        spot = self.spot(lanes, unit)
+        row = self.number[:len(spot)] * 16
+        at = row.copy()
+        for half in (8, 4, 2, 1):                           # the last edge that is not beyond the spot
+            at += (edges.take(at + half) <= spot) * half
+        digit = at - row
+        end = np.where(digit == 15, ONE, edges.take(np.minimum(at + 1, len(edges) - 1)))
+        self.narrow(lanes, unit, edges.take(at), end)
+        return digit
 
 
 def _goals(n: int, least: int, kind) -> np.ndarray:
@@ -136,7 +157,7 @@ class Model:
     """The adaptive state of each lane. Tables hold lower edges, so they code as they are;
     they move by a sixteenth or a 32nd of the way to their goal, which keeps parts positive."""
 
-    OUTCOME_GOALS = _goals(3, 64, np.int32)
+    LEAST = 64                          # part of an outcome
     DIGIT_GOALS = _goals(16, 24, np.int16)
     DIGIT_CONTEXTS = 1024
 
@@ -144,42 +165,47 @@ class Model:
         self.digits = digits
         self.base = np.arange(lanes) * SLOTS
         self.last = np.full((2, lanes * SLOTS), -1, np.int32)       # by order: predicted id * 8 + count
-        even = np.array([0, ONE // 3, 2 * ONE // 3], np.int32)
-        self.tables = [np.tile(even, (lanes * n, 1)) for n in (1, 16, 8)]
         self.lane = [np.arange(lanes) * n for n in (1, 16, 8)]
-        self.weights = np.full((lanes, 3), ONE // 3, np.int32)
+        #: by table, the edges between the three outcomes
+        self.first = [np.full(lanes * n, ONE // 3, np.int32) for n in (1, 16, 8)]
+        self.second = [np.full(lanes * n, 2 * ONE // 3, np.int32) for n in (1, 16, 8)]
+        self.weights = [np.full(lanes, ONE // 3, np.int32) for _ in range(3)]
         even = (np.arange(16) * (ONE // 16)).astype(np.int16)
         self.contexts = [min(16 ** d, self.DIGIT_CONTEXTS) for d in range(digits)]
         self.digit = [np.tile(even, (lanes * n, 1)) for n in self.contexts]
 
     def outcomes(self, k, one, two):
-        """Edges of the three outcomes for the first ``k`` lanes, and what the update needs."""
+        """The mixture's edges between the outcomes of the first ``k`` lanes, and what the
+        update needs."""
         hash1 = one * 40503
         slot1 = self.base[:k] + (hash1 >> 4 & SLOTS - 1)
         slot2 = self.base[:k] + ((hash1 ^ two * 60493) >> 4 & SLOTS - 1)
         held1, held2 = self.last[0].take(slot1), self.last[1].take(slot2)
         id1, id2 = held1 >> 3, held2 >> 3
         rows = [self.lane[0][:k], self.lane[1][:k] + ((held1 & 7) * 2 + (id1 == id2)), self.lane[2][:k] + (held2 & 7)]
-        parts = [t.take(r, axis=0) for t, r in zip(self.tables, rows)]
-        w = self.weights[:k]
-        edges = (w[:, :1] * parts[0] + w[:, 1:2] * parts[1] + w[:, 2:] * parts[2]) // w.sum(axis=1, keepdims=True)
-        return edges, (slot1, slot2, held1, held2, id1, id2, rows, parts, edges)
-
-    def learn(self, k, outcome, ids, state):
-        slot1, slot2, held1, held2, id1, id2, rows, parts, edges = state
-        goal = self.OUTCOME_GOALS.take(outcome, axis=0)
-        row = self.lane[0][:k]
-        after = np.minimum(outcome + 1, 2)
-        last = outcome == 2
-        gains = [np.where(last, ONE, p[row, after]) - p[row, outcome] for p in (*parts, edges)]
-        for j in range(3):                  # a table that gave the outcome more than the mixture gains weight
-            w = self.weights[:k, j]
-            w += (gains[j] - gains[3]) >> 4
+        parts = [(f.take(r), s.take(r)) for f, s, r in zip(self.first, self.second, rows)]
+        w = [x[:k] for x in self.weights]
+        total = w[0] + w[1] + w[2]
+        first, second = ((w[0] * parts[0][i] + w[1] * parts[1][i] + w[2] * parts[2][i]) // total for i in (0, 1))
+        return first, second, (slot1, slot2, held1, held2, id1, id2, rows, parts, w)
+
+    def learn(self, outcome, ids, first, second, state):
+        slot1, slot2, held1, held2, id1, id2, rows, parts, weights = state
+        top, last = outcome == 0, outcome == 2
+
+        def given(f, s):
+            return np.where(top, f, np.where(last, ONE - s, s - f))
+
+        mixed = given(first, second)
+        goal1 = np.where(top, ONE - 2 * self.LEAST, self.LEAST).astype(np.int32)
+        goal2 = np.where(last, 2 * self.LEAST, ONE - self.LEAST).astype(np.int32)
+        for f, s, r, p, w in zip(self.first, self.second, rows, parts, weights):
+            w += (given(*p) - mixed) >> 4       # a table that gave the outcome more than the mixture gains weight
             np.minimum(np.maximum(w, ONE >> 6, out=w), ONE, out=w)
-        for t, r, p in zip(self.tables, rows, parts):
-            t[r] = p + ((goal - p) >> 5)
-        for order, slot, held, known in ((0, slot1, held1, id1), (1, slot2, held2, id2)):
-            self.last[order][slot] = np.where(known == ids, np.minimum(held & 7, 6) + 1, 0) + (ids << 3)
+            f[r] = p[0] + ((goal1 - p[0]) >> 5)
+            s[r] = p[1] + ((goal2 - p[1]) >> 5)
+        for last_of, slot, held, known in ((self.last[0], slot1, held1, id1), (self.last[1], slot2, held2, id2)):
+            last_of[slot] = np.where(known == ids, np.minimum(held & 7, 6) + 1, 0) + (ids << 3)
 
     def spell(self, coder, lanes, ids):
         """Codes ids digit by digit; gives them."""
@@ -187,7 +213,7 @@ class Model:
         for d, (table, n) in enumerate(zip(self.digit, self.contexts)):
             row = lanes * n + (out & n - 1)
             held = table.take(row, axis=0)
-            digit = coder.code(lanes, held, None if ids is None else ids >> 4 * (self.digits - 1 - d) & 15)
+            digit = coder.digit(lanes, held.reshape(-1), None if ids is None else ids >> 4 * (self.digits - 1 - d) & 15)
             table[row] = held + ((self.DIGIT_GOALS.take(digit, axis=0) - held) >> 4)
             out = out << 4 | digit
         return out
@@ -202,11 +228,11 @@ def _run(coder, model, lengths, ids=None):
     for t in range(steps):
         k = ends[t]                                         # lanes that are not at their end
         one, two = one[:k], two[:k]
-        edges, state = model.outcomes(k, one, two)
+        first, second, state = model.outcomes(k, one, two)
         id1, id2 = state[4], state[5]
         now = out[t, :k]
         outcome = None if decode else np.where(now == id2, 0, np.where(now == id1, 1, 2))
-        outcome = coder.code(slice(0, k), edges, outcome)
+        outcome = coder.outcome(slice(0, k), first, second, outcome)
         rest = np.flatnonzero(outcome == 2)
         if decode:                                          # a damaged block may give anything
             now = np.where(outcome == 0, id2, id1).astype(np.int64) & (16 ** model.digits - 1)
@@ -215,7 +241,7 @@ def _run(coder, model, lengths, ids=None):
             out[t, :k] = now
         elif len(rest):
             model.spell(coder, rest, now[rest])
-        model.learn(k, outcome, now, state)
+        model.learn(outcome, now, first, second, state)
         one, two = now, one
     return out.T
 
@@ -385,7 +411,7 @@ def starts(documents: DataFrame) -> DataFrame:
 
 
 def op1_token_ids(spark, sf_dir: str) -> DataFrame:
-    folder = common.shared_path(spark, "ids")
+    folder = common.scratch_path(spark, "ids")
     write(common.table(spark, sf_dir, "documents"), folder)
     back = common.materialise(read(spark, folder), "read-ids")
     return starts(back).select("doc_id", "start", "n_tokens", "ids_crc32")
