@@ -3,14 +3,13 @@ from __future__ import annotations
 
 import functools
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 #: Vocabulary files by name; a caller may pass any other path instead.
 def vocabulary(name: str) -> str:
@@ -23,14 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: lineage ends there."""
-    path = shared_path(df.sparkSession, label)
+    """Writes ``df`` once to the cluster's shared folder and reads it back: lineage ends there."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,7 +32,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def share_bytes(spark: SparkSession, data: bytes, label: str) -> str:
     """Writes a small file to the shared folder and has every executor fetch a copy.
     Returns the name for ``SparkFiles.get``."""
-    target = f"{shared_path(spark, label)}.bin"
+    folder = scratch_path(spark, label)
+    target = f"{folder}/{folder.rsplit('/', 1)[1]}.bin"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(path)
