@@ -1,6 +1,7 @@
 """Session helpers: UTC clock, AQE on, shared checkpoint folder."""
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -67,9 +68,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder name of the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder name of the shared checkpoint folder. What was
+    written there goes when the driver ends (a driver that is killed leaves
+    it to the folder's own clean-up)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_drop_scratch)
+    _scratch.append((spark, path))
+    return path
+
+
+def _drop_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001  (the session was stopped before)
+            return
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
