@@ -67,9 +67,7 @@ def upsert_findings(state: DataFrame, rows: DataFrame, run_key: str, as_of,
                status=F.lit("open"))
     upd = {"last_seen": t, "last_run": F.lit(run_key), "severity": B("severity"),
            "fixed_version": B("fixed_version"), "resolved_at": F.lit(None)}
-    keyed = batch.select(*FINDING_KEY, "occurrences")
-    out = upsert(state, batch.drop("occurrences"), FINDING_KEY, ins, upd)
-    return out.join(keyed, FINDING_KEY, "left")
+    return upsert(state, batch, FINDING_KEY, ins, upd, carry=["occurrences"])
 
 
 def resolve_findings(state: DataFrame, scanned_images: DataFrame, run_key: str, as_of) -> DataFrame:

@@ -33,8 +33,7 @@ def upsert_hits(state: DataFrame, hits: DataFrame, as_of, order: str = "ord") ->
     ins = {"summary": B("summary"), "first_seen": t, "last_seen": t,
            "hit_count": B("reported"), "status": F.lit("open")}
     upd = {"summary": B("summary"), "last_seen": t, "hit_count": S("hit_count") + B("reported")}
-    out = upsert(state, batch, ["rule_id", "entity"], ins, upd)
-    return out.join(batch.select("rule_id", "entity", "reported"), ["rule_id", "entity"], "left")
+    return upsert(state, batch, ["rule_id", "entity"], ins, upd, carry=["reported"])
 
 
 def hit_metrics(upserted: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def reduce_batch(batch: DataFrame, keys: list[str], order: str | Column,
 
 def upsert(state: DataFrame, batch: DataFrame, keys: list[str],
            insert: Mapping[str, Expr], update: Mapping[str, Expr],
-           action_col: str | None = "_action") -> DataFrame:
+           action_col: str | None = "_action", carry: list[str] = ()) -> DataFrame:
     """Full-outer-join upsert.
 
     * ``state`` rows without a batch row are kept unchanged (action 'keep');
@@ -70,7 +70,8 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str],
     * matches keep state columns except those in ``update`` (expressions over
       ``S(...)`` and ``B(...)``), action 'update'.
 
-    The output has exactly the columns of ``state`` (plus ``action_col``).
+    The output has exactly the columns of ``state``, plus ``action_col`` and the
+    batch columns named in ``carry`` (NULL where no batch row met the key).
     ``batch`` must hold at most one row per key (see ``reduce_batch``).
 
     Plan: one full outer join, so state and batch are each read once and no
@@ -98,4 +99,4 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str],
     if action_col:
         out.append(F.when(~in_s, F.lit("insert")).when(in_b, F.lit("update"))
                    .otherwise(F.lit("keep")).alias(action_col))
-    return j.select(*out)
+    return j.select(*out, *[B(c).alias(c) for c in carry])
