@@ -291,7 +291,7 @@ def encoder(path: str, lexicon: Lexicon | None):
             out += array("I", vocab.merge(raw)).tobytes() if ids is None else ids.tobytes()
         return out
 
-    cache = common.ChunkCache(make, 400_000)
+    cache = common.ChunkCache(make, 150_000)
     special = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special.items()}
 
     def encode(text):
