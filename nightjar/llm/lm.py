@@ -5,7 +5,8 @@ counts come from all documents that are labelled good, the background's from all
 A document's score is the mean over its tokens of the target's loss less the background's, in
 bits: the lower, the more the document is like the target than like the corpus at large.
 
-Counts cover every document. A task adds them up in arrays and hands on the cells that are not
+Texts are tokenised once; the ids are a table in the shared folder. Counts cover every
+document. A task adds them up in arrays and hands on the cells that are not
 zero, Spark sums the cells of all tasks. Bigrams are counted in ``CELLS`` hashed cells, so that
 models have a bounded size however large the corpus is; contexts and unigrams are exact. The
 models are matched in size too: the background's counts are scaled to the target's total, as
@@ -47,22 +48,36 @@ def cells(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - 21)).astype(np.int64)
 
 
-def _ids(encode, text: str, size: int):
+def _kind(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _with_before(raw: bytes, size: int):
     """Token ids and the token before each; ``size`` stands before the first."""
-    ids = np.frombuffer(encode(text), "<u4").astype(np.int64)
+    ids = np.frombuffer(raw, _kind(size)).astype(np.int64)
     return ids, np.concatenate([[size], ids[:-1]]) if len(ids) else ids
 
 
-def count(docs: DataFrame, path: str, text: str = "text", good: str = "good") -> DataFrame:
+def tokens(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` and ``ids`` (binary) of each whole text, for counting and scoring."""
+    size = vocabulary_size(path)
+
+    def run(texts):
+        encode, kind = common.library_encoder(path), _kind(size)
+        return [[np.frombuffer(encode(t), "<u4").astype(kind).tobytes() for t in texts]]
+
+    return common.add_columns(docs, {"text": common.text_of(text)}, run, [common.field("ids", T.BinaryType())], carry)
+
+
+def count(tokenised: DataFrame, size: int, good: str) -> DataFrame:
     """``(model, kind, cell, n)`` over all documents; model 1 (target) only of good ones."""
     def run(batches):
-        encode, size = common.library_encoder(path), vocabulary_size(path)
         room = (size, size + 1, CELLS)
         sums = [[np.zeros(n, np.int64) for n in room] for _ in range(2)]
         for b in batches:
             parts = ([], [])
-            for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts[bool(g)].append(_ids(encode, t, size))
+            for raw, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts[bool(g)].append(_with_before(raw, size))
             for g, part in enumerate(parts):
                 if part:
                     ids, before = (np.concatenate(x) for x in zip(*part))
@@ -77,7 +92,7 @@ def count(docs: DataFrame, path: str, text: str = "text", good: str = "good") ->
                         [pa.array(np.full(len(some), model, np.int8)), pa.array(np.full(len(some), kind, np.int8)),
                          pa.array(some.astype(np.int32)), pa.array(n[some])], names=["model", "kind", "cell", "n"])
 
-    partial = docs.select(common.text_of(text).alias("t"), F.coalesce(F.col(good), F.lit(False)).alias("g")) \
+    partial = tokenised.select("ids", F.coalesce(F.col(good), F.lit(False)).alias("g")) \
         .mapInArrow(run, "model byte, kind byte, cell int, n long")
     return partial.groupBy("model", "kind", "cell").agg(F.sum("n").alias("n"))
 
@@ -102,7 +117,7 @@ class Models:
         if self.scratch is None:
             self.scratch = [np.zeros(len(c), np.int32) for c in self.counts[0]]
         cells_of = self.scratch[kind]
-        np.add.at(cells_of, key, 1)
+        np.add.at(cells_of, key, np.ones(len(key), np.int32))
         out = cells_of[key]
         cells_of[key] = 0
         return out
@@ -139,23 +154,23 @@ def score(docs: DataFrame, labels: DataFrame, path: str | None = None, doc_id: s
     path = path or common.vocabulary("byte_bpe_50k.json")
     size = vocabulary_size(path)
     row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row")
-    docs = docs.select(row, common.text_of(text).alias("text"), F.col(doc_id).alias("id")) \
+    marked = docs.select(row, common.text_of(text).alias("text"), F.col(doc_id).alias("id")) \
         .join(good_ids(labels, doc_id), "id", "left")
-    shared = docs.sparkSession.sparkContext.broadcast(Models(count(docs, path).toArrow(), size))
+    done = common.materialise(tokens(marked, path, carry=["row", "good"]), "tokens")
+    shared = docs.sparkSession.sparkContext.broadcast(Models(count(done, size, "row.good").toArrow(), size))
 
-    def run(texts, goods):
-        encode, models = common.library_encoder(path), shared.value
-        out = []
-        for t, g in zip(texts, goods):
-            ids, before = _ids(encode, t, size)
+    def run(raws, goods):
+        models, out = shared.value, []
+        for raw, g in zip(raws, goods):
+            ids, before = _with_before(raw, size)
             background, target = models.losses(ids, before, bool(g))
             out.append((len(ids), target, background, None if target is None else target - background))
         return [list(c) for c in zip(*out)] if out else [[], [], [], []]
 
     fields = [common.field("n_tokens", T.LongType()), *[common.field(n, T.DoubleType()) for n in (
         "target_loss", "background_loss", "score")]]
-    return common.add_columns(docs, {"text": F.col("text"), "good": F.col("good")}, run, fields, ["row"]) \
-        .select("row.row", *[f.name for f in fields])
+    return common.add_columns(done, {"ids": F.col("ids"), "good": F.col("row.good")}, run, fields, ["row"]) \
+        .select("row.row.row", *[f.name for f in fields])
 
 
 def op6_cross_entropy(spark, sf_dir: str) -> DataFrame:
