@@ -5,11 +5,13 @@ counts come from all documents that are labelled good, the background's from all
 A document's score is the mean over its tokens of the target's loss less the background's, in
 bits: the lower, the more the document is like the target than like the corpus at large.
 
-Texts are tokenised once; the ids are a table in the shared folder. Counts cover every
-document. A task adds them up in arrays and hands on the cells that are not
-zero, Spark sums the cells of all tasks. Bigrams are counted in ``CELLS`` hashed cells, so that
-models have a bounded size however large the corpus is; contexts and unigrams are exact. The
-models are matched in size too: the background's counts are scaled to the target's total, as
+Texts are tokenised once; the ids are a table in the shared folder, cut into chunks of about
+``CHUNK`` tokens. Counts cover every document and are exact. Unigrams and contexts are bounded
+by the vocabulary: tasks add them up in arrays, Spark sums those, and they are broadcast. The
+bigrams grow with the corpus and never meet in one place: a chunk hands on each of its distinct
+bigrams once with its counts, Spark sums them by bigram, and the sums go back to the chunks
+that hold the bigram, where its documents are scored. So a frequent bigram has one row a
+chunk. The models are matched in size too: the background's counts are scaled to the target's total, as
 else the larger corpus would smooth less. A document's own counts are taken out of both models
 when it is scored (leave one out), so labelled documents are judged like all others.
 
@@ -25,16 +27,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-CELLS = 1 << 21
+CHUNK = 1 << 20         # tokens; a longer document is a chunk of its own
 MU, ALPHA = 50.0, 0.1
 BROADCAST = 2_000_000       # labelled ids (16 bytes each) that may be broadcast
-UNIGRAM, CONTEXT, BIGRAM = range(3)
+UNIGRAM, CONTEXT = range(2)
 
 
 def vocabulary_size(path: str) -> int:
@@ -42,10 +45,8 @@ def vocabulary_size(path: str) -> int:
 
 
 def cells(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The hashed cell of each bigram."""
-    mixed = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - 21)).astype(np.int64)
+    """The key of each bigram; no two bigrams share one."""
+    return before.astype(np.int64) << 32 | ids.astype(np.int64)
 
 
 def _kind(size: int) -> str:
@@ -58,21 +59,38 @@ def _with_before(raw: bytes, size: int):
     return ids, np.concatenate([[size], ids[:-1]]) if len(ids) else ids
 
 
-def tokens(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``row`` and ``ids`` (binary) of each whole text, for counting and scoring."""
-    size = vocabulary_size(path)
+def tokens(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None,
+           chunk: int = CHUNK) -> DataFrame:
+    """``row``, ``ids`` (binary) and ``chunk`` of each whole text, for counting and scoring."""
+    size, now = vocabulary_size(path), {"chunk": 0, "used": 0}      # ``now`` is each task's own
 
     def run(texts):
-        encode, kind = common.library_encoder(path), _kind(size)
-        return [[np.frombuffer(encode(t), "<u4").astype(kind).tobytes() for t in texts]]
+        encode, kind, first = common.library_encoder(path), _kind(size), TaskContext.get().partitionId() << 32
+        out, chunks = [], []
+        for t in texts:
+            raw = np.frombuffer(encode(t), "<u4").astype(kind)
+            if now["used"] and now["used"] + len(raw) + 1 > chunk:
+                now.update(chunk=now["chunk"] + 1, used=0)
+            now["used"] += len(raw) + 1                             # texts without tokens fill it too
+            out.append(raw.tobytes())
+            chunks.append(first + now["chunk"])
+        return [out, chunks]
+
+    return common.add_columns(docs, {"text": common.text_of(text)}, run,
+                              [common.field("ids", T.BinaryType()), common.field("chunk", T.LongType())], carry)
+
 
-    return common.add_columns(docs, {"text": common.text_of(text)}, run, [common.field("ids", T.BinaryType())], carry)
+def _slices(columns: dict, rows: int = 100_000):
+    """Record batches of bounded size of equally long arrays."""
+    table = pa.table(columns)
+    yield from table.to_batches(max_chunksize=rows)
 
 
 def count(tokenised: DataFrame, size: int, good: str) -> DataFrame:
-    """``(model, kind, cell, n)`` over all documents; model 1 (target) only of good ones."""
+    """``(model, kind, cell, n)`` of unigrams and contexts over all documents; model 1 (target)
+    only of good ones."""
     def run(batches):
-        room = (size, size + 1, CELLS)
+        room = (size, size + 1)
         sums = [[np.zeros(n, np.int64) for n in room] for _ in range(2)]
         for b in batches:
             parts = ([], [])
@@ -80,63 +98,87 @@ def count(tokenised: DataFrame, size: int, good: str) -> DataFrame:
                 parts[bool(g)].append(_with_before(raw, size))
             for g, part in enumerate(parts):
                 if part:
-                    ids, before = (np.concatenate(x) for x in zip(*part))
-                    for kind, x in enumerate((ids, before, cells(before, ids))):
-                        sums[g][kind] += np.bincount(x, minlength=room[kind])
-        for kind in range(3):
+                    for kind, x in enumerate(zip(*part)):
+                        sums[g][kind] += np.bincount(np.concatenate(x), minlength=room[kind])
+        for kind in range(2):
             for model, n in enumerate((sums[0][kind] + sums[1][kind], sums[1][kind])):
                 at = np.flatnonzero(n)
-                for k in range(0, len(at), 100_000):
-                    some = at[k:k + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), model, np.int8)), pa.array(np.full(len(some), kind, np.int8)),
-                         pa.array(some.astype(np.int32)), pa.array(n[some])], names=["model", "kind", "cell", "n"])
+                yield from _slices({"model": np.full(len(at), model, np.int8), "kind": np.full(len(at), kind, np.int8),
+                                    "cell": at.astype(np.int32), "n": n[at]})
 
     partial = tokenised.select("ids", F.coalesce(F.col(good), F.lit(False)).alias("g")) \
         .mapInArrow(run, "model byte, kind byte, cell int, n long")
     return partial.groupBy("model", "kind", "cell").agg(F.sum("n").alias("n"))
 
 
+def pairs(tokenised: DataFrame, size: int, good: str) -> DataFrame:
+    """``(chunk, key, background, target)``: both models' counts of each bigram of a chunk. A
+    chunk that is read in parts has a row for each, with the same counts."""
+    def run(batches):
+        chunk, parts = None, ([], [])
+
+        def summed():
+            if parts[0] or parts[1]:
+                key, at = np.unique(np.concatenate(parts[0] + parts[1]), return_inverse=True)
+                other = sum(map(len, parts[0]))
+                yield from _slices({
+                    "chunk": np.full(len(key), chunk, np.int64), "key": key, "n": np.bincount(at, minlength=len(key)),
+                    "g": np.bincount(at[other:], minlength=len(key))})
+
+        for b in batches:
+            for c, raw, g in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                if c != chunk:
+                    yield from summed()
+                    chunk, parts = c, ([], [])
+                ids, before = _with_before(raw, size)
+                if len(ids):
+                    parts[bool(g)].append(cells(before, ids))
+        yield from summed()
+
+    partial = tokenised.select("chunk", "ids", F.coalesce(F.col(good), F.lit(False)).alias("g")) \
+        .mapInArrow(run, "chunk long, key long, n long, g long")
+    same = Window.partitionBy("key")        # at most one row for each chunk, or part of one
+    return partial.select("chunk", "key", F.sum("n").over(same).alias("background"), F.sum("g").over(same).alias("target"))
+
+
 class Models:
-    """Both models' counts; at most ``2 * (CELLS + 2 V)`` numbers."""
+    """Both models' counts of unigrams and contexts; at most ``4 V`` numbers."""
 
     def __init__(self, counted, size: int):
         self.size = size
-        room = (size, size + 1, CELLS)
+        room = (size, size + 1)
         self.counts = [[np.zeros(n) for n in room] for _ in range(2)]
         model, kind, cell, n = (counted.column(c).to_numpy() for c in ("model", "kind", "cell", "n"))
         for m in range(2):
-            for k in range(3):
+            for k in range(2):
                 mine = (model == m) & (kind == k)
                 self.counts[m][k][cell[mine]] = n[mine]
         self.totals = [c[UNIGRAM].sum() for c in self.counts]
-        self.scratch = None             # zeros, one per cell of each kind; made where they are used
-
-    def own(self, kind: int, key: np.ndarray) -> np.ndarray:
-        """How often the document itself has each of its cells."""
-        if self.scratch is None:
-            self.scratch = [np.zeros(len(c), np.int32) for c in self.counts[0]]
-        cells_of = self.scratch[kind]
-        np.add.at(cells_of, key, np.ones(len(key), np.int32))
-        out = cells_of[key]
-        cells_of[key] = 0
-        return out
-
-    def losses(self, ids: np.ndarray, before: np.ndarray, good: bool):
-        """Mean loss in bits by (background, target), the document's own counts left out."""
-        if not len(ids) or not self.totals[1]:
-            return None, None
-        out, goal = [], self.totals[1]
-        keys = (ids, before, cells(before, ids))
-        own = [self.own(kind, key) for kind, key in enumerate(keys)]
-        for m in range(2):
-            counted = bool(m == 0 or good)
-            word, context, pair = (c[key] - o * counted for c, key, o in zip(self.counts[m], keys, own))
-            total = self.totals[m] - len(ids) * counted
-            scale = goal / total if total > 0 else 0.0
-            low = (word * scale + ALPHA) / (total * scale + ALPHA * self.size)
-            out.append(float(-np.log2((pair * scale + MU * low) / (context * scale + MU)).mean()))
-        return out[0], out[1]
+
+    def losses(self, raws: list[bytes], goods: list[bool], key: np.ndarray, two: tuple):
+        """Tokens and mean losses in bits by (background, target) of each document, its own
+        counts left out. ``key``: sorted bigrams of all of them; ``two``: their counts."""
+        counts = [[*c, t] for c, t in zip(self.counts, two)]
+        scratch = [np.zeros(len(c), np.int32) for c in counts[0]]       # zeros between documents
+        for raw, good in zip(raws, goods):
+            ids, before = _with_before(raw, self.size)
+            if not len(ids) or not self.totals[1]:
+                yield len(ids), None, None
+                continue
+            out, own, goal = [], [], self.totals[1]
+            at = (ids, before, np.searchsorted(key, cells(before, ids)))
+            for mine, places in zip(scratch, at):
+                np.add.at(mine, places, 1)
+                own.append(mine[places])
+                mine[places] = 0
+            for m in range(2):
+                counted = bool(m == 0 or good)
+                word, context, pair = (c[places] - o * counted for c, places, o in zip(counts[m], at, own))
+                total = self.totals[m] - len(ids) * counted
+                scale = goal / total if total > 0 else 0.0
+                low = (word * scale + ALPHA) / (total * scale + ALPHA * self.size)
+                out.append(float(-np.log2((pair * scale + MU * low) / (context * scale + MU)).mean()))
+            yield len(ids), out[0], out[1]
 
 
 def good_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
@@ -148,7 +190,7 @@ def good_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality"
 
 
 def score(docs: DataFrame, labels: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text",
-          carry: list[str] | None = None) -> DataFrame:
+          carry: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """``row``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` of each whole
     text. The target is the documents whose label's ``quality`` is 1."""
     path = path or common.vocabulary("byte_bpe_50k.json")
@@ -156,21 +198,23 @@ def score(docs: DataFrame, labels: DataFrame, path: str | None = None, doc_id: s
     row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row")
     marked = docs.select(row, common.text_of(text).alias("text"), F.col(doc_id).alias("id")) \
         .join(good_ids(labels, doc_id), "id", "left")
-    done = common.materialise(tokens(marked, path, carry=["row", "good"]), "tokens")
+    done = common.materialise(tokens(marked, path, carry=["row", "good"], chunk=chunk), "tokens")
     shared = docs.sparkSession.sparkContext.broadcast(Models(count(done, size, "row.good").toArrow(), size))
 
-    def run(raws, goods):
-        models, out = shared.value, []
-        for raw, g in zip(raws, goods):
-            ids, before = _with_before(raw, size)
-            background, target = models.losses(ids, before, bool(g))
-            out.append((len(ids), target, background, None if target is None else target - background))
-        return [list(c) for c in zip(*out)] if out else [[], [], [], []]
+    def run(docs, pairs):
+        key, background, target = (pairs.column(c).to_numpy() for c in ("key", "background", "target"))
+        order = np.argsort(key)
+        two = (background[order], target[order])
+        out = [(n, t, b, None if t is None else t - b) for n, b, t in shared.value.losses(
+            docs.column("ids").to_pylist(), docs.column("good").to_pylist(), key[order], two)]
+        return pa.Table.from_arrays([docs.column("row"), *[pa.array(v, common.arrow_type(f.dataType)) for v, f in zip(
+            zip(*out), fields)]], names=["row", *[f.name for f in fields]])
 
     fields = [common.field("n_tokens", T.LongType()), *[common.field(n, T.DoubleType()) for n in (
         "target_loss", "background_loss", "score")]]
-    return common.add_columns(done, {"ids": F.col("ids"), "good": F.col("row.good")}, run, fields, ["row"]) \
-        .select("row.row.row", *[f.name for f in fields])
+    left = done.select("chunk", F.col("row.row").alias("row"), F.coalesce("row.good", F.lit(False)).alias("good"), "ids")
+    return left.groupBy("chunk").cogroup(pairs(done, size, "row.good").groupBy("chunk")) \
+        .applyInArrow(run, T.StructType([left.schema["row"], *fields]))
 
 
 def op6_cross_entropy(spark, sf_dir: str) -> DataFrame:
