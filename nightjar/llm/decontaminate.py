@@ -2,15 +2,16 @@
 
 Test items and documents are cut into normalised words. Where a document holds an n-gram of
 an item, the passage around it - as much as the whole item could cover, and ``SLACK`` of its
-length more on either side - becomes a candidate. Spark counts in how many candidates' documents
-each n-gram occurs; an item's rarer n-grams are its seeds, and a candidate without a seed is
-dropped. The rest are aligned word by word (Smith-Waterman with a match, mismatch and gap
-score); a score of at least ``THRESHOLD`` of that of the item against itself reports the pair.
-Edited and paraphrased copies keep some seeds and lose a bounded part of the score.
+length more on either side - becomes a candidate. Candidates are aligned word by word
+(Smith-Waterman with a match, mismatch and gap score); a score of at least ``THRESHOLD`` of that
+of the item against itself reports the pair. Edited and paraphrased copies keep some n-grams and
+lose a bounded part of the score. Only a candidate that shares too few words with the item to
+reach the threshold in any order is dropped before.
 
-Which n-grams are rare is relative to their item, so that an item leaked into very many
-documents does not lose its seeds: an n-gram is a seed if it is in at most ``RARE`` documents,
-or is among the rarer half of its item's n-grams that occur.
+Spark counts in how many candidates' documents each n-gram occurs. Which n-grams are rare is
+relative to the candidate, so that each has a seed, however often the item or its edits
+leaked: an n-gram is a seed if it is in at most ``RARE`` documents, or is among the rarer half
+of the candidate's own.
 
 Items are taken in blocks of at most ``BLOCK_CHARS`` characters, each block against all
 documents, so a task holds a bounded n-gram table however long the benchmark is. An item
@@ -24,6 +25,7 @@ null ids are reported as null; empty tables give no pair. Extra columns travel i
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -99,6 +101,26 @@ class Seeds:
         table = np.array(self.grams, np.uint64).reshape(-1, ngram)
         self.hashes = np.unique((table * self.powers).sum(axis=1, dtype=np.uint64))
         self.short_lengths = sorted({len(s) for s in self.short})
+        self.bag = functools.lru_cache(maxsize=20_000)(lambda n: Counter(self.items[n]))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "bag"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.bag = functools.lru_cache(maxsize=20_000)(lambda n: Counter(self.items[n]))
+
+    def trimmed(self, n: int, passage: list[int], threshold: float):
+        """Words before the first of the item's, and the passage from there to the last one,
+        with 0 for words that the item lacks: it aligns alike. No passage if the words that
+        both hold, in whatever order, are too few for the threshold."""
+        bag = self.bag(n)
+        held = [w if w in bag else 0 for w in passage]
+        shared = sum((Counter(held) & bag).values())
+        if shared / len(self.items[n]) < threshold:
+            return 0, None
+        at = np.flatnonzero(held)
+        return int(at[0]), held[at[0]:at[-1] + 1]
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
         """Positions whose n-gram may be an item's."""
@@ -116,8 +138,9 @@ class Seeds:
         spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return at[self.hashes[spot] == h]
 
-    def passages(self, text: str):
-        """Candidates of a text: item number, its n-grams' numbers, first word, passage."""
+    def passages(self, text: str, threshold: float):
+        """Candidates of a text: item number, its n-grams' numbers, first word, passage (null
+        if it can't reach the threshold)."""
         words = words_of(text)
         if not words:
             return
@@ -142,7 +165,8 @@ class Seeds:
                     spans.setdefault(n, []).append([p, p + length, {-1 - n}])
         for n, held in spans.items():
             for a, b, grams in held:
-                yield n, sorted(grams), a, ids[a:b].tolist()
+                skipped, passage = self.trimmed(n, ids[a:b].tolist(), threshold)
+                yield n, sorted(grams), a + skipped, passage
 
 
 CANDIDATE = T.ArrayType(T.StructType([
@@ -170,21 +194,16 @@ def _block_matches(docs: DataFrame, block: list[tuple], text: str, carry, ngram,
 
     def find(texts):
         look = seeds.value.passages
-        return [[[dict(zip(("item", "grams", "first", "passage"), c)) for c in look(t)] for t in texts]]
+        return [[[dict(zip(("item", "grams", "first", "passage"), c)) for c in look(t, threshold)] for t in texts]]
 
     found = common.add_columns(docs, {"text": common.text_of(text)}, find, [common.field("found", CANDIDATE)], carry)
     found = found.where(F.size("found") > 0)
     found = common.materialise(found.withColumn("doc", F.expr("uuid()")), "candidates")
-    passages = found.select("row", "doc", F.explode("found").alias("c")).select("row", "doc", "c.*")
-    # documents of each n-gram that occurs; an item's rarer half, and what is rare anyway
+    passages = found.select("row", "doc", F.posexplode("found").alias("place", "c")).select("row", "doc", "place", "c.*")
+    # documents of each n-gram that occurs: no more rows than the block has n-grams
     used = passages.select("doc", F.explode("grams").alias("gram")).distinct() \
         .groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
-    of_item = passages.select("item", F.explode("grams").alias("gram")).distinct().join(used, "gram")
-    middle = of_item.groupBy("item").agg(F.percentile("docs", 0.5).alias("middle"))
-    chosen = of_item.join(middle, "item").where((F.col("docs") <= rare) | (F.col("docs") <= F.col("middle")))
-    chosen = chosen.groupBy("item").agg(F.collect_set("gram").alias("seeds"))
-    kept = passages.join(chosen, "item").where(F.arrays_overlap("grams", "seeds")) \
-        .withColumn("n_seeds", F.size(F.array_intersect("grams", "seeds")))
+    kept = passages.where(F.col("passage").isNotNull())
 
     def score(items, passages, firsts):
         known = seeds.value.items
@@ -198,10 +217,17 @@ def _block_matches(docs: DataFrame, block: list[tuple], text: str, carry, ngram,
     scored = common.add_columns(
         kept, {"item": F.col("item"), "passage": F.col("passage"), "first": F.col("first")}, score,
         [common.field("score", T.DoubleType()), common.field("first_word", T.LongType()),
-         common.field("end_word", T.LongType())], carry=["row", "doc", "item", "n_seeds"])
+         common.field("end_word", T.LongType())], carry=["row", "doc", "place", "item", "grams"])
     ids = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], "item int, item_id long")
-    hits = scored.where(F.col("score") >= threshold).select(
-        "row.row", "row.doc", "row.item", "row.n_seeds", "score", "first_word", "end_word").join(ids, "item", "left")
+    hits = common.materialise(scored.where(F.col("score") >= threshold).select(
+        "row.*", "score", "first_word", "end_word"), "hits")
+    # a candidate's seeds: what is rare anyway, and the rarer half of its own n-grams
+    counts = hits.select("doc", "place", F.explode("grams").alias("gram")).join(F.broadcast(used), "gram") \
+        .groupBy("doc", "place").agg(F.sort_array(F.collect_list("docs")).alias("docs"))
+    middle = F.element_at("docs", F.ceil(F.size("docs") / 2).cast("int"))
+    n_seeds = counts.select("doc", "place", F.size(F.filter(
+        "docs", lambda n: n <= F.greatest(F.lit(rare), middle))).alias("n_seeds"))
+    hits = hits.join(n_seeds, ["doc", "place"]).join(ids, "item", "left")
     best = F.max_by(F.struct("row", "n_seeds", "score", "first_word", "end_word"),
                     F.struct(F.col("score"), -F.col("first_word")))
     return hits.groupBy("doc", "item_id").agg(best.alias("b")).select("b.row", "doc", "item_id", "b.n_seeds",

@@ -8,7 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from nightjar.llm import common, lm
+from nightjar.llm import common, decontaminate, lm
+
+from .conftest import words
+from .test_pairs import slow_alignment
 
 
 def test_bigrams_never_share_a_count(spark):
@@ -36,3 +39,23 @@ def test_bigrams_never_share_a_count(spark):
                     low = (uni[w] * s + lm.ALPHA) / (n * s + lm.ALPHA * size)
                     want -= math.log2((two[u, w] * s + lm.MU * low) / (ctx[u] * s + lm.MU))
                 assert loss == pytest.approx(want / len(ids[k]), rel=1e-9)
+
+
+def test_edited_copies_keep_a_seed_beside_exact_ones(spark):
+    """op10: every edited copy is found, however many there are and whatever else leaked."""
+    rng = random.Random(12)
+    item = [f"{w}{i}" for i, w in enumerate(words(rng, 40))]
+    edited = [w if i % 6 else "other" for i, w in enumerate(item)]
+    again = [w if i % 6 != 3 else "another" for i, w in enumerate(item)]
+    rows = [(0, " ".join(words(rng, 30) + item + words(rng, 30)))]
+    rows += [(100 + i, " ".join(words(rng, 30) + edited + words(rng, 30))) for i in range(40)]
+    rows += [(200 + i, " ".join(words(rng, 30) + again + words(rng, 30))) for i in range(15)]
+    rows += [(300 + i, " ".join(words(rng, 60) + item[:6] + words(rng, 60))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.matches(docs, table).select("row.doc_id", "n_seeds", "score", "first_word", "end_word").collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows if i < 300]
+    for r in got:
+        its, held = decontaminate.words_of(" ".join(item)), decontaminate.words_of(dict(rows)[r.doc_id])
+        assert r.n_seeds > 0 and r.score == slow_alignment(its, held) / 80
+        assert slow_alignment(its, held[r.first_word:r.end_word]) / 80 == r.score
