@@ -8,8 +8,8 @@ applies both.
 
 Defined results: a null text counts as empty; a text without words has measures null, fails
 the base rules and is never kept; a null language is a group of its own; a group with under
-``min_rows`` rows that pass the base rules gets the bands of all rows together; repeated rows
-are measured alike; empty tables give empty results. Extra columns travel in ``row``.
+``min_rows`` rows that pass the base rules has no band, as other languages say nothing about
+it, and those rows are kept; repeated rows are measured alike; empty tables give empty results. Extra columns travel in ``row``.
 """
 from __future__ import annotations
 
@@ -111,31 +111,31 @@ def base_failed():
 
 def bands(measured: DataFrame, group: str = "row.lang", spread: float = SPREAD,
           min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per group: ``<measure>_low`` and ``<measure>_high``. The quartiles are exact;
+    """One row per group: ``<measure>_low`` and ``<measure>_high``, null for a group with too
+    few rows. The quartiles are exact;
     measures are rounded, so a group's aggregate holds a few thousand values at most."""
     rows = measured.where(~base_failed()).select(F.col(group).alias("grp"), *BANDED)
     quartiles = [F.count(F.lit(1)).alias("n"), *[F.percentile(m, F.array(F.lit(0.25), F.lit(0.75))).alias(m)
                                                  for m in BANDED]]
-    whole = rows.agg(F.struct(*quartiles[1:]).alias("q")).scalar()
-    per = rows.groupBy("grp").agg(*quartiles).withColumn("whole", whole)
+    per = rows.groupBy("grp").agg(*quartiles)
     edges = []
     for m, least in BANDED.items():
-        q = F.when(F.col("n") >= min_rows, F.col(m)).otherwise(F.col("whole")[m])
+        q = F.when(F.col("n") >= min_rows, F.col(m))
         reach = F.greatest(spread * (q[1] - q[0]), F.lit(least))
         edges += [(q[0] - reach).alias(f"{m}_low"), (q[1] + reach).alias(f"{m}_high")]
     return per.select("grp", *edges)
 
 
 def judge(measured: DataFrame, edges: DataFrame, group: str = "row.lang") -> DataFrame:
-    """Adds ``base_failed`` and ``kept``. A group has a band as soon as one of its rows passes
-    the base rules, so every row that can be kept finds one. The bands of few groups are
+    """Adds ``base_failed`` and ``kept``. A group has edges, if only null ones, as soon as one of
+    its rows passes the base rules, so every row that can be kept finds them. The bands of few groups are
     broadcast, so that a language with most of the rows stays where it is; else joined."""
     edges = common.materialise(edges, "bands")
     if edges.limit(GROUPS + 1).count() <= GROUPS:
         edges = F.broadcast(edges)
     inside = F.lit(True)
     for m in BANDED:
-        inside = inside & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
+        inside = inside & (F.col(f"{m}_low").isNull() | F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")))
     joined = measured.join(edges, F.col(group).eqNullSafe(F.col("grp")), "left")
     return joined.select(*[F.col(c) for c in measured.columns], base_failed().alias("base_failed"),
                          (~base_failed() & F.coalesce(inside, F.lit(False))).alias("kept"))

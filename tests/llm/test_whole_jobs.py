@@ -8,9 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from nightjar.llm import common, decontaminate, lm
+from nightjar.llm import common, decontaminate, lm, quality
 
-from .conftest import words
+from .conftest import prose, words
 from .test_pairs import slow_alignment
 
 
@@ -59,3 +59,15 @@ def test_edited_copies_keep_a_seed_beside_exact_ones(spark):
         its, held = decontaminate.words_of(" ".join(item)), decontaminate.words_of(dict(rows)[r.doc_id])
         assert r.n_seeds > 0 and r.score == slow_alignment(its, held) / 80
         assert slow_alignment(its, held[r.first_word:r.end_word]) / 80 == r.score
+
+
+def test_small_languages_are_not_judged_by_large_ones(spark):
+    """op5, pipeline: 29 clean rows of a language that falls back to bytes are kept."""
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 100), "xx") for i in range(150)]
+    rows += [(160 + i, " ".join("".join(chr(rng.randrange(0x1200, 0x1240)) for _ in range(5)) for _ in range(80)), "am")
+             for i in range(quality.MIN_ROWS - 1)]
+    rows += [(200, "short", "am"), (201, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.quality(docs).where("kept").select("row.doc_id").collect()}
+    assert kept == {i for i, _, _ in rows if i < 200}
