@@ -29,6 +29,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: Measures with a band, and the least width of a band on either side of the quartiles.
 BANDED = {"piece_chars": 0.05, "byte_chars": 0.05, "fallback_share": 0.02, "entropy": 0.05}
+WINDOW = 64       # tokens; entropy is that of windows, so that it doesn't depend on the length
 SPREAD = 5.0      # a band reaches this many interquartile ranges beyond the quartiles
 MIN_ROWS = 30
 GROUPS = 20_000         # groups (200 bytes each) whose bands may be broadcast
@@ -75,18 +76,31 @@ def word_measures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
+def window_entropy(ids: np.ndarray) -> float:
+    """Mean entropy of the windows of ``WINDOW`` tokens that cover the text, over that of as
+    many distinct ones. The last window ends with the text; a shorter text is one window."""
+    rows = ids[:max(1, len(ids) // WINDOW) * WINDOW]
+    rows = rows.reshape(-1, min(WINDOW, len(rows)))
+    if len(ids) > WINDOW and len(ids) % WINDOW:
+        rows = np.vstack([rows, ids[-WINDOW:]])
+    rows = np.sort(rows, axis=1)
+    first = np.ones(rows.shape, bool)
+    first[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    counts = np.diff(np.append(np.flatnonzero(first), rows.size))
+    most = math.log2(rows.shape[1])
+    return (most - float((counts * np.log2(counts)).sum()) / rows.size) / max(1.0, most)
+
+
 def fertility(text: str, chars: int, pieces: str, ranks: str):
     """Word characters per token of either vocabulary, share of byte fallback tokens, and
-    entropy of the tokens over that of as many distinct ones. Null for a text without words."""
+    entropy of the tokens. Null for a text without words."""
     if not chars:
         return None, None, None, None
     sp, is_byte = _pieces(pieces)
     ids = np.array(sp.encode(text), dtype=np.int64)
     other = len(_ranks(ranks).encode_ordinary(text))
-    counts = np.unique(ids, return_counts=True)[1] / len(ids)
-    entropy = float(-(counts * np.log2(counts)).sum()) / max(1.0, math.log2(len(ids)))
     return (round(chars / len(ids), 3), round(chars / other, 3),
-            round(float(is_byte[ids].mean()), 4), round(entropy, 3))
+            round(float(is_byte[ids].mean()), 4), round(window_entropy(ids), 3))
 
 
 def measure(docs: DataFrame, text: str = "text", pieces: str | None = None,

@@ -71,3 +71,22 @@ def test_small_languages_are_not_judged_by_large_ones(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in quality.quality(docs).where("kept").select("row.doc_id").collect()}
     assert kept == {i for i, _, _ in rows if i < 200}
+
+
+def test_entropy_rejects_salads_of_any_length(spark):
+    """op5, pipeline: neither few words over and over nor pieces that never repeat are prose."""
+    rng = random.Random(23)
+    rows = [(i, prose(rng, rng.choice((70, 200, 1_000, 4_000))), "xx") for i in range(60)]
+    few = words(rng, 12)
+    rows += [(100 + n, " ".join(rng.choices(few, k=n)), "xx") for n in (200, 3_000)]
+    once = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(3_000)]
+    rows += [(10_000, " ".join(dict.fromkeys(once)), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality.measure(docs)
+    edges = quality.bands(found).first()
+    got = {r.doc_id: r for r in quality.judge(found, quality.bands(found)).select(
+        "row.doc_id", "base_failed", "kept", "entropy").collect()}
+    assert all(got[i].kept for i in range(60))
+    assert not any(got[i].kept for i in (300, 3_100, 10_000))
+    assert got[300].entropy < edges.entropy_low and not got[300].base_failed
+    assert got[10_000].entropy > edges.entropy_high
