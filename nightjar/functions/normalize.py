@@ -87,19 +87,22 @@ _ISO = (r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})(?:[T ]([0-9]{2})(?::?([0-9]{2})(?:
         r"(?:[.,]([0-9]{1,6})[0-9]*)?)?)?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?)?$")
 
 
+#: Stands at the start of a time that matched.
+_MATCHED = "\u0001"
+
+
 def parse_iso_ts(c: Column) -> Column:
     """ISO-8601 date or date and time, extended or basic form, with offset or
     Z (none: UTC) -> timestamp (µs). Bare times, bare years and anything else
-    -> NULL."""
-    part = lambda i: F.regexp_extract(c, _ISO, i)
-    or_zero = lambda x: F.when(x == "", F.lit("00")).otherwise(x)
-    digits = F.regexp_replace(part(8), ":", "")
-    offset = (F.when(digits.isin("", "Z"), F.lit("Z"))
-              .when(F.length(digits) == 3, F.concat(digits, F.lit(":00")))
-              .otherwise(F.concat(F.left(digits, F.lit(3)), F.lit(":"), F.right(digits, F.lit(2)))))
-    text = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), or_zero(part(4)), F.lit(":"),
-                    or_zero(part(5)), F.lit(":"), or_zero(part(6)), F.lit("."), F.rpad(part(7), 6, "0"), offset)
-    return F.when(c.rlike(_ISO), text.try_cast("timestamp"))
+    -> NULL.
+
+    Each step has one use of the one before, so a predicate on the result that is pushed
+    below this projection holds the pattern once."""
+    parts = F.regexp_replace(F.replace(c, F.lit(_MATCHED), F.lit("?")), _ISO, f"{_MATCHED}$1-$2-$3T$4:$5:$6.$7@$8")
+    for empty, full in (("T:", "T00:"), ("::", ":00:"), (":.", ":00."), (".@", ".0@")):
+        parts = F.replace(parts, F.lit(empty), F.lit(full))
+    offset = F.replace(F.regexp_replace(parts, "@$", "@Z"), F.lit("@"), F.lit(""))
+    return F.regexp_extract(offset, f"^{_MATCHED}(.*)$", 1).try_cast("timestamp")
 
 
 def is_blocked(reason: Column) -> Column:

@@ -223,6 +223,7 @@ REGISTRY = _registry()
 # --------------------------------------------------------------------- DNS
 
 from ..operators import dns as dnsops  # noqa: E402
+from ..operators import rollups, sketches  # noqa: E402
 from . import detections  # noqa: E402
 from .oracle import NX_FLOOR, SPIKE_FLOOR, STREAM_SLICES, TUNNEL_MIN_NAMES  # noqa: E402
 
@@ -291,6 +292,45 @@ def q_rule_nxdomain_burst(spark, sf_dir):
     return detections.nxdomain_burst(_dq(spark, sf_dir), tv.dns_as_of(spark, sf_dir), floor=NX_FLOOR)
 
 
+def _stored_parts(spark, q, build, label):
+    """``build`` over two halves of the rows, as two batches would store it."""
+    from ..session import scratch_path
+    path = scratch_path(spark, label)
+    for half in (0, 1):
+        build(q.filter(F.col("ord") % 2 == half)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def q_rule_blocked_spike_rollup(spark, sf_dir):
+    """R-3 from hourly counters and the rows of two hours."""
+    q = _dq_shared(spark, sf_dir)
+    counters = rollups.fold(_stored_parts(spark, q, rollups.hourly, "dns_hourly"))
+    return detections.blocked_spike(q, tv.dns_as_of(spark, sf_dir), floor=SPIKE_FLOOR, rollup=counters)
+
+
+def q_rule_nxdomain_burst_rollup(spark, sf_dir):
+    """R-5 from hourly counters and the rows of two hours."""
+    q = _dq_shared(spark, sf_dir)
+    counters = rollups.fold(_stored_parts(spark, q, rollups.hourly, "dns_hourly"))
+    return detections.nxdomain_burst(q, tv.dns_as_of(spark, sf_dir), floor=NX_FLOOR, rollup=counters)
+
+
+def q_tunnel_sketches(spark, sf_dir):
+    """A-5 / R-6: the last day's distinct names and clients per domain, exact and from stored
+    hourly sketches; whether each estimate is within the stated bound."""
+    q, as_of = _dq_shared(spark, sf_dir), tv.dns_as_of(spark, sf_dir)
+    stored = _stored_parts(spark, q, sketches.hourly, "dns_sketch")
+    near = sketches.trailing(stored, q, as_of).select("registrable_domain", "n", "entropy_sum", *[
+        F.col(c).alias(f"{c}_estimate") for c in ("names", "clients")])
+    t = F.timestamp_micros(F.lit(as_of)) - F.expr("INTERVAL 24 HOURS")
+    exact = q.filter((F.col("ts") >= t) & (F.col("day") >= F.to_date(t))).groupBy("registrable_domain").agg(
+        F.count_distinct("qname").alias("names"), F.count_distinct("client").alias("clients"))
+    error = {c: F.abs(F.col(f"{c}_estimate") - F.col(c)) / F.col(c) for c in ("names", "clients")}
+    return render(exact.join(near, "registrable_domain").select(
+        "registrable_domain", "names", "clients", "n", "entropy_sum",
+        *[(e <= sketches.BOUND).alias(f"{c}_within_bound") for c, e in error.items()]))
+
+
 def q_rule_known_bad(spark, sf_dir):
     return detections.known_bad(_dq(spark, sf_dir), tv.known_bad(spark, sf_dir))
 
@@ -631,8 +671,15 @@ def q_stream_dedupe(spark, sf_dir):
 def q_stream_sliding_blocked(spark, sf_dir):
     """ST-5: blocked queries per client in 24h windows sliding by 1h;
     append mode emits windows closed by the watermark."""
-    from ..streaming import dns_stream
-    return render(_append_stream(spark, sf_dir, "sliding", dns_stream.sliding_counts, repull=False))
+    from ..streaming import panes
+    return render(_append_stream(spark, sf_dir, "sliding", panes.sliding_counts, repull=False))
+
+
+def q_stream_sliding_domains(spark, sf_dir):
+    """ST-5 / R-6: per registrable domain in the same windows, distinct names and clients (out of
+    sketches, which are exact at these counts but for rounding), rows and the entropy sum."""
+    from ..streaming import panes
+    return render(_append_stream(spark, sf_dir, "sliding-domains", panes.sliding_names, repull=False))
 
 
 def q_stream_rule_hits(spark, sf_dir):
@@ -645,11 +692,12 @@ def q_stream_late_rows(spark, sf_dir):
     half are behind the watermark when they come: their windows are closed."""
     from ..session import scratch_path
     from ..streaming import dns_stream
+    from ..streaming import panes
     early, late = _slices(spark, sf_dir, files=2, repull=False)
     out, checkpoint = scratch_path(spark, "late-out"), scratch_path(spark, "ckpt-late")
 
     def start(source):
-        df = dns_stream.sliding_counts(dns_stream.mapped_stream(source, tv.suffix_rules(spark)))
+        df = panes.sliding_counts(dns_stream.mapped_stream(source, tv.suffix_rules(spark)))
         return (df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start(out))
 

@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import rollups, sketches
 from ..timeutil import as_ts, days, hours
 
 
@@ -79,20 +80,23 @@ def dga_entropy(dns_query: DataFrame, min_entropy: str = "3.5", min_length: int
     return g.select(F.col("registrable_domain").alias("entity"), summary.alias("summary"))
 
 
-def _burst(dns_query: DataFrame, pred: Column, as_of, floor: int, multiple, noun: str,
-           baseline_days: int = 7) -> DataFrame:
-    """One pass per client: last-day count, last-day device name, baseline
-    count. Fires when last >= floor and last >= multiple * baseline/7."""
+def _burst_counts(dns_query: DataFrame, pred: Column, as_of, baseline_days: int = 7) -> DataFrame:
+    """One pass over the rows: last-day and baseline counts by client and device name."""
     t = as_ts(as_of)
     last = F.col("ts") >= t - hours(24)
     prior = (F.col("ts") >= t - days(baseline_days + 1)) & (F.col("ts") < t - hours(24))
-    q = _since(dns_query, t - days(baseline_days + 1)).filter(pred)
-    # counts by client and device name first (hash aggregate); the last
+    return _since(dns_query, t - days(baseline_days + 1)).filter(pred) \
+        .groupBy("client", "client_name").agg(F.count_if(last).alias("n"), F.count_if(prior).alias("p"))
+
+
+def _burst(counts: DataFrame, floor: int, multiple, noun: str, baseline_days: int = 7) -> DataFrame:
+    """Clients whose last day has at least ``floor`` rows and ``multiple`` times the baseline's
+    daily mean. ``counts``: (client, client_name, n, p)."""
+    # counts are by client and device name (hash aggregate); the last
     # name by text is then taken over the few names of a client
-    g = q.groupBy("client", "client_name").agg(F.count_if(last).alias("n"), F.count_if(prior).alias("p")) \
-        .groupBy("client").agg(
-            F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("client_name"))).alias("name"),
-            F.sum("p").alias("p"))
+    g = counts.groupBy("client").agg(
+        F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("client_name"))).alias("name"),
+        F.sum("p").alias("p"))
     mult = F.lit(Decimal(str(multiple)))
     fire = ((F.col("n") > 0) & (F.col("n") >= floor)
             & (F.col("n") * baseline_days >= mult * F.col("p")))
@@ -104,15 +108,21 @@ def _burst(dns_query: DataFrame, pred: Column, as_of, floor: int, multiple, noun
     return g.filter(fire).select(F.col("client").alias("entity"), summary.alias("summary"))
 
 
-def blocked_spike(dns_query: DataFrame, as_of, floor: int = 20, multiple=3) -> DataFrame:
-    """R-3: a client's blocked queries in the last day vs its own baseline."""
-    return _burst(dns_query, F.col("blocked"), as_of, floor, multiple, "blocked queries")
+def blocked_spike(dns_query: DataFrame, as_of, floor: int = 20, multiple=3, rollup: DataFrame | None = None) -> DataFrame:
+    """R-3: a client's blocked queries in the last day vs its own baseline. With the hourly
+    counters (``rollups.hourly``) the rows of two hours are read, with the same result."""
+    return _burst(_client_counts(dns_query, "blocked", as_of, rollup), floor, multiple, "blocked queries")
 
 
-def nxdomain_burst(dns_query: DataFrame, as_of, floor: int = 30, multiple=3) -> DataFrame:
+def nxdomain_burst(dns_query: DataFrame, as_of, floor: int = 30, multiple=3, rollup: DataFrame | None = None) -> DataFrame:
     """R-5: genuine resolution failures (NXDOMAIN and not blocked)."""
-    pred = (F.col("status") == "NXDOMAIN") & ~F.col("blocked")
-    return _burst(dns_query, pred, as_of, floor, multiple, "NXDOMAIN answers")
+    return _burst(_client_counts(dns_query, "failed", as_of, rollup), floor, multiple, "NXDOMAIN answers")
+
+
+def _client_counts(dns_query: DataFrame, counter: str, as_of, rollup: DataFrame | None) -> DataFrame:
+    if rollup is not None:
+        return rollups.window_counts(rollup, dns_query, counter, as_of)
+    return _burst_counts(dns_query, rollups.conditions()[counter], as_of)
 
 
 def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame, approx: bool = False) -> DataFrame:
@@ -142,18 +152,21 @@ def known_bad(dns_query: DataFrame, known_bad_domain: DataFrame, approx: bool =
 
 
 def tunnel_volume(dns_query: DataFrame, as_of, min_names: int = 50,
-                  min_avg_entropy: str = "3.0", approx: bool = False) -> DataFrame:
+                  min_avg_entropy: str = "3.0", approx: bool = False, sketched: DataFrame | None = None) -> DataFrame:
     """R-6: last day, per registrable domain: many distinct names and a high
-    average entropy over query rows (exact decimal comparison)."""
-    t = as_ts(as_of)
-    q = _since(dns_query, t - hours(24))
-    g = q.groupBy("registrable_domain").agg(
-        _distinct("qname", approx).alias("names"), F.sum("label_entropy").alias("se"),
-        F.count(F.lit(1)).alias("n"), F.avg("label_entropy").alias("ae"),
-        _distinct("client", approx).alias("clients"))
-    fire = (F.col("names") >= min_names) & (F.col("se") >= F.lit(Decimal(min_avg_entropy)) * F.col("n"))
+    average entropy over query rows (exact decimal comparison). With hourly sketches
+    (``sketches.hourly``) names and clients are estimates within ``sketches.BOUND``, and the
+    rows of one hour are read."""
+    if sketched is not None:
+        g = sketches.trailing(sketched, dns_query, as_of)
+    else:
+        g = _since(dns_query, as_ts(as_of) - hours(24)).groupBy("registrable_domain").agg(
+            _distinct("qname", approx).alias("names"), F.sum("label_entropy").alias("entropy_sum"),
+            F.count(F.lit(1)).alias("n"), _distinct("client", approx).alias("clients"))
+    fire = (F.col("names") >= min_names) & (F.col("entropy_sum") >= F.lit(Decimal(min_avg_entropy)) * F.col("n"))
     nm, c = F.col("names"), F.col("clients")
+    mean = F.col("entropy_sum").cast("decimal(27,14)") / F.col("n").cast("decimal(11,0)")
     summary = F.concat(
         _s(nm), F.lit(" distinct name"), _plural(nm, "", "s"), F.lit(" in 24h, avg entropy "),
-        _s(F.round("ae", 2)), F.lit(" bits/char, "), _s(c), F.lit(" client"), _plural(c, "", "s"))
+        _s(F.round(mean, 2)), F.lit(" bits/char, "), _s(c), F.lit(" client"), _plural(c, "", "s"))
     return g.filter(fire).select(F.col("registrable_domain").alias("entity"), summary.alias("summary"))

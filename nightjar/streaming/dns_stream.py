@@ -7,10 +7,9 @@
   that was committed is recognised by its run key and skipped, one that was
   not left nothing that is read.
 * ST-2 ``dedupe``: watermark-bounded natural-key dedupe.
-* ST-3 late rows: the watermark delay is a parameter (0 = drop anything at
-  or before the newest seen time, as the cursor pull does).
-* ST-5 ``sliding_counts``: trailing-window counts per client (append mode,
-  closed windows only, state evicted by the watermark).
+* ST-3 late rows: the watermark delay is a parameter (0 = drop what is behind
+  the newest seen time's hour, much as the cursor pull does).
+* ST-5 trailing windows: ``streaming.panes``.
 """
 from __future__ import annotations
 
@@ -47,32 +46,6 @@ def dedupe(mapped: DataFrame, delay: str = "1 hour") -> DataFrame:
             .dropDuplicatesWithinWatermark(DNS_KEY))
 
 
-def sliding_counts(mapped: DataFrame, predicate: str = "blocked", size: str = "24 hours",
-                   slide: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
-    """ST-5: per client and sliding window, rows matching ``predicate``. All
-    rows move the watermark, so a quiet client's windows close too; that is
-    why the predicate is counted and not filtered before."""
-    return (mapped.filter("valid").withWatermark("ts", delay)
-            .groupBy(F.window("ts", size, slide).alias("w"), "client")
-            .agg(F.count_if(predicate).alias("n")).filter("n > 0")
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "client", "n"))
-
-
-def sliding_names(mapped: DataFrame, size: str = "24 hours", slide: str = "1 hour",
-                  delay: str = "0 seconds") -> DataFrame:
-    """ST-5 for the tunnel shape on a stream: per registrable domain and
-    sliding window, approximate distinct names and clients (exact distinct
-    counts are not allowed on streams), query rows and the entropy sum."""
-    return (mapped.filter("valid").withWatermark("ts", delay)
-            .groupBy(F.window("ts", size, slide).alias("w"), "registrable_domain")
-            .agg(F.approx_count_distinct("qname").alias("names"),
-                 F.approx_count_distinct("client").alias("clients"),
-                 F.count(F.lit(1)).alias("n"), F.sum("label_entropy").alias("entropy_sum"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "registrable_domain", "names", "clients", "n", "entropy_sum"))
-
-
 def process_batch(store: TableStore, batch: DataFrame, run_key: str, as_of,
                   retention_days: int = dnsops.DEFAULT_RETENTION_DAYS, rule_runner=None) -> bool:
     """One micro-batch of mapped entries into the store: rows, registry, run

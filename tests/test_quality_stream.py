@@ -41,7 +41,7 @@ def test_approx_tunnel_close_to_exact(spark):
 
 def test_streaming_windows(spark, tmp_path):
     from nightjar.plans.testviews import suffix_rules
-    from nightjar.streaming import dns_stream
+    from nightjar.streaming import dns_stream, panes
     land = tmp_path / "land"
     land.mkdir()
     for i, hour in enumerate([1, 2, 30]):
@@ -51,7 +51,7 @@ def test_streaming_windows(spark, tmp_path):
     src = dns_stream.entry_stream(spark, str(land), max_files_per_trigger=1)
     mapped = dns_stream.mapped_stream(src, suffix_rules(spark))
     out = tmp_path / "out"
-    q = (dns_stream.sliding_names(mapped, "2 hours", "1 hour").writeStream.format("parquet")
+    q = (panes.sliding_names(mapped, 2).writeStream.format("parquet")
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(out)))
     q.awaitTermination()
     got = spark.read.parquet(str(out)).orderBy("window_start").collect()
