@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK = 1 << 21         # words of a block
+BLOCK = 1 << 20         # words of a block
 SLICE = 1 << 22         # bytes of a text that are split at a time
 LEAST, LONGEST = 10, 3  # occurrences and words of a candidate
 CONTAINED = 50          # percent of a candidate's occurrences that lie in one longer candidate
@@ -48,6 +48,8 @@ TOKEN = re.compile(rb"[^\x20\x09.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 CUT = re.compile(rb"[\x20\x09.,;:!?\n-\r]")
 ENDS = [bytes([c]) for c in b".,;:!?\n\x0b\x0c\r"]
 ROW = 1 << 16           # entries of a block's list in one row
+BROADCAST = 400_000     # frequent phrases that may be broadcast, if
+BROADCAST_BYTES = 16 << 20      # their words have so many bytes at most
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -56,7 +58,7 @@ def pack(numbers: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, len(data) // 4).T.copy().view("<u4")[:, 0].astype(np.int64)
+    return np.frombuffer(data, np.uint8).reshape(4, len(data) // 4).T.copy().view("<u4")[:, 0]
 
 
 def slices(text: bytes):
@@ -175,20 +177,15 @@ def extend(level: DataFrame, known: DataFrame) -> DataFrame:
         if not len(blocks) or not len(known):
             return empty
         row = blocks.to_pylist()[0]
-        places, numbers = np.cumsum(unpack(row["places"])), unpack(row["numbers"])
-        ids = np.full(int(numbers.max(initial=0)) + 1, -1, np.int64)
-        ids[known.column("number").to_numpy()] = known.column("id").to_numpy()
-        ids = ids[numbers]
-        frequent = ids >= 0                                 # the semi-join
-        places, left, right = merge(places[frequent], ids[frequent])
-        order = np.lexsort((right, left))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        one = order[new]
-        return rows_of(row["of"], places, number, {"left": pa.array(left[one]), "right": pa.array(right[one]),
-                                                      "n": pa.array(np.bincount(number, minlength=len(one)))})
+        id_of = known.column("id").to_numpy()
+        own = np.full(int(unpack(row["numbers"]).max(initial=0)) + 1, -1, np.int32)
+        own[known.column("number").to_numpy()] = np.arange(len(id_of), dtype=np.int32)
+        ids = own[unpack(row["numbers"])]
+        frequent = np.flatnonzero(ids >= 0)                 # the semi-join
+        places, left, right = merge(np.cumsum(unpack(row["places"]), dtype=np.int64)[frequent], ids[frequent])
+        pairs, number, n = np.unique(left.astype(np.int64) * len(id_of) + right, return_inverse=True, return_counts=True)
+        left, right = id_of[pairs // len(id_of)], id_of[pairs % len(id_of)]
+        return rows_of(row["of"], places, number, {"left": pa.array(left), "right": pa.array(right), "n": pa.array(n)})
 
     kinds = "block long, start long, places binary, numbers binary, left array<long>, right array<long>, n array<long>"
     none = pa.array([], pa.int64())
@@ -205,6 +202,12 @@ def listed(level: DataFrame, lists: dict[str, str]) -> DataFrame:
         .select("block", (F.col("start") + F.col("at")).alias("number"), *[F.col(f"x.{c}").alias(a) for c, a in lists.items()])
 
 
+def _small(known: DataFrame, key: list[str]) -> DataFrame:
+    """The table, to be broadcast if it is small; else Spark splits the join where a key is hot."""
+    n, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.length(F.col(k).cast("string")) for k in key)), F.lit(0))).first()
+    return F.broadcast(known) if n <= BROADCAST and size <= BROADCAST_BYTES else known
+
+
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
              block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(lang, words, f)`` of all phrases of up to ``longest`` words with at least ``least``
@@ -217,7 +220,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     tables = [known.select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "f")]
     key = ["lang", "word"]
     for k in range(2, longest + 1):
-        back = rows.join(known.select(*key, "id"), key).select("block", "number", "id")
+        back = rows.join(_small(known.select(*key, "id"), key), key).select("block", "number", "id")
         level = common.materialise(extend(level, back), f"phrases-{k}")
         rows = listed(level, {"left": "left", "right": "right", "n": "n"})
         counted = rows.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
