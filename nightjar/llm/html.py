@@ -1,19 +1,23 @@
 """HTML extraction (operator 9) with site template removal.
 
-Every element of a page is hashed with all that is below it (tags and text). Spark counts
-the pages of a host on which each hash occurs; a subtree that recurs on many pages of its
-host is a template of the site and is deleted. Elements that say what they are (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are deleted
-by tag, role or class name even where their words differ from page to page. What is left of
-the article is the text.
+Elements that say what they are (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, reader comments) are deleted by tag, role or class name. Every other element is hashed
+with all that is below it (tags and text). Spark counts on how many different pages of a host,
+and of a section of it (the first folder of the path), each hash occurs; a subtree that recurs on
+many of them is a template of the site and is deleted. What is left of the article is the text.
+
+Pages are told apart by what they hold besides the subtree, so copies of one page, however
+many, count once and never turn their own text into a template. A template stands on
+``MIN_PAGES`` different pages at least and on ``SHARE`` of its host's or section's, or is a
+container on ``MANY`` of them, whatever the share (a notice on some pages of a large host).
 
 Paragraphs of an article may recur too (a quote, a licence line); they are content. So inside
 ``<article>`` or ``<main>`` only subtrees of container elements count as templates.
 
 Defined results: null or empty html gives an empty text; a page with a null or odd url
 belongs to the host ``""``; broken markup (unclosed elements, unfinished tags) is read as a
-browser would, as far as tags go; repeated rows are pages of their own; empty tables give
-empty results. Extra columns travel in ``row``.
+browser would, as far as tags go; repeated rows are extracted alike and count as one page;
+empty tables give empty results. Extra columns travel in ``row``.
 """
 from __future__ import annotations
 
@@ -28,9 +32,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-MIN_PAGES = 5           # a template is on so many pages of its host at least,
-SHARE = 0.3             # and on this share of them
-BROADCAST = 200_000     # templates (host and hash, some 40 bytes each) that may be broadcast
+MIN_PAGES = 5           # a template is on so many different pages of its host or section at least,
+SHARE = 0.3             # and on this share of them;
+MANY = 20               # a container on so many is one at any share
+BROADCAST = 200_000     # templates (site and hash, some 40 bytes each) that may be broadcast
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -57,10 +62,10 @@ SCOPES = frozenset("article aside blockquote body div footer form header main na
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "children", "hash")
+    __slots__ = ("tag", "marks", "role", "children", "hash", "sum")
 
     def __init__(self, tag, attrs=()):
-        self.tag, self.children, self.hash = tag, [], None
+        self.tag, self.children, self.hash, self.sum = tag, [], None, 0
         named = dict(attrs)
         self.role = (named.get("role") or "").lower()
         self.marks = frozenset(re.split(r"[^a-z]+", f"{named.get('class') or ''} {named.get('id') or ''}".lower())) \
@@ -102,7 +107,7 @@ class Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
-UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
+UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
 def tree(html: str) -> Node:
@@ -121,16 +126,23 @@ def walk(node):
         stack.extend(c for c in reversed(n.children) if type(c) is Node)
 
 
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+
+
 def hash_all(top) -> None:
-    """Hashes every subtree: its tag, texts (white space normalised) and children in order."""
+    """Hashes every subtree: its tag, texts (white space normalised) and children in order.
+    ``sum`` adds up the hashes of its texts."""
     for n in reversed(list(walk(top))):
-        parts = [n.tag.encode()]
+        parts, n.sum = [n.tag.encode()], 0
         for c in n.children:
             if type(c) is Node:
                 parts.append(b"\x01" + c.hash.to_bytes(8, "big", signed=True))
+                n.sum += c.sum
             elif s := c.split():
                 parts.append(b"\x02" + " ".join(s).encode("utf-8", "surrogatepass"))
-        n.hash = int.from_bytes(hashlib.blake2b(b"\x00".join(parts), digest_size=8).digest(), "big", signed=True)
+                n.sum += _hash(parts[-1])
+        n.hash = _hash(b"\x00".join(parts))
 
 
 def boilerplate(node, inside: bool) -> bool:
@@ -143,22 +155,27 @@ def boilerplate(node, inside: bool) -> bool:
         or node.tag == "article" and bool(node.marks & {"comment", "comments", "teaser", "related", "ad"})
 
 
-def prune(top, templates=frozenset()) -> None:
-    """Deletes boilerplate and the host's templates from the tree."""
+def prune(top) -> None:
+    """Deletes boilerplate from the tree."""
+    stack = [(top, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        node.children = [c for c in node.children if type(c) is str or not boilerplate(c, inside)]
+        stack.extend((c, inside) for c in node.children if type(c) is Node)
+
+
+def candidates(top):
+    """The elements that may be templates, each with its parent."""
     stack = [(top, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        kept = []
         for c in node.children:
             if type(c) is Node:
-                template = c.hash in templates and (c.tag in CONTAINERS or not inside) and not (
-                    c.tag in ("article", "main", "body", "html"))
-                if template or boilerplate(c, inside):
-                    continue
+                if c.tag not in ("article", "main", "body", "html") and (c.tag in CONTAINERS or not inside):
+                    yield c, node
                 stack.append((c, inside))
-            kept.append(c)
-        node.children = kept
 
 
 def main_parts(top) -> list[Node]:
@@ -203,21 +220,21 @@ def blocks(node) -> list[str]:
     return out
 
 
-def subtree_hashes(html: str) -> list[int]:
-    """Distinct hashes of the subtrees with text that could be templates."""
+def subtrees(html: str) -> tuple[int, list[dict]]:
+    """The hash of a page's texts, and its distinct subtrees with text that could be templates:
+    hash, hash of the texts besides it, and whether it is a container."""
     top = tree(html)
+    prune(top)
     hash_all(top)
-    found, stack = set(), [(top, False)]
-    while stack:
-        n, inside = stack.pop()
-        inside = inside or n.tag in ("article", "main")
-        for c in n.children:
-            if type(c) is Node:
-                if c.tag not in ("article", "main", "body", "html", "head") and (c.tag in CONTAINERS or not inside) and c.children:
-                    found.add(c.hash)
-                if c.tag != "head":
-                    stack.append((c, inside))
-    return sorted(found)
+    found = {}
+    for c, _ in candidates(top):
+        if c.sum:
+            found.setdefault(c.hash, {"hash": c.hash, "rest": _signed(top.sum - c.sum), "container": c.tag in CONTAINERS})
+    return _signed(top.sum), list(found.values())
+
+
+def _signed(n: int) -> int:
+    return (n + 2 ** 63) % 2 ** 64 - 2 ** 63
 
 
 def extract(html: str, templates=frozenset()) -> str:
@@ -225,9 +242,12 @@ def extract(html: str, templates=frozenset()) -> str:
     if not html:
         return ""
     top = tree(html)
+    prune(top)
     if templates:
         hash_all(top)
-    prune(top, templates)
+        for c, parent in list(candidates(top)):
+            if c.hash in templates:
+                parent.children = [x for x in parent.children if x is not c]
     return "\n\n".join(b for part in main_parts(top) for b in blocks(part))
 
 
@@ -235,42 +255,55 @@ def host_of(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def section_of(url: str = "url") -> Column:
+    """The host and the first folder of the path; null for pages outside any folder."""
+    folder = F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+    return F.when(folder != "", F.concat(host_of(url), F.lit("/"), folder))
+
+
 def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
-              share: float = SHARE) -> DataFrame:
-    """``(host, hash)`` of the subtrees on at least ``min_pages`` pages and ``share`` of their host's."""
-    hashed = common.add_columns(
-        pages.select(host_of(url).alias("host"), F.col(html).alias("html")), {"html": common.text_of("html")},
-        lambda texts: [[subtree_hashes(t) for t in texts]],
-        [common.field("hashes", T.ArrayType(T.LongType()))], carry=["host"])
-    counted = hashed.select("row.host", F.explode("hashes").alias("hash")) \
-        .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    size = pages.groupBy(host_of(url).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    return counted.join(size, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+              share: float = SHARE, many: int = MANY) -> DataFrame:
+    """``(site, hash)`` of the templates; a site is a host or a section of one."""
+    hashed = common.materialise(common.add_columns(
+        pages.select(F.array_compact(F.array(host_of(url), section_of(url))).alias("sites"), F.col(html).alias("html")),
+        {"html": common.text_of("html")}, lambda texts: [list(x) for x in zip(*map(subtrees, texts))] or [[], []],
+        [common.field("page", T.LongType()), common.field("found", T.ArrayType(T.StructType([
+            common.field("hash", T.LongType()), common.field("rest", T.LongType()), common.field("container", T.BooleanType())])))],
+        carry=["sites"]).select(F.explode("row.sites").alias("site"), "page", "found"), "subtrees")
+    # different pages of each subtree, then their number: a common subtree's pages are spread
+    counted = hashed.select("site", F.explode("found").alias("x")).select("site", "x.*").distinct() \
+        .groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n"), F.bool_and("container").alias("container")) \
+        .where(F.col("n") >= min_pages)
+    size = hashed.select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    recurring = (F.col("n") >= share * F.col("pages")) | (F.col("container") & (F.col("n") >= many))
+    return counted.join(size, "site").where(recurring).select("site", "hash")
 
 
 @functools.lru_cache(maxsize=256)
-def _known(hashes: tuple) -> frozenset:
-    return frozenset(hashes)
+def _known(of_host: tuple, of_section: tuple) -> frozenset:
+    return frozenset(of_host + of_section)
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", carry: list[str] | None = None) -> DataFrame:
     """``row`` and ``main``, the main text of each whole page.
 
-    A host has at most (subtrees of a page) / ``SHARE`` templates, so its list is short
-    however many pages it has. The lists are broadcast if they are few enough; else they
-    are joined by host, where Spark splits a host that has many pages."""
-
+    The templates of a site are at most (subtrees of a page) / ``SHARE`` and the containers on
+    ``MANY`` pages, far fewer than its pages. Their lists are broadcast if they are few enough;
+    else they are joined by site, where Spark splits a site that has many pages."""
     found = common.materialise(templates(pages, url, html), "templates")
-    lists = found.groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
+    lists = found.groupBy("site").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
     if found.limit(BROADCAST + 1).count() <= BROADCAST:
         lists = F.broadcast(lists)
     row = F.struct(*[F.col(f"`{c}`") for c in carry or pages.columns]).alias("row")
-    joined = pages.select(row, F.col(html).alias("html"), host_of(url).alias("host")).join(lists, "host", "left")
+    joined = pages.select(row, F.col(html).alias("html"), host_of(url).alias("host"), section_of(url).alias("section"))
+    for of, name in (("host", "of_host"), ("section", "of_section")):
+        joined = joined.join(lists.select(F.col("site").alias(of), F.col("hashes").alias(name)), of, "left")
 
-    def run(texts, hashes):
-        return [[extract(t, _known(tuple(h)) if h else frozenset()) for t, h in zip(texts, hashes)]]
+    def run(texts, of_host, of_section):
+        return [[extract(t, _known(tuple(a or ()), tuple(b or ()))) for t, a, b in zip(texts, of_host, of_section)]]
 
-    out = common.add_columns(joined, {"html": common.text_of("html"), "hashes": F.col("hashes")}, run,
+    out = common.add_columns(joined, {"html": common.text_of("html"), "of_host": F.col("of_host"),
+                                      "of_section": F.col("of_section")}, run,
                              [common.field("main", T.StringType())], carry=["row"])
     return out.select("row.row", "main")
 

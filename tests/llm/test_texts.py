@@ -240,6 +240,7 @@ def test_article_of_a_page():
     assert html.extract(PAGE).split("\n\n") == want
     assert html.extract("") == "" and html.extract("<nav>x</nav>") == ""
     assert html.extract("plain & simple <b") == "plain & simple"
+    assert html.extract("1 < 2 <") == "1 < 2 <"
     assert html.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert html.extract("<p>a &am") == "a &am"
 
@@ -265,6 +266,36 @@ def test_site_templates_go_and_articles_stay(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Five copies among twelve pages, with and without an article; repeated rows."""
+    rng = random.Random(2)
+    copied = f"<h1>{prose(rng, 6)}</h1><p>{prose(rng, 40)}</p><div><p>{prose(rng, 30)}</p><ul><li>{prose(rng, 9)}</ul></div>"
+    rows = [(i, f"https://plain.example/{i}", f"<body>{copied}</body>") for i in range(5)]
+    rows += [(10 + i, f"https://framed.example/{i}", f"<body><article>{copied}</article><nav>{i}</nav></body>") for i in range(5)]
+    rows += [(20 + i, f"https://{h}.example/x{i}", f"<body><p>{prose(rng, 30)}</p></body>")
+             for h in ("plain", "framed") for i in range(7)]
+    rows += [(40, "https://again.example/", f"<div>{prose(rng, 30)}</div>")] * 30
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html.templates(pages).count() == 0
+    for r in html.main_text(pages).select("row.*", "main").collect():
+        want = re.findall("<(?:h1|p|li|div)>([^<]+)<", r.html)
+        assert r.main.split("\n\n") == want, r.page_id
+
+
+def test_templates_of_part_of_a_host(spark):
+    """A notice on a quarter of a large host, and a box of one section of it."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        note = "<div><b>We moved.</b> Read why</div>" if i % 4 == 0 else ""
+        box = "<p>News of the day</p>" if 100 <= i < 120 else ""
+        rows.append((i, f"https://big.example/{'news/' if 100 <= i < 120 else ''}{i}.html",
+                     f"<body>{note}<div><p>{prose(rng, 30)}</p></div>{box}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html.main_text(pages).select("row.*", "main").collect():
+        assert r.main == re.search("<div><p>(.*?)</p>", r.html)[1], r.page_id
+
+
 # ---------------------------------------------------------------- pipeline
 
 
