@@ -5,12 +5,14 @@ a row of an embedding table; a word's vector is their mean, so a misspelt or inf
 that was never seen shares most of its vector with the word it comes from. A window of words
 is the mean of its words' vectors, and a linear softmax of two classes scores it. Embeddings
 and softmax are trained jointly, in numpy. A text is as toxic as its most toxic window: an
-insult does not get weaker by the length of the text around it.
+insult does not get weaker by the length of the text around it. A run of letters and digits
+of over ``RUN`` characters (joined words, scripts without spaces) counts as a word for each of
+its overlapping pieces, so an insult inside it is as strong as one between spaces.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows (smallest hash of id first, so any size
-of input gives the same kind of sample), cut to ``TRAIN_WORDS`` words each: bounds on what the
-driver holds. Scoring takes every whole text. As all is linear up to the softmax, a word's
-share of the logit is a number, computed once per word and task.
+of input gives the same kind of sample), whole texts: the only bound is that of rows. Scoring
+takes every whole text. As all is linear up to the softmax, a word's share of the logit is a
+number, computed once per word and task.
 
 Defined results: a null text counts as empty; a text without words scores as the mean of the
 training labels' logit for an empty window (the bias); if one class has no training row, every
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from . import common
 
 TRAIN_ROWS = 8_000
-TRAIN_WORDS = 2_000
+RUN = 32                # characters of a word; longer runs are cut into pieces that overlap by half
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 6)          # shortest and longest n-gram
@@ -53,12 +55,20 @@ def _pattern():
 
 
 def words_of(text: str) -> list[str]:
-    return _pattern().findall(text.lower())
+    runs = _pattern().findall(text.lower())
+    if all(len(r) <= RUN for r in runs):
+        return runs
+    return [p for r in runs for p in ([r] if len(r) <= RUN else pieces(r))]
+
+
+def pieces(run: str) -> list[str]:
+    """The whole run in pieces of ``RUN`` characters that overlap by half."""
+    return [run[i:i + RUN] for i in range(0, len(run) - RUN // 2, RUN // 2)]
 
 
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     """Rows of a word: itself and its distinct character n-grams."""
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     n = len(marked)
     grams = {marked[i:i + k] for k in range(GRAMS[0], GRAMS[1] + 1) for i in range(n - k + 1)}
     grams.add(marked)
@@ -136,14 +146,14 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, buckets: in
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
     number: dict[str, int] = {}
-    words, first, end, owner, at = array("i"), [], [], [], 0
+    words, first, end, owner, at = array("i"), [], [], [], 0    # 32 bits a number: texts are whole
     for k, t in enumerate(texts):
-        w = [number.setdefault(x, len(number)) for x in words_of(t)[:TRAIN_WORDS]]
+        w = [number.setdefault(x, len(number)) for x in words_of(t)]
         if w:
             a, b = window_edges(len(w))
-            first.append(a + at)
-            end.append(b + at)
-            owner.append(np.full(len(a), k))
+            first.append((a + at).astype(np.int32))
+            end.append((b + at).astype(np.int32))
+            owner.append(np.full(len(a), k, np.int32))
             words.extend(w)
             at += len(w)
     if not words or not 0 < y.mean() < 1:
@@ -187,8 +197,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, buckets: in
         z = (sums[b] - sums[a]) / (b - a) + bias[1] - bias[0]
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         g = (p - y[who]) * weight[who] / len(who)                       # of the logit
-        spans = np.concatenate([np.arange(i, j) for i, j in zip(a, b)])
-        per_word = np.bincount(words[spans], np.repeat(g / (b - a), b - a), len(sizes)) / sizes
+        inside = words if step <= epochs // 2 else words[np.concatenate([np.arange(i, j) for i, j in zip(a, b)])]
+        per_word = np.bincount(inside, np.repeat(g / (b - a), b - a), len(sizes)) / sizes
         d_row = np.bincount(flat, per_word[bag_of], len(trained)).astype(np.float32)
         pooled = d_row @ table                                          # the texts' mean vectors, by gradient
         d_out = np.stack([-pooled, pooled], axis=1)
@@ -219,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **how) -> Mo
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", "toxic") \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = known.join(docs.select("doc_id", F.substring(common.text_of(), 1, 20 * TRAIN_WORDS).alias("text")), "doc_id")
+    sample = known.join(docs.select("doc_id", common.text_of().alias("text")), "doc_id")
     got = sample.orderBy("doc_id", "text").limit(rows).collect()
     return fit_calibrated([r.text for r in got], [int(r.toxic > 0) for r in got], **how)
 

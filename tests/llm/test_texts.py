@@ -166,6 +166,53 @@ def test_misspellings_share_the_vectors():
     assert min(unseen) > max(clean)
 
 
+def slow_score(model, text):
+    """The most toxic window, by the definition, from the model's numbers."""
+    w = []
+    for run in re.findall(r"[^\W_]+", text.lower()):
+        w += [run] if len(run) <= 32 else [run[i:i + 32] for i in range(0, len(run) - 16, 16)]
+    if not w:
+        return 1 / (1 + math.exp(-model.bias))
+
+    def share(word):
+        m = f"<{word}>"
+        grams = {m[i:i + n] for n in (3, 4, 5, 6) for i in range(len(m) - n + 1)} | {m}
+        return sum(model.vector[zlib.crc32(g.encode()) % len(model.vector)] for g in grams) / len(grams)
+
+    best = max(sum(map(share, w[i:i + 8])) / len(w[i:i + 8]) for i in range(0, max(1, len(w) - 4), 4))
+    return 1 / (1 + math.exp(-best - model.bias))
+
+
+def test_scores_equal_brute_force():
+    rng = random.Random(4)
+    model = toxicity.Model(np.random.default_rng(1).normal(0, 3, (500, 4)), np.random.default_rng(2).normal(0, 1, (4, 2)), np.zeros(2))
+    texts = ["", " ... ", "one", "Ünï_códe x", "a" * 33, "ab" * 400, prose(rng, 3), prose(rng, 500)]
+    texts += [" ".join("".join(words(rng, n)) for n in (1, 30, 2, 90)) for _ in range(5)]
+    for t in texts:
+        assert model.score(t) == pytest.approx(slow_score(model, t), rel=1e-9)
+
+
+def test_no_part_of_a_text_is_left_out(spark):
+    """Insults behind character 64 of a run, in joined words, and behind word 2,000 of both
+    training and scored texts; scores of rows whose labels were never read."""
+    rng = random.Random(9)
+    long = "".join(words(rng, 40))
+    model = toxicity.Model(np.random.default_rng(1).normal(0, 3, (5000, 4)), np.random.default_rng(2).normal(0, 1, (4, 2)), np.zeros(2))
+    assert len(long) > 70 and model.score(long[:70] + "x") != model.score(long[:70] + "y")
+    rows = []
+    for i in range(400):
+        text = prose(rng, 2_100 if i % 8 == 0 else 150)
+        rows.append((i, text + (f" you {rng.choice(('blockhead', 'numbskull'))} there " if i % 4 == 0 else "") + prose(rng, 30)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).select("row.doc_id", "score").collect()}
+    unread = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in unread]) > 0.95
+    joined = [model.score("".join(words(rng, 30)) + x + "".join(words(rng, 30))) for x in ("blockhead", "numbskull", "nothing")]
+    assert min(joined[:2]) > joined[2]
+
+
 def test_scores_of_odd_rows(spark, odd_docs, no_docs):
     labels = odd_docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     model = toxicity.fit(odd_docs, labels, epochs=5)
