@@ -1,21 +1,24 @@
 """Benchmark decontamination (operator 10): rare n-gram seeds and Smith-Waterman alignment.
 
-Test items and documents are cut into normalised words. Where a document holds an n-gram of
-an item, the passage around it - as much as the whole item could cover, and ``SLACK`` of its
-length more on either side - becomes a candidate. Candidates are aligned word by word
-(Smith-Waterman with a match, mismatch and gap score); a score of at least ``THRESHOLD`` of that
-of the item against itself reports the pair. Edited and paraphrased copies keep some n-grams and
-lose a bounded part of the score. Only a candidate that shares too few words with the item to
-reach the threshold in any order is dropped before.
-
-Spark counts in how many candidates' documents each n-gram occurs. Which n-grams are rare is
-relative to the candidate, so that each has a seed, however often the item or its edits
-leaked: an n-gram is a seed if it is in at most ``RARE`` documents, or is among the rarer half
-of the candidate's own.
-
-Items are taken in blocks of at most ``BLOCK_CHARS`` characters, each block against all
-documents, so a task holds a bounded n-gram table however long the benchmark is. An item
-shorter than one n-gram is looked for as a whole; an item without words matches nothing.
+Test items and documents are cut into normalised words. A passage matches an item if its best
+alignment (Smith-Waterman, word by word, with a match, mismatch and gap score) reaches
+``THRESHOLD`` of the score of the item against itself.
+
+**Seeds.** Spark counts first in how many documents each word of the items occurs. A matching
+passage holds at least ``THRESHOLD`` of an item's L words, so of any set of more than
+(1 - ``THRESHOLD``) L of its places it holds some. The set is the item's rarest words, with
+room for ``NGRAM`` of them: a seed is a gapped n-gram, ``NGRAM`` of the item's rare words within
+the length that a matching passage can have, whatever stands between. So every matching
+passage has a seed, wherever its edits are, and words that stand everywhere (a prompt that
+thousands of items share) join nothing while rarer ones are enough.
+
+**Alignment.** Around a seed, all that a match could cover is cut out. If it shares too few words
+with the item to reach the threshold in any order, it is no candidate; what is left is aligned,
+each distinct passage once.
+
+Items are dealt by hash into blocks of about ``BLOCK_CHARS`` characters, each block against all
+documents; one block at a time is on the driver and broadcast, and freed when it is done. An
+item shorter than ``NGRAM`` words is looked for as a whole; an item without words matches nothing.
 
 Defined results: null or empty texts hold nothing; a document of any length is searched
 whole; pairs are reported once per document row and item id, with the best score; items with
@@ -25,18 +28,19 @@ null ids are reported as null; empty tables give no pair. Extra columns travel i
 from __future__ import annotations
 
 import functools
+import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-NGRAM = 4
-SLACK = 0.5             # of an item's words, on either side of a passage
-RARE = 10               # documents
+NGRAM = 4               # rare words of a seed
 THRESHOLD = 0.5         # of the item's score against itself
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 4_000_000
@@ -83,151 +87,157 @@ def align(item: list[int], passage: list[int]) -> tuple[int, int, int]:
     return best
 
 
-class Seeds:
-    """The n-grams of a block of items: a sorted table of hashes, exact words to verify."""
-
-    def __init__(self, items: list[tuple], ngram: int):
-        self.ngram, self.items, self.ids, self.places, self.short = ngram, [], {}, {}, {}
-        for n, (_, text) in enumerate(items):
-            words = words_of(text)
-            self.items.append([self.ids.setdefault(w, len(self.ids) + 1) for w in words])
-            if 0 < len(words) < ngram:
-                self.short.setdefault(tuple(self.items[-1]), []).append(n)
-            for i in range(len(words) - ngram + 1):
-                self.places.setdefault(tuple(self.items[-1][i:i + ngram]), []).append((n, i))
-        self.grams = sorted(self.places)
-        self.number = {g: k for k, g in enumerate(self.grams)}
-        self.powers = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2 ** 64 for k in range(ngram)], np.uint64)
-        table = np.array(self.grams, np.uint64).reshape(-1, ngram)
-        self.hashes = np.unique((table * self.powers).sum(axis=1, dtype=np.uint64))
-        self.short_lengths = sorted({len(s) for s in self.short})
-        self.bag = functools.lru_cache(maxsize=20_000)(lambda n: Counter(self.items[n]))
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "bag"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.bag = functools.lru_cache(maxsize=20_000)(lambda n: Counter(self.items[n]))
-
-    def trimmed(self, n: int, passage: list[int], threshold: float):
-        """Words before the first of the item's, and the passage from there to the last one,
-        with 0 for words that the item lacks: it aligns alike. No passage if the words that
-        both hold, in whatever order, are too few for the threshold."""
-        bag = self.bag(n)
-        held = [w if w in bag else 0 for w in passage]
-        shared = sum((Counter(held) & bag).values())
-        if shared / len(self.items[n]) < threshold:
-            return 0, None
-        at = np.flatnonzero(held)
-        return int(at[0]), held[at[0]:at[-1] + 1]
-
-    def hits(self, ids: np.ndarray) -> np.ndarray:
-        """Positions whose n-gram may be an item's."""
-        n = len(ids) - self.ngram + 1
-        if n <= 0 or not len(self.hashes):
-            return np.empty(0, np.int64)
-        known = ids > 0
-        run = known[:n].copy()
-        for k in range(1, self.ngram):
-            run &= known[k:n + k]
-        at = np.flatnonzero(run)
-        h = np.zeros(len(at), np.uint64)
-        for k in range(self.ngram):
-            h += ids[at + k].astype(np.uint64) * self.powers[k]
-        spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at[self.hashes[spot] == h]
-
-    def passages(self, text: str, threshold: float):
-        """Candidates of a text: item number, its n-grams' numbers, first word, passage (null
-        if it can't reach the threshold)."""
+class Block:
+    """Some items as lists of word numbers (from 1; 0 is any other word)."""
+
+    def __init__(self, items: list[tuple]):
+        self.numbers: dict[str, int] = {}
+        self.items = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)] for _, text in items]
+
+    def ids(self, text: str) -> np.ndarray:
         words = words_of(text)
-        if not words:
-            return
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        spans: dict[int, list] = {}
-        for p in self.hits(ids).tolist():
-            gram = tuple(ids[p:p + self.ngram].tolist())
-            for n, i in self.places.get(gram, ()):
-                size = len(self.items[n])
-                slack = int(SLACK * size) + 1
-                a, b = max(0, p - i - slack), min(len(words), p - i + size + slack)
-                held = spans.setdefault(n, [])
-                if held and a <= held[-1][1]:
-                    held[-1][1] = max(held[-1][1], b)
-                    held[-1][2].add(self.number[gram])
-                else:
-                    held.append([a, b, {self.number[gram]}])
-        for length in self.short_lengths:
-            for p in range(len(words) - length + 1):
-                for n in self.short.get(tuple(ids[p:p + length].tolist()), ()):
-                    spans.setdefault(n, []).append([p, p + length, {-1 - n}])
-        for n, held in spans.items():
-            for a, b, grams in held:
-                skipped, passage = self.trimmed(n, ids[a:b].tolist(), threshold)
-                yield n, sorted(grams), a + skipped, passage
+        return np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+
+
+class Seeds(Block):
+    """A block whose items' seeds are chosen. ``documents``: by word number, its documents."""
+
+    def __init__(self, block: Block, documents: np.ndarray, ngram: int = NGRAM, threshold: float = THRESHOLD):
+        self.numbers, self.items, self.threshold = block.numbers, block.items, threshold
+        self.least, self.reach, self.short, places = [], [], {}, [[] for _ in range(len(self.numbers) + 1)]
+        for n, item in enumerate(self.items):
+            size = len(item)
+            held = math.ceil(threshold * size - 1e-9)       # words that a match has at least
+            self.least.append(min(ngram, held))
+            # a match of m words costs at most 2 (m - threshold size) in words between them
+            self.reach.append(size + int(MATCH * size * (1 - threshold)))
+            if 0 < size < ngram:
+                self.short.setdefault(tuple(item), []).append(n)
+            elif size:
+                rarest = sorted(range(size), key=lambda i: (documents[item[i]], i))[:size - held + self.least[-1]]
+                for w in {item[i] for i in rarest}:
+                    places[w].append(n)
+        self.least, self.reach = np.array(self.least, np.int64), np.array(self.reach, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in places])])
+        self.owners = np.array([n for p in places for n in p], np.int64)
+        self.short_lengths = sorted({len(s) for s in self.short})
+
+    def regions(self, ids: np.ndarray):
+        """Item, start and end of the stretches of a text that can hold a match, by seeds."""
+        at = np.flatnonzero(self.starts[ids + 1] > self.starts[ids])
+        many = self.starts[ids[at] + 1] - self.starts[ids[at]]
+        place = np.repeat(at, many)
+        first = np.repeat(self.starts[ids[at]] - (np.cumsum(many) - many), many)
+        item = self.owners[first + np.arange(len(first))]
+        enough = np.bincount(item, minlength=len(self.items)) >= np.maximum(self.least, 1)
+        item, place = item[enough[item]], place[enough[item]]
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        last = np.arange(len(item)) + self.least[item] - 1
+        fits = last < len(item)
+        fits[fits] &= item[last[fits]] == item[fits]
+        fits[fits] &= place[last[fits]] - place[fits] < self.reach[item[fits]]
+        now = None
+        for k in np.flatnonzero(fits).tolist():
+            n, reach = int(item[k]), int(self.reach[item[k]])
+            a, b = max(0, int(place[k]) - reach), min(len(ids), int(place[last[k]]) + reach)
+            if now and now[0] == n and a <= now[2]:
+                now[2] = max(now[2], b)
+            else:
+                if now:
+                    yield tuple(now)
+                now = [n, a, b]
+        if now:
+            yield tuple(now)
+        if self.short:
+            words = ids.tolist()
+            for length in self.short_lengths:
+                for p in range(len(words) - length + 1):
+                    for n in self.short.get(tuple(words[p:p + length]), ()):
+                        yield n, p, p + length
+
+    def passages(self, text: str) -> list[dict]:
+        """Candidates of a text: item, seed words, first word, passage (0 for words that the
+        item lacks: it aligns alike)."""
+        ids, out = self.ids(text), []
+        if not ids.any():
+            return out
+        for n, a, b in self.regions(ids):
+            bag = Counter(self.items[n])
+            held = [w if w in bag else 0 for w in ids[a:b].tolist()]
+            if sum((Counter(held) & bag).values()) < self.threshold * len(self.items[n]) - 1e-9:
+                continue
+            some = np.flatnonzero(held)
+            passage = held[some[0]:some[-1] + 1]
+            seeds = sum(n in self.owners[self.starts[w]:self.starts[w + 1]] for w in set(passage) - {0})
+            out.append({"item": n, "n_seeds": int(seeds), "first": a + int(some[0]), "passage": passage})
+        return out
 
 
 CANDIDATE = T.ArrayType(T.StructType([
-    common.field("item", T.IntegerType()), common.field("grams", T.ArrayType(T.IntegerType())),
+    common.field("item", T.IntegerType()), common.field("n_seeds", T.IntegerType()),
     common.field("first", T.LongType()), common.field("passage", T.ArrayType(T.IntegerType()))]))
 
 
-def blocks_of(items: DataFrame, item_id: str, text: str, chars: int) -> list[list[tuple]]:
-    """The items, in blocks of bounded length, for one block after the other. An item over
-    the bound is a block of its own."""
-    numbered = items.select(F.col(item_id).cast("long").alias("item_id"), common.text_of(text).alias("text"))
-    out, size = [[]], 0
-    for r in numbered.orderBy("item_id", "text").toLocalIterator():
-        if out[-1] and size + len(r.text) > chars:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, r.text))
-        size += len(r.text)
-    return [b for b in out if b]
+def blocks_of(items: DataFrame, item_id: str, text: str, chars: int):
+    """The items, block by block. An item over the bound may be a block of its own."""
+    held = common.materialise(items.select(F.col(item_id).cast("long").alias("item_id"), common.text_of(text).alias("text")), "items")
+    total = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = 1 if total <= chars else -(-2 * total // chars)
+    for k in range(blocks):
+        mine = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else held
+        some = [tuple(r) for r in mine.orderBy("item_id", "text").collect()]
+        if some:
+            yield some
+
+
+def document_counts(docs: DataFrame, text: str, shared, words: int) -> np.ndarray:
+    """By word number of the block, the documents that hold the word: all are read, each task
+    adds up its own."""
+    def run(batches):
+        sums = np.zeros(words + 1, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                sums[np.unique(shared.value.ids(t))] += 1
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["word", "n"])
+
+    out = np.zeros(words + 1, np.int64)
+    for r in docs.select(common.text_of(text).alias("text")).mapInArrow(run, "word long, n long") \
+            .groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r.word] = r.n
+    return out
 
 
-def _block_matches(docs: DataFrame, block: list[tuple], text: str, carry, ngram, rare, threshold) -> DataFrame:
+def _block_matches(docs: DataFrame, block: list[tuple], text: str, carry, ngram, threshold) -> DataFrame:
     spark = docs.sparkSession
-    seeds = spark.sparkContext.broadcast(Seeds(block, ngram))       # bounded by BLOCK_CHARS
+    plain = Block(block)                                    # bounded by BLOCK_CHARS, as what follows
+    shared = spark.sparkContext.broadcast(plain)
+    seeds = spark.sparkContext.broadcast(Seeds(plain, document_counts(docs, text, shared, len(plain.numbers)), ngram, threshold))
+    shared.unpersist()
 
     def find(texts):
-        look = seeds.value.passages
-        return [[[dict(zip(("item", "grams", "first", "passage"), c)) for c in look(t, threshold)] for t in texts]]
+        return [[seeds.value.passages(t) for t in texts]]
 
     found = common.add_columns(docs, {"text": common.text_of(text)}, find, [common.field("found", CANDIDATE)], carry)
-    found = found.where(F.size("found") > 0)
-    found = common.materialise(found.withColumn("doc", F.expr("uuid()")), "candidates")
-    passages = found.select("row", "doc", F.posexplode("found").alias("place", "c")).select("row", "doc", "place", "c.*")
-    # documents of each n-gram that occurs: no more rows than the block has n-grams
-    used = passages.select("doc", F.explode("grams").alias("gram")).distinct() \
-        .groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
-    kept = passages.where(F.col("passage").isNotNull())
-
-    def score(items, passages, firsts):
-        known = seeds.value.items
-        best = functools.lru_cache(maxsize=20_000)(lambda n, p: align(known[n], p))
-        out = []
-        for n, p, first in zip(items, passages, firsts):
-            s, a, b = best(n, tuple(p))
-            out.append((s / (MATCH * len(known[n])), first + a, first + b))
+    found = common.materialise(found.where(F.size("found") > 0).withColumn("doc", F.expr("uuid()")), "candidates")
+    passages = found.select("row", "doc", F.explode("found").alias("c")).select("row", "doc", "c.*")
+
+    def score(items, passages):
+        known, out = seeds.value.items, []
+        for n, p in zip(items, passages):
+            s, a, b = align(known[n], p)
+            out.append((s / (MATCH * len(known[n])), a, b))
         return [list(c) for c in zip(*out)] if out else [[], [], []]
 
-    scored = common.add_columns(
-        kept, {"item": F.col("item"), "passage": F.col("passage"), "first": F.col("first")}, score,
-        [common.field("score", T.DoubleType()), common.field("first_word", T.LongType()),
-         common.field("end_word", T.LongType())], carry=["row", "doc", "place", "item", "grams"])
+    distinct = passages.select("item", "passage").distinct()
+    scored = common.add_columns(distinct, {"item": F.col("item"), "passage": F.col("passage")}, score, [
+        common.field("score", T.DoubleType()), common.field("a", T.LongType()), common.field("b", T.LongType())])
+    scored = common.materialise(scored.where(F.col("score") >= threshold).select("row.*", "score", "a", "b"), "scored")
+    seeds.unpersist()
     ids = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], "item int, item_id long")
-    hits = common.materialise(scored.where(F.col("score") >= threshold).select(
-        "row.*", "score", "first_word", "end_word"), "hits")
-    # a candidate's seeds: what is rare anyway, and the rarer half of its own n-grams
-    counts = hits.select("doc", "place", F.explode("grams").alias("gram")).join(F.broadcast(used), "gram") \
-        .groupBy("doc", "place").agg(F.sort_array(F.collect_list("docs")).alias("docs"))
-    middle = F.element_at("docs", F.ceil(F.size("docs") / 2).cast("int"))
-    n_seeds = counts.select("doc", "place", F.size(F.filter(
-        "docs", lambda n: n <= F.greatest(F.lit(rare), middle))).alias("n_seeds"))
-    hits = hits.join(n_seeds, ["doc", "place"]).join(ids, "item", "left")
+    hits = passages.join(scored, ["item", "passage"]).join(ids, "item") \
+        .withColumn("first_word", F.col("first") + F.col("a")).withColumn("end_word", F.col("first") + F.col("b"))
     best = F.max_by(F.struct("row", "n_seeds", "score", "first_word", "end_word"),
                     F.struct(F.col("score"), -F.col("first_word")))
     return hits.groupBy("doc", "item_id").agg(best.alias("b")).select("b.row", "doc", "item_id", "b.n_seeds",
@@ -235,13 +245,13 @@ def _block_matches(docs: DataFrame, block: list[tuple], text: str, carry, ngram,
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-            ngram: int = NGRAM, rare: int = RARE, threshold: float = THRESHOLD, carry: list[str] | None = None,
+            ngram: int = NGRAM, threshold: float = THRESHOLD, carry: list[str] | None = None,
             block_chars: int = BLOCK_CHARS) -> DataFrame | None:
     """``row``, ``item_id``, ``n_seeds``, ``score`` and the words ``first_word`` to
     ``end_word`` of each document that holds an item. None if there is no item."""
     out = None
     for block in blocks_of(items, item_id, item_text, block_chars):
-        some = _block_matches(docs, block, text, carry, ngram, rare, threshold).drop("doc")
+        some = _block_matches(docs, block, text, carry, ngram, threshold).drop("doc")
         out = some if out is None else out.unionByName(some)
     return out
 
@@ -255,10 +265,12 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no benchmark item."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.text_of().alias("text"),
-                         F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"))
-    found = matches(packed, common.table(spark, sf_dir, "benchmark"), carry=["key"])
+    """Pipeline stage: documents that hold no benchmark item. A row goes if an equal row holds
+    one; rows are compared whole, their hash only brings them together."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.text_of().alias("text"))
+    found = matches(packed, common.table(spark, sf_dir, "benchmark"), carry=["row"])
     if found is None:
         return docs
-    return packed.join(found.select("row.key").distinct(), "key", "left_anti").select("row.*")
+    held = found.select(F.col("row.row").alias("other")).distinct()
+    alike = (F.xxhash64("row") == F.xxhash64("other")) & F.col("row").eqNullSafe(F.col("other"))
+    return packed.join(held, alike, "left_anti").select("row.*")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nightjar.llm import common, decontaminate, lm, quality
 
@@ -57,10 +58,79 @@ def test_edited_copies_keep_a_seed_beside_exact_ones(spark):
     assert sorted(r.doc_id for r in got) == [i for i, _ in rows if i < 300]
     for r in got:
         its, held = decontaminate.words_of(" ".join(item)), decontaminate.words_of(dict(rows)[r.doc_id])
-        assert r.n_seeds > 0 and r.score == slow_alignment(its, held) / 80
+        assert r.n_seeds >= decontaminate.NGRAM and r.score == slow_alignment(its, held) / 80
         assert slow_alignment(its, held[r.first_word:r.end_word]) / 80 == r.score
 
 
+def edits(rng, item):
+    """Copies of an item with every 3rd to 8th word replaced, dropped or followed by others."""
+    for step in range(3, 9):
+        for at in range(step):
+            yield [f"other{rng.randrange(99)}" if i % step == at else w for i, w in enumerate(item)]
+            yield [w for i, w in enumerate(item) if i % step != at]
+            yield [x for i, w in enumerate(item) for x in ([w, "so", "to"][:1 + (i % step == at) * rng.choice((1, 2))])]
+    yield [x for w in item for x in (w, "and")]             # a word between any two
+    yield [w for i, w in enumerate(item) if i % 3 or i % 2]
+
+
+def test_recall_against_brute_force(spark):
+    """op10: the documents of sf0.001 and edited items in real texts, whole tables against the
+    alignment of every pair: recall 1.0, and nothing else is reported."""
+    rng = random.Random(21)
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text or "") for r in common.table(spark, sf, "documents").collect()]
+    items = [(r.item_id, r.text or "") for r in common.table(spark, sf, "benchmark").collect()]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    hosts = [t.split() for _, t in docs if 40 < len(t.split()) < 300]
+    for k, (n, text) in enumerate(items):
+        for edited in rng.sample(list(edits(rng, text.split())), 8):
+            host = rng.choice(hosts)
+            cut = rng.randrange(len(host))
+            docs.append((10_000 + len(docs), " ".join(host[:cut] + edited + host[cut:])))
+    want = set()
+    split = [(n, decontaminate.words_of(t)) for n, t in items]
+    for i, text in docs:
+        held = decontaminate.words_of(text)
+        numbers: dict = {}
+        ids = [numbers.setdefault(w, len(numbers)) for w in held]
+        for n, item in split:
+            if sum(w in numbers for w in item) >= len(item) / 2:
+                s, _, _ = decontaminate.align([numbers.get(w, -1) for w in item], ids)
+                if s >= len(item):
+                    want.add((i, n, s / (2 * len(item))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for chars in (4_000_000, 1_500):
+        got = decontaminate.matches(frame, table, block_chars=chars).select("row.doc_id", "item_id", "score").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) > 280
+
+
+def test_a_prompt_of_many_items_makes_no_candidates(spark):
+    """op10: 20,000 items of 30 words share a prompt of seven; texts hold the prompt alone."""
+    rng = random.Random(5)
+    prompt = "choose the answer which fits best here"
+    items = [(n, prompt + " " + " ".join(f"w{rng.randrange(60_000)}" for _ in range(23))) for n in range(20_000)]
+    texts = [f"{' '.join(words(rng, 20))} {prompt} {' '.join(words(rng, 20))}" for _ in range(200)] + [items[77][1]]
+    block = decontaminate.Block(items)
+    counts = np.zeros(len(block.numbers) + 1, np.int64)
+    for t in texts:
+        counts[np.unique(block.ids(t))] += 1
+    seeds = decontaminate.Seeds(block, counts)
+    assert sum(len(list(seeds.regions(seeds.ids(t)))) for t in texts[:-1]) == 0
+    assert [c["item"] for c in seeds.passages(texts[-1])] == [77]
+
+
+def test_stage_on_odd_rows(spark, odd_docs, no_docs):
+    """op10, pipeline: null and empty texts, repeated rows and clashing names pass through."""
+    sf = "/root/testdata/sf0.001"
+    item = common.table(spark, sf, "benchmark").first().text
+    leak = odd_docs.where("doc_id = 6").withColumn("text", F.lit("x " + item)).select(odd_docs.columns)
+    docs = odd_docs.unionByName(leak).unionByName(leak)
+    out = decontaminate.stage_decontaminate(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
+    assert decontaminate.stage_decontaminate(spark, no_docs, sf).count() == 0
+
+
 def test_small_languages_are_not_judged_by_large_ones(spark):
     """op5, pipeline: 29 clean rows of a language that falls back to bytes are kept."""
     rng = random.Random(17)
