@@ -1,10 +1,10 @@
 """Phrase collocations (operator 13) by set-oriented mining (SETM).
 
 **Relations.** Level k holds the occurrences of k-word phrases as a relation (piece, position,
-phrase), sorted by piece and position and kept in blocks of about ``BLOCK`` words. A block is a
-row: its places (whole numbers; neighbours within a piece differ by one, pieces by more) and, for
-each place, the number of its phrase in the block's list of distinct ones. The list follows in
-rows of ``ROW`` entries. Blocks are cut between pieces and never share a piece.
+phrase), sorted by piece and position and kept in blocks of about ``BLOCK`` words. The relation of
+a block is packed into one row: its places (whole numbers; neighbours within a piece differ by
+one, pieces by more) and, for each place, the number of its phrase in the block's list of
+distinct ones, which follows as a row each. Blocks are cut between pieces and never share one.
 
 **A level.** Spark counts the blocks' lists by phrase and keeps the groups with at least
 ``least`` occurrences; these get numbers of their own in a written table. They are joined back
@@ -47,7 +47,7 @@ SCALE = 1_000_000
 TOKEN = re.compile(rb"[^\x20\x09.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 CUT = re.compile(rb"[\x20\x09.,;:!?\n-\r]")
 ENDS = [bytes([c]) for c in b".,;:!?\n\x0b\x0c\r"]
-ROW = 1 << 16           # entries of a block's list in one row
+BATCH = 1 << 16         # rows handed to Spark at a time
 BROADCAST = 400_000     # frequent phrases that may be broadcast, if
 BROADCAST_BYTES = 16 << 20      # their words have so many bytes at most
 
@@ -73,15 +73,14 @@ def slices(text: bytes):
 
 
 def rows_of(block: int, places: np.ndarray, numbers: np.ndarray, lists: dict[str, pa.Array]) -> pa.Table:
-    """A block: the relation in its first row, its list in as many rows as it takes."""
-    starts = list(range(0, max(1, len(lists["n"])), ROW))
-    columns = {"block": pa.array([block] * len(starts), pa.int64()), "start": pa.array(starts, pa.int64())}
+    """A block: the relation in its first row (number -1), then its list."""
+    n = len(lists["n"])
+    columns = {"block": pa.array(np.full(n + 1, block, np.int64)), "number": pa.array(np.arange(-1, n, dtype=np.int32))}
     for name, data in (("places", np.diff(places, prepend=0)), ("numbers", numbers)):
-        columns[name] = pa.array([pack(data)] + [None] * (len(starts) - 1), pa.binary())
+        columns[name] = pa.concat_arrays([pa.array([pack(data)], pa.binary()), pa.nulls(n, pa.binary())])
     for name, values in lists.items():
-        cuts = pa.array([*starts, len(values)], pa.int32())
-        columns[name] = pa.ListArray.from_arrays(cuts, values)
-    return pa.table(columns)
+        columns[name] = pa.concat_arrays([pa.nulls(1, values.type), values])
+    return pa.Table.from_batches(pa.table(columns).to_batches(max_chunksize=BATCH))
 
 
 class Words(dict):
@@ -97,8 +96,7 @@ class Words(dict):
 
 
 def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang", block: int = BLOCK) -> DataFrame:
-    """Level 1: blocks with the lists ``langs``, ``words`` and ``n`` of distinct words and their
-    counts."""
+    """Level 1: blocks with ``lang``, ``word`` and ``n`` of their distinct words."""
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                         common.text_of(text).cast("binary").alias("text"))
 
@@ -113,7 +111,7 @@ def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang", block:
             ids = ids[places] - 1
             last = ids.max() + 1            # higher numbers are words behind the block's end
             words = sorted((n, lang, w) for lang, held in vocabulary.items() for w, n in held.items() if 0 < n <= last)
-            lists = {"langs": pa.array([x[1] for x in words], pa.string()), "words": pa.array([x[2] for x in words], pa.binary()),
+            lists = {"lang": pa.array([x[1] for x in words], pa.string()), "word": pa.array([x[2] for x in words], pa.binary()),
                      "n": pa.array(np.bincount(ids, minlength=len(words)), pa.int64())}
             vocabulary, numbers, parts, used = {}, count(1), [], 0
             return rows_of(first + next(made), places, ids, lists).to_batches()
@@ -145,8 +143,7 @@ def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang", block:
         if any(p.any() for p in parts):
             yield from out()
 
-    return given.mapInArrow(run, "block long, start long, places binary, numbers binary, langs array<string>, "
-                                 "words array<binary>, n array<long>")
+    return given.mapInArrow(run, "block long, number int, places binary, numbers binary, lang string, word binary, n long")
 
 
 def merge(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,8 +168,8 @@ def numbered(groups: DataFrame, label: str) -> DataFrame:
 
 
 def extend(level: DataFrame, known: DataFrame) -> DataFrame:
-    """The next level: blocks with the lists ``left``, ``right`` and ``n``. ``known``: ``(block,
-    number, id)``, the frequent phrases of each block."""
+    """The next level: blocks with ``left``, ``right`` and ``n`` of their distinct phrases.
+    ``known``: ``(block, number, id)``, the frequent phrases of each block."""
     def run(blocks, known):
         if not len(blocks) or not len(known):
             return empty
@@ -187,21 +184,14 @@ def extend(level: DataFrame, known: DataFrame) -> DataFrame:
         left, right = id_of[pairs // len(id_of)], id_of[pairs % len(id_of)]
         return rows_of(row["of"], places, number, {"left": pa.array(left), "right": pa.array(right), "n": pa.array(n)})
 
-    kinds = "block long, start long, places binary, numbers binary, left array<long>, right array<long>, n array<long>"
+    kinds = "block long, number int, places binary, numbers binary, left long, right long, n long"
     none = pa.array([], pa.int64())
     empty = rows_of(0, none.to_numpy(), none.to_numpy(), {"left": none, "right": none, "n": none}).slice(0, 0)
-    relation = level.where(F.col("places").isNotNull()).select(F.col("block").alias("of"), "places", "numbers")
+    relation = level.where("number < 0").select(F.col("block").alias("of"), "places", "numbers")
     return relation.groupBy("of") \
         .cogroup(known.groupBy("block")).applyInArrow(run, kinds)
 
 
-def listed(level: DataFrame, lists: dict[str, str]) -> DataFrame:
-    """``(block, number, ...)``: the blocks' lists as rows."""
-    zipped = F.arrays_zip(*[F.col(c) for c in lists])
-    return level.select("block", "start", F.posexplode(zipped).alias("at", "x")) \
-        .select("block", (F.col("start") + F.col("at")).alias("number"), *[F.col(f"x.{c}").alias(a) for c, a in lists.items()])
-
-
 def _small(known: DataFrame, key: list[str]) -> DataFrame:
     """The table, to be broadcast if it is small; else Spark splits the join where a key is hot."""
     n, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.length(F.col(k).cast("string")) for k in key)), F.lit(0))).first()
@@ -213,7 +203,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     """``(lang, words, f)`` of all phrases of up to ``longest`` words with at least ``least``
     occurrences, and ``(lang, n)``, the count of all words of a language."""
     level = common.materialise(occurrences(docs, text, lang, block), "phrases-1")
-    rows = listed(level, {"langs": "lang", "words": "word", "n": "n"})
+    rows = level.where("number >= 0").select("block", "number", "lang", "word", "n")
     counted = common.materialise(rows.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     known = numbered(counted.where(F.col("f") >= least), "frequent-1")
@@ -222,7 +212,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     for k in range(2, longest + 1):
         back = rows.join(_small(known.select(*key, "id"), key), key).select("block", "number", "id")
         level = common.materialise(extend(level, back), f"phrases-{k}")
-        rows = listed(level, {"left": "left", "right": "right", "n": "n"})
+        rows = level.where("number >= 0").select("block", "number", "left", "right", "n")
         counted = rows.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         known, key = numbered(counted, f"frequent-{k}"), ["left", "right"]
         parts = tables[-1]
