@@ -1,13 +1,19 @@
 """Personal data (operator 3) by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seed entities are what the base rules find: addresses, phone and card numbers by their form.
-The words around a seed make lexical patterns (the word before it; the two words before it;
-the words on either side). Other identifier-like tokens stand in patterns too. Patterns and
-the strings that stand in them are a bipartite graph, which Spark scores in rounds: a pattern
-is as good for a kind as the mean score of its distinct strings, a string as good as its
-patterns make it (seeds are certain). Patterns of at least ``CONFIDENT`` with ``SUPPORT``
-distinct certain strings then name the identifier-like tokens that no rule found. A context
-in which every kind occurs (a common word) is confident for none.
+Seed entities are what the base rules find: addresses, phone and card numbers by their form, and
+strings that have the form of a key (long hexadecimal ones), which are seeds but no spans yet: a
+digest may be harmless. The words around a seed make lexical patterns (the word before it; the
+two words before it; the words on either side). Other identifier-like strings, of any length,
+stand in patterns too. Patterns and the strings that stand in them are a bipartite graph, which
+Spark scores in rounds. A pattern's score for a kind is c / (a + 1), where a is the number of its
+distinct strings that are certain of something and c of those that are certain of the kind:
+support counts through the 1, and strings that nobody knows are neutral, however many there
+are. Patterns of at least ``CONFIDENT`` with ``SUPPORT`` certain strings make the strings in them
+that have the kind's shape certain for the next round. Unknown strings in contexts that several
+kinds share (a common word), and in no confident one, become certain of nothing. At the end
+confident patterns name the strings in them that no rule found.
+
+A word of a context is at most ``NEAR`` characters long; next to a longer run there is no pattern.
 
 Positions come from cutting a text at the matches: the lengths of pieces and matches add up.
 Each rule's pattern is written so that a run of characters is tried once, from its start or
@@ -27,7 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone")        # of the base rules
+NAMES = (*KINDS, "secret")
+NONE = -2               # the kind of strings that are certain of nothing
 RULES = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -38,13 +46,17 @@ RULES = {
     # the plain pattern
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Identifier-like: digits with separators, or a token with a digit or an at sign.
-LIKE = (r"(?<![A-Za-z0-9])(?:[0-9][0-9\x20().-]{5,40}[0-9]|"
-        r"(?=[A-Za-z._%+:/-]{0,62}[0-9@])[A-Za-z0-9][A-Za-z0-9._%+@:/-]{4,62}[A-Za-z0-9])(?![A-Za-z0-9])")
-NEAR = 48               # code points looked at on either side for the words of a context
+#: Identifier-like: digits with separators, or a run with a digit or an at sign. A run is tried
+#: at its start alone.
+LIKE = (r"(?<![A-Za-z0-9])[0-9]++(?:[\x20().-]{1,3}[0-9]++)*+(?![A-Za-z0-9])|"
+        r"(?<![A-Za-z0-9._%+@:/-])(?=[A-Za-z._%+:/-]*+[0-9@])[A-Za-z0-9]++(?:[._%+@:/-]++[A-Za-z0-9]++)*+")
+#: The form of a key, which makes a seed.
+KEY = r"^(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}$"
+NEAR = 64
 ROUNDS = 3
 CONFIDENT = 0.8
 SUPPORT = 5             # distinct certain strings of a confident pattern
+MIXED = 2               # certain strings of each of two kinds that make a context a shared one
 BROADCAST = 100_000     # found spans (some 50 bytes each) that may be broadcast
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -112,17 +124,32 @@ def _as_kind(n: int):
 
 
 def _context(span: Column) -> Column:
-    """The words before and after a span, as they stand (lower case)."""
-    left = F.substring("_t", F.greatest(span.start - NEAR, F.lit(0)).cast("int") + 1,
-                       F.least(span.start, F.lit(NEAR)).cast("int"))
-    right = F.substring("_t", span.end.cast("int") + 1, F.lit(NEAR))
-    words = lambda s: F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != "")
-    return F.struct(words(left).alias("before"), words(right).alias("after"))
+    """The last two words before and the first one after a span, as they stand (lower case);
+    empty where there is none or it is too long."""
+    size = NEAR + 1         # a word that fills it all is too long
+    words = lambda s: F.split(F.lower(s), r"\s+")
+    at = lambda a, i: F.coalesce(F.try_element_at(a, F.lit(i)), F.lit(""))
+    cut = lambda w: F.when(F.length(w) <= NEAR, w).otherwise("")
+    left = F.rtrim(F.substring("_t", F.greatest(span.start - 2 * size, F.lit(0)).cast("int") + 1,
+                               F.least(span.start, F.lit(2 * size)).cast("int")))
+    right = F.ltrim(F.substring("_t", span.end.cast("int") + 1, F.lit(size)))
+    before, after = words(left), words(right)
+    return F.struct(cut(at(before, -1)).alias("before"), cut(at(before, -2)).alias("twice"), cut(at(after, 1)).alias("after"))
+
+
+def fits(kind: Column, s: Column) -> Column:
+    """Whether a string has the shape that a kind's strings can have."""
+    digits, letters = F.length(_digits(s)), s.rlike("[a-z]")
+    return F.when(kind == 0, F.contains(s, F.lit("@"))) \
+        .when(kind == 1, s.rlike(r"^[0-9a-f]*([.:][0-9a-f]+){3,}$")) \
+        .when(kind == 2, ~letters & digits.between(8, 19)) \
+        .when(kind == 3, ~letters & digits.between(5, 15)) \
+        .when(kind == 4, letters & (digits > 0) & (F.length(s) >= 16)).otherwise(False)
 
 
 def base(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row``, ``rid`` (one per row), ``base`` (the rules' spans, sorted), ``n_<kind>`` and
-    ``seen``: seeds and other identifier-like strings with their contexts."""
+    ``seen``: seeds and other identifier-like strings (kind -1) with their contexts."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"),
                      common.text_of(text).alias("_t"))
     for kind in KINDS:
@@ -135,7 +162,8 @@ def base(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     free = F.filter("like", lambda x: ((digits(x.string) >= 4) | F.contains(x.string, F.lit("@"))) & ~F.exists(
         "_all", lambda y: (y.start < x.end) & (x.start < y.end)))
     df = df.withColumn("_seen", F.concat("_all", F.transform(free, _as_kind(-1))))
-    seen = F.transform("_seen", lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end"),
+    kind = lambda x: F.when((x.kind < 0) & F.lower(x.string).rlike(KEY), F.lit(NAMES.index("secret"))).otherwise(x.kind)
+    seen = F.transform("_seen", lambda x: F.struct(x.start.alias("start"), kind(x).alias("kind"), x.end.alias("end"),
                                                    F.lower(x.string).alias("string"), _context(x).alias("c")))
     spans = F.transform("_all", lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
     return df.select("row", F.expr("uuid()").alias("rid"), spans.alias("base"),
@@ -144,32 +172,32 @@ def base(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
 
 def occurrences(found: DataFrame) -> DataFrame:
     """One row per string and pattern that it stands in."""
-    one = found.select("rid", F.explode("seen").alias("s")).select("rid", "s.*")
-    at = lambda a, i: F.coalesce(F.try_element_at(a, F.lit(i)), F.lit(""))
-    before, twice, after = at(F.col("c.before"), -1), at(F.col("c.before"), -2), at(F.col("c.after"), 1)
-    patterns = F.array(F.concat(before, F.lit(" _")), F.concat_ws(" ", twice, before, F.lit("_")),
-                       F.concat_ws(" ", before, F.lit("_"), after))
-    return one.where(before != "").select("rid", "start", "end", "kind", "string",
-                                          F.explode(F.array_distinct(patterns)).alias("pattern"))
+    one = found.select("rid", F.explode("seen").alias("s")).select("rid", "s.*", "s.c.*")
+    patterns = F.array(F.concat("before", F.lit(" _")), F.concat_ws(" ", "twice", "before", F.lit("_")),
+                       F.concat_ws(" ", "before", F.lit("_"), "after"))
+    return one.where("before <> ''").select("rid", "start", "end", "kind", "string",
+                                            F.explode(F.array_distinct(patterns)).alias("pattern"))
 
 
 def confident_patterns(seen: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT,
-                       support: int = SUPPORT) -> DataFrame:
+                       support: int = SUPPORT, mixed: int = MIXED) -> DataFrame:
     """``(pattern, kind, score)`` of the patterns that end up confident, scored in ``rounds``."""
     edges = common.materialise(seen.select("pattern", "string").distinct(), "edges")
     seeds = common.materialise(seen.where("kind >= 0").select("string", "kind").distinct(), "seeds")
-    size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    scores, good = seeds.withColumn("score", F.lit(1.0)), None
+    unknown = edges.join(seeds.select("string").distinct(), "string", "left_anti")
+    certain, good = seeds, None
     for _ in range(rounds):
-        sums = edges.join(scores, "string").groupBy("pattern", "kind").agg(
-            F.sum("score").alias("sum"), F.sum((F.col("score") >= confident).cast("int")).alias("certain"))
-        good = sums.where(F.col("certain") >= support).join(size, "pattern") \
-            .select("pattern", "kind", (F.col("sum") / F.col("n")).alias("score")).where(F.col("score") >= confident)
-        good = common.materialise(good, "patterns")
-        miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))
-        found = edges.join(good, "pattern").groupBy("string", "kind").agg((1 - miss).alias("score")) \
-            .join(seeds.select("string").distinct(), "string", "left_anti")
-        scores = common.materialise(seeds.withColumn("score", F.lit(1.0)).unionByName(found), "scores")
+        counts = common.materialise(edges.join(certain, "string").groupBy("pattern", "kind").agg(
+            F.count(F.lit(1)).alias("c")), "counts")        # at most one row a pattern and kind
+        totals = counts.groupBy("pattern").agg(
+            F.sum("c").alias("a"), F.count_if((F.col("kind") >= 0) & (F.col("c") >= mixed)).alias("kinds"))
+        scored = counts.join(totals, "pattern").withColumn("score", F.col("c") / (F.col("a") + 1))
+        good = common.materialise(scored.where((F.col("kind") >= 0) & (F.col("c") >= support) & (F.col("score") >= confident))
+                                  .select("pattern", "kind", "score"), "patterns")
+        named = unknown.join(good, "pattern").where(fits(F.col("kind"), F.col("string"))).select("string", "kind").distinct()
+        shared = unknown.join(totals.where("kinds > 1").select("pattern"), "pattern").select("string").distinct() \
+            .join(named.select("string").distinct(), "string", "left_anti").withColumn("kind", F.lit(NONE))
+        certain = common.materialise(seeds.unionByName(named).unionByName(shared), "certain")
     return good
 
 
@@ -177,24 +205,29 @@ def discover(found: DataFrame) -> DataFrame:
     """``(rid, added)``: the spans that confident patterns name, per row."""
     seen = occurrences(found)
     good = confident_patterns(seen)
-    hits = seen.where("kind < 0").drop("kind").join(good, "pattern")
+    secret = NAMES.index("secret")
+    open_ = seen.where((F.col("kind") < 0) | (F.col("kind") == secret)).withColumnRenamed("kind", "own")
+    hits = open_.join(good, "pattern").where(F.when(F.col("own") == secret, F.col("kind") == secret)
+                                             .otherwise(fits(F.col("kind"), F.col("string"))))
     best = hits.groupBy("rid", "start", "end").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
     return best.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
 
 
 def personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``row``, ``n_<kind>``, ``base`` and ``spans`` (base and discovered) of each whole text."""
+    """``row``, ``n_<kind>``, ``n_added``, ``base`` and ``spans`` (base and discovered) of each whole
+    text."""
     found = common.materialise(base(docs, text, carry), "personal")
     added = common.materialise(discover(found), "discovered")
     if added.select(F.explode("added")).limit(BROADCAST + 1).count() <= BROADCAST:
         added = F.broadcast(added)
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {SPAN})"))))
-    return found.join(added, "rid", "left").select("row", *[f"n_{k}" for k in KINDS], "base", spans.alias("spans"))
+    more = F.coalesce("added", F.expr(f"cast(array() as {SPAN})"))
+    return found.join(added, "rid", "left").select("row", *[f"n_{k}" for k in KINDS], F.size(more).cast("long").alias("n_added"),
+                                                   "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def joined(spans: str) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(
         ":", F.element_at(names, x.kind + 1), x.start.cast("string"), x.end.cast("string"))), ",")
 
@@ -202,7 +235,7 @@ def joined(spans: str) -> Column:
 def masked(text: Column, spans: str) -> Column:
     """The text with every span replaced by its kind in brackets; of spans that overlap, the
     first names them."""
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in NAMES])
 
     def piece(i):
         x = F.element_at(spans, i)
@@ -219,7 +252,7 @@ def masked(text: Column, spans: str) -> Column:
 def op3_personal_data(spark, sf_dir: str) -> DataFrame:
     found = personal_data(common.table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"),
-                        joined("spans").alias("spans"))
+                        joined("spans").alias("spans"), "n_added")
 
 
 def stage_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

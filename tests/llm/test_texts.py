@@ -95,7 +95,7 @@ def slow_spans(text):
 
 
 def as_text(spans):
-    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{pii.NAMES[k]}:{a}:{b}" for a, k, b in spans)
 
 
 HARD = ["a@b.c_d@e.f", "x@y", "a.b+c@d-e.f.g@h.i", "1.2.3.4.5.6.7.8", "256.1.1.1 1.2.3.004 0001.2.3.4", "4111 1111 1111 1111",
@@ -135,6 +135,76 @@ def test_contexts_find_what_no_rule_does(spark):
         assert got[i] == as_text(slow_spans(t))
 
 
+def slow_patterns(seen):
+    """The scoring by its definition, over sets."""
+    strings: dict = {}
+    for r in seen:
+        strings.setdefault(r.pattern, set()).add(r.string)
+    seeds: dict = {}
+    for r in seen:
+        if r.kind >= 0:
+            seeds.setdefault(r.string, set()).add(r.kind)
+
+    def fits(kind, s):
+        digits, letters = sum(c.isdigit() for c in s), re.search("[a-z]", s)
+        return [bool("@" in s), bool(re.fullmatch(r"[0-9a-f]*([.:][0-9a-f]+){3,}", s)), not letters and 8 <= digits <= 19,
+                not letters and 5 <= digits <= 15, bool(letters) and digits > 0 and len(s) >= 16][kind]
+
+    certain, good = {s: set(k) for s, k in seeds.items()}, {}
+    for _ in range(3):
+        good, shared = {}, set()
+        for p, held in strings.items():
+            counts = Counter(k for s in held for k in certain.get(s, ()))
+            total = sum(counts.values())
+            if sum(c >= 2 for k, c in counts.items() if k >= 0) > 1:
+                shared.add(p)
+            good |= {(p, k): c / (total + 1) for k, c in counts.items() if k >= 0 and c >= 5 and c / (total + 1) >= 0.8}
+        certain = {s: set(k) for s, k in seeds.items()}
+        for p, k in good:
+            for s in strings[p] - set(seeds):
+                if fits(k, s):
+                    certain.setdefault(s, set()).add(k)
+        for s in {s for p in shared for s in strings[p]} - set(certain):
+            certain[s] = {pii.NONE}
+    return good
+
+
+def test_pattern_graph_equals_brute_force(spark):
+    """Unknown strings are neutral, shared contexts name nothing, names lead to names."""
+    rng = random.Random(14)
+
+    def number():
+        return f"{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+
+    local = [number() for _ in range(30)]
+    rows = [f"{prose(rng, 9)} Tel: +49 30 {rng.randrange(10 ** 6, 10 ** 7)} now" for _ in range(70)]
+    rows += [f"{prose(rng, 9)} Tel: {x} then" for x in local]
+    rows += [f"{prose(rng, 5)} Durchwahl {x} und" for x in local[:8]] + [f"so Durchwahl {number()} und" for _ in range(3)]
+    for i in range(12):
+        rows += [f"we saw the {x} go" for x in (f"+44 20 {rng.randrange(10 ** 6, 10 ** 7)}", f"me{i}@mail.example.org",
+                                                f"10.0.{i}.7", f"{rng.randrange(10 ** 4, 10 ** 5)} 4711")]
+    rows += [f'{prose(rng, 4)} token = "{rng.getrandbits(160):040x}" {prose(rng, 3)}' for _ in range(9)]
+    rows += ['set token = "Ab9-xx7-Qw31-kk20/zz" here', f"commit {rng.getrandbits(160):040x} is no secret",
+             f"see {'z' * 90} 303-1234 and Tel: {'1' * 70} end", "Tel: " + "12-" * 40 + "5"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    found = common.materialise(pii.base(docs), "t")
+    seen = pii.occurrences(found)
+    got = {(r.pattern, r.kind): r.score for r in pii.confident_patterns(seen).collect()}
+    want = slow_patterns(seen.collect())
+    assert got == pytest.approx(want) and ("tel: _", 3) in got and ("durchwahl _", 3) in got and ("the _", 3) not in got
+    spans = {r.doc_id: (r.s, r.n_added) for r in pii.personal_data(docs).select(
+        "row.doc_id", pii.joined("spans").alias("s"), "n_added").collect()}
+    for i, t in enumerate(rows):
+        if "Tel: 2" in t or "Durchwahl" in t or re.search(r"Tel: \d{3}-\d{4} ", t):
+            at = re.search(r"\d{3}-\d{4}", t)
+            assert spans[i] == (f"phone:{at.start()}:{at.end()}", 1), t
+        elif "token" in t:
+            at = re.search('"(.*)"', t)
+            assert spans[i] == (f"secret:{at.start(1)}:{at.end(1)}", 1), t
+        else:
+            assert spans[i] == (as_text(slow_spans(t)), 0), t
+
+
 def test_masking(spark):
     text = "é a@b.cc, 10.0.0.1 and +1 202 555 0100 x"
     docs = spark.createDataFrame([(1, text, "k"), (2, None, "k"), (3, "none", "k")], "doc_id long, text string, row string")
