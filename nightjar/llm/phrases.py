@@ -48,7 +48,7 @@ TOKEN = re.compile(rb"[^\x20\x09.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 CUT = re.compile(rb"[\x20\x09.,;:!?\n-\r]")
 ENDS = [bytes([c]) for c in b".,;:!?\n\x0b\x0c\r"]
 BATCH = 1 << 16         # rows handed to Spark at a time
-BROADCAST = 400_000     # frequent phrases that may be broadcast, if
+BROADCAST = 1_500_000   # frequent phrases that may be broadcast, if
 BROADCAST_BYTES = 16 << 20      # their words have so many bytes at most
 
 
@@ -202,7 +202,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
              block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(lang, words, f)`` of all phrases of up to ``longest`` words with at least ``least``
     occurrences, and ``(lang, n)``, the count of all words of a language."""
-    level = common.materialise(occurrences(docs, text, lang, block), "phrases-1")
+    level = common.materialise(occurrences(docs, text, lang, block), "phrases-1", "zstd")
     rows = level.where("number >= 0").select("block", "number", "lang", "word", "n")
     counted = common.materialise(rows.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -211,7 +211,9 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     key = ["lang", "word"]
     for k in range(2, longest + 1):
         back = rows.join(_small(known.select(*key, "id"), key), key).select("block", "number", "id")
-        level = common.materialise(extend(level, back), f"phrases-{k}")
+        level = extend(level, back)
+        if k < longest:                     # the last level is counted as it is made
+            level = common.materialise(level, f"phrases-{k}", "zstd")
         rows = level.where("number >= 0").select("block", "number", "left", "right", "n")
         counted = rows.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         known, key = numbered(counted, f"frequent-{k}"), ["left", "right"]
