@@ -48,9 +48,9 @@ def append_new(store: DataFrame, rows: DataFrame, order: str = "ord") -> DataFra
     return first.join(near.select(*DNS_KEY), DNS_KEY, "left_anti")
 
 
-def domain_batch(rows: DataFrame) -> DataFrame:
-    """A-8: per-domain min/max time, queries and blocked queries of a batch."""
-    return rows.groupBy(F.col("registrable_domain").alias("domain")).agg(
+def domain_batch(rows: DataFrame, *by: str) -> DataFrame:
+    """A-8: per-domain min/max time, queries and blocked queries of a batch (and ``by``)."""
+    return rows.groupBy(F.col("registrable_domain").alias("domain"), *by).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         F.count(F.lit(1)).alias("query_count"),
         F.count_if("blocked").alias("blocked_count"))
@@ -97,12 +97,31 @@ def past_cursor(rows: DataFrame, store: DataFrame) -> DataFrame:
     return rows.filter(F.col("ts").isNull() | cursor.isNull() | (F.col("ts") > cursor))
 
 
-def rebase(rows: DataFrame, as_of, ts_col: str = "ts") -> DataFrame:
-    """P-11: shift every known time by (as_of - newest time); rows without a
-    time stay as they are; no known time at all is a no-op."""
-    newest = rows.agg(F.max(ts_col)).scalar()            # scalar subquery
-    shifted = F.col(ts_col) + (as_ts(as_of) - newest)
-    return rows.withColumn(ts_col, F.when(F.col(ts_col).isNull(), F.col(ts_col)).otherwise(shifted))
+def rebase(rows: DataFrame, as_of, ts_col: str = "ts", by: str | None = None) -> DataFrame:
+    """P-11: shift every known time by (as_of - newest time), the newest of all rows or of those
+    with the same ``by``; rows without a time stay as they are; no known time at all is a no-op."""
+    if by is None:
+        newest = rows.agg(F.max(ts_col)).scalar()        # scalar subquery
+        rows = rows.withColumn("__newest", newest)
+    else:
+        rows = rows.join(rows.groupBy(by).agg(F.max(ts_col).alias("__newest")), by, "left")
+    shifted = F.col(ts_col) + (as_ts(as_of) - F.col("__newest"))
+    return rows.withColumn(ts_col, F.when(F.col(ts_col).isNull(), F.col(ts_col)).otherwise(shifted)).drop("__newest")
+
+
+def file_metrics(mapped: DataFrame, fresh: DataFrame, registry: DataFrame, as_of,
+                 retention_days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:
+    """U-4 of many files in one batch, a row for each ``run_key``, as if they had come one after
+    the other by name: a domain is new in the first file that adds a row of it. ``pruned`` holds
+    the file's own rows that are past retention."""
+    cutoff = as_ts(as_of) - days(retention_days)
+    seen = mapped.groupBy("run_key").agg(F.count(F.lit(1)).alias("seen"), F.count_if(~F.col("valid")).alias("skipped_entries"))
+    added = fresh.groupBy("run_key").agg(F.count(F.lit(1)).alias("inserted"), F.count_if(F.col("ts") < cutoff).alias("pruned"))
+    first = fresh.groupBy(F.col("registrable_domain").alias("domain")).agg(F.min("run_key").alias("run_key")) \
+        .join(registry.select("domain"), "domain", "left_anti").groupBy("run_key").agg(F.count(F.lit(1)).alias("new_domains"))
+    out = seen.join(added, "run_key", "left").join(first, "run_key", "left") \
+        .fillna(0, ["inserted", "pruned", "new_domains"])
+    return out.withColumn("duplicates", F.col("seen") - F.col("skipped_entries") - F.col("inserted"))
 
 
 @dataclass

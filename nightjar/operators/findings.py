@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import FINDING_KEY
@@ -87,6 +87,23 @@ def resolve_findings(state: DataFrame, scanned_images: DataFrame, run_key: str,
 class RunResult:
     state: DataFrame          # new vuln_finding state (state schema only)
     metrics: DataFrame        # one row: images, inserted, updated, resolved
+    flagged: DataFrame        # the state with what ``run_metrics`` counts
+
+
+def run_metrics() -> list[Column]:
+    """U-4: aggregates over a flagged state, for ``agg`` or for ``observe`` during its write."""
+    occ, new = F.coalesce(F.col("occurrences"), F.lit(0)), F.col("_action") == "insert"
+    return [F.count_if(new).alias("inserted"),
+            F.coalesce(F.sum(F.when(new, occ - 1).otherwise(occ)), F.lit(0)).cast("long").alias("updated"),
+            F.count_if("_resolved").alias("resolved")]
+
+
+def backfill_metrics(first_run: str) -> list[Column]:
+    """The same of many runs in one pass (``apply_runs`` with flags)."""
+    return [F.count_if(~F.col("_old")).alias("inserted"),
+            F.count_if(F.col("_old") & (F.col("last_run") >= first_run)).alias("updated"),
+            F.count_if(F.col("resolved_at").isNotNull() & F.col("_was").isNull()).alias("resolved"),
+            F.count(F.lit(1)).alias("findings")]
 
 
 def ingest_run(state: DataFrame, rows: DataFrame, scanned_images: DataFrame,
@@ -95,14 +112,10 @@ def ingest_run(state: DataFrame, rows: DataFrame, scanned_images: DataFrame,
     up = upsert_findings(state, rows, run_key, as_of, order)
     res = resolve_findings(up, scanned_images, run_key, as_of)
     cols = state.columns
-    occ = F.coalesce(F.col("occurrences"), F.lit(0))
-    metrics = res.agg(
-        F.count_if(F.col("_action") == "insert").alias("inserted"),
-        F.sum(F.when(F.col("_action") == "insert", occ - 1).otherwise(occ)).cast("long").alias("updated"),
-        F.count_if("_resolved").alias("resolved"))
+    metrics = res.agg(*run_metrics())
     n_img = scanned_images.select("image").distinct().agg(F.count(F.lit(1))).scalar()
     metrics = metrics.select(n_img.alias("images"), "*")
-    return RunResult(res.select(*cols), metrics)
+    return RunResult(res.select(*cols), metrics, res)
 
 
 def replay_runs(rows: DataFrame, scanned: DataFrame, order: str = "ord") -> DataFrame:
@@ -135,7 +148,8 @@ def replay_runs(rows: DataFrame, scanned: DataFrame, order: str = "ord") -> Data
         F.lit(None).cast("timestamp").alias("status_changed_at"), "resolved_at")
 
 
-def apply_runs(state: DataFrame, rows: DataFrame, scanned: DataFrame, order: str = "ord") -> DataFrame:
+def apply_runs(state: DataFrame, rows: DataFrame, scanned: DataFrame, order: str = "ord",
+               flags: bool = False) -> DataFrame:
     """Set-based form of ``ingest_run`` applied to every new run in
     run_key order, on top of an existing ``state``, in one pass.
 
@@ -147,7 +161,9 @@ def apply_runs(state: DataFrame, rows: DataFrame, scanned: DataFrame, order: str
       resolved_at is the next scan of the image after the key's last new run.
 
     Equal to looping ``ingest_run`` over the runs (tested), at the cost of
-    one aggregation and one full outer join instead of one per run.
+    one aggregation and one full outer join instead of one per run. With
+    ``flags`` a row tells whether its key is an old one (``_old``) and when it
+    was resolved before (``_was``).
     """
     new = replay_runs(rows, scanned, order)
     first_scan = scanned.groupBy("image").agg(F.min("started_at").alias("__first_scan"))
@@ -178,4 +194,6 @@ def apply_runs(state: DataFrame, rows: DataFrame, scanned: DataFrame, order: str
         else:
             e = pick(c, c in keep_state)
         out.append(e.cast(state.schema[c].dataType).alias(c))
+    if flags:
+        out += [in_s.alias("_old"), F.col("s_resolved_at").alias("_was")]
     return j.select(*out)

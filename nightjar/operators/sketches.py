@@ -44,6 +44,11 @@ def hourly(dns_query: DataFrame) -> DataFrame:
         .agg(*[a.alias(n) for n, a in aggregates().items()])
 
 
+def fold(parts: DataFrame) -> DataFrame:
+    """The sketches of several batches in one row a key."""
+    return parts.groupBy("hour", KEY).agg(*merged())
+
+
 def trailing(sketched: DataFrame, dns_query: DataFrame, as_of, window_hours: int = 24) -> DataFrame:
     """Per domain over ``[as_of - window, ...)``: estimates of distinct names and clients, rows and
     the entropy sum (both exact). Whole hours come from ``sketched``, the cut one from the rows."""

@@ -378,9 +378,11 @@ def q_retention_prune(spark, sf_dir):
     clock = F.timestamp_micros(F.lit(tv.dns_as_of(spark, sf_dir))) - dnsops.days(14)
     store = TableStore(spark, scratch_path(spark, "retention"))
     q = _dq(spark, sf_dir)
-    store.append("dns_query", q.withColumn("run_key", F.col("ord").cast("string")))
+    order = F.concat_ws("|", "qtype", F.col("ord").cast("string"))         # the input order travels in the type
+    store.append("dns_query", q.withColumn("qtype", order).withColumn("run_key", F.lit("all")))
     store.retain(spark.range(1).select(clock.cast("string")).first()[0])
-    kept = store.read("dns_query").withColumn("ord", F.col("run_key").cast("long"))
+    kept = store.read("dns_query").withColumn("ord", F.split_part("qtype", F.lit("|"), F.lit(2)).cast("long")) \
+        .withColumn("qtype", F.split_part("qtype", F.lit("|"), F.lit(1)))
     return render(kept.select(*DQ_OUT))
 
 
@@ -724,15 +726,32 @@ def q_page_files(spark, sf_dir):
 
 
 def q_kev_file(spark, sf_dir):
-    """S-5: the exploited list written as its JSON document and read back."""
+    """S-5: the exploited list written as JSON documents of up to 500 entries and read back."""
     from ..session import scratch_path
     from ..sources import feeds as feed_files
     path = scratch_path(spark, "kev")
     feed = tv.kev_feed(spark, sf_dir)
-    doc = feed.select(F.struct("ord", *[c for c in feed.columns if c != "ord"]).alias("v")) \
-        .agg(F.sort_array(F.collect_list("v")).alias("vulnerabilities"))        # the feed is one document
-    doc.select(F.to_json(F.struct("vulnerabilities")).alias("value")).write.text(path)
-    return render(feed_files.read_kev(spark, path).drop("ord"))
+    entry = F.struct("ord", *[c for c in feed.columns if c != "ord"])
+    docs = feed.groupBy(F.floor(F.col("ord") / 500).alias("doc")).agg(F.sort_array(F.collect_list(entry)).alias("vulnerabilities"))
+    docs.select("doc", F.to_json(F.struct("vulnerabilities")).alias("value")).write.partitionBy("doc").text(path)
+    return render(feed_files.read_kev(spark, f"{path}/*/*").drop("ord"))
+
+
+def q_run_folders(spark, sf_dir):
+    """S-2: every run written as a folder of report files, one document an image, and read back
+    in one scan; run key and time come from the folders' names."""
+    from ..session import scratch_path
+    from ..sources import reports
+    root = scratch_path(spark, "runs")
+    docs = tv.report_docs(spark, sf_dir).groupBy("run_key", "ArtifactName").agg(
+        F.flatten(F.collect_list("Results")).alias("Results"))      # an image's lines of one run
+    docs = docs.persist()
+    for run in sorted(r.run_key for r in docs.select("run_key").distinct().collect()):      # seven
+        docs.filter(F.col("run_key") == run).select("ArtifactName", "Results") \
+            .write.option("maxRecordsPerFile", 1).json(f"{root}/{run}")
+    docs.unpersist()
+    rows, _, _ = reports.read_runs(spark, root)
+    return render(rows.drop("ord", "file", "result_pos", "vuln_pos", "started_at"))
 
 
 def q_epss_file(spark, sf_dir):

@@ -12,12 +12,13 @@ column contract and non-null entities, and upserts all hits in one join.
 """
 from __future__ import annotations
 
-import glob
-import os
+import time
+import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -56,17 +57,19 @@ def builtin_rules(p: RuleParams | None = None) -> list[Rule]:
     carries over by id."""
     p = p or RuleParams()
     return sorted([
-        Rule("dns_blocked_spike", "client with an unusual spike in blocked queries",
-             lambda t, a: detections.blocked_spike(t["dns_query"], a, p.spike_floor, p.spike_multiple)),
-        Rule("dns_dga_entropy", "high-entropy DNS name, DGA or tunnel shaped",
+        Rule("dns_blocked_spike", "a client's blocked queries far above its own past week",
+             lambda t, a: detections.blocked_spike(t["dns_query"], a, p.spike_floor, p.spike_multiple,
+                                               t.get("dns_hourly"))),
+        Rule("dns_dga_entropy", "names whose labels look random, as generated or tunnelled ones do",
              lambda t, a: detections.dga_entropy(t["dns_query"], p.dga_min_entropy, p.dga_min_length)),
-        Rule("dns_known_bad_domain", "query for a domain on a public blocklist",
+        Rule("dns_known_bad_domain", "a listed domain was asked for",
              lambda t, a: detections.known_bad(t["dns_query"], t["known_bad_domain"])),
-        Rule("dns_newly_seen_domain", "registrable domain seen for the first time in the last 24 hours",
+        Rule("dns_newly_seen_domain", "a domain that was never asked for before the last day",
              lambda t, a: detections.newly_seen(t["dns_domain"], t["dns_query"], a, p.new_window_hours)),
-        Rule("dns_nxdomain_burst", "client with a burst of NXDOMAIN answers",
-             lambda t, a: detections.nxdomain_burst(t["dns_query"], a, p.nx_floor, p.nx_multiple)),
-        Rule("dns_tunnel_volume", "one domain answering an unusual number of distinct names",
+        Rule("dns_nxdomain_burst", "a client whose lookups fail far more often than in its past week",
+             lambda t, a: detections.nxdomain_burst(t["dns_query"], a, p.nx_floor, p.nx_multiple,
+                                                t.get("dns_hourly"))),
+        Rule("dns_tunnel_volume", "a domain with very many random-looking names in a day",
              lambda t, a: detections.tunnel_volume(t["dns_query"], a, p.tunnel_min_names,
                                                    p.tunnel_min_avg_entropy)),
     ], key=lambda r: r.id)
@@ -80,21 +83,29 @@ def sql_rule(spark: SparkSession, rule_id: str, text: str) -> Rule:
     desc = first[len(DESCRIPTION_PREFIX):].strip()
 
     def build(tables: Tables, as_of):
+        clock, mine, kept = resolve(spark, as_of), [], {}
         for name, df in tables.items():
+            if spark.catalog.tableExists(name):             # the caller's own view comes back below
+                kept[name] = spark.table(name)
             df.createOrReplaceTempView(name)
-        return spark.sql(text, args={"as_of": resolve(spark, as_of)})
+            mine.append(name)
+        try:
+            return spark.sql(text, args={"as_of": clock})   # resolved here; it needs the views no more
+        finally:
+            for name in mine:
+                spark.catalog.dropTempView(name)
+            for name, df in kept.items():
+                df.createOrReplaceTempView(name)
 
     return Rule(rule_id, desc, build)
 
 
 def discover(spark: SparkSession, path: str) -> list[Rule]:
-    """R-7: every ``*.sql`` in ``path`` (sorted), id = file stem. Rule files
-    are small text files read on the driver; a missing header is an error."""
-    rules = []
-    for f in sorted(glob.glob(os.path.join(path, "*.sql"))):
-        with open(f, encoding="utf-8") as fh:
-            rules.append(sql_rule(spark, os.path.splitext(os.path.basename(f))[0], fh.read()))
-    return rules
+    """R-7: every ``*.sql`` in ``path`` (sorted), id = file stem. Rule files are small texts that
+    Spark reads from whatever store holds them; a missing header is an error."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.sql").select(F.regexp_extract(
+        "_metadata.file_name", r"^(.*)\.sql$", 1).alias("id"), "value").collect()
+    return [sql_rule(spark, r.id, r.value) for r in sorted(files)]
 
 
 @dataclass
@@ -109,12 +120,27 @@ class RunOutcome:
         return bool(self.failures)
 
 
+def _execute(spark: SparkSession, rule: Rule, group: str, hits: DataFrame) -> DataFrame:
+    """One rule's hits, written by jobs of its own group and scheduler pool. Null entities are
+    counted during the write."""
+    spark.sparkContext.setJobGroup(group, f"rule {rule.id}", interruptOnCancel=True)
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", rule.id)
+    path, seen = scratch_path(spark, f"hits-{rule.id}"), Observation(group)
+    rows = hits.select(F.col("entity").cast("string"), F.col("summary").cast("string"))
+    rows.observe(seen, F.count_if(F.col("entity").isNull()).alias("nulls")).write.parquet(path)
+    if seen.get["nulls"]:
+        raise ValueError("rule returned a NULL entity")
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def run_rules(spark: SparkSession, rules: list[Rule], tables: Tables, rule_state: DataFrame,
-              hit_state: DataFrame, as_of) -> RunOutcome:
+              hit_state: DataFrame, as_of, side_by_side: int = 4, limit_seconds: float | None = None) -> RunOutcome:
     """R-8. Each enabled rule's hits are written to the shared checkpoint
     folder as their own job: the write is the rule's execution, a failure
     (analysis or runtime) is caught for that rule only, and the union of the
-    written hits feeds one upsert."""
+    written hits feeds one upsert. Up to ``side_by_side`` rules run at a time (with the FAIR
+    scheduler each in a pool of its own); one that takes over ``limit_seconds`` is cancelled
+    and counts as failed."""
     cat = spark.createDataFrame([(r.id, r.description) for r in rules], "id string, description string")
     new_rules = hitops.upsert_rules(rule_state, cat, as_of)
     ids = [r.id for r in rules]
@@ -123,6 +149,13 @@ def run_rules(spark: SparkSession, rules: list[Rule], tables: Tables, rule_state
     failures: dict[str, str] = {}
     outcome: dict[str, str] = {}
     written: list[DataFrame] = []
+    running: dict[int, tuple] = {}
+    pool = ThreadPoolExecutor(max(1, side_by_side))
+
+    def start(hits: DataFrame, rule: Rule, group: str, began: list):
+        began.append(time.monotonic())
+        return _execute(spark, rule, group, hits)
+
     for i, r in enumerate(rules):
         if not enabled.get(r.id, True):
             outcome[r.id] = "skipped"
@@ -131,18 +164,27 @@ def run_rules(spark: SparkSession, rules: list[Rule], tables: Tables, rule_state
             df = r.build(tables, as_of)
             if df.columns != ["entity", "summary"]:
                 raise ValueError(f"expected columns (entity, summary), got {df.columns}")
-            path = scratch_path(spark, f"hits-{r.id}")
-            (df.select(F.col("entity").cast("string"), F.col("summary").cast("string"))
-             .write.parquet(path))
-            got = spark.read.parquet(path)
-            if got.filter(F.col("entity").isNull()).limit(1).count():
-                raise ValueError("rule returned a NULL entity")
+            group, began = f"rule-{r.id}-{uuid.uuid4().hex}", []
+            running[i] = (pool.submit(start, df, r, group, began), group, began)
+        except (AnalysisException, ValueError, Exception) as exc:  # noqa: BLE001
+            failures[r.id] = str(exc)
+            outcome[r.id] = "failed"
+    for i, (job, group, began) in running.items():
+        r = rules[i]
+        try:
+            while not job.done() and limit_seconds is not None:
+                if began and time.monotonic() - began[0] > limit_seconds:
+                    spark.sparkContext.cancelJobGroup(group)
+                    raise TimeoutError(f"over its limit of {limit_seconds} s")
+                wait([job], timeout=0.2)
+            got = job.result()
             written.append(got.select(F.lit(r.id).alias("rule_id"), "entity", "summary",
                                       F.struct(F.lit(i), F.monotonically_increasing_id()).alias("ord")))
             outcome[r.id] = "ok"
-        except (AnalysisException, ValueError, Exception) as exc:  # noqa: BLE001
+        except Exception as exc:  # noqa: BLE001  (this rule alone has failed)
             failures[r.id] = str(exc)
             outcome[r.id] = "failed"
+    pool.shutdown(wait=False)
     if written:
         batch = written[0]
         for w in written[1:]:

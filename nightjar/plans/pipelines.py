@@ -5,6 +5,7 @@ new versions, and returns small metrics (one row each, safe to collect).
 
 * ``ingest_scan_runs``  S-1/S-2 + U-1..U-4 for every new run directory
 * ``ingest_dns_file``   S-3 (+ P-11 rebase) + U-1, U-5..U-7
+* ``ingest_dns_folder`` the same for a folder of files in one batch
 * ``load_exposure``     S-8 + U-11, and the unmapped images (Q-6)
 * ``load_kev`` / ``load_epss`` / ``load_blocklist``  S-5..S-7 + U-8..U-10
 * ``run_rule_engine``   R-7/R-8 over the stored tables
@@ -12,20 +13,19 @@ new versions, and returns small metrics (one row each, safe to collect).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import normalize
 from ..operators import dns as dnsops
 from ..operators import feeds as feedops
-from ..operators import findings
+from ..operators import findings, rollups, sketches
 from ..sources import dnslog, feeds, reports
 from ..sources.store import TableStore
 from ..streaming import dns_stream
 from ..timeutil import as_ts
 from . import engine, ranking
 
-DNS_SOURCE = "resolver"
 
 
 def ingest_scan_runs(store: TableStore, root: str, as_of=None, single_run: bool = False,
@@ -35,7 +35,8 @@ def ingest_scan_runs(store: TableStore, root: str, as_of=None, single_run: bool
     By default all new runs are applied in one pass (``findings.apply_runs``:
     one aggregation and one join however many runs a backfill holds) and one
     summary row is returned. ``per_run=True`` applies them one by one, oldest
-    first, with the per-run metrics (images, inserted, updated, resolved).
+    first, with the per-run metrics (images, inserted, updated, resolved). Metrics are
+    counted while the state is written (``findings``: rows of the images' buckets).
     ``as_of`` None stamps each run's findings with the run's own start time;
     a value stamps all of them with it."""
     spark = store.spark
@@ -49,30 +50,25 @@ def ingest_scan_runs(store: TableStore, root: str, as_of=None, single_run: bool
         rows, scanned = (df.withColumn("started_at", as_ts(as_of)) for df in (rows, scanned))
     clock = as_of if as_of is not None else F.current_timestamp()
     out = []
+    images = store.buckets_of("vuln_finding", scanned)      # other images' findings stay as they are
     if not per_run:
-        with store.transition():
-            before = store.read("vuln_finding")
-            after = store.write("vuln_finding", findings.apply_runs(before, rows, scanned))
+        first, last = runs.agg(F.min("run_key"), F.max("run_key")).first()
+        seen = Observation("findings")
+        with store.run(f"{first}..{last}"):
+            after = findings.apply_runs(store.state("vuln_finding", images), rows, scanned, flags=True)
+            store.write("vuln_finding", after.observe(seen, *findings.backfill_metrics(first)))
             store.append("scan_run", findings.run_envelopes(runs, clock))
-        keys = ["image", "pkg_name", "installed_version", "cve"]
-        was = before.select(*keys, F.col("resolved_at").alias("was"), F.lit(True).alias("old"))
-        first = runs.agg(F.min("run_key")).first()[0]
-        m = after.join(was, keys, "left").agg(
-            F.count_if(F.col("old").isNull()).alias("inserted"),
-            F.count_if(F.col("old").isNotNull() & (F.col("last_run") >= first)).alias("updated"),
-            F.count_if(F.col("resolved_at").isNotNull() & F.col("was").isNull()).alias("resolved"),
-            F.count(F.lit(1)).alias("findings")).first()
         n = runs.agg(F.count(F.lit(1)).alias("runs"), F.sum("images").alias("images")).first()
-        return [{**n.asDict(), **m.asDict()}]
+        return [{**n.asDict(), **seen.get}]
     for run in runs.orderBy("run_key").collect():            # one row per run
-        key = run["run_key"]
-        with store.transition():                             # findings and envelope together
-            res = findings.ingest_run(store.read("vuln_finding"), rows.filter(F.col("run_key") == key),
+        key, seen = run["run_key"], Observation("findings")
+        with store.run(key):
+            res = findings.ingest_run(store.state("vuln_finding", images), rows.filter(F.col("run_key") == key),
                                       scanned.filter(F.col("run_key") == key), key,
                                       as_of if as_of is not None else run["started_at"])
-            out.append({"run_key": key, "skipped": False, **res.metrics.first().asDict(), "images": run["images"]})
-            store.write("vuln_finding", res.state)
+            store.write("vuln_finding", res.flagged.observe(seen, *findings.run_metrics()))
             store.append("scan_run", findings.run_envelopes(runs.filter(F.col("run_key") == key), clock))
+        out.append({"run_key": key, "skipped": False, **seen.get, "images": run["images"]})
     return out
 
 
@@ -81,30 +77,68 @@ def ingest_dns_files(store: TableStore, folder: str, rules, **how) -> list[dict]
     return [ingest_dns_file(store, f, rules, **how) for f in dnslog.page_files(store.spark, folder)]
 
 
+def ingest_dns_folder(store: TableStore, folder: str, rules, as_of=None, shift_to_now: bool = False,
+                      retention_days: int = dnsops.DEFAULT_RETENTION_DAYS, rollup: bool = False) -> list[dict]:
+    """All new page files of a folder in one batch: one read, one duplicate check, one append,
+    however many files there are. The result is that of ``ingest_dns_files``, file by file: an
+    entry of several files belongs to the first by name, and each file has an envelope and
+    metrics of its own (rows pruned from the store count for the first)."""
+    spark = store.spark
+    done = {r.run_key for r in store.read("scan_run").filter(F.col("source_id") == dns_stream.SOURCE_ID)
+            .select("run_key").collect()}                   # one short key per run
+    files = {f.rsplit("/", 1)[-1]: f for f in dnslog.page_files(spark, folder)}
+    new = [name for name in files if name not in done]
+    out = {name: {"run_key": name, "skipped": True, "reason": "this file is recorded"} for name in files}
+    if new:
+        clock = as_ts(as_of)
+        mapped = normalize.map_dns_entries(dnslog.read_pages(spark, [files[n] for n in new]), rules, keep=["ord", "run_key"])
+        if shift_to_now:
+            mapped = dnsops.rebase(mapped, clock, by="run_key")
+        with store.run(f"{new[0]}..{new[-1]}", new):
+            mapped = mapped.persist()
+            try:
+                before, registry = store.state("dns_query"), store.state("dns_domain")
+                gone = dnsops.pruned_count(before, clock, retention_days).first()["pruned"]
+                fresh = dnsops.append_new(before, mapped.filter("valid").drop("valid", "reject_reason"))
+                fresh = store.append("dns_query", fresh)
+                store.append("dns_domain", dnsops.domain_batch(fresh, "run_key"))
+                if rollup:
+                    store.append("dns_hourly", rollups.hourly(fresh))
+                    store.append("dns_sketch", sketches.hourly(fresh))
+                rows = dnsops.file_metrics(mapped, fresh, registry, clock, retention_days).collect()    # one row a file
+            finally:
+                mapped.unpersist()
+            dns_stream.record_dns_run(store, new, clock, retention_days)
+        none = dict.fromkeys(("seen", "skipped_entries", "inserted", "pruned", "new_domains", "duplicates"), 0)
+        for name in new:
+            out[name] = {"run_key": name, "skipped": False, **none}
+        for r in rows:
+            out[r.run_key].update(r.asDict())
+        out[new[0]]["pruned"] += gone
+    return list(out.values())
+
+
 def ingest_dns_file(store: TableStore, path: str, rules, as_of=None, shift_to_now: bool = False,
-                    retention_days: int = dnsops.DEFAULT_RETENTION_DAYS) -> dict:
+                    retention_days: int = dnsops.DEFAULT_RETENTION_DAYS, rollup: bool = False) -> dict:
     """One query-log page file; the run key is the file name, so the same
     file twice is skipped (also after a rebase). ``rules`` are the public
-    suffix rules (``dnsname.load_suffix_rules``). Rows, registry and run
-    envelope are one commit: a job that dies is done again as if new."""
+    suffix rules (``dnsname.load_suffix_rules``). The run envelope is the last
+    write: a job that dies is done again and replaces what it had written."""
     run_key = path.rsplit("/", 1)[-1]
     if dnslog.page_files(store.spark, path) and len(dnslog.page_files(store.spark, path)) > 1:
         raise ValueError(f"{path} holds several page files: use ingest_dns_files")
-    known = store.read("scan_run").filter((F.col("source_id") == DNS_SOURCE) & (F.col("run_key") == run_key))
-    if known.limit(1).count():
-        return {"run_key": run_key, "skipped": True, "reason": "already ingested"}
+    if dns_stream.known_run(store, run_key):
+        return {"run_key": run_key, "skipped": True, "reason": "this file is recorded"}
     clock = as_ts(as_of)
     ent = dnslog.read_pages(store.spark, path)
     mapped = normalize.map_dns_entries(ent, rules, keep=["ord"])
     if shift_to_now:
         mapped = dnsops.rebase(mapped, clock)
-    with store.transition():
+    with store.run(run_key):
         mapped = mapped.persist()
         try:
-            res = dnsops.ingest_batch(store.read("dns_query"), store.read("dns_domain"), mapped, run_key, clock,
-                                      retention_days, write=lambda df: store.append("dns_query", df))
+            res = dns_stream.append_batch(store, mapped, run_key, clock, retention_days, rollup)
             metrics = res.metrics.first().asDict()
-            store.append("dns_domain", res.domains)
         finally:
             mapped.unpersist()
         dns_stream.record_dns_run(store, run_key, clock, retention_days)
@@ -150,10 +184,11 @@ def run_rule_engine(store: TableStore, rules: list[engine.Rule] | None = None,
     tables = {"dns_query": store.read("dns_query"), "dns_domain": store.read("dns_domain"),
               "known_bad_domain": store.read("known_bad_domain"),
               "vuln_finding": store.read("vuln_finding")}
+    if store.has("dns_hourly"):
+        tables["dns_hourly"] = store.read("dns_hourly")
     out = engine.run_rules(spark, rules, tables, store.read("rule"), store.read("rule_hit"), as_of)
-    with store.transition():
-        store.write("rule", out.rules)
-        store.write("rule_hit", out.hits)
+    store.write("rule", out.rules)
+    store.write("rule_hit", out.hits)
     return out
 
 

@@ -49,6 +49,9 @@ DNS_QUERY = _st(("ts", TS), ("client", S), ("client_name", S), ("qname", S), ("q
                 ("label_entropy", T.DecimalType(16, 14)), ("run_key", S))
 DNS_DOMAIN = _st(("domain", S), ("first_seen", TS), ("last_seen", TS),
                  ("query_count", L), ("blocked_count", L))
+DNS_HOURLY = _st(("hour", TS), ("client", S), ("client_name", S), ("queries", L), ("blocked", L), ("failed", L))
+DNS_SKETCH = _st(("hour", TS), ("registrable_domain", S), ("names", T.BinaryType()), ("clients", T.BinaryType()),
+                 ("rows", L), ("entropy_sum", T.DecimalType(26, 14)))
 RULE = _st(("id", S), ("description", S), ("enabled", B), ("added_at", TS))
 RULE_HIT = _st(("rule_id", S), ("entity", S), ("summary", S), ("first_seen", TS),
                ("last_seen", TS), ("hit_count", L), ("status", S), ("status_note", S),
@@ -69,6 +72,8 @@ KEYS = {
     "epss_score": ["cve"],
     "dns_query": ["ts", "client", "qname", "qtype"],
     "dns_domain": ["domain"],
+    "dns_hourly": ["hour", "client", "client_name"],
+    "dns_sketch": ["hour", "registrable_domain"],
     "rule": ["id"],
     "rule_hit": ["rule_id", "entity"],
     "known_bad_domain": ["domain", "source"],
@@ -77,6 +82,7 @@ KEYS = {
 STATE_SCHEMAS = {
     "scan_run": SCAN_RUN, "vuln_finding": VULN_FINDING, "image_exposure": IMAGE_EXPOSURE,
     "kev": KEV, "epss_score": EPSS_SCORE, "dns_query": DNS_QUERY, "dns_domain": DNS_DOMAIN,
+    "dns_hourly": DNS_HOURLY, "dns_sketch": DNS_SKETCH,
     "rule": RULE, "rule_hit": RULE_HIT, "known_bad_domain": KNOWN_BAD,
 }
 

@@ -19,7 +19,7 @@ def page_files(spark: SparkSession, path: str) -> list[str]:
                   and not f.getPath().getName().startswith(("_", ".")))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Entries of the page files at ``path``, with run_key (file name) and
     input order ``ord = (file, position)``. A file that is not one whole JSON
     document with a ``data`` list fails the read."""

@@ -63,8 +63,7 @@ def read_exposure(spark: SparkSession, path: str) -> DataFrame:
             import yaml
         except ImportError as exc:  # pragma: no cover
             raise RuntimeError("PyYAML is needed for YAML exposure maps; use JSON/CSV instead") from exc
-        with open(path, encoding="utf-8") as fh:
-            doc = yaml.safe_load(fh) or {}
+        doc = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
         rows = [(img, (spec or {}).get("exposure", "unknown"), (spec or {}).get("note"))
                 for img, spec in (doc.get("images") or {}).items()]
         df = spark.createDataFrame(rows, "image string, exposure string, note string")

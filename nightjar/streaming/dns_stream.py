@@ -1,11 +1,10 @@
 """Streaming DNS ingest and detections.
 
 * ST-1/ST-4/ST-6/ST-7  ``start_ingest``: file source -> foreachBatch that
-  appends new rows, adds to the domain registry, applies retention, records
-  the run and (optionally) runs the rules, all in one commit of the store;
-  the checkpoint is the progress. ``foreachBatch`` is at-least-once: a batch
-  that was committed is recognised by its run key and skipped, one that was
-  not left nothing that is read.
+  appends new rows, adds to the domain registry, (optionally) runs the rules,
+  applies retention and records the run; the checkpoint is the progress.
+  ``foreachBatch`` is at-least-once: a batch that was recorded is recognised
+  by its run key and skipped, one that was not replaces what it had written.
 * ST-2 ``dedupe``: watermark-bounded natural-key dedupe.
 * ST-3 late rows: the watermark delay is a parameter (0 = drop what is behind
   the newest seen time's hour, much as the cursor pull does).
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import normalize
 from ..functions.normalize import DNS_KEY
-from ..operators import dns as dnsops
+from ..operators import dns as dnsops, rollups, sketches
 from ..sources.store import TableStore
 from ..timeutil import as_ts
 
@@ -47,42 +46,59 @@ def dedupe(mapped: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def process_batch(store: TableStore, batch: DataFrame, run_key: str, as_of,
-                  retention_days: int = dnsops.DEFAULT_RETENTION_DAYS, rule_runner=None) -> bool:
-    """One micro-batch of mapped entries into the store: rows, registry, run
-    envelope, retention and rule hits in one commit. Returns False when the
-    run key is already recorded (replay)."""
-    with store.transition():
-        known = store.read("scan_run").filter((F.col("source_id") == SOURCE_ID) & (F.col("run_key") == run_key))
-        if known.limit(1).count():
-            return False
+                  retention_days: int = dnsops.DEFAULT_RETENTION_DAYS, rule_runner=None, rollup: bool = False) -> bool:
+    """One micro-batch of mapped entries into the store: rows, registry, hourly counters and
+    sketches (with ``rollup``), rule hits, retention and, last, the run envelope. Returns False
+    when the run key is already recorded; a batch that died before is done again."""
+    if known_run(store, run_key):
+        return False
+    with store.run(run_key):
         # The duplicate check and the append both read the micro-batch.
         mapped = batch.withColumn("ord", F.monotonically_increasing_id()).persist()
         try:
-            res = dnsops.ingest_batch(store.read("dns_query"), store.read("dns_domain"), mapped, run_key, as_of,
-                                      retention_days, write=lambda df: store.append("dns_query", df))
-            store.append("dns_domain", res.domains)
+            append_batch(store, mapped, run_key, as_of, retention_days, rollup)
         finally:
             mapped.unpersist()
-        record_dns_run(store, run_key, as_of, retention_days)
         if rule_runner is not None:
             rule_runner(store, as_of)
+        record_dns_run(store, run_key, as_of, retention_days)
     return True
 
 
-def record_dns_run(store: TableStore, run_key: str, as_of, retention_days: int) -> None:
-    """The run envelope and the retention cut-off of one DNS batch."""
+def known_run(store: TableStore, run_key: str) -> bool:
+    """U-1: whether the batch's envelope is recorded."""
+    known = store.read("scan_run").filter((F.col("source_id") == SOURCE_ID) & (F.col("run_key") == run_key))
+    return bool(known.limit(1).count())
+
+
+def append_batch(store: TableStore, mapped: DataFrame, run_key: str, as_of, retention_days: int,
+                 rollup: bool) -> dnsops.DnsIngest:
+    """The rows that a batch adds, and what is derived from them; its own earlier attempt is
+    not in the state that it is compared with."""
+    res = dnsops.ingest_batch(store.state("dns_query"), store.state("dns_domain"), mapped, run_key, as_of,
+                              retention_days, write=lambda df: store.append("dns_query", df))
+    store.append("dns_domain", res.domains)
+    if rollup:
+        store.append("dns_hourly", rollups.hourly(res.new_rows))
+        store.append("dns_sketch", sketches.hourly(res.new_rows))
+    return res
+
+
+def record_dns_run(store: TableStore, run_key: str | list[str], as_of, retention_days: int) -> None:
+    """The retention cut-off and, last, the envelopes of the runs of one DNS batch."""
     t = as_ts(as_of)
-    one = store.spark.createDataFrame([(SOURCE_ID, run_key)], "source_id string, run_key string")
+    keys = [run_key] if isinstance(run_key, str) else run_key
+    runs = store.spark.createDataFrame([(SOURCE_ID, k) for k in keys], "source_id string, run_key string").coalesce(1)
     none = F.lit(None).cast("int")
-    store.append("scan_run", one.select(
+    store.retain(runs.select((t - dnsops.days(retention_days)).cast("string")).first()[0])
+    store.append("scan_run", runs.select(
         "source_id", "run_key", t.alias("started_at"), t.alias("ingested_at"),
         none.alias("images_total"), none.alias("images_scanned"), none.alias("images_skipped")))
-    store.retain(one.select((t - dnsops.days(retention_days)).cast("string")).first()[0])
 
 
 def start_ingest(stream_entries: DataFrame, store: TableStore, rules, checkpoint: str,
                  as_of=None, retention_days: int = dnsops.DEFAULT_RETENTION_DAYS,
-                 rule_runner=None, available_now: bool = True):
+                 rule_runner=None, available_now: bool = True, rollup: bool = False):
     """ST-1: start the ingest stream; returns the StreamingQuery.
 
     A batch's run key holds the query's id, which its checkpoint keeps: a
@@ -94,7 +110,7 @@ def start_ingest(stream_entries: DataFrame, store: TableStore, rules, checkpoint
     def each(batch: DataFrame, batch_id: int):
         clock = as_of if as_of is not None else F.current_timestamp()
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        process_batch(store, batch, f"stream-{query}-{batch_id:012d}", clock, retention_days, rule_runner)
+        process_batch(store, batch, f"stream-{query}-{batch_id:012d}", clock, retention_days, rule_runner, rollup)
 
     w = mapped.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -103,7 +119,8 @@ def start_ingest(stream_entries: DataFrame, store: TableStore, rules, checkpoint
 
 def rules_runner(rules, params_tables=None):
     """ST-7: a ``rule_runner`` for ``start_ingest`` running the rule engine on
-    the committed tables after every batch and persisting rule / hit state."""
+    the stored tables after every batch and persisting rule / hit state. A store that keeps
+    hourly counters serves the baseline rules from them."""
     from ..plans import engine
 
     def run(store: TableStore, as_of):
@@ -111,9 +128,11 @@ def rules_runner(rules, params_tables=None):
         tables = {"dns_query": store.read("dns_query"),
                   "dns_domain": store.read("dns_domain"),
                   "known_bad_domain": store.read("known_bad_domain")}
+        if store.has("dns_hourly"):
+            tables["dns_hourly"] = store.read("dns_hourly")
         if params_tables:
             tables.update(params_tables)
-        out = engine.run_rules(spark, rules, tables, store.read("rule"), store.read("rule_hit"), as_of)
+        out = engine.run_rules(spark, rules, tables, store.state("rule"), store.state("rule_hit"), as_of)
         store.write("rule", out.rules)
         store.write("rule_hit", out.hits)
 

@@ -40,8 +40,9 @@ def micro_batch(spark, sf):
     store = TableStore(spark, scratch_path(spark, "plans"))
     rows = tv.dns_query(spark, sf)
     store.append("dns_query", rows.withColumn("run_key", checks.F.lit("one")))
-    for _ in range(3):
-        store.append("dns_domain", dns.domain_batch(rows))
+    for key in ("one", "two", "three"):
+        with store.run(key):
+            store.append("dns_domain", dns.domain_batch(rows))
     fresh = lambda s, d: dns.append_new(store.read("dns_query"), rows)
     return [("micro-batch: new rows", fresh),
             ("micro-batch: registry share", lambda s, d: dns.domain_batch(store.read("dns_query"))),

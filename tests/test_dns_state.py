@@ -101,65 +101,163 @@ def _domains(spark, *names):
     return spark.createDataFrame([(n, AS_OF, AS_OF, 1, 0) for n in names], schemas.DNS_DOMAIN)
 
 
+def _append(st, run, table, rows):
+    with st.run(run):
+        return st.append(table, rows)
+
+
+def _files(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*.parquet"))
+
+
 def test_store_replaces_appends_and_folds(spark, tmp_path):
     st = _store(spark, tmp_path)
-    assert st.read("kev").count() == 0 and st.version() == 0
-    st.append("dns_domain", _domains(spark, "a"))
-    st.append("dns_domain", _domains(spark, "a", "b"))
+    assert st.read("kev").count() == 0 and not st.has("kev")
+    _append(st, "1", "dns_domain", _domains(spark, "a"))
+    _append(st, "2", "dns_domain", _domains(spark, "a", "b"))
     assert {r["domain"]: r["query_count"] for r in st.read("dns_domain").collect()} == {"a": 2, "b": 1}
     rules = spark.createDataFrame([("x", "d", True, AS_OF)], schemas.RULE)
     st.write("rule", rules)
     st.write("rule", rules.limit(0))
-    assert st.read("rule").count() == 0 and st.version() == 4
+    assert st.read("rule").count() == 0
+    try:
+        st.append("dns_domain", _domains(spark, "a"))
+        raise AssertionError("whose rows are these?")
+    except RuntimeError:
+        pass
 
 
-def test_a_failed_transition_leaves_nothing(spark, tmp_path):
+def test_a_batch_done_again_replaces_its_first_attempt(spark, tmp_path):
     st = _store(spark, tmp_path)
-    st.append("dns_domain", _domains(spark, "a"))
+    _append(st, "1", "dns_domain", _domains(spark, "a"))
+    rule = lambda d: spark.createDataFrame([("x", d, True, AS_OF)], schemas.RULE)
+    st.write("rule", rule("old"))
     try:
-        with st.transition():
+        with st.run("2/odd key"):
             st.append("dns_domain", _domains(spark, "b"))
-            st.append("dns_query", dns_rows(spark, [dict(ts=ago(hours=1), qname="n.com")]))
-            assert st.read("dns_domain").count() == 2
+            st.append("dns_query", dns_rows(spark, [dict(ts=ago(hours=1), qname="n.com")]).withColumn("run_key", F.lit("2/odd key")))
+            st.write("rule", rule("new"))
             raise RuntimeError("dies")
     except RuntimeError:
         pass
-    for reader in (st, _store(spark, tmp_path)):
-        assert reader.read("dns_domain").count() == 1 and reader.read("dns_query").count() == 0
-        assert reader.version() == 1
+    for again in (st, _store(spark, tmp_path)):
+        with again.run("2/odd key"):
+            assert [r["domain"] for r in again.state("dns_domain").collect()] == ["a"]
+            assert again.state("dns_query").count() == 0 and again.state("rule").first()["description"] == "old"
+            again.append("dns_domain", _domains(spark, "b"))
+            again.write("rule", rule("newer"))
+        assert {r["domain"]: r["query_count"] for r in again.read("dns_domain").collect()} == {"a": 1, "b": 1}
+        assert again.read("rule").first()["description"] == "newer"
 
 
-def test_an_unreadable_manifest_is_an_error(spark, tmp_path):
+def test_an_unfinished_version_is_not_read(spark, tmp_path):
     st = _store(spark, tmp_path)
-    st.append("dns_domain", _domains(spark, "a"))
-    (tmp_path / "s" / "_manifest" / "000000000002.json").write_text('{"dns_domain": [')
-    try:
-        st.read("dns_domain")
-        raise AssertionError("taken for an empty store")
-    except ValueError:
-        pass
+    st.write("rule", spark.createDataFrame([("x", "d", True, AS_OF)], schemas.RULE))
+    half = tmp_path / "s" / "rule" / "version=000000000002@"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"half a file")
+    assert st.read("rule").count() == 1
+    st.write("rule", st.read("rule"))
+    assert st.read("rule").count() == 1
 
 
 def test_retention_deletes_days(spark, tmp_path):
     st = _store(spark, tmp_path)
-    st.append("dns_query", dns_rows(spark, [dict(ts=ago(days=40), qname="o.com"), dict(ts=ago(hours=1), qname="n.com")]))
-    st.append("dns_query", dns_rows(spark, [dict(ts=ago(days=41), qname="p.com")]))
+    rows = lambda *a: dns_rows(spark, list(a))
+    _append(st, "1", "dns_query", rows(dict(ts=ago(days=40), qname="o.com"), dict(ts=ago(hours=1), qname="n.com"))
+            .withColumn("run_key", F.lit("1")))
+    _append(st, "2", "dns_query", rows(dict(ts=ago(days=41), qname="p.com"), dict(ts=ago(days=35, hours=1), qname="q.com"))
+            .withColumn("run_key", F.lit("2")))
     st.retain(str(AS_OF - dt.timedelta(days=35)))
+    st.retain(str(AS_OF - dt.timedelta(days=36)))           # never moves back
     assert [r["qname"] for r in st.read("dns_query").collect()] == ["n.com"]
-    days = [d.name for d in (tmp_path / "s" / "dns_query").glob("part=*/day=*")]
-    assert days == [f"day={AS_OF:%Y-%m-%d}"] and len(st.parts("dns_query")) == 1
+    assert sorted(d.name for d in (tmp_path / "s" / "dns_query").glob("day=*")) == [
+        f"day={AS_OF - dt.timedelta(days=35):%Y-%m-%d}", f"day={AS_OF:%Y-%m-%d}"]
 
 
-def test_many_small_commits_stay_flat(spark, tmp_path):
+def test_files_do_not_grow_with_batches(spark, tmp_path, monkeypatch):
+    """Batches of a day each, with a retention of three days: files on disk stay as many."""
+    from nightjar.sources import store as module
+    monkeypatch.setattr(module, "SETTLE", 6)
+    st, sizes = _store(spark, tmp_path), []
+    for i in range(50):
+        day = AS_OF + dt.timedelta(days=i)
+        with st.run(f"k{i:02d}"):
+            st.append("dns_query", dns_rows(spark, [dict(ts=day, qname="n.com")]).withColumn("run_key", F.lit(f"k{i:02d}")))
+            st.append("dns_domain", _domains(spark, f"d{i % 3}").coalesce(1))
+            st.write("rule", spark.createDataFrame([("x", f"d{i}", True, AS_OF)], schemas.RULE).coalesce(1))
+            st.retain(str(day - dt.timedelta(days=3)))
+            st.append("scan_run", spark.createDataFrame([("resolver", f"k{i:02d}", day, day, None, None, None)],
+                                                        schemas.SCAN_RUN).coalesce(1))
+        sizes.append(len(_files(tmp_path / "s")))
+    assert max(sizes) < 60 and min(sizes[-8:]) <= max(sizes[8:16])
+    assert {r["domain"]: r["query_count"] for r in st.read("dns_domain").collect()} == {"d0": 17, "d1": 17, "d2": 16}
+    assert st.read("scan_run").count() == 50 and st.read("dns_query").count() == 4
+    assert st.read("rule").first()["description"] == "d49"
+
+
+def test_a_crash_while_settling_counts_nothing_twice(spark, tmp_path, monkeypatch):
     from nightjar.sources import store as module
     st = _store(spark, tmp_path)
-    sizes = []
-    for i in range(2 * module.MERGE + 4):
-        st.append("dns_domain", _domains(spark, f"d{i % 3}"))
-        sizes.append(len(st.parts("dns_domain")))
-    assert max(sizes) <= module.MERGE + 2
-    assert sum(r["query_count"] for r in st.read("dns_domain").collect()) == len(sizes)
-    assert len(list((tmp_path / "s" / "_manifest").glob("0*.json"))) <= module.MERGE + 2
+    for i in range(3):
+        with st.run(f"k{i}"):
+            st.append("dns_domain", _domains(spark, "a"))
+            st.append("scan_run", spark.createDataFrame([("resolver", f"k{i}", AS_OF, AS_OF, None, None, None)], schemas.SCAN_RUN))
+    _append(st, "open", "dns_domain", _domains(spark, "a"))     # a batch without an envelope stays beside
+    monkeypatch.setattr(module, "SETTLE", 2)
+    monkeypatch.setattr(module, "drop_path", lambda *a: (_ for _ in ()).throw(RuntimeError("dies")))
+    try:
+        with st.run("k4"):
+            raise AssertionError("it should have died")
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    monkeypatch.setattr(module, "SETTLE", 2)
+    assert st.read("dns_domain").first()["query_count"] == 4
+    with st.run("open"):
+        assert st.state("dns_domain").first()["query_count"] == 3
+    assert st.read("dns_domain").first()["query_count"] == 4 and st.read("scan_run").count() == 3
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    """U-2, U-3: a run rewrites the buckets of its images alone."""
+    st = _store(spark, tmp_path)
+    images = [f"img-{i}" for i in range(40)]
+    row = lambda i, s: (i, "p", "1", "CVE-1", s, *[None] * 5, AS_OF, AS_OF, "r1", "r1", "open", None, None, None)
+    st.write("vuln_finding", spark.createDataFrame([row(i, "LOW") for i in images], schemas.VULN_FINDING))
+    before = {f: (tmp_path / "s" / f).stat().st_mtime_ns for f in _files(tmp_path / "s")}
+    one = spark.createDataFrame([("img-7",)], "image string")
+    mine = st.buckets_of("vuln_finding", one)
+    with st.run("r2"):
+        state = st.state("vuln_finding", mine)
+        assert state.count() < 40
+        st.write("vuln_finding", state.withColumn("severity", F.when(F.col("image") == "img-7", "HIGH").otherwise(F.col("severity"))))
+    after = _files(tmp_path / "s")
+    same = [f for f in after if f in before and before[f] == (tmp_path / "s" / f).stat().st_mtime_ns]
+    touched = f"bucket={mine[0]}/"
+    assert len(mine) == 1 and same == [f for f in before if touched not in f] and len(same) >= 20
+    assert {r.image: r.severity for r in st.read("vuln_finding").collect()} == {
+        i: "HIGH" if i == "img-7" else "LOW" for i in images}
+
+
+def test_a_hot_day_is_written_by_many_tasks(spark, tmp_path):
+    """U-5: all rows of a batch on one day."""
+    st = _store(spark, tmp_path)
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(200_000, numPartitions=16).select(
+            (F.lit(AS_OF) + F.make_dt_interval(secs=F.col("id") / 1000)).alias("ts"), F.md5(F.col("id").cast("string")).alias("client"))
+        full = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit("k" if f.name == "run_key" else None)
+                             .cast(f.dataType).alias(f.name) for f in schemas.DNS_QUERY.fields])
+        assert _append(st, "k", "dns_query", full).count() == 200_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(_files(tmp_path / "s" / "dns_query")) >= 8
+    assert len(list((tmp_path / "s" / "dns_query").glob("day=*"))) == 1
 
 
 def test_every_crash_point_of_a_batch_is_harmless(spark, tmp_path, monkeypatch):
@@ -182,25 +280,30 @@ def test_every_crash_point_of_a_batch_is_harmless(spark, tmp_path, monkeypatch):
 
     calm = TableStore(spark, str(tmp_path / "calm"))
     dns_stream.process_batch(calm, batch, "k", AS_OF, rule_runner=rules)
-    want, put = tables(calm), TableStore._put
+    want, writes = tables(calm), ("_overwrite", "_replace")
+    real = {w: getattr(TableStore, w) for w in writes}
     assert want["rule_hit"]
-    for dies_at in range(1, 6):
+    for dies_at in range(1, 5):                 # rows, registry, rules, hits; the envelope is the last write
         st, count = TableStore(spark, str(tmp_path / f"s{dies_at}")), [0]
 
-        def failing(self, *a):
-            count[0] += 1
-            out = put(self, *a)
-            if count[0] == dies_at:
-                raise RuntimeError("dies")
-            return out
-
-        monkeypatch.setattr(TableStore, "_put", failing)
+        def failing(write):
+            def run(self, *a):
+                count[0] += 1
+                out = real[write](self, *a)
+                if count[0] == dies_at:
+                    raise RuntimeError("dies")
+                return out
+            return run
+
+        for w in writes:
+            monkeypatch.setattr(TableStore, w, failing(w))
         try:
             dns_stream.process_batch(st, batch, "k", AS_OF, rule_runner=rules)
             raise AssertionError("it should have died")
         except RuntimeError:
             pass
-        monkeypatch.setattr(TableStore, "_put", put)
+        for w in writes:
+            monkeypatch.setattr(TableStore, w, real[w])
         assert dns_stream.process_batch(st, batch, "k", AS_OF, rule_runner=rules)
         assert not dns_stream.process_batch(st, batch, "k", AS_OF, rule_runner=rules)
         assert tables(st) == want

@@ -116,3 +116,35 @@ def test_the_registry_keeps_what_people_set(spark):
     two = hitops.upsert_rules(one, catalogue(("p", "draft"), ("p", "new text"), ("s", "s")), AS_OF)
     got = {r["id"]: (r["description"], r["enabled"], r["added_at"]) for r in two.collect()}
     assert got == {"p": ("new text", False, ago(days=3)), "q": ("q", True, ago(days=3)), "s": ("s", True, AS_OF)}
+
+
+def _sleepy(spark, seconds):
+    def nap(batches):
+        import time
+        time.sleep(seconds)
+        yield from batches
+
+    return lambda t, a: spark.range(1).selectExpr("'x' as entity", "'slept' as summary") \
+        .mapInPandas(nap, "entity string, summary string")
+
+
+def test_rules_run_side_by_side_and_a_slow_one_is_cancelled(spark):
+    import time
+
+    from nightjar import schemas
+    rules = [engine.Rule(f"nap{i}", "naps", _sleepy(spark, 3)) for i in range(4)] + [engine.Rule("slow", "never ends", _sleepy(spark, 120))]
+    began = time.monotonic()
+    out = engine.run_rules(spark, rules, {}, schemas.empty(spark, "rule"), schemas.empty(spark, "rule_hit"), AS_OF,
+                           side_by_side=5, limit_seconds=25)
+    got = {r["rule_id"]: (r["outcome"], r["hits"]) for r in out.results.collect()}
+    assert got == {**{f"nap{i}": ("ok", 1) for i in range(4)}, "slow": ("failed", None)}
+    assert time.monotonic() - began < 100 and "limit" in out.failures["slow"]
+
+
+def test_a_users_views_survive_a_rule(spark):
+    spark.range(3).createOrReplaceTempView("dns_query")
+    rule = engine.sql_rule(spark, "r", "-- description: d\nSELECT qname AS entity, 's' AS summary FROM dns_query WHERE ts <= :as_of")
+    mine = spark.createDataFrame([("a.com", AS_OF)], "qname string, ts timestamp")
+    assert rule.build({"dns_query": mine, "dns_domain": mine}, AS_OF).first()["entity"] == "a.com"
+    assert spark.table("dns_query").count() == 3 and not spark.catalog.tableExists("dns_domain")
+    spark.catalog.dropTempView("dns_query")
