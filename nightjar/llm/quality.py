@@ -1,15 +1,18 @@
-"""Quality rules (operator 5): tokeniser fertility with rejection bands per language.
+"""Quality rules (operator 5): tokeniser fertility with rejection bands per language or script.
 
 A text that public vocabularies cut into unusually short or long tokens, that falls back to
 single bytes, or whose tokens repeat, is not prose of its language. ``measure`` takes, in one
-pass over each whole text, simple word statistics and the fertility of two public
-vocabularies; ``bands`` derives a band per language and measure from all rows; ``judge``
-applies both.
+pass over each whole text, simple word statistics, the script of most of its letters and the
+fertility of two public vocabularies; ``bands`` derives a band per group and measure from all
+rows; ``judge`` applies both. A group is a language with at least ``min_rows`` rows that pass
+the base rules; the rows of the smaller languages are pooled by script, apart from the large
+ones, as a vocabulary serves a language of its training better than others of its script.
 
 Defined results: a null text counts as empty; a text without words has measures null, fails
-the base rules and is never kept; a null language is a group of its own; a group with under
-``min_rows`` rows that pass the base rules has no band, as other languages say nothing about
-it, and those rows are kept; repeated rows are measured alike; empty tables give empty results. Extra columns travel in ``row``.
+the base rules and is never kept; a null language is one of its own; a pool with under
+``min_rows`` rows that pass the base rules has no evidence and no band, and those rows are
+kept; repeated rows are measured alike; empty tables give empty results. Extra columns travel
+in ``row``.
 """
 from __future__ import annotations
 
@@ -34,9 +37,22 @@ SPREAD = 5.0      # a band reaches this many interquartile ranges beyond the qua
 MIN_ROWS = 30
 GROUPS = 20_000         # groups (200 bytes each) whose bands may be broadcast
 
+#: First code points of the scripts' blocks; what follows a block that is none
+#: of a script's letters is named "".
+SCRIPTS = [(0x0, ""), (0x41, "Latin"), (0x2B0, ""), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"),
+           (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Syriac"), (0x750, "Arabic"), (0x780, "Thaana"), (0x7C0, "Nko"),
+           (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Gurmukhi"), (0xA80, "Gujarati"), (0xB00, "Oriya"),
+           (0xB80, "Tamil"), (0xC00, "Telugu"), (0xC80, "Kannada"), (0xD00, "Malayalam"), (0xD80, "Sinhala"),
+           (0xE00, "Thai"), (0xE80, "Lao"), (0xF00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"),
+           (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Cherokee"), (0x1780, "Khmer"), (0x1800, "Mongolian"),
+           (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, ""), (0x3040, "Kana"), (0x3100, "Han"), (0xA000, "Yi"),
+           (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB00, ""), (0xFB50, "Arabic"), (0xFE00, ""),
+           (0x20000, "Han"), (0x32000, "")]
+_STARTS = np.array([a for a, _ in SCRIPTS])
+
 FIELDS = [common.field(n, T.LongType()) for n in
           ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + \
-         [common.field(n, T.DoubleType()) for n in BANDED]
+         [common.field(n, T.DoubleType()) for n in BANDED] + [common.field("script", T.StringType())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,6 +119,19 @@ def fertility(text: str, chars: int, pieces: str, ranks: str):
             round(float(is_byte[ids].mean()), 4), round(window_entropy(ids), 3))
 
 
+def script_of(text: str) -> str:
+    """The script of most of a text's letters; ties go to the one listed first."""
+    if text.isascii():
+        return "Latin"
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    counts = np.bincount(np.searchsorted(_STARTS, code, "right") - 1, minlength=len(SCRIPTS))
+    sums: dict[str, int] = {}
+    for (_, name), n in zip(SCRIPTS, counts.tolist()):
+        if name:
+            sums[name] = sums.get(name, 0) + n
+    return max(sums, key=sums.get)
+
+
 def measure(docs: DataFrame, text: str = "text", pieces: str | None = None,
             ranks: str | None = None) -> DataFrame:
     """``row`` (all columns of ``docs``) and the measures of each whole text."""
@@ -113,7 +142,7 @@ def measure(docs: DataFrame, text: str = "text", pieces: str | None = None,
         out = []
         for t in texts:
             words = word_measures(t)
-            out.append((*words, *fertility(t, words[1], pieces, ranks)))
+            out.append((*words, *fertility(t, words[1], pieces, ranks), script_of(t)))
         return [list(x) for x in zip(*out)] if out else [[] for _ in FIELDS]
 
     return common.add_columns(docs, {"text": common.text_of(text)}, run, FIELDS)
@@ -123,12 +152,31 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def sizes(measured: DataFrame, group: str = "row.lang") -> DataFrame:
+    """``(own, passing)``: the rows of each language that pass the base rules."""
+    return measured.groupBy(F.col(group).alias("own")).agg(F.count_if(~base_failed()).alias("passing"))
+
+
+def grouped(measured: DataFrame, languages: DataFrame, group: str, min_rows: int) -> DataFrame:
+    """Adds ``grp``: the language of a row, or the script if the language is small."""
+    joined = measured.join(_few(languages), F.col(group).eqNullSafe(F.col("own")))
+    large = F.col("passing") >= min_rows
+    return joined.withColumn("grp", F.struct(F.when(large, F.col("own")).alias("lang"), F.when(~large, F.col("script")).alias("script"),
+                                             large.alias("large"))).drop("own", "passing")
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """To be broadcast if it has few rows, so that a language with most of the rows stays where
+    it is; else joined."""
+    return F.broadcast(table) if table.limit(GROUPS + 1).count() <= GROUPS else table
+
+
 def bands(measured: DataFrame, group: str = "row.lang", spread: float = SPREAD,
           min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per group: ``<measure>_low`` and ``<measure>_high``, null for a group with too
-    few rows. The quartiles are exact;
-    measures are rounded, so a group's aggregate holds a few thousand values at most."""
-    rows = measured.where(~base_failed()).select(F.col(group).alias("grp"), *BANDED)
+    """One row per group: ``<measure>_low`` and ``<measure>_high``, null for a pool with too
+    few rows. The quartiles are exact; measures are rounded, so a group's aggregate holds a few
+    thousand values at most."""
+    rows = grouped(measured.where(~base_failed()), sizes(measured, group), group, min_rows).select("grp", *BANDED)
     quartiles = [F.count(F.lit(1)).alias("n"), *[F.percentile(m, F.array(F.lit(0.25), F.lit(0.75))).alias(m)
                                                  for m in BANDED]]
     per = rows.groupBy("grp").agg(*quartiles)
@@ -140,17 +188,16 @@ def bands(measured: DataFrame, group: str = "row.lang", spread: float = SPREAD,
     return per.select("grp", *edges)
 
 
-def judge(measured: DataFrame, edges: DataFrame, group: str = "row.lang") -> DataFrame:
+def judge(measured: DataFrame, edges: DataFrame, group: str = "row.lang", min_rows: int = MIN_ROWS) -> DataFrame:
     """Adds ``base_failed`` and ``kept``. A group has edges, if only null ones, as soon as one of
-    its rows passes the base rules, so every row that can be kept finds them. The bands of few groups are
-    broadcast, so that a language with most of the rows stays where it is; else joined."""
+    its rows passes the base rules, so every row that can be kept finds them."""
     edges = common.materialise(edges, "bands")
-    if edges.limit(GROUPS + 1).count() <= GROUPS:
-        edges = F.broadcast(edges)
+    languages = common.materialise(sizes(measured, group), "languages")
     inside = F.lit(True)
     for m in BANDED:
         inside = inside & (F.col(f"{m}_low").isNull() | F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")))
-    joined = measured.join(edges, F.col(group).eqNullSafe(F.col("grp")), "left")
+    rows = grouped(measured, languages, group, min_rows).withColumnRenamed("grp", "mine")
+    joined = rows.join(_few(edges), F.col("mine") == F.col("grp"), "left")
     return joined.select(*[F.col(c) for c in measured.columns], base_failed().alias("base_failed"),
                          (~base_failed() & F.coalesce(inside, F.lit(False))).alias("kept"))
 

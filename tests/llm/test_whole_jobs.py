@@ -141,6 +141,34 @@ def test_small_languages_are_not_judged_by_large_ones(spark):
     assert kept == {i for i, _, _ in rows if i < 200}
 
 
+def test_small_languages_of_a_script_are_pooled(spark):
+    """op5, pipeline: four languages of 20 rows in one script have a band together, apart from
+    the large language of that script; what is no prose of the script goes."""
+    rng = random.Random(18)
+
+    def ethiopic(n):
+        return " ".join("".join(chr(rng.randrange(0x1200, 0x1240)) for _ in range(5)) for _ in range(n))
+
+    rows = [(i, prose(rng, 100), "xx") for i in range(150)]
+    rows += [(200 + i, ethiopic(80), f"l{i % 4}") for i in range(80)]
+    rows += [(300, "\u1200 " * 60 + ethiopic(1), "l1"), (301, " ".join("\u1200" * 40 for _ in range(55)), "l2"),
+             (302, prose(rng, 90), "l3"), (303, ethiopic(90), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality(docs).select("row.doc_id", "kept", "script", "base_failed").collect()}
+    assert len(got) == len(rows) and got[200].script == "Ethiopic" and got[0].script == got[302].script == "Latin"
+    assert all(got[i].kept for i, _, _ in rows if i < 300) and got[302].kept and got[303].kept
+    assert not got[301].kept
+    edges = quality.bands(quality.measure(docs)).collect()
+    assert sorted((r.grp.lang or "", r.grp.script or "", r.entropy_low is None) for r in edges) == [
+        ("", "Ethiopic", False), ("", "Latin", True), ("xx", "", False)]
+
+
+def test_scripts():
+    for text, want in (("", "Latin"), ("abc é", "Latin"), ("где a", "Cyrillic"), ("漢字かな漢", "Han"), ("1 ½ …", "Latin"),
+                       ("한국어 ab", "Hangul")):
+        assert quality.script_of(text) == want, text
+
+
 def test_entropy_rejects_salads_of_any_length(spark):
     """op5, pipeline: neither few words over and over nor pieces that never repeat are prose."""
     rng = random.Random(23)
