@@ -648,6 +648,32 @@ def q_stream_ingest_registry(spark, sf_dir):
     return render(_stream_store(spark, sf_dir).read("dns_domain"))
 
 
+def q_stream_paged_pull(spark, sf_dir):
+    """S-4 / ST-1: the log landed as pages of up to 500 entries and pulled past the stored
+    offset: a bounded number of pages a pull, a page that repeats an earlier one, and pulls
+    that find nothing new. The registry is that of one batch over all rows."""
+    from ..session import scratch_path
+    from ..sources.store import TableStore
+    from ..streaming import dns_stream
+    e = tv.dns_entries(spark, sf_dir)
+    cols = [c for c in e.columns if c != "ord"]
+    number = F.floor(F.col("ord") / 500)
+    pages = e.groupBy(F.format_string("%09d", number).alias("page")).agg(
+        F.collect_list(F.struct(*cols)).alias("data"))
+    again = pages.orderBy("page").limit(1).withColumn("page", F.lit("999999999"))      # lands once more
+    folder, checkpoint = scratch_path(spark, "landed"), scratch_path(spark, "ckpt-pull")
+    docs = pages.unionByName(again).select("page", F.to_json(F.struct("data", F.lit("").alias("oldest"))).alias("value"))
+    docs.write.partitionBy("page").text(folder)
+    store, pulls = TableStore(spark, scratch_path(spark, "store")), []
+    as_of, total = F.timestamp_micros(F.lit(tv.dns_as_of(spark, sf_dir))), pages.count() + 1
+    for _ in range(4):                              # a third of the pages each, then nothing
+        _run_stream(dns_stream.start_pull(spark, folder, store, tv.suffix_rules(spark), checkpoint, as_of,
+                                          max_pages=-(-total // 3), pulls=pulls))
+    if sum(n for n, _ in pulls) != total or pulls[-1][1]:
+        raise RuntimeError(f"{total} pages landed, pulled: {pulls}")
+    return render(store.read("dns_domain"))
+
+
 def _append_stream(spark, sf_dir, name, build, repull=True):
     """All slices through ``build(mapped)`` into a Parquet sink."""
     from ..session import scratch_path

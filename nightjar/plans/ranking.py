@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from ..timeutil import as_ts
 
-# The exposure map, exploited list and score table are broadcast after a
-# LIMIT-ed count proves them small (they are keyed dimension tables); a
-# larger one is left to Catalyst / AQE, so the findings never shuffle for
-# them in the normal case.
+# The exposure map, exploited list and score table are keyed dimension tables.
+# They are joined without hints: AQE broadcasts those that it finds small, so
+# the findings don't shuffle for them in the normal case.
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@
   applies retention and records the run; the checkpoint is the progress.
   ``foreachBatch`` is at-least-once: a batch that was recorded is recognised
   by its run key and skipped, one that was not replaces what it had written.
+* S-4 ``start_pull``: the same from a folder of landed pages, past an offset.
 * ST-2 ``dedupe``: watermark-bounded natural-key dedupe.
 * ST-3 late rows: the watermark delay is a parameter (0 = drop what is behind
   the newest seen time's hour, much as the cursor pull does).
@@ -19,6 +20,7 @@ from .. import schemas
 from ..functions import normalize
 from ..functions.normalize import DNS_KEY
 from ..operators import dns as dnsops, rollups, sketches
+from ..sources import dnslog, pagepull
 from ..sources.store import TableStore
 from ..timeutil import as_ts
 
@@ -117,6 +119,30 @@ def start_ingest(stream_entries: DataFrame, store: TableStore, rules, checkpoint
     return w.start()
 
 
+def start_pull(spark: SparkSession, folder: str, store: TableStore, rules, checkpoint: str, as_of=None,
+               max_pages: int = pagepull.MAX_PAGES, retention_days: int = dnsops.DEFAULT_RETENTION_DAYS,
+               rule_runner=None, rollup: bool = False, pulls: list | None = None):
+    """S-4 / ST-1: one pull of landed pages into the store; returns the StreamingQuery. Its
+    offset is the last page taken, kept by the checkpoint; a pull without new pages does
+    nothing. ``pulls`` collects (pages read, pages left)."""
+    spark.dataSource.register(pagepull.LandedPages)
+    pages = spark.readStream.format("landed_pages").option("path", folder).option("maxPages", max_pages).load()
+
+    def each(batch: DataFrame, batch_id: int):
+        got = batch.collect()                               # at most max_pages names
+        if not got:
+            return
+        session = batch.sparkSession
+        query = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        mapped = normalize.map_dns_entries(dnslog.read_pages(session, [r.path for r in got]).drop("run_key", "ord"), rules)
+        clock = as_of if as_of is not None else F.current_timestamp()
+        process_batch(store, mapped, f"pull-{query}-{batch_id:012d}", clock, retention_days, rule_runner, rollup)
+        if pulls is not None:
+            pulls.append((len(got), max(r.left for r in got)))
+
+    return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rules_runner(rules, params_tables=None):
     """ST-7: a ``rule_runner`` for ``start_ingest`` running the rule engine on
     the stored tables after every batch and persisting rule / hit state. A store that keeps

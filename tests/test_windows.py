@@ -1,0 +1,132 @@
+"""Hour panes, hourly counters and sketches, and the paged pull, on small data."""
+from __future__ import annotations
+
+import datetime as dt
+import json
+import random
+
+from conftest import AS_OF, dns_rows
+from pyspark.sql import functions as F
+
+from nightjar.operators import rollups, sketches
+from nightjar.plans import detections as d
+from nightjar.sources import pagepull
+from nightjar.sources.store import TableStore
+
+HOUR = dt.timedelta(hours=1)
+
+
+def test_panes_make_the_windows_of_every_row(spark, tmp_path):
+    """Quiet clients, gaps of more than a window, many windows closed by one late row, a
+    watermark on the hour; state rows are one a client and go when its last window has."""
+    from nightjar.streaming import panes
+    rng, day = random.Random(3), dt.datetime(2026, 1, 1)
+    rows = [(day + dt.timedelta(minutes=rng.randrange(3 * 1440)), f"c{rng.randrange(4)}", rng.random() < 0.5) for _ in range(120)]
+    rows += [(day + dt.timedelta(hours=90), "c1", True), (day + dt.timedelta(hours=90, minutes=5), "c9", True)]
+    rows.sort()
+    end = day + dt.timedelta(hours=120)
+    land, out, states = tmp_path / "in", str(tmp_path / "out"), []
+    land.mkdir()
+    for k, part in enumerate([rows[:40], rows[40:90], rows[90:], [(end, "z", False)]]):
+        (land / f"{k}.json").write_text("".join(json.dumps(
+            {"ts": f"{t:%Y-%m-%d %H:%M:%S}", "client": c, "blocked": b, "valid": True}) + "\n" for t, c, b in part))
+        src = spark.readStream.schema("ts timestamp, client string, blocked boolean, valid boolean").json(str(land))
+        q = panes.sliding_counts(src).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")) \
+            .trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        states.append({o["operatorName"]: o["numRowsTotal"] for o in q.lastProgress["stateOperators"]})
+    want: dict = {}
+    for t, c, b in rows:
+        hour = t.replace(minute=0, second=0)
+        for k in range(1, 25):
+            if b and hour + k * HOUR <= end:
+                want[c, hour + k * HOUR] = want.get((c, hour + k * HOUR), 0) + 1
+    got = spark.read.parquet(out).collect()
+    assert {(r.client, r.window_end): r.n for r in got} == want and len(got) == len(want)
+    assert all(r.window_end - r.window_start == 24 * HOUR for r in got)
+    assert max(s["transformWithStateInPySparkExec"] for s in states) <= 5
+    assert states[-1]["transformWithStateInPySparkExec"] == 0
+
+
+def test_counters_equal_rows_at_any_clock(spark):
+    rng = random.Random(4)
+    rows = dns_rows(spark, [dict(ts=AS_OF - dt.timedelta(minutes=rng.randrange(10 * 1440)), qname="a.com", client=f"c{i % 3}",
+                                 client_name=rng.choice((None, "x", "y")), blocked=rng.random() < 0.5,
+                                 status=rng.choice(("NXDOMAIN", "NOERROR"))) for i in range(900)])
+    rows = rows.unionByName(dns_rows(spark, [dict(ts=AS_OF - dt.timedelta(hours=h), qname="b.com", client="c0", blocked=True)
+                                             for h in (24, 192)])).withColumn("day", F.to_date("ts")).persist()
+    stored = rollups.fold(rollups.hourly(rows.filter("client = 'c0'")).unionByName(rollups.hourly(rows.filter("client <> 'c0'"))))
+    for clock in (AS_OF, AS_OF + dt.timedelta(minutes=17, microseconds=5), AS_OF - dt.timedelta(microseconds=1)):
+        for rule in (d.blocked_spike, d.nxdomain_burst):
+            plain = rule(rows, clock, floor=1, multiple=0).collect()
+            assert sorted(plain) == sorted(rule(rows, clock, floor=1, multiple=0, rollup=stored).collect()) and plain
+    near = rollups.edges(rows, [F.lit(AS_OF + dt.timedelta(minutes=17))])
+    assert near.select(F.date_trunc("hour", "ts")).distinct().count() <= 1
+    rows.unpersist()
+
+
+def test_sketches_merge_within_their_bound(spark):
+    rng = random.Random(5)
+    rows = dns_rows(spark, [dict(ts=AS_OF - dt.timedelta(seconds=rng.randrange(30 * 3600)), qname=f"n{rng.randrange(6000)}.t.example",
+                                 registrable_domain=f"t{i % 2}.example", client=f"c{rng.randrange(40)}", label_entropy=3.5)
+                            for i in range(12_000)]).persist()
+    stored = sketches.fold(sketches.hourly(rows.filter("client < 'c2'")).unionByName(sketches.hourly(rows.filter("client >= 'c2'"))))
+    for clock in (AS_OF, AS_OF + dt.timedelta(minutes=1)):
+        exact = {r[0]: r[1:] for r in rows.filter(F.col("ts") >= F.lit(clock - 24 * HOUR)).groupBy("registrable_domain").agg(
+            F.count_distinct("qname"), F.count_distinct("client"), F.count(F.lit(1))).collect()}
+        for r in sketches.trailing(stored, rows, clock).collect():
+            names, clients, n = exact[r.registrable_domain]
+            assert abs(r.names - names) <= sketches.BOUND * names and (r.clients, r.n) == (clients, n)
+    assert d.tunnel_volume(rows, AS_OF, sketched=stored).count() == d.tunnel_volume(rows, AS_OF).count() == 2
+    rows.unpersist()
+
+
+def _page(folder, name, *times):
+    (folder / name).write_text(json.dumps({"data": [
+        {"time": t, "client": "c", "question": {"name": f"{n}.example.com", "type": "A"}} for n, t in enumerate(times)]}))
+
+
+def test_pages_are_listed_newest_first_up_to_the_offset(tmp_path):
+    for n in ("p1", "p2", "p3", "p4", "_half", ".tmp"):
+        _page(tmp_path, n)
+    assert [p for p, _ in pagepull.unread(str(tmp_path), "p2")] == ["p4", "p3"]
+    assert pagepull.unread(f"file://{tmp_path}", "p4") == []
+    reader = pagepull.PageReader({"path": str(tmp_path), "maxPages": "3"})
+    rows, end = reader.read(reader.initialOffset())
+    rows = list(rows)
+    assert [r[0] for r in rows] == ["p1", "p2", "p3"] and end == {"last": "p3"} and {r[2] for r in rows} == {1}
+    _page(tmp_path, "p5")                                       # lands meanwhile: not in the replay
+    assert [r[0] for r in reader.readBetweenOffsets({"last": ""}, end)] == ["p1", "p2", "p3"]
+    rows, end = reader.read(end)
+    assert [r[0] for r in rows] == ["p4", "p5"] and end == {"last": "p5"}
+    rows, end = reader.read(end)
+    assert list(rows) == [] and end == {"last": "p5"}
+
+
+def test_a_pull_that_dies_is_done_again(spark, tmp_path):
+    from nightjar.plans.testviews import suffix_rules
+    from nightjar.streaming import dns_stream
+    folder, store, pulls = tmp_path / "pages", TableStore(spark, str(tmp_path / "s")), []
+    folder.mkdir()
+    for k in range(3):
+        _page(folder, f"p{k}", f"2026-08-15T1{k}:00:00Z", f"2026-08-15T1{k}:30:00Z")
+    _page(folder, "p3", "2026-08-15T10:00:00Z", "2026-08-15T13:30:00Z")        # an overlap and a new entry
+
+    def pull(**how):
+        q = dns_stream.start_pull(spark, str(folder), store, suffix_rules(spark), str(tmp_path / "ck"), F.lit(AS_OF + 3 * HOUR),
+                                  max_pages=3, pulls=pulls, **how)
+        q.awaitTermination()
+
+    def dies(*_):
+        raise RuntimeError("dies")
+
+    try:
+        pull(rule_runner=dies)
+        raise AssertionError("it should have died")
+    except Exception as e:  # noqa: BLE001
+        assert "dies" in str(e)
+    for _ in range(3):
+        pull()
+    assert pulls == [(3, 0), (1, 0)] or pulls == [(3, 1), (1, 0)]
+    assert store.read("dns_query").count() == 7 and store.read("dns_domain").first()["query_count"] == 7
+    assert store.read("scan_run").count() == 2
