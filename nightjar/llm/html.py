@@ -9,10 +9,11 @@ many of them is a template of the site and is deleted. What is left of the artic
 Pages are told apart by what they hold besides the subtree, so copies of one page, however
 many, count once and never turn their own text into a template. A template stands on
 ``MIN_PAGES`` different pages at least and on ``SHARE`` of its host's or section's, or is a
-container on ``MANY`` of them, whatever the share (a notice on some pages of a large host).
+container outside the article on ``MANY`` of them, whatever the share (a notice on some pages
+of a large host).
 
 Paragraphs of an article may recur too (a quote, a licence line); they are content. So inside
-``<article>`` or ``<main>`` only subtrees of container elements count as templates.
+``<article>`` or ``<main>`` only subtrees of container elements count as templates, by their share.
 
 Defined results: null or empty html gives an empty text; a page with a null or odd url
 belongs to the host ``""``; broken markup (unclosed elements, unfinished tags) is read as a
@@ -34,7 +35,7 @@ from . import common
 
 MIN_PAGES = 5           # a template is on so many different pages of its host or section at least,
 SHARE = 0.3             # and on this share of them;
-MANY = 20               # a container on so many is one at any share
+MANY = 20               # a container outside the article on so many is one at any share
 BROADCAST = 200_000     # templates (site and hash, some 40 bytes each) that may be broadcast
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,7 +167,8 @@ def prune(top) -> None:
 
 
 def candidates(top):
-    """The elements that may be templates, each with its parent."""
+    """The elements that may be templates, with their parents and whether they lie inside the
+    article."""
     stack = [(top, False)]
     while stack:
         node, inside = stack.pop()
@@ -174,7 +176,7 @@ def candidates(top):
         for c in node.children:
             if type(c) is Node:
                 if c.tag not in ("article", "main", "body", "html") and (c.tag in CONTAINERS or not inside):
-                    yield c, node
+                    yield c, node, inside
                 stack.append((c, inside))
 
 
@@ -222,14 +224,15 @@ def blocks(node) -> list[str]:
 
 def subtrees(html: str) -> tuple[int, list[dict]]:
     """The hash of a page's texts, and its distinct subtrees with text that could be templates:
-    hash, hash of the texts besides it, and whether it is a container."""
+    hash, hash of the texts besides it, and whether it is a container outside the article."""
     top = tree(html)
     prune(top)
     hash_all(top)
     found = {}
-    for c, _ in candidates(top):
+    for c, _, inside in candidates(top):
         if c.sum:
-            found.setdefault(c.hash, {"hash": c.hash, "rest": _signed(top.sum - c.sum), "container": c.tag in CONTAINERS})
+            box = c.tag in CONTAINERS and not inside
+            found.setdefault(c.hash, {"hash": c.hash, "rest": _signed(top.sum - c.sum), "container": box})
     return _signed(top.sum), list(found.values())
 
 
@@ -245,7 +248,7 @@ def extract(html: str, templates=frozenset()) -> str:
     prune(top)
     if templates:
         hash_all(top)
-        for c, parent in list(candidates(top)):
+        for c, parent, _ in list(candidates(top)):
             if c.hash in templates:
                 parent.children = [x for x in parent.children if x is not c]
     return "\n\n".join(b for part in main_parts(top) for b in blocks(part))

@@ -413,6 +413,16 @@ def test_templates_of_part_of_a_host(spark):
         assert r.main == re.search("<div><p>(.*?)</p>", r.html)[1], r.page_id
 
 
+def test_lists_that_recur_in_articles_stay(spark):
+    """A list in a tenth of a host's articles is content."""
+    rng = random.Random(4)
+    rows = [(i, f"https://big.example/{i}", f"<body><article><p>{prose(rng, 20)}</p>{'<ul><li>one</li><li>two</li></ul>' * (i % 10 == 0)}"
+             f"</article></body>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html.main_text(pages).select("row.*", "main").collect():
+        assert r.main.split("\n\n") == re.findall("<(?:p|li)>([^<]+)<", r.html), r.page_id
+
+
 # ---------------------------------------------------------------- pipeline
 
 
