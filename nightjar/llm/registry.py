@@ -16,6 +16,7 @@ def pinned(fn):
     @functools.wraps(fn)
     def run(spark, *args):
         configure(spark)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")     # few keys can be hot in texts
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
         return fn(spark, *args)
     return run

@@ -25,7 +25,7 @@ def _before_after(spark, sf_dir):
     run_key, started = last[0], last[1]
     prev = rows.filter(F.col("run_key") < run_key)
     cur = rows.filter(F.col("run_key") == run_key)
-    state = findings.replay_runs(prev, tv.run_images(prev))
+    state = findings.replay_runs(prev, tv.run_images(prev), dealt=True)
     return state, cur, run_key, F.lit(run_key).substr(1, 8), started
 
 
@@ -54,7 +54,7 @@ def q_finding_apply_runs(spark, sf_dir):
     cut = keys[-2] if len(keys) >= 2 else keys[0]
     prev = rows.filter(F.col("run_key") < cut)
     cur = rows.filter(F.col("run_key") >= cut)
-    state = findings.replay_runs(prev, tv.run_images(prev))
+    state = findings.replay_runs(prev, tv.run_images(prev), dealt=True)
     return render(findings.apply_runs(state, cur, tv.run_images(cur)))
 
 
@@ -97,13 +97,13 @@ def q_finding_triage(spark, sf_dir):
 def q_finding_upsert(spark, sf_dir):
     state, cur, run_key, _, _ = _before_after(spark, sf_dir)
     up = findings.upsert_findings(state, cur, run_key, _run_ts(run_key))
-    return render(up.drop("occurrences"))
+    return render(up.drop("occurrences", findings.PART))
 
 
 def q_finding_resolve(spark, sf_dir):
     state, cur, run_key, _, _ = _before_after(spark, sf_dir)
     res = findings.ingest_run(state, cur, cur.select("image"), run_key, _run_ts(run_key))
-    return render(res.state)
+    return render(res.state.drop(findings.PART))
 
 
 def q_finding_ingest_metrics(spark, sf_dir):
