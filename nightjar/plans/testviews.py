@@ -163,9 +163,16 @@ def _run_key(shipdate):
 
 def finding_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (un-normalised) report fields per lineitem, one run per ship year."""
-    li = table(spark, sf_dir, "lineitem").select(
+    return _raw_fields(_lines(spark, sf_dir))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def _raw_fields(li: DataFrame) -> DataFrame:
     part = F.col("l_partkey").cast("string")
     version = F.concat(F.col("l_linenumber").cast("string"), F.lit(".0"))
     disc = F.round(F.col("l_discount") * 100).cast("int")
@@ -182,7 +189,7 @@ def finding_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(*[F.lpad(F.col(c).cast("string"), w, "0") for c, w in
                    [("l_orderkey", 20), ("l_linenumber", 4), ("l_partkey", 20), ("l_suppkey", 20)]])
         .alias("ord"),
-        F.col("l_partkey"),
+        F.col("l_partkey"), F.col("l_suppkey"),
         F.col("l_orderkey"), F.col("l_linenumber"),
         F.concat(F.lit("img-"), F.col("l_suppkey").cast("string")).alias("ArtifactName"),
         F.concat(F.lit("target-"), F.col("l_linestatus")).alias("Target"),
@@ -209,26 +216,30 @@ def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested report documents: one per (run, image, order), results by line
-    status, vulnerabilities by line number. Groups hold at most 7 lines."""
-    raw = finding_raw(spark, sf_dir)
+    status, vulnerabilities by line number. Groups hold at most 7 lines.
+
+    The table's own narrow rows are shuffled, once, by order and supplier (the
+    image); fields are derived and documents put together where they arrive."""
+    raw = _raw_fields(_lines(spark, sf_dir).repartition("l_orderkey", "l_suppkey"))
     vuln = F.struct(
         F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
         F.col("VulnerabilityID"), F.col("PkgName"), F.col("InstalledVersion"),
         F.col("FixedVersion"), F.col("Severity"), F.col("Title"),
         F.struct(F.col("PURL").alias("PURL")).alias("PkgIdentifier"))
-    by_result = (raw.groupBy("run_key", "ArtifactName", "l_orderkey", "Target", "Class")
-                 .agg(F.array_sort(F.collect_list(vuln)).alias("v")))
-    by_result = by_result.select(
-        "run_key", "ArtifactName", "l_orderkey",
-        F.struct("Target", "Class",
-                 F.transform("v", lambda x: x.dropFields("line", "part")).alias("Vulnerabilities")).alias("r"))
-    docs = (by_result.groupBy("run_key", "ArtifactName", "l_orderkey")
-            .agg(F.array_sort(F.collect_list("r")).alias("Results")))
-    return docs.select(
+    lines = raw.groupBy("run_key", "ArtifactName", "l_orderkey", "l_suppkey").agg(
+        F.array_sort(F.collect_list(F.struct("Target", "Class", vuln.alias("v")))).alias("lines"))
+    kinds = F.array_distinct(F.transform("lines", lambda x: F.struct(x["Target"].alias("Target"), x["Class"].alias("Class"))))
+
+    def of(k):
+        mine = F.filter("lines", lambda x: x["Target"].eqNullSafe(k["Target"]) & x["Class"].eqNullSafe(k["Class"]))
+        return F.struct(k["Target"].alias("Target"), k["Class"].alias("Class"),
+                        F.transform(mine, lambda x: x["v"].dropFields("line", "part")).alias("Vulnerabilities"))
+
+    return lines.select(
         "run_key",
         F.concat(F.col("ArtifactName"), F.lit("__o"),
                  F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit(".json")).alias("file"),
-        "ArtifactName", "Results")
+        "ArtifactName", F.transform(kinds, of).alias("Results"))
 
 
 def run_images(finding_rows_df: DataFrame) -> DataFrame:

@@ -42,3 +42,28 @@ def test_sample_against_duckdb(spark, name):
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(dcols, res.fetchall())
+
+
+def _lineitem(spark, folder, rows):
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz") \
+        .write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_report_documents_take_one_shuffle_of_narrow_rows(spark, tmp_path):
+    import datetime as dt
+    from nightjar.plans import testviews as tv
+    day = [dt.datetime(1994 + i % 2, 3, 1) for i in range(12)]
+    _lineitem(spark, tmp_path, [(i // 6, 100 - i, 1 + i % 2, i, 0.05, 0.0, "R", "OF"[i % 3 == 0], day[i // 2]) for i in range(12)])
+    docs = tv.report_docs(spark, str(tmp_path))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moved) == 1 and "l_orderkey" in moved[0], moved
+    got = {(d.run_key, d.file): [(r.Target, r.Class, [v.PkgName for v in r.Vulnerabilities]) for r in d.Results]
+           for d in docs.collect()}
+    raw, want = tv.finding_raw(spark, str(tmp_path)).orderBy("Target", "l_linenumber").collect(), {}
+    for r in raw:
+        results = want.setdefault((r.run_key, f"{r.ArtifactName}__o{r.l_orderkey:012d}.json"), {})
+        results.setdefault((r.Target, r.Class), []).append(r.PkgName)
+    assert got == {k: [(*kind, names) for kind, names in v.items()] for k, v in want.items()}
+    assert max(len(r) for r in got.values()) == 2
