@@ -67,3 +67,17 @@ def test_report_documents_take_one_shuffle_of_narrow_rows(spark, tmp_path):
         results.setdefault((r.Target, r.Class), []).append(r.PkgName)
     assert got == {k: [(*kind, names) for kind, names in v.items()] for k, v in want.items()}
     assert max(len(r) for r in got.values()) == 2
+
+
+def test_run_folders_holds_no_documents(spark, tmp_path, monkeypatch):
+    """Wide documents were held in columns of thousands of rows, which took an executor's memory."""
+    import datetime as dt
+    from pyspark.sql.classic.dataframe import DataFrame
+    _lineitem(spark, tmp_path, [(i, i, i % 3, 1, 0.05, 0.02, "A", "F", dt.datetime(1994 + i % 2, 3, 1)) for i in range(30)])
+
+    def refuse(self, *a):
+        raise AssertionError("documents are held")
+
+    monkeypatch.setattr(DataFrame, "persist", refuse)
+    monkeypatch.setattr(DataFrame, "cache", refuse)
+    assert checks.q_run_folders(spark, str(tmp_path)).count() == 30
