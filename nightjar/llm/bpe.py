@@ -35,6 +35,8 @@ from . import common
 LEXICON = 100_000
 LONGEST = 48            # bytes of a word that may enter it
 FLUSH = 500_000         # distinct words that a counting task holds at a time
+SIDE_BY_SIDE = 1 << 14  # words that are merged at a time,
+WIDTHS = (4, 8, 12, 16, 24, 32, 64)     # and their bytes; longer ones are merged alone
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -50,7 +52,7 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        back = {c: b for b, c in byte_letters().items()}
+        back = {c: b for b, c in common.byte_letters().items()}
         raw = {t: bytes(back[c] for c in t) for t in spec["model"]["vocab"]}
         self.id_of = {raw[t]: i for t, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
@@ -61,6 +63,10 @@ class Vocabulary:
         #: pair of ids -> rank of their merge and id of the merged token, in one number
         self.merged = {(self.id_of[a], self.id_of[b]): i << 32 | self.id_of[a + b] for (a, b), i in rank.items()}
         self.single = [self.id_of[bytes([b])] for b in range(256)]
+        keys = np.array([a << 32 | b for a, b in self.merged], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        self.pair_merges = np.array(list(self.merged.values()), np.int64)[order]
         self.pretoken = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         by_length = sorted(self.special, key=len, reverse=True)
@@ -86,6 +92,70 @@ class Vocabulary:
                 found[i] = get((ids[i], ids[i + 1]), NONE)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, as little-endian unsigned 32-bit integers: words of about the
+        same length are merged side by side."""
+        out: list = [None] * len(words)
+        size, least = np.fromiter(map(len, words), np.int64, len(words)), -1
+        for width in (*WIDTHS, None):
+            mine = np.flatnonzero((size > least) & (size <= width) if width else size > least).tolist()
+            least = width
+            if width:
+                for a in range(0, len(mine), SIDE_BY_SIDE):
+                    part = mine[a:a + SIDE_BY_SIDE]
+                    for i, ids in zip(part, self._side_by_side([words[i] for i in part], width)):
+                        out[i] = ids
+            else:
+                for i in mine:
+                    out[i] = array("I", self.merge(words[i])).tobytes()
+        return out
+
+    def _merges(self, left, right):
+        """Rank and new id of each pair, in one number; ``NONE`` where there is no merge."""
+        if not len(self.pair_keys):
+            return np.full(len(left), NONE)
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_merges[at], NONE)
+
+    @functools.cached_property
+    def _first_merges(self):
+        """``_merges`` of every two bytes."""
+        single = np.array(self.single, np.int64)
+        return self._merges(np.repeat(single, 256), np.tile(single, 256))
+
+    def _side_by_side(self, words: list[bytes], width: int):
+        """A row a word, with an empty place (id -1) at either side. Places are linked; a step
+        merges the leftmost pair of lowest rank of every row that has one."""
+        n, row = len(words), width + 2
+        size = np.fromiter(map(len, words), np.int64, n)[:, None]
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width).astype(np.int64)
+        place = np.arange(width)
+        ids = np.full((n, row), -1, np.int64)
+        ids[:, 1:-1] = np.where(place < size, np.array(self.single, np.int64)[raw], -1)
+        found = np.full((n, row), NONE)
+        found[:, 1:-2] = np.where(place[1:] < size, self._first_merges[raw[:, :-1] << 8 | raw[:, 1:]], NONE)
+        ids, found, after, before = ids.reshape(-1), found.reshape(-1), np.arange(1, n * row + 1), np.arange(-1, n * row - 1)
+        live = np.arange(n)
+        while True:
+            mine = found.reshape(n, row)[live]
+            at = live * row + mine.argmin(axis=1)
+            best = found[at]
+            more = best != NONE
+            if not more.any():
+                break
+            live, at, best = live[more], at[more], best[more]
+            new, gone = best & 0xFFFFFFFF, after[at]
+            right, left = after[gone], before[at]
+            ids[at], ids[gone], found[gone] = new, -1, NONE
+            after[at], before[right] = right, at
+            found[at] = self._merges(new, ids[right])
+            found[left] = self._merges(ids[left], new)
+        kept = ids >= 0
+        edges = [0, *(np.cumsum(kept.reshape(n, row).sum(axis=1)) * 4).tolist()]
+        data = ids[kept].astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges for long words, with a heap of pairs over a linked list."""
         end, heap = len(ids), []
@@ -112,13 +182,6 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable letter that byte-level vocabularies write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -213,6 +276,9 @@ class Lexicon:
             at += 4 * n
         self.first, self.target, self.skip, self.start, self.out = parts
         self.final, self.labels = at, at + states
+        first = np.asarray(self.first).astype(np.int64)
+        self.keys = np.repeat(np.arange(states), np.diff(first)) << 8 \
+            | np.frombuffer(self.map, np.uint8, arcs, self.labels)     # state and byte of each arc, ascending
 
     def index(self, word: bytes) -> int | None:
         state, index, base = 0, 0, self.labels
@@ -225,6 +291,26 @@ class Lexicon:
             state = self.target[k]
         return index if self.map[self.final + state] else None
 
+    def indexes(self, words: list[bytes]) -> np.ndarray:
+        """``index`` of each word, -1 where it is not in here: all walk a byte at a time."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start, raw = np.cumsum(size) - size, np.frombuffer(b"".join(words), np.uint8)
+        state, index = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        skip, target = np.asarray(self.skip), np.asarray(self.target)
+        live, step = np.flatnonzero(size), 0
+        while len(live):
+            key = state[live] << 8 | raw[start[live] + step]
+            arc = np.searchsorted(self.keys, key)
+            known = arc < len(self.keys)
+            known[known] = self.keys[arc[known]] == key[known]
+            state[live[~known]] = -1
+            live, arc, step = live[known], arc[known], step + 1
+            index[live] += skip[arc]
+            state[live] = target[arc]
+            live = live[size[live] > step]
+        final = np.frombuffer(self.map, np.uint8, self.states, self.final)
+        return np.where((state >= 0) & (final[state] != 0), index, -1)
+
     def ids(self, word: bytes):
         i = self.index(word)
         return None if i is None else self.out[self.start[i]:self.start[i + 1]]
@@ -266,41 +352,38 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LE
             break
         room, least = room - r["count"], r.level
     often = counts.where(level >= least).orderBy("word").collect() if least is not None else []
-    entries: dict[bytes, list[int]] = {}
-    for row in often:
-        for chunk in (" " + row.word, row.word):
-            for pre in vocab.pretoken.findall(chunk):
-                raw = pre.encode("utf-8")
-                if raw not in entries:
-                    entries[raw] = vocab.merge(raw)
+    raws = list({pre.encode("utf-8") for row in often for chunk in (" " + row.word, row.word)
+                 for pre in vocab.pretoken.findall(chunk)})
+    entries = {raw: np.frombuffer(ids, "<u4").tolist() for raw, ids in zip(raws, vocab.merge_all(raws))}
     return common.share_bytes(docs.sparkSession, compile_lexicon(entries), "lexicon")
 
 
-def encoder(path: str, lexicon: Lexicon | None):
+def encoder(path: str, lexicon: Lexicon | None) -> common.TextEncoder:
     """text -> ids as little-endian unsigned 32-bit integers."""
-    vocab, chunks = vocabulary(path), common.chunk_pattern()
-
-    look = lexicon.ids if lexicon else lambda raw: None
-
-    def make(chunk):
-        pres = [chunk] if chunk.removeprefix(" ").isalpha() else vocab.pretoken.findall(chunk)
-        out = b""
-        for pre in pres:
-            raw = pre.encode("utf-8")
-            ids = look(raw)
-            out += array("I", vocab.merge(raw)).tobytes() if ids is None else ids.tobytes()
-        return out
-
-    cache = common.ChunkCache(make, 150_000)
+    vocab, findall = vocabulary(path), common.chunk_pattern().findall
     special = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special.items()}
 
-    def encode(text):
+    def encode(raws):
+        """Ids of pre-tokens: by the lexicon, and of those that it lacks by merges."""
+        if lexicon is None:
+            return vocab.merge_all(raws)
+        at, start, ids = lexicon.indexes(raws).tolist(), lexicon.start, lexicon.out
+        merged = iter(vocab.merge_all([raw for raw, i in zip(raws, at) if i < 0]))
+        return [next(merged) if i < 0 else ids[start[i]:start[i + 1]].tobytes() for i in at]
+
+    def make(chunks):
+        pres = [[] if c in special else [c] if c.removeprefix(" ").isalpha() else vocab.pretoken.findall(c)
+                for c in chunks]
+        done = iter(encode([pre.encode("utf-8") for mine in pres for pre in mine]))
+        return [next(done) if len(mine) == 1 else special[c] if c in special else b"".join(next(done) for _ in mine)
+                for c, mine in zip(chunks, pres)]
+
+    def cut(text):
         if vocab.specials is None or not vocab.specials.search(text):
-            return b"".join(map(cache.__getitem__, chunks.findall(text)))
-        return b"".join(special.get(part) or b"".join(map(cache.__getitem__, chunks.findall(part)))
-                        for part in vocab.specials.split(text))
+            return findall(text)
+        return [c for part in vocab.specials.split(text) for c in ([part] if part in special else findall(part))]
 
-    return encode
+    return common.TextEncoder(cut, make, 150_000)
 
 
 @functools.lru_cache(maxsize=1)
@@ -309,9 +392,18 @@ def _shared_encoder(path: str, name: str):
 
 
 @functools.lru_cache(maxsize=1)
-def _token_bytes(path: str) -> list[bytes]:
+def _token_bytes(path: str) -> pa.Array:
     known = vocabulary(path).bytes_of
-    return [known.get(i, b"") for i in range(max(known) + 1)]
+    return pa.array([known.get(i, b"") for i in range(max(known) + 1)], pa.large_binary())
+
+
+def _decoded(rows: list[bytes], tokens: pa.Array) -> list[str]:
+    """Texts of the ids of each row, looked up together."""
+    found = tokens.take(pa.array(np.frombuffer(b"".join(rows), "<u4")))
+    _, offsets, data = found.buffers()
+    start = np.frombuffer(offsets, np.int64)[np.cumsum([0, *[len(r) // 4 for r in rows]])].tolist()
+    data = memoryview(data or b"")
+    return [str(data[a:b], "utf-8", "replace") for a, b in zip(start, start[1:])]
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", size: int = LEXICON,
@@ -321,7 +413,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", size: i
     name = build_lexicon(docs, path, text, size)
 
     def run(texts):
-        return [list(map(_shared_encoder(path, name), texts))]
+        return [_shared_encoder(path, name).all(texts)]
 
     return common.add_columns(docs, {"text": common.text_of(text)}, run,
                               [common.field("ids", T.BinaryType())], carry)
@@ -333,9 +425,14 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids",
     path = path or common.vocabulary("byte_bpe_50k.json")
 
     def run(rows):
-        tokens = _token_bytes(path)
-        return [[b"".join(map(tokens.__getitem__, np.frombuffer(r or b"", "<u4").tolist()))
-                 .decode("utf-8", "replace") for r in rows]]
+        tokens, out, held, room = _token_bytes(path), [], [], common.GROUP
+        for r in rows:
+            if held and len(r or b"") > room:
+                out += _decoded(held, tokens)
+                held, room = [], common.GROUP
+            held.append(r or b"")
+            room -= len(held[-1])
+        return [out + _decoded(held, tokens)]
 
     return common.add_columns(encoded, {"ids": F.col(ids)}, run,
                               [common.field("decoded", T.StringType())], carry)

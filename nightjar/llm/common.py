@@ -118,26 +118,96 @@ def library_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Characters of texts whose chunks are held at a time; a longer text is held alone.
+GROUP = 1 << 20
+
+
+class TextEncoder:
+    """text -> bytes, chunk by chunk. ``cut`` gives the chunks of a text and ``make`` the values of
+    a list of chunks. Those that some texts need and that are not known are made together; known
+    ones are kept in two generations, so that memory stays bounded while the chunks in use stay."""
+
+    def __init__(self, cut, make, size: int = 250_000):
+        self.cut, self.make, self.size = cut, make, size
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        return self._together([text])[0]
+
+    def all(self, texts) -> list[bytes]:
+        out, held, room = [], [], GROUP
+        for t in texts:
+            if held and len(t) > room:
+                out += self._together(held)
+                held, room = [], GROUP
+            held.append(t)
+            room -= len(t)
+        return out + self._together(held)
+
+    def _together(self, texts) -> list[bytes]:
+        lists, now, old = list(map(self.cut, texts)), self.now, self.old
+        unseen = set().union(*lists).difference(now)
+        if unseen:
+            fresh = []
+            for c in unseen:
+                if (value := old.get(c)) is None:
+                    fresh.append(c)
+                else:
+                    now[c] = value
+            now.update(zip(fresh, self.make(fresh)))
+        out = [b"".join(map(now.__getitem__, chunks)) for chunks in lists]
+        for c in unseen:
+            if len(c) > 64:
+                del now[c]
+        if len(now) > self.size:
+            self.old, self.now = now, {}
+        return out
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _plain_byte_level(tokenizer) -> bool:
+    """Whether a word of letters is one pre-token, whose bytes the BPE model gets as letters."""
+    import json
+
+    from tokenizers import models, pre_tokenizers
+
+    cut = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or not isinstance(cut, pre_tokenizers.ByteLevel) \
+            or not isinstance(tokenizer.model, models.BPE):
+        return False
+    how = json.loads(cut.__getstate__())
+    return how.get("use_regex", True) and not how.get("add_prefix_space", True)
+
+
 @functools.lru_cache(maxsize=2)
 def library_encoder(path: str):
     """text -> ids (little-endian unsigned 32-bit) by the tokenizers library, chunk by chunk
-    through a cache; a text with strings of special tokens is encoded in one piece."""
-    import numpy as np
+    through a cache; a text with strings of special tokens is encoded in one piece. A word of
+    letters that all versions of Unicode agree on is given to the library's model as it is."""
+    from array import array
 
-    tokenizer, chunks = library_tokenizer(path), chunk_pattern()
+    tokenizer, findall = library_tokenizer(path), chunk_pattern().findall
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    letters, model = byte_letters(), tokenizer.model if _plain_byte_level(tokenizer) else None
 
     def ids(chunk):
-        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    cache = ChunkCache(ids)
+        if model is not None and len(chunk) <= 64 and max(chunk) < "\u0530" and chunk.removeprefix(" ").isalpha():
+            word = chunk.replace(" ", letters[32]) if chunk.isascii() \
+                else chunk.encode("utf-8").decode("latin-1").translate(letters)
+            return array("I", [t.id for t in model.tokenize(word)]).tobytes()
+        return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def encode(text):
-        if any(s in text for s in special):
-            return ids(text)
-        return b"".join(map(cache.__getitem__, chunks.findall(text)))
+    def cut(text):
+        return [text] if text and any(s in text for s in special) else findall(text)
 
-    return encode
+    return TextEncoder(cut, lambda chunks: map(ids, chunks))
 
 
 def token_counter(path: str):

@@ -47,6 +47,38 @@ def test_long_words_merge_like_short_ones():
     assert vocab.merge(word.encode()) == library_ids(word)
 
 
+def test_words_are_merged_and_walked_together(tmp_path):
+    """op7: words that the lexicon lacks are handed on once and together, not one by one."""
+    rng, vocab = random.Random(8), bpe.vocabulary(PATH)
+    texts = [" ".join("".join(rng.choices("theand éж日", k=rng.randrange(1, 90))) for _ in range(40)) for _ in range(60)]
+    words = [b"", *{p.encode() for t in texts for p in vocab.pretoken.findall(t)}]
+    assert [np.frombuffer(i, "<u4").tolist() for i in vocab.merge_all(words)] == [vocab.merge(w) for w in words]
+    file = tmp_path / "lexicon"
+    file.write_bytes(bpe.compile_lexicon({w: vocab.merge(w) for w in words[1::3]}))
+    lexicon = bpe.Lexicon(str(file))
+    assert lexicon.indexes(words).tolist() == [-1 if (i := lexicon.index(w)) is None else i for w in words]
+    for encode in (bpe.encoder(PATH, lexicon), common.library_encoder.__wrapped__(PATH)):
+        calls, make = [], encode.make
+        encode.make = lambda chunks: calls.append(len(chunks)) or make(chunks)
+        assert [np.frombuffer(i, "<u4").tolist() for i in encode.all([*texts, *ODD])] == list(map(library_ids, [*texts, *ODD]))
+        assert len(calls) == 1 and encode.all(texts) == [encode(t) for t in texts]
+
+
+def test_known_chunks_stay_bounded():
+    made = []
+    encode = common.TextEncoder(str.split, lambda chunks: [made.append(c) or c.encode() for c in chunks], size=3)
+    assert encode.all(["a b", "c " + "x" * 65, ""]) == [b"ab", b"c" + b"x" * 65, b""]
+    assert sorted(encode.now) == ["a", "b", "c"] and encode("a d") == b"ad" and not encode.now
+    assert encode("b a e") == b"bae" and sorted(encode.now) == ["a", "b", "e"] and sorted(made) == [*"abcde", "x" * 65]
+
+
+def test_tokens_are_decoded_together(spark):
+    ids = [library_ids(t) for t in ODD] + [[], library_ids("é")[:1], [0, 0]]
+    rows = [np.array(i, "<u4").tobytes() for i in ids]
+    want = [common.library_tokenizer(PATH).decode(i, skip_special_tokens=False) for i in ids]
+    assert bpe._decoded(rows, bpe._token_bytes(PATH)) == want and bpe._decoded([], bpe._token_bytes(PATH)) == []
+
+
 def test_encode_and_decode(odd_docs, no_docs):
     got = bpe.digests(odd_docs).collect()
     want = [(r.doc_id, len(library_ids(r.text)),
