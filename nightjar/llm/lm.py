@@ -59,6 +59,13 @@ def _with_before(raw: bytes, size: int):
     return ids, np.concatenate([[size], ids[:-1]]) if len(ids) else ids
 
 
+def _places(key: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where in ``key`` (sorted) each is found, looked up in ascending order."""
+    order, out = np.argsort(found), np.empty(len(found), np.int64)
+    out[order] = np.searchsorted(key, found[order])
+    return out
+
+
 def tokens(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None,
            chunk: int = CHUNK) -> DataFrame:
     """``row``, ``ids`` (binary) and ``chunk`` of each whole text, for counting and scoring."""
@@ -67,8 +74,8 @@ def tokens(docs: DataFrame, path: str, text: str = "text", carry: list[str] | No
     def run(texts):
         encode, kind, first = common.library_encoder(path), _kind(size), TaskContext.get().partitionId() << 32
         out, chunks = [], []
-        for t in texts:
-            raw = np.frombuffer(encode(t), "<u4").astype(kind)
+        for raw in encode.all(texts):
+            raw = np.frombuffer(raw, "<u4").astype(kind)
             if now["used"] and now["used"] + len(raw) + 1 > chunk:
                 now.update(chunk=now["chunk"] + 1, used=0)
             now["used"] += len(raw) + 1                             # texts without tokens fill it too
@@ -160,15 +167,16 @@ class Models:
         counts left out. ``key``: sorted bigrams of all of them; ``two``: their counts."""
         counts = [[*c, t] for c, t in zip(self.counts, two)]
         scratch = [np.zeros(len(c), np.int32) for c in counts[0]]       # zeros between documents
+        one = np.int32(1)                       # of the counts' kind, as else numpy adds one by one, slowly
         for raw, good in zip(raws, goods):
             ids, before = _with_before(raw, self.size)
             if not len(ids) or not self.totals[1]:
                 yield len(ids), None, None
                 continue
             out, own, goal = [], [], self.totals[1]
-            at = (ids, before, np.searchsorted(key, cells(before, ids)))
+            at = (ids, before, _places(key, cells(before, ids)))
             for mine, places in zip(scratch, at):
-                np.add.at(mine, places, 1)
+                np.add.at(mine, places, one)
                 own.append(mine[places])
                 mine[places] = 0
             for m in range(2):

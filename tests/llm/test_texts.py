@@ -341,6 +341,14 @@ def test_losses_equal_brute_force(spark, odd_docs, no_docs):
     assert {r.score for r in lm.score(odd_docs, labels.limit(0)).select("row.doc_id", "score").collect()} == {None}
 
 
+def test_bigrams_are_looked_up_in_order():
+    """op6: the keys that a document asks for come in ascending order, repeats and all."""
+    rng = np.random.default_rng(4)
+    key = np.unique(rng.integers(0, 1 << 60, 5_000))
+    found = rng.choice(key, 20_000)
+    assert lm._places(key, found).tolist() == np.searchsorted(key, found).tolist() and not len(lm._places(key, key[:0]))
+
+
 # ---------------------------------------------------------------- html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><article>";</script><style>p{}</style></head><body>
