@@ -576,15 +576,14 @@ def _slices(spark, sf_dir, files: int = STREAM_SLICES, repull: bool = True):
     """Entries in time order, cut into slices; optionally a last slice that
     re-pulls the final day (exact duplicates of stored entries)."""
     e = tv.dns_entries(spark, sf_dir)
-    mx = e.agg(F.max("ord") + 1).scalar()
-    e = e.withColumn("__b", F.floor(F.col("ord") * files / mx))
-    cols = [c for c in e.columns if c not in ("ord", "__b")]
+    mx = F.lit(e.agg(F.max("ord") + 1).first()[0])          # once, not again for each slice
+    cols = [c for c in e.columns if c != "ord"]
     for i in range(files):
-        yield e.filter(F.col("__b") == i).select(*cols)
+        yield e.filter(F.floor(F.col("ord") * files / mx) == i).select(*cols)
     if repull:
-        as_of = tv.dns_as_of(spark, sf_dir)
-        yield e.select(*cols).filter(normalize.parse_iso_ts(F.col("time")) >= F.timestamp_micros(F.lit(as_of))
-                                     - F.expr("INTERVAL 1 DAYS"))
+        final = F.timestamp_micros(F.lit(tv.dns_as_of(spark, sf_dir))) - F.expr("INTERVAL 1 DAYS")
+        # an entry's time, where it is one, is its event's: the others are not derived
+        yield tv.dns_entries(spark, sf_dir, since=final).select(*cols).filter(normalize.parse_iso_ts(F.col("time")) >= final)
 
 
 def _land_and_run(spark, name: str, slices, start) -> None:

@@ -78,8 +78,8 @@ def synthetic_qname(event_id, first_label):
                                    _suffix(event_id))))
 
 
-def dns_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query-log entries in the nested log shape, one per event.
+def dns_entries(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """Query-log entries in the nested log shape, one per event (of ``since`` or later).
 
     The event's page is ``page_id = event_id % count(pages)``; the page count
     is a scalar subquery, the page side is joined on its key.
@@ -87,6 +87,8 @@ def dns_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     pg = table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pg.agg(F.count(F.lit(1))).scalar()          # scalar subquery
+    if since is not None:
+        ev = ev.filter(F.col("ts").cast("timestamp") >= since)
     ev = ev.withColumn("page_id", F.col("event_id") % n_pages)
     j = ev.join(pg, "page_id")
     eid = F.col("event_id")

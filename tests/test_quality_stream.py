@@ -58,3 +58,29 @@ def test_streaming_windows(spark, tmp_path):
     # windows closed by the 06:10 event on the 16th: [00,02) [01,03) [02,04)
     assert [(r["window_start"].hour, r["names"]) for r in got] == [(0, 1), (1, 2), (2, 1)]
     assert all(r["registrable_domain"] == "example.com" for r in got)
+
+
+def test_slices_take_one_maximum_and_repull_the_last_day_alone(spark, tmp_path):
+    """stream_dedupe: a slice's plan holds no second pass for the largest event, and the re-pull
+    reads the last day's events only; their rows are those of a full derivation."""
+    from nightjar.functions import normalize
+    from nightjar.plans import checks, testviews as tv
+
+    spark.sql("""select id as event_id, timestamp_micros(1714521600000000 + id * 777000001) as ts, id % 7 as user_id,
+                 if(id % 3 = 0, 'error', 'view') as event_type, id * 0.5D as value from range(400)
+                 union all select 400, null, 1, 'click', null""").write.parquet(str(tmp_path / "events.parquet"))
+    spark.sql("select id as page_id, concat('https://a', id, '.example.com/x') as url from range(9)") \
+        .write.parquet(str(tmp_path / "pages.parquet"))
+    *slices, again = checks._slices(spark, str(tmp_path))
+    entries = tv.dns_entries(spark, str(tmp_path))
+    kept = [c for c in entries.columns if c != "ord"]
+    assert sorted(map(str, (r for s in slices for r in s.collect()))) == sorted(map(str, entries.select(*kept).collect()))
+    final = F.timestamp_micros(F.lit(tv.dns_as_of(spark, str(tmp_path)))) - F.expr("INTERVAL 1 DAYS")
+    whole = entries.select(*kept).filter(normalize.parse_iso_ts(F.col("time")) >= final).collect()
+    assert sorted(map(str, again.collect())) == sorted(map(str, whole)) and whole
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert all("max(" not in plan(s) for s in slices)
+    assert any("Filter" in x and "ts#" in x and ">=" in x for x in plan(again).split("Join")[1].splitlines())
