@@ -331,9 +331,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
                 names=["shard", "block", "n_ids", "starts", "data"])
 
         for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, raw in zip(b.column(0).to_pylist(), encode.all(b.column(1).to_pylist())):
                 starts.append((doc_id, size))
-                held += [encode(t), end]
+                held += [raw, end]
                 size += len(held[-2]) // 4 + 1
                 if size >= LANES * LONGEST:
                     yield flush()
