@@ -33,18 +33,14 @@ def shannon_entropy(s: Column) -> Column:
 
     The count of each distinct character is ``length(s) - length(replace(s,
     ch, ''))``; terms are summed in first-occurrence order. Works on any
-    string Column, including a lambda variable inside ``transform``.
+    string Column, including a lambda variable inside ``transform``. Each
+    character is counted once, before its share is used twice.
     """
     n = F.length(s)
-
-    def term(acc, ch):
-        p = (n - F.length(F.replace(s, ch, F.lit("")))) / n
-        return acc - p * F.log2(p)
-
+    shares = F.transform(F.array_distinct(F.split(s, "")), lambda ch: (n - F.length(F.replace(s, ch, F.lit("")))) / n)
     return (F.when(s.isNull(), F.lit(None).cast("double"))
             .when(n == 0, F.lit(0.0))
-            .otherwise(F.aggregate(F.array_distinct(F.split(s, "")),
-                                   F.lit(0.0).cast("double"), term)))
+            .otherwise(F.aggregate(shares, F.lit(0.0).cast("double"), lambda acc, p: acc - p * F.log2(p))))
 
 
 def to_entropy_decimal(c: Column) -> Column:

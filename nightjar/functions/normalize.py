@@ -118,18 +118,23 @@ def map_dns_entries(entries: DataFrame, rules,
     after normalising, is not valid; it is kept (flagged) so callers can
     count it. Registrable domain and label entropy are derived for all rows
     (NULL names give NULL parts).
+
+    Time and name come out of a generator of one row (``stack``): a predicate
+    on them stays above it, so a filter on ``valid`` does not derive them, and
+    the entries below, a second time.
     """
     keep = keep or []
     ts = parse_iso_ts(F.col("time"))
     raw_name = F.col("question.name")
     qname = normalise_qname_or_null(raw_name)
     reason = blank_to_null(F.col("reason"))
-    flat = entries.select(
+    parsed = entries.select("*", F.stack(F.lit(1), ts, qname).alias("__ts", "__qname"))
+    flat = parsed.select(
         *keep,
-        ts.alias("ts"),
+        F.col("__ts").alias("ts"),
         F.coalesce(F.col("client"), F.lit("")).alias("client"),
         blank_to_null(F.col("client_info.name")).alias("client_name"),
-        qname.alias("qname"),
+        F.col("__qname").alias("qname"),
         F.coalesce(F.col("question.type"), F.lit("")).alias("qtype"),
         reason.alias("reason"),
         is_blocked(F.col("reason")).alias("blocked"),

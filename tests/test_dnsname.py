@@ -81,3 +81,29 @@ def test_iso_times(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r["t"]: r["p"] for r in df.select("t", parse_iso_ts(F.col("t")).cast("string").alias("p")).collect()}
     assert got == cases
+
+
+def test_valid_entries_are_parsed_once(spark):
+    """A filter on ``valid`` does not put the time's and the name's patterns into the plan a second time."""
+    from nightjar.functions.normalize import map_dns_entries
+    rows = [(1, "2024-01-01T00:00:00Z", "  WWW.Example.co.uk. "), (2, "not-a-time", "a.example.com"), (3, None, "b.com"),
+            (4, "2024-01-01T00:00:00Z", " . "), (5, "2024-01-01T00:00:00Z", None), (1, "2024-01-01T00:00:00Z", "www.example.co.uk")]
+    entries = spark.createDataFrame(rows, "ord long, time string, name string").selectExpr(
+        "ord", "time", "'c' as client", "named_struct('name', 'd') as client_info", "named_struct('name', name, 'type', 'A') as question",
+        "'Filtered' as reason", "'NOERROR' as status", "'u' as upstream", "false as cached", "'1' as elapsedMs")
+    mapped = map_dns_entries(entries, suffix_rules(spark), keep=["ord"])
+    assert mapped.columns[:5] == ["ord", "ts", "client", "client_name", "qname"]
+    assert sorted((r.ord, r.reject_reason) for r in mapped.filter("not valid").collect()) == \
+        [(2, "bad_time"), (3, "bad_time"), (4, "no_name"), (5, "no_name")]
+    valid = mapped.filter("valid")
+    assert [(r.ord, r.qname, r.registrable_domain) for r in valid.collect()] == [(1, "www.example.co.uk", "example.co.uk")] * 2
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("([0-9]{4})") == 1 and plan.count(r"\.+$") <= 2
+
+
+def test_a_character_is_counted_once(spark):
+    """Each distinct character's share is derived once, then used twice."""
+    df = spark.createDataFrame([("aab",), ("",), (None,), ("日本日",)], "s string")
+    got = df.select(dnsname.to_entropy_decimal(dnsname.shannon_entropy(F.col("s"))).cast("string").alias("h"))
+    assert [r.h for r in got.collect()] == ["0.91829583405449", "0.00000000000000", None, "0.91829583405449"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("replace(") == 1
