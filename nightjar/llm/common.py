@@ -4,7 +4,9 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,6 +212,84 @@ def library_encoder(path: str):
     return TextEncoder(cut, lambda chunks: map(ids, chunks))
 
 
+class PieceEncoder:
+    """Texts -> ids of all texts by ``library_encoder``, with Arrow and numpy. Texts are cut at their
+    spaces; the ids of the pieces in use are kept, ``size`` pieces at most. Where a space stands
+    before white space or at the end, or a special token in it, a text is not cut."""
+
+    GROUP = 8 << 20                     # characters that are cut at a time; a longer text is cut alone
+
+    def __init__(self, path: str, size: int = 1_000_000):
+        special = [t.content for t in library_tokenizer(path).get_added_tokens_decoder().values()]
+        whole = "|".join([f" (?=[{_WHITE}]|\\Z)", *map(re.escape, special)])
+        self.encode, self.whole, self.size = library_encoder(path), re.compile(whole).search, size
+        self.known = pa.array([], pa.string())
+        self.ids, self.start, self.used = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.groups = 0
+
+    def all(self, texts: list[str], end: bytes = b""):
+        """For groups of texts: how many ids each text has, and the ids, with ``end`` after each text."""
+        held, room = [], self.GROUP
+        for t in texts:
+            if held and len(t) > room:
+                yield self._together(held, end)
+                held, room = [], self.GROUP
+            held.append(t)
+            room -= len(t)
+        if held:
+            yield self._together(held, end)
+
+    def _add(self, made: list[bytes]):
+        """Where the ids begin that are put behind the known ones, and all ids."""
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        return np.append(self.start, self.start[-1] + np.cumsum(sizes)), \
+            np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+
+    def _together(self, texts, end):
+        whole = [self.whole(t) is not None for t in texts]
+        lists = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string()), " ")
+        edges, pieces = lists.offsets.to_numpy().astype(np.int64), lists.values.cast(pa.string())
+        first = edges[:-1]              # has no space before it
+        found = pc.index_in(pieces, self.known)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        at[first] = 0
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            other = pieces.take(pa.array(unseen)).dictionary_encode()
+            at[unseen] = other.indices.to_numpy() + len(self.known)
+            fresh = other.dictionary
+            self.start, self.ids = self._add(self.encode.all([" " + p for p in fresh.to_pylist()]))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.used = np.append(self.used, np.zeros(len(fresh), np.int64))
+        self.groups += 1
+        self.used[np.delete(at, first)] = self.groups
+        own = self.encode.all([t if w else t.split(" ", 1)[0] for t, w in zip(texts, whole)])
+        start, ids = self._add([*own, end])
+        at[first] = len(self.known) + np.arange(len(texts))
+        at = np.insert(at, edges[1:], len(start) - 2)
+        sizes = (start[1:] - start[:-1])[at]
+        ends = np.cumsum(sizes)
+        ids = ids[np.repeat(start[at] - ends + sizes, sizes) + np.arange(ends[-1])]
+        if len(self.known) > self.size:
+            self._forget()
+        return np.diff(ends[edges[1:] + np.arange(len(texts))], prepend=0), ids
+
+    def _forget(self):
+        """Keeps the half of the pieces that was used last, but no long ones."""
+        short = np.flatnonzero(pc.utf8_length(self.known).to_numpy() <= 64)
+        kept = np.sort(short[np.argsort(-self.used[short], kind="stable")[:self.size // 2]])
+        sizes = np.diff(self.start)[kept]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.start[kept] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        self.start, self.used = np.append(0, ends), self.used[kept]
+        self.known = self.known.take(pa.array(kept))
+
+
+@functools.lru_cache(maxsize=2)
+def piece_encoder(path: str):
+    return PieceEncoder(path)
+
+
 def token_counter(path: str):
     encode = library_encoder(path)
     return lambda text: len(encode(text)) // 4

@@ -6,8 +6,11 @@ held. One of three outcomes is coded: the order-2 prediction, the order-1 predic
 neither. Its probabilities are a mixture of three adaptive tables: by the order-2 count, by
 the order-1 count and whether both predictions agree, and without context (order 0). The
 mixture's weights follow how well each table did (a Bayesian update). Where neither holds,
-the id is coded digit by digit (4 bits) by adaptive order-0 frequencies of the digits before.
-All arithmetic is in integers, so every machine decodes alike.
+the id is coded by its frequency in the block so far (order 0). An id that the block has not
+had takes a place kept for new ones and is spelled in the block's list of new ids: its high
+bits by adaptive frequencies, the others as they are. Predictions follow every id; tables of
+frequencies and weights take in what was coded after each span of ids, a third as long as all
+before it. All arithmetic is in integers, so every machine decodes alike.
 
 **Blocks.** A shard's ids are cut into blocks of 1,024 to 4,096. Model and coder start afresh
 in each; a block carries its length and the crc32 of its ids, and is decoded alone. As blocks
@@ -40,210 +43,414 @@ END_ID = 0
 LANES = 1024
 SHORTEST, LONGEST = 1024, 4096      # ids of a block
 SLOTS = 4096                        # predictions that a context table holds
-MAGIC = b"IDCM"
-HEADER = struct.Struct("<4sBxxxIII")    # magic, digits, ids, bytes, crc32
-BITS = 14                           # probabilities are parts of 1 << BITS
+MAGIC = b"IDC2"
+HEADER = struct.Struct("<4sBxHIIII")    # magic, digits, new ids, ids, bytes, bytes of the new ids, crc32
+SPAN = 16                           # steps whose intervals are computed at a time
+BITS = 14                           # probabilities of outcomes are parts of 1 << BITS
 ONE = 1 << BITS
-LEAST_RANGE = np.uint64(1 << 24)
-WORD, LOW_WORD = np.uint64(32), np.uint64(0xFFFFFFFF)
+HIGH = 6                            # bits of a new id that are coded by adaptive frequencies
+PLACES = (1 << 13) - 1
+COUNT = 13                          # bits of a place in a table of shares
+WORD, LEAST_RANGE = np.uint64(32), np.uint64(1 << 32)
+OUTCOME = np.uint64(BITS)
 
 
-class Coder:
-    """A carry-less 64-bit range coder per lane, over numpy arrays, that moves 32-bit words.
-    ``lanes`` is a slice or an array of lane numbers."""
+class Encoder:
+    """A 64-bit range coder per lane that moves 32-bit words, over numpy arrays. A carry out of
+    the range goes into the words that are out. ``lanes`` is a slice or an array of lanes."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, room: np.ndarray):
+        lanes = len(room)
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.number = np.arange(lanes)
-
-    def narrow(self, lanes, unit, start, end):
-        """Takes the part ``start`` .. ``end`` of each lane's range. A range that got small is
-        shifted by a word; if its top word is not settled yet (one time in 256), the range
-        ends where that word does."""
-        low = self.low[lanes] + unit * start.astype(np.uint64)
-        width = unit * (end - start).astype(np.uint64)
-        due = np.flatnonzero(width < LEAST_RANGE)
-        if len(due):
-            first, left = low[due], width[due]
-            settled = (first ^ (first + left)) <= LOW_WORD
-            left = np.where(settled, left, (np.uint64(0) - first) & LOW_WORD)
-            moved = self.number[lanes][due]
-            self.shift(moved, first)
-            self.at[moved] += 1
-            low[due], width[due] = first << WORD, left << WORD
-        self.low[lanes], self.range[lanes] = low, width
-
-
-class Encoder(Coder):
-    def __init__(self, lanes: int, room: int):
-        super().__init__(lanes)
-        self.out = np.zeros(lanes * room, ">u4")
-        self.room, self.base = room, np.arange(lanes) * room
-
-    def shift(self, lanes, low):
-        self.out[self.base[lanes] + self.at[lanes]] = low >> WORD
-
-    def outcome(self, lanes, first, second, given):
-        """Codes one of three outcomes; ``first`` and ``second`` part them."""
-        middle, last = given == 1, given == 2
-        start = np.where(last, second, np.where(middle, first, 0))
-        end = np.where(last, ONE, np.where(middle, second, first))
-        self.narrow(lanes, self.range[lanes] >> np.uint64(BITS), start, end)
-        return given
-
-    def digit(self, lanes, edges, given):
-        """Codes a digit; ``edges`` are the lower edges of all sixteen, lane after lane."""
-        at = self.number[:len(given)] * 16 + given
-        end = np.where(given == 15, ONE, edges.take(np.minimum(at + 1, len(edges) - 1)))
-        self.narrow(lanes, self.range[lanes] >> np.uint64(BITS), edges.take(at), end)
-        return given
+        self.start = np.cumsum(room) - room
+        self.at = self.start.copy()
+        self.out = np.zeros(int(room.sum()), "<u4")
+
+    def carry(self, lanes):
+        at = self.at[lanes] - 1
+        while len(at):
+            self.out[at] += np.uint32(1)
+            at = at[self.out[at] == 0] - 1
+
+    def narrow(self, lanes, edge, width, first, count, total):
+        """Takes ``width`` parts of ``ONE`` from ``edge``, and of those ``count`` of ``total`` parts from ``first``."""
+        part = self.range[lanes] >> OUTCOME
+        unit = part * width
+        unit //= total
+        part *= edge
+        part += unit * first
+        low = self.low[lanes] + part
+        over, = (low < part).nonzero()
+        if len(over):
+            self.carry(over)
+        unit *= count
+        due, = (unit < LEAST_RANGE).nonzero()
+        at, word = self.at[due], low[due]
+        self.out[at] = word >> WORD
+        self.at[due] = at + 1
+        low[due] = word << WORD
+        unit[due] = unit[due] << WORD
+        self.low[lanes], self.range[lanes] = low, unit
 
     def close(self) -> list[bytes]:
-        for word in (self.low >> WORD, self.low & LOW_WORD):
-            self.out[self.base + self.at] = word
-            self.at += 1
-        return [self.out[a:a + n].tobytes() for a, n in zip(self.base.tolist(), self.at.tolist())]
+        """The words of each lane; the last is the shortest that names its range."""
+        low = self.low + np.uint64(0xFFFFFFFF)
+        self.carry(np.flatnonzero(low < self.low))
+        self.out[self.at] = low >> WORD
+        return [self.out[a:b].tobytes() for a, b in zip(self.start.tolist(), (self.at + 1).tolist())]
 
 
-class Decoder(Coder):
+class Decoder:
     def __init__(self, payloads: list[bytes]):
-        super().__init__(len(payloads))
-        width = -(-max(map(len, payloads)) // 4) * 4 + 16
-        self.data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in payloads), ">u4").astype(np.uint64)
-        self.width = width // 4
-        self.base = np.arange(len(payloads)) * self.width
-        self.value = self.data[self.base] << WORD | self.data[self.base + 1]
-
-    def shift(self, lanes, low):
-        # a damaged block may ask for more than there is; its checksum tells
-        at = self.base[lanes] + np.minimum(self.at[lanes] + 2, self.width - 1)
-        self.value[lanes] = self.value[lanes] << WORD | self.data[at]
-
-    def spot(self, lanes, unit):
-        """Where in its range, in parts of ``ONE``, each lane's value lies."""
-        return np.minimum((self.value[lanes] - self.low[lanes]) // unit, np.uint64(ONE - 1)).astype(np.int32)
-
-    def outcome(self, lanes, first, second, _):
-        unit = self.range[lanes] >> np.uint64(BITS)
-        spot = self.spot(lanes, unit)
-        middle, last = spot >= first, spot >= second
-        self.narrow(lanes, unit, np.where(last, second, np.where(middle, first, 0)),
-                    np.where(last, ONE, np.where(middle, second, first)))
-        return middle.astype(np.int64) + last
-
-    def digit(self, lanes, edges, _):
-        unit = self.range[lanes] >> np.uint64(BITS)
-        spot = self.spot(lanes, unit)
-        row = self.number[:len(spot)] * 16
-        at = row.copy()
-        for half in (8, 4, 2, 1):                           # the last edge that is not beyond the spot
-            at += (edges.take(at + half) <= spot) * half
-        digit = at - row
-        end = np.where(digit == 15, ONE, edges.take(np.minimum(at + 1, len(edges) - 1)))
-        self.narrow(lanes, unit, edges.take(at), end)
-        return digit
-
-
-def _goals(n: int, least: int, kind) -> np.ndarray:
-    """By symbol, the lower edges towards which its sight moves a table: all room that the
-    least part of each leaves is its own."""
-    rows = [[i * least if i <= s else ONE - (n - i) * least for i in range(n)] for s in range(n)]
-    return np.array(rows, kind)
-
-
-class Model:
-    """The adaptive state of each lane. Tables hold lower edges, so they code as they are;
-    they move by a sixteenth or a 32nd of the way to their goal, which keeps parts positive."""
-
-    LEAST = 64                          # part of an outcome
-    DIGIT_GOALS = _goals(16, 24, np.int16)
-    DIGIT_CONTEXTS = 1024
-
-    def __init__(self, lanes: int, digits: int):
-        self.digits = digits
-        self.base = np.arange(lanes) * SLOTS
-        self.last = np.full((2, lanes * SLOTS), -1, np.int32)       # by order: predicted id * 8 + count
-        self.lane = [np.arange(lanes) * n for n in (1, 16, 8)]
-        #: by table, the edges between the three outcomes
-        self.first = [np.full(lanes * n, ONE // 3, np.int32) for n in (1, 16, 8)]
-        self.second = [np.full(lanes * n, 2 * ONE // 3, np.int32) for n in (1, 16, 8)]
-        self.weights = [np.full(lanes, ONE // 3, np.int32) for _ in range(3)]
-        even = (np.arange(16) * (ONE // 16)).astype(np.int16)
-        self.contexts = [min(16 ** d, self.DIGIT_CONTEXTS) for d in range(digits)]
-        self.digit = [np.tile(even, (lanes * n, 1)) for n in self.contexts]
-
-    def outcomes(self, k, one, two):
-        """The mixture's edges between the outcomes of the first ``k`` lanes, and what the
-        update needs."""
-        hash1 = one * 40503
-        slot1 = self.base[:k] + (hash1 >> 4 & SLOTS - 1)
-        slot2 = self.base[:k] + ((hash1 ^ two * 60493) >> 4 & SLOTS - 1)
-        held1, held2 = self.last[0].take(slot1), self.last[1].take(slot2)
-        id1, id2 = held1 >> 3, held2 >> 3
-        rows = [self.lane[0][:k], self.lane[1][:k] + ((held1 & 7) * 2 + (id1 == id2)), self.lane[2][:k] + (held2 & 7)]
-        parts = [(f.take(r), s.take(r)) for f, s, r in zip(self.first, self.second, rows)]
-        w = [x[:k] for x in self.weights]
-        total = w[0] + w[1] + w[2]
-        first, second = ((w[0] * parts[0][i] + w[1] * parts[1][i] + w[2] * parts[2][i]) // total for i in (0, 1))
-        return first, second, (slot1, slot2, held1, held2, id1, id2, rows, parts, w)
-
-    def learn(self, outcome, ids, first, second, state):
-        slot1, slot2, held1, held2, id1, id2, rows, parts, weights = state
-        top, last = outcome == 0, outcome == 2
-
-        def given(f, s):
-            return np.where(top, f, np.where(last, ONE - s, s - f))
-
-        mixed = given(first, second)
-        goal1 = np.where(top, ONE - 2 * self.LEAST, self.LEAST).astype(np.int32)
-        goal2 = np.where(last, 2 * self.LEAST, ONE - self.LEAST).astype(np.int32)
-        for f, s, r, p, w in zip(self.first, self.second, rows, parts, weights):
-            w += (given(*p) - mixed) >> 4       # a table that gave the outcome more than the mixture gains weight
-            np.minimum(np.maximum(w, ONE >> 6, out=w), ONE, out=w)
-            f[r] = p[0] + ((goal1 - p[0]) >> 5)
-            s[r] = p[1] + ((goal2 - p[1]) >> 5)
-        for last_of, slot, held, known in ((self.last[0], slot1, held1, id1), (self.last[1], slot2, held2, id2)):
-            last_of[slot] = np.where(known == ids, np.minimum(held & 7, 6) + 1, 0) + (ids << 3)
-
-    def spell(self, coder, lanes, ids):
-        """Codes ids digit by digit; gives them."""
-        out = np.zeros(len(lanes), np.int64)
-        for d, (table, n) in enumerate(zip(self.digit, self.contexts)):
-            row = lanes * n + (out & n - 1)
-            held = table.take(row, axis=0)
-            digit = coder.digit(lanes, held.reshape(-1), None if ids is None else ids >> 4 * (self.digits - 1 - d) & 15)
-            table[row] = held + ((self.DIGIT_GOALS.take(digit, axis=0) - held) >> 4)
-            out = out << 4 | digit
-        return out
-
-
-def _run(coder, model, lengths, ids=None):
-    """Codes the blocks side by side. ``lengths`` fall; ``ids`` is None to decode."""
-    decode, steps = ids is None, int(lengths[0])
-    out = np.zeros((steps, len(lengths)), np.int64) if decode else np.ascontiguousarray(ids.T)
-    one = two = np.zeros(len(lengths), np.int64)
-    ends = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right").tolist()
-    for t in range(steps):
-        k = ends[t]                                         # lanes that are not at their end
-        one, two = one[:k], two[:k]
-        first, second, state = model.outcomes(k, one, two)
-        id1, id2 = state[4], state[5]
-        now = out[t, :k]
-        outcome = None if decode else np.where(now == id2, 0, np.where(now == id1, 1, 2))
-        outcome = coder.outcome(slice(0, k), first, second, outcome)
-        rest = np.flatnonzero(outcome == 2)
-        if decode:                                          # a damaged block may give anything
-            now = np.where(outcome == 0, id2, id1).astype(np.int64) & (16 ** model.digits - 1)
-            if len(rest):
-                now[rest] = model.spell(coder, rest, None)
-            out[t, :k] = now
-        elif len(rest):
-            model.spell(coder, rest, now[rest])
-        model.learn(outcome, now, first, second, state)
-        one, two = now, one
-    return out.T
+        words = np.fromiter(map(len, payloads), np.int64, len(payloads)) // 4 + 2
+        self.data = np.frombuffer(b"".join(p + bytes(8) for p in payloads), "<u4").astype(np.uint64)
+        start = np.cumsum(words) - words
+        self.value = self.data[start] << WORD | self.data[start + 1]
+        self.at = start + 2
+        self.range = np.full(len(payloads), 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def shift(self, n, value, width):
+        """Stores what is left of the first lanes' values and ranges; small ones get a word."""
+        due, = (width < LEAST_RANGE).nonzero()
+        at = self.at[due]
+        # a damaged block may ask for more than there is
+        value[due] = value[due] << WORD | self.data.take(at, mode="clip")
+        width[due] = width[due] << WORD
+        self.at[due] = at + 1
+        self.value[:n], self.range[:n] = value, width
+
+    def pick(self, value, width, rows, total, table):
+        """The entries of ``table`` (see ``shares``) that the values lie in, and what is left."""
+        unit = width // total
+        spot = np.minimum(value // unit, total - np.uint64(1)).astype(np.int64)
+        held = table.take(rows + spot)
+        value = value - (held >> COUNT & (1 << COUNT) - 1).astype(np.uint64) * unit
+        return held >> 2 * COUNT, value, (held & (1 << COUNT) - 1).astype(np.uint64) * unit
+
+
+def epochs(steps: int):
+    """Spans of steps, each a third of all before."""
+    a = 0
+    while a < steps:
+        b = min(steps, a + max(16, a // 3))
+        yield a, b
+        a = b
+
+
+class Outcomes:
+    """Adaptive frequencies of the three outcomes by lane: in all, by the order-1 count and
+    whether both predictions agree, by the order-2 count; and the weights they are mixed with."""
+
+    LEAST = 64
+
+    def __init__(self, lanes: int):
+        self.seen = np.zeros((lanes, 8, 4, 3), np.int32)
+        self.weights = np.full((3, lanes, 1, 1, 1), ONE // 3, np.int32)
+        self.mix()
+
+    def mix(self):
+        n = self.seen
+        parts = []
+        for by in ((1, 2), 2, 1):
+            held = n.sum(axis=by, keepdims=True, dtype=np.int32) * 2 + 1
+            parts.append(self.LEAST + held * (ONE - 3 * self.LEAST) // held.sum(axis=3, keepdims=True, dtype=np.int32))
+        w = self.weights
+        mixed = w[0] * parts[0] + w[1] * parts[1]
+        mixed = (mixed + w[2] * parts[2]) // w.sum(axis=0)
+        mixed[..., 2] = ONE - mixed[..., 0] - mixed[..., 1]
+        self.parts, self.mixed = parts, mixed
+        first = mixed[..., 0].reshape(-1)
+        #: by lane and context, the two edges between the outcomes
+        self.first, self.second = first.astype(np.int64), (first + mixed[..., 1].reshape(-1)).astype(np.int64)
+
+    def learn(self, seen):
+        """``seen``: by step and lane, context * 3 + outcome, of the first lanes."""
+        k = seen.shape[1]
+        n = np.bincount((seen + np.arange(k) * 96).reshape(-1), minlength=len(self.seen) * 96)
+        n = n.reshape(self.seen.shape).astype(np.int32)
+        for w, p in zip(self.weights, self.parts):
+            gain = (n * (p - self.mixed)).sum(axis=(1, 2, 3), keepdims=True)
+            w += (gain >> 4).astype(np.int32)
+            np.clip(w, ONE >> 6, ONE, out=w)
+        self.seen += n
+        self.mix()
+
+
+class Contexts:
+    """By lane, the id (plus one) that last followed one and two ids, with a count."""
+
+    def __init__(self, lanes: int):
+        self.base = np.arange(lanes) * SLOTS + np.array([[0], [lanes * SLOTS]])
+        self.held = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self, k):
+        """Predictions after one and after two ids, and the context of the outcome."""
+        hash1 = self.one[:k] * 40503
+        slot = np.empty((2, k), np.int64)
+        slot[0] = hash1
+        np.bitwise_xor(hash1, self.two[:k] * 60493, out=slot[1])
+        slot >>= 4
+        slot &= SLOTS - 1
+        slot += self.base[:, :k]
+        held = self.held.take(slot)
+        known, count = held >> 2, held & 3
+        context = count[0] * 8 + count[1]
+        context += (known[0] == known[1]) * np.int32(4)
+        self.state = slot, known, count
+        return known[0], known[1], context
+
+    def learn(self, now):
+        """``now``: the ids, plus one."""
+        slot, known, count = self.state
+        count += 1
+        np.minimum(count, 3, out=count)
+        new = np.ones_like(count)
+        np.copyto(new, count, where=known == now)
+        new += now << 2
+        self.held[slot.reshape(-1)] = new.reshape(-1)
+        self.two[:len(now)] = self.one[:len(now)]
+        self.one[:len(now)] = now
+
+
+def shares(runs, first, count):
+    """One table of shares: by place, the entry that the place belongs to, its first place in
+    the lane and how many it has."""
+    return np.repeat(runs.astype(np.int64) << 2 * COUNT | first << COUNT | count, count)
+
+
+def spell(lists: list[np.ndarray], digits: int) -> list[bytes]:
+    """Codes the new ids of each lane: their high bits by adaptive frequencies."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    order = np.argsort(-lengths, kind="stable")
+    steps = int(lengths.max())
+    ids = np.zeros((steps, len(lists)), np.uint64)
+    for lane, k in enumerate(order.tolist()):
+        ids[:lengths[k], lane] = lists[k]
+    low = max(0, 4 * digits - HIGH)
+    high, rest = (ids >> np.uint64(low)).astype(np.int64), ids & np.uint64((1 << low) - 1)
+    coder, counts = Encoder(2 * lengths[order] + 4), np.ones((len(lists), 1 << HIGH), np.int64)
+    ends = active(lengths[order], steps)
+    full, none, total = np.uint64(ONE), np.uint64(0), np.uint64(1 << low)
+    for a, b in epochs(steps):
+        k = ends[a]
+        edges = (np.cumsum(counts, axis=1) - counts).reshape(-1).astype(np.uint64)
+        parts = counts.reshape(-1).astype(np.uint64)
+        row = np.arange(k) << HIGH
+        for t in range(a, b):
+            n = ends[t]
+            at = row[:n] + high[t, :n]
+            lanes = slice(0, n)
+            coder.narrow(lanes, none, full, edges.take(at), parts.take(at), np.uint64((1 << HIGH) + a))
+            coder.narrow(lanes, none, full, rest[t, :n], np.uint64(1), total)
+        counts += np.bincount((row + high[a:b, :k]).reshape(-1), minlength=counts.size).reshape(counts.shape)
+    out = [b""] * len(lists)
+    for k, data in zip(order.tolist(), coder.close()):
+        out[k] = data
+    return out
+
+
+def unspell(payloads: list[bytes], lengths: np.ndarray, digits: int) -> np.ndarray:
+    """The new ids of each lane, lane after lane."""
+    order = np.argsort(-lengths, kind="stable")
+    steps = int(lengths.max())
+    low = max(0, 4 * digits - HIGH)
+    coder, counts = Decoder([payloads[k] for k in order.tolist()]), np.ones((len(lengths), 1 << HIGH), np.int64)
+    out = np.zeros((steps, len(lengths)), np.int64)
+    ends, total = active(lengths[order], steps), np.uint64(1 << low)
+    row = np.arange(len(lengths))
+    for a, b in epochs(steps):
+        k = ends[a]
+        mine = counts[:k].reshape(-1)
+        first = (np.cumsum(counts[:k], axis=1) - counts[:k]).reshape(-1)
+        table = shares(np.tile(np.arange(1 << HIGH), k), first, mine)
+        size = (1 << HIGH) + a
+        for t in range(a, b):
+            n = ends[t]
+            lanes = slice(0, n)
+            high, value, width = coder.pick(coder.value[lanes], coder.range[lanes] >> OUTCOME << OUTCOME,
+                                            row[:n] * size, np.uint64(size), table)
+            coder.shift(n, value, width)
+            unit = (coder.range[lanes] >> OUTCOME << OUTCOME) // total
+            rest = np.minimum(coder.value[lanes] // unit, total - np.uint64(1))
+            coder.shift(n, coder.value[lanes] - rest * unit, unit)
+            out[t, :n] = high << low | rest.astype(np.int64)
+        counts += np.bincount(((row[:k] << HIGH) + (out[a:b, :k] >> low)).reshape(-1),
+                              minlength=counts.size).reshape(counts.shape)
+    back = np.empty_like(order)
+    back[order] = row
+    return out.T[back][np.arange(steps) < lengths[:, None]]
+
+
+def active(lengths, steps):
+    """How many lanes, whose lengths fall, have an id at each step."""
+    return np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right").tolist()
+
+
+def _places(ids, lengths):
+    """By lane, the number of each id among the lane's ids in ascending order, and how many there are at most."""
+    steps = ids.shape[1]
+    bits = max(1, (steps - 1).bit_length())
+    packed = ids.astype(np.int64) << bits | np.arange(steps)
+    if int(ids.max()) >> (31 - bits) == 0:
+        packed = packed.astype(np.int32)
+    packed.sort(axis=1)
+    fresh = np.zeros(ids.shape, np.int16)
+    np.not_equal(packed[:, 1:] >> bits, packed[:, :-1] >> bits, out=fresh[:, 1:], casting="unsafe")
+    place = np.cumsum(fresh, axis=1, dtype=np.int16)
+    out = np.empty(ids.shape, np.int16)
+    np.put_along_axis(out, (packed & (1 << bits) - 1).astype(np.int64), place, axis=1)
+    return out, int(place.max()) + 1
+
+
+def _encode(ids: np.ndarray, lengths: np.ndarray, digits: int):
+    """Payloads of the blocks and of their new ids. A row of ``ids`` a block; ``lengths`` fall."""
+    lanes, steps = ids.shape
+    place, size = _places(ids, lengths)
+    place, ids = np.ascontiguousarray(place.T), np.ascontiguousarray(ids.T, np.int32)
+    coder, contexts, outcomes = Encoder(lengths + 4), Contexts(lanes), Outcomes(lanes)
+    ends, number = active(lengths, steps), np.arange(lanes)
+    counts, escape = np.zeros(lanes * size, np.int64), np.ones(lanes, np.int64)
+    new_lanes, new_ids = [], []
+    for a, b in epochs(steps):
+        k = ends[a]
+        seen, new = np.zeros((b - a, k), np.int64), np.zeros((b - a, k), bool)
+        held = counts.reshape(lanes, size)
+        below, row = (np.cumsum(held, axis=1) - held).reshape(-1), number[:k] * size
+        for c in range(a, b, SPAN):
+            d = min(b, c + SPAN)
+            given = seen[c - a:d - a]
+            for t, context in enumerate(given, c):
+                n = ends[t]
+                id1, id2, found = contexts.predict(n)
+                now = ids[t, :n] + 1
+                outcome = (now != id2).view(np.int8)
+                outcome += outcome & (now != id1)
+                found *= 3
+                found += outcome
+                context[:n] = found
+                contexts.learn(now)
+            # the span's intervals
+            mine = row + place[c:d, :k]
+            at = given // 3
+            outcome = given - at * 3
+            at += number[:k] * 32
+            first, second = outcomes.first.take(at), outcomes.second.take(at)
+            last = outcome == 2
+            edge, width = first.copy(), second - first
+            np.copyto(edge, 0, where=outcome == 0)
+            np.copyto(width, first, where=outcome == 0)
+            np.copyto(edge, second, where=last)
+            np.copyto(width, ONE - second, where=last)
+            first, count = below.take(mine), counts.take(mine)
+            mine = last & (count == 0)
+            np.copyto(first, a, where=mine)
+            np.copyto(count, escape[:k], where=mine)
+            total = np.ones_like(count)
+            np.copyto(total, a + escape[:k], where=last)
+            np.copyto(first, 0, where=~last)
+            np.copyto(count, 1, where=~last)
+            mine &= np.arange(c, d)[:, None] < lengths[:k]
+            new[c - a:d - a] = mine
+            rows = [x.view(np.uint64) for x in (edge, width, first, count, total)]
+            for t in range(c, d):
+                n = ends[t]
+                coder.narrow(slice(0, n), *[x[t - c, :n] for x in rows])
+        # ids that are new, lane after lane
+        lane, step = np.nonzero(new.T)
+        new_lanes.append(lane)
+        new_ids.append(ids[a + step, lane])
+        if b < steps:
+            k = ends[b]
+            outcomes.learn(seen[:, :k])
+            counts += np.bincount((row[:k] + place[a:b, :k]).reshape(-1), minlength=len(counts))
+            escape[:k] = escapes(b, new[:, :k].sum(axis=0), (seen[:, :k] % 3 == 2).sum(axis=0))
+    lane, new = np.concatenate(new_lanes), np.concatenate(new_ids)
+    order = np.argsort(lane, kind="stable")
+    edges = np.searchsorted(lane[order], np.arange(1, lanes))
+    return coder.close(), np.split(new[order], edges)
+
+
+def escapes(seen: int, new, unpredicted):
+    """Places of new ids beside those ``seen``, after the share of new ones in the last span."""
+    return np.minimum(1 + seen * new // np.maximum(1, unpredicted - new), (1 << COUNT) - 1 - seen)
+
+
+def _decode(payloads, lengths, new_ids, new_counts):
+    lanes, steps = len(payloads), int(lengths[0])
+    coder, contexts, outcomes = Decoder(payloads), Contexts(lanes), Outcomes(lanes)
+    out = np.zeros((steps, lanes), np.int32)
+    ends, number = active(lengths, steps), np.arange(lanes)
+    new_ids = (np.append(new_ids, 0) + 1).astype(np.int32)
+    new_at = np.cumsum(new_counts) - new_counts
+    escape = np.ones(lanes, np.int64)
+    for a, b in epochs(steps):
+        k = ends[a]
+        seen, new, whole = np.zeros((b - a, k), np.int64), new_at[:k].copy(), np.uint64(a)
+        # the table of shares: a row's ids in ascending order, at last the new ones
+        held = np.full((k, a + 1), 0x7FFFFFFF, np.int32)
+        held[:, :a] = out[:a, :k].T
+        held.sort(axis=1)
+        flat = held.reshape(-1)
+        fresh = np.ones(flat.size, bool)
+        np.not_equal(flat[1:], flat[:-1], out=fresh[1:])
+        fresh[::a + 1] = True
+        runs = np.flatnonzero(fresh)
+        last = flat[runs] == 0x7FFFFFFF
+        first = runs % (a + 1)
+        count = np.diff(runs, append=flat.size)
+        value = flat[runs].astype(np.int64)
+        value[last] = 0
+        share = count.copy()
+        share[last] = escape[:k]
+        table = np.repeat(value << 2 * COUNT | first << COUNT | share, count)
+        row, total = number[:k] * (a + 1), (a + escape[:k]).astype(np.uint64)
+        place = number[:k] * 32
+        for t in range(a, b):
+            n = ends[t]
+            id1, id2, context = contexts.predict(n)
+            at = place[:n] + context
+            first, second = outcomes.first.take(at).view(np.uint64), outcomes.second.take(at).view(np.uint64)
+            part, value = coder.range[:n] >> OUTCOME, coder.value[:n]
+            first *= part
+            second *= part
+            beyond, rest = value >= first, value >= second
+            context *= 3
+            context += beyond
+            context += rest
+            seen[t - a, :n] = context
+            now, width, value = id2.copy(), first.copy(), value.copy()
+            np.copyto(now, id1, where=beyond)
+            np.copyto(width, second - first, where=beyond)
+            np.copyto(value, value - first, where=beyond)
+            # all lanes look an id up; those without a prediction take it
+            part <<= OUTCOME
+            part -= second
+            part //= total[:n]
+            left = coder.value[:n] - second
+            spot = np.minimum(left // part, whole).view(np.int64)
+            spot += row[:n]
+            entry = table.take(spot)
+            left -= (entry >> COUNT & PLACES).view(np.uint64) * part
+            part *= (entry & PLACES).view(np.uint64)
+            entry >>= 2 * COUNT
+            np.copyto(now, entry, where=rest, casting="unsafe")
+            np.copyto(value, left, where=rest)
+            np.copyto(width, part, where=rest)
+            fresh, = (now == 0).nonzero()
+            if len(fresh):
+                at = new_at[fresh]
+                now[fresh] = new_ids.take(at, mode="clip")
+                new_at[fresh] = at + 1
+            coder.shift(n, value, width)
+            out[t, :n] = now
+            contexts.learn(now)
+        if b < steps:
+            k = ends[b]
+            outcomes.learn(seen[:, :k])
+            escape[:k] = escapes(b, new_at[:k] - new[:k], (seen[:, :k] % 3 == 2).sum(axis=0))
+    return (out - 1).T
 
 
 def digits_of(largest: int) -> int:
@@ -260,29 +467,32 @@ def encode_blocks(ids: np.ndarray, digits: int = 4) -> list[bytes]:
     lanes = np.zeros((len(cuts), int(lengths[0])), np.int64)
     for row, c in zip(lanes, cuts):
         row[:len(c)] = c
-    coder = Encoder(len(cuts), (digits + 1) * int(lengths[0]) // 2 + 4)
-    _run(coder, Model(len(cuts), digits), lengths, lanes)
-    return [HEADER.pack(MAGIC, digits, len(c), len(p), zlib.crc32(c.astype("<u4").tobytes())) + p
-            for c, p in zip(cuts, coder.close())]
+    blocks, new = _encode(lanes, lengths, digits)
+    spelled = spell(new, digits)
+    return [HEADER.pack(MAGIC, digits, len(n), len(c), len(p) + len(s), len(s),
+                        zlib.crc32(c.astype("<u4").tobytes())) + p + s
+            for c, p, n, s in zip(cuts, blocks, new, spelled)]
 
 
 def ids_in(block: bytes) -> int:
-    return HEADER.unpack_from(block)[2]
+    return HEADER.unpack_from(block)[3]
 
 
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """Ids (little-endian unsigned 32-bit) of each block, checked."""
     heads = [HEADER.unpack_from(b) for b in blocks]
-    for b, (magic, _, n, size, _) in zip(blocks, heads):
-        if magic != MAGIC or len(b) != HEADER.size + size or not 0 < n <= LONGEST:
+    for b, (magic, _, new, n, size, own, _) in zip(blocks, heads):
+        if magic != MAGIC or len(b) != HEADER.size + size or not 0 < n <= LONGEST or own > size or new > n:
             raise ValueError("not a block of ids")
     out: list = [None] * len(blocks)
     for digits in sorted({h[1] for h in heads}):
-        order = sorted((k for k, h in enumerate(heads) if h[1] == digits), key=lambda k: -heads[k][2])
-        lengths = np.array([heads[k][2] for k in order])
-        decoder = Decoder([blocks[k][HEADER.size:] for k in order])
-        for k, row in zip(order, _run(decoder, Model(len(order), digits), lengths)):
-            out[k] = row[:heads[k][2]].astype("<u4")
+        order = sorted((k for k, h in enumerate(heads) if h[1] == digits), key=lambda k: -heads[k][3])
+        lengths, new = np.array([heads[k][3] for k in order]), np.array([heads[k][2] for k in order])
+        spelled = [len(blocks[k]) - heads[k][5] for k in order]
+        new_ids = unspell([blocks[k][a:] for k, a in zip(order, spelled)], new, digits)
+        rows = _decode([blocks[k][HEADER.size:a] for k, a in zip(order, spelled)], lengths, new_ids, new)
+        for k, row in zip(order, rows):
+            out[k] = row[:heads[k][3]].astype("<u4")
     for ids, (*_, crc) in zip(out, heads):
         if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("a block's ids don't match its checksum")
@@ -295,8 +505,10 @@ BLOCKS = "shard int, block int, n_ids int, starts array<struct<doc_id:bigint,at:
 _STARTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int32())]))
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "text") -> None:
-    """Writes the ids of all documents, an ``END_ID`` after each, in ascending order of doc_id."""
+def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "text",
+          room: int = LANES * LONGEST) -> None:
+    """Writes the ids of all documents, an ``END_ID`` after each, in ascending order of doc_id.
+    ``room`` ids are coded at a time."""
     path = path or common.vocabulary("byte_bpe_50k.json")
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", common.text_of(text).alias("text")).repartitionByRange(F.col("doc_id"), tie) \
@@ -304,19 +516,20 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encode = common.library_encoder(path)
+        encode = common.piece_encoder(path)
         digits = digits_of(max(common.library_tokenizer(path).get_vocab().values()))
         shard, block = TaskContext.get().partitionId(), 0
-        held, starts, size = [], [], 0          # bytes of ids, documents that begin in them, ids
+        held, starts, size = [], [], 0          # ids, documents that begin in them, how many ids
 
-        def flush():
-            """Rows of what is held."""
+        def flush(most):
+            """Rows of the first ids that are held, ``most`` at most."""
             nonlocal block, held, starts, size
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
+            ids, kept = ids[:most], ids[most:].copy()
             rows = [[], [], [], [], []]
             at, next_start = 0, 0
-            for part in range(0, len(ids), LANES * LONGEST):
-                for data in encode_blocks(ids[part:part + LANES * LONGEST], digits):
+            for part in range(0, len(ids), room):
+                for data in encode_blocks(ids[part:part + room], digits):
                     n = ids_in(data)
                     mine = []
                     while next_start < len(starts) and starts[next_start][1] < at + n:
@@ -325,20 +538,22 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
                     for column, value in zip(rows, (shard, block, n, mine, data)):
                         column.append(value)
                     at, block = at + n, block + 1
-            held, starts, size = [], [], 0
+            held, size = [kept], len(kept)
+            starts = [(doc_id, start - at) for doc_id, start in starts[next_start:]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.int32(), _STARTS, pa.binary()))],
                 names=["shard", "block", "n_ids", "starts", "data"])
 
         for b in batches:
-            for doc_id, raw in zip(b.column(0).to_pylist(), encode.all(b.column(1).to_pylist())):
-                starts.append((doc_id, size))
-                held += [raw, end]
-                size += len(held[-2]) // 4 + 1
-                if size >= LANES * LONGEST:
-                    yield flush()
+            doc_ids = iter(b.column(0).to_pylist())
+            for counts, ids in encode.all(b.column(1).to_pylist(), end):
+                starts += zip(doc_ids, (size + np.cumsum(counts) - counts).tolist())
+                held.append(ids)
+                size += len(ids)
+                if size >= room:        # what does not fill it waits for more
+                    yield flush(size // room * room)
         if size:
-            yield flush()
+            yield flush(size)
 
     ordered.mapInArrow(run, BLOCKS).write.parquet(folder)
 

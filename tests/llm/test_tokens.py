@@ -113,6 +113,85 @@ def test_repetition_is_predicted():
     assert 8 * sum(map(len, idfile.encode_blocks(ids))) < 3 * len(ids)
 
 
+def test_blocks_of_any_length_and_size_of_ids():
+    """op1: blocks of many lengths are decoded side by side, whatever the ids' size."""
+    rng = np.random.default_rng(4)
+    for digits in (1, 2, 5, 7):
+        parts = [rng.zipf(1.2, n) % 16 ** digits for n in (1, 17, 1024, 1500, 4096, 70_000)]
+        parts.append(rng.integers(0, 16 ** digits, 3000))
+        blocks = [b for p in parts for b in idfile.encode_blocks(p, digits)]
+        back = idfile.decode_blocks(blocks)
+        assert np.array_equal(np.concatenate(back), np.concatenate(parts))
+        assert [idfile.ids_in(b) for b in blocks] == list(map(len, back))
+
+
+def test_carries_go_into_words_that_are_out():
+    coder = idfile.Encoder(np.array([9]))
+    one = [np.array([x], np.uint64) for x in (idfile.ONE - 1, 1, 0, 1, 1)]
+    for _ in range(12):                                     # always the last part: low nears the top
+        coder.narrow(slice(0, 1), *one)
+    coder.out[:coder.at[0]] = 0xFFFFFFFF
+    coder.out[0] = 7
+    coder.low[0] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    coder.narrow(slice(0, 1), *one)
+    assert coder.out[0] == 8 and not coder.out[1:coder.at[0] - 1].any()
+
+
+def test_damage_is_noticed_wherever_it_is():
+    rng = np.random.default_rng(6)
+    block, = idfile.encode_blocks(rng.zipf(1.3, 900) % 50_257)
+    for _ in range(150):
+        broken = bytearray(block)
+        broken[rng.integers(len(block))] ^= int(rng.integers(1, 256))
+        try:                            # an unused byte of the header or of the last word may go
+            assert np.array_equal(idfile.decode_blocks([bytes(broken)])[0], idfile.decode_blocks([block])[0])
+        except ValueError:
+            pass
+
+
+def test_an_id_is_spelled_once_and_then_coded_by_its_frequency():
+    """op1: an id was spelled digit by digit whenever it was not predicted; 6.64 bits tell 100 ids apart."""
+    rng = np.random.default_rng(5)
+    ids = rng.choice(50_000, 100, replace=False)[rng.integers(0, 100, 4096 * 3)]
+    blocks = idfile.encode_blocks(ids)
+    assert np.array_equal(np.concatenate(idfile.decode_blocks(blocks)), ids)
+    assert sum(idfile.HEADER.unpack_from(b)[2] for b in blocks) < 2.5 * 100 * len(blocks)
+    blocks = idfile.encode_blocks(np.tile(ids, 300))        # blocks of 3,600
+    assert 8 * sum(map(len, blocks)) < 7.8 * 300 * len(ids)
+
+
+@pytest.mark.parametrize("size", [1_000_000, 50])
+def test_pieces_are_encoded_as_the_library_does(size):
+    """op1: texts are cut and looked up together by Arrow; few pieces are kept."""
+    rng = random.Random(3)
+    mixed = ["".join(rng.choices("ab e'Ts1½ \n\t.,!é_-🙂", k=40)) for _ in range(300)]
+    mixed += [" ".join("".join(rng.choices("ab\n.e'é", k=3)) for _ in range(9)) for _ in range(300)]
+    encode = common.PieceEncoder(PATH, size)
+    encode.GROUP = 500
+    for texts in ([*ODD, *mixed], mixed[::-1], ["x" * 900, "", "x y"], [""], []):
+        got = [part.tolist() for counts, ids in encode.all(texts, np.array([7], "<u4").tobytes())
+               for part in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [library_ids(t) + [7] for t in texts]
+    assert len(encode.known) <= 50 or size > 50
+
+
+def test_shards_fill_their_lanes(spark, tmp_path):
+    """op1: ids beyond full lanes wait for the next row of blocks, and none is lost."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(["the", "of", "and", "cat"], k=rng.choice([0, 5, 700, 5000])))) for i in range(12)]
+    folder = str(tmp_path / "ids")
+    idfile.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, room=2048)
+    shards = spark.read.parquet(folder).orderBy("shard", "block").collect()
+    for r, after in zip(shards, shards[1:]):                # only a shard's last row of blocks is not full
+        assert r.n_ids == 1024 or r.shard != after.shard
+    got = idfile.starts(idfile.read(spark, folder)).orderBy("start").collect()
+    at = 0
+    for (doc_id, text), r in zip(rows, got, strict=True):
+        ids = library_ids(text) + [0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_files(spark, odd_docs, no_docs, tmp_path):
     folder = str(tmp_path / "ids")
     idfile.write(odd_docs, folder)
