@@ -81,3 +81,27 @@ def test_run_folders_holds_no_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrame, "persist", refuse)
     monkeypatch.setattr(DataFrame, "cache", refuse)
     assert checks.q_run_folders(spark, str(tmp_path)).count() == 30
+
+
+def test_run_folders_are_written_and_read_file_by_file_on_executors(spark, tmp_path, monkeypatch):
+    """Spark's JSON writer changed each file's mode by a process of its own, once for every run's
+    pass, and its reader held every file's name on the driver: minutes for some ten thousand images."""
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from pyspark.sql.readwriter import DataFrameReader, DataFrameWriter
+    from nightjar.plans import testviews as tv
+    days = [dt.datetime(1994 + i % 2, 3, 1) for i in range(60)]
+    _lineitem(spark, tmp_path, [(i // 6, i, None if i % 7 == 6 else i % 7, i % 3, 0.05, 0.02, "A", "OF"[i % 5 == 0], days[i])
+                                for i in range(60)])
+
+    def refuse(self, *a, **k):
+        raise AssertionError("a pass of Spark's own files")
+
+    monkeypatch.setattr(DataFrameReader, "json", refuse)
+    monkeypatch.setattr(DataFrameWriter, "json", refuse)
+    got = checks.q_run_folders(spark, str(tmp_path))
+    want = tv.finding_rows(spark, str(tmp_path)).select(
+        *[F.coalesce("image", F.lit("")).alias("image") if c == "image" else c for c in got.columns])
+    named = got.withColumn("image", F.when(F.col("image").startswith("img-"), F.col("image")).otherwise("r"))
+    want = want.withColumn("image", F.when(F.col("image").startswith("img-"), F.col("image")).otherwise("r"))
+    assert sorted(map(repr, named.collect())) == sorted(map(repr, want.collect())) and got.count() == 60

@@ -195,3 +195,67 @@ def test_feed_state_rules(spark):
                                schemas.KNOWN_BAD)
     new = feedops.replace_source(kb, spark.createDataFrame([("c.test",)], "domain string"), "s1", T)
     assert sorted((r["domain"], r["source"]) for r in new.collect()) == [("a.test", "s2"), ("c.test", "s1")]
+
+
+def _line(run, image, part, target, kind, cve):
+    return run, image, part, target, kind, cve, "p", "1", None, None, 'a "b"', ("pkg:x@1",)
+
+
+LINES = "run_key string, ArtifactName string, part long, Target string, Class string, VulnerabilityID string, PkgName string, " \
+        "InstalledVersion string, FixedVersion string, Severity string, Title string, PkgIdentifier struct<PURL: string>"
+
+
+@pytest.mark.parametrize("batch", ["1", "2", "10000"])
+def test_runs_are_written_as_their_lines_come(spark, tmp_path, batch):
+    """A document may come in many batches, and a batch hold many documents."""
+    a, b = "20250101-000000", "20250102-000000"
+    lines = [_line(a, "x/y:1", 1, "t", "c", "1"), _line(a, "x/y:1", 1, "t", "c", "2"), _line(a, "x/y:1", 1, "u\"", None, "3"),
+             _line(a, "x/y:1", 2, "u\"", None, "4"), _line(a, "x/y:1", None, "u\"", None, "5"), _line(a, "_z", None, None, None, "6"),
+             _line(a, None, None, None, None, "7"), _line(b, None, None, None, None, "8"), _line(b, "é", 0, "", "", "9")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert reports.write_runs(spark.createDataFrame(lines, LINES).coalesce(1), f"file:{tmp_path}") == 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {f"{p.parent.name}/{p.name}": json.loads(p.read_text(encoding="utf-8")) for p in tmp_path.glob("*/*")}
+
+    def v(cve):
+        return {"VulnerabilityID": cve, "PkgName": "p", "InstalledVersion": "1", "Title": 'a "b"', "PkgIdentifier": {"PURL": "pkg:x@1"}}
+
+    assert got == {
+        f"{a}/x%2Fy%3A1.json": {"ArtifactName": "x/y:1", "Results": [
+            {"Target": "t", "Class": "c", "Vulnerabilities": [v("1"), v("2")]}, {"Target": "u\"", "Vulnerabilities": [v("3")]},
+            {"Target": "u\"", "Vulnerabilities": [v("4")]}, {"Target": "u\"", "Vulnerabilities": [v("5")]}]},
+        f"{a}/%5Fz.json": {"ArtifactName": "_z", "Results": [{"Vulnerabilities": [v("6")]}]},
+        f"{a}/+unnamed.json": {"Results": [{"Vulnerabilities": [v("7")]}]},
+        f"{b}/+unnamed.json": {"Results": [{"Vulnerabilities": [v("8")]}]},
+        f"{b}/é.json".replace("é", "%C3%A9"): {"ArtifactName": "é", "Results": [{"Target": "", "Class": "", "Vulnerabilities": [v("9")]}]}}
+    rows, scanned, runs = reports.read_runs(spark, str(tmp_path))
+    assert sorted(r.cve for r in rows.collect()) == list("123456789")
+    assert {(r.run_key, r.images) for r in runs.collect()} == {(a, 3), (b, 2)}
+    assert {r.image for r in scanned.collect()} == {"x/y:1", "_z", "+unnamed", "é"}
+
+
+def test_reports_in_no_run_and_reports_apart_refuse_the_write(spark, tmp_path):
+    for lines, why in (([_line(None, "x", 1, "t", "c", "1")], "no run"),
+                       ([_line(STAMP, n, 1, "t", "c", "1") for n in "xyx"], "apart")):
+        with pytest.raises(Exception, match=why):
+            reports.write_runs(spark.createDataFrame(lines, LINES).coalesce(1), str(tmp_path))
+
+
+def test_reports_are_read_alike_from_stores_that_arrow_does_not_know(spark, tmp_path, monkeypatch):
+    write_run(tmp_path, bad_run=False)
+    run = tmp_path / STAMP
+    for name, coding in (("wide.json", "utf-16"), ("marked.json", "utf-8-sig"), ("odd #1 é%20[x].json", "utf-32-be")):
+        run.joinpath(name).write_bytes(json.dumps({"Results": [{"Target": "é", "Vulnerabilities": [
+            _vuln("CVE-2031-0009", "zeta", "1", "2", "LOW")]}]}, ensure_ascii=False).encode(coding))
+    run.joinpath(".hidden").write_text("{")
+
+    def read():
+        rows, scanned, runs = reports.read_runs(spark, str(tmp_path))
+        return [sorted(map(repr, df.collect())) for df in (rows, scanned, runs)], reports.list_runs(spark, str(tmp_path))
+
+    got = read()
+    monkeypatch.setattr(reports, "_known", lambda path: False)
+    assert got == read() and len(got[0][0]) == 9 and got[1][0][2] == 7
